@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, repair
+from . import byte_bpe, langid, repair, toxicity
 from .common import table
 
 
@@ -21,9 +21,23 @@ def op6_monoid_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_weak_label_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = langid.id_mod("doc_id", 4) == 2
+    return toxicity.toxicity(docs, labels).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.id_mod("doc_id", 5) == 0
+    return langid.languages(docs).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repair_token_files": op2_repair_token_files,
     "op6_monoid_bpe": op6_monoid_bpe,
+    "op7_weak_label_toxicity": op7_weak_label_toxicity,
+    "op10_crf_language": op10_crf_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}

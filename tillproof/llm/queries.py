@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, langid, repair, simhash, toxicity
+from . import byte_bpe, decontaminate, langid, repair, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repair_token_files": op2_repair_token_files,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_monoid_bpe": op6_monoid_bpe,
     "op7_weak_label_toxicity": op7_weak_label_toxicity,

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, langid, repair, simhash, toxicity
+from . import byte_bpe, decontaminate, langid, maxent_lm, repair, simhash, toxicity
 from .common import table
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -42,6 +46,7 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_repair_token_files": op2_repair_token_files,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_simhash_groups": op5_simhash_groups,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, langid, maxent_lm, repair, simhash, toxicity
+from . import byte_bpe, decontaminate, html_text, langid, maxent_lm, repair, simhash, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_weak_label_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op8_dom_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.id_mod("doc_id", 5) == 0
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_groups": op5_simhash_groups,
     "op6_monoid_bpe": op6_monoid_bpe,
     "op7_weak_label_toxicity": op7_weak_label_toxicity,
+    "op8_dom_main_text": op8_dom_main_text,
     "op10_crf_language": op10_crf_language,
 }
 

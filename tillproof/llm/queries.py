@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, langid, maxent_lm, repair, simhash, toxicity
+from . import byte_bpe, decontaminate, html_text, langid, maxent_lm, permutation_index, repair, simhash, toxicity
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op8_dom_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.id_mod("doc_id", 5) == 0
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_monoid_bpe": op6_monoid_bpe,
     "op7_weak_label_toxicity": op7_weak_label_toxicity,
     "op8_dom_main_text": op8_dom_main_text,
+    "op9_permutation_index": op9_permutation_index,
     "op10_crf_language": op10_crf_language,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, langid, maxent_lm, permutation_index, repair, simhash, toxicity
+from . import byte_bpe, decontaminate, html_text, langid, licenses, maxent_lm, permutation_index, repair, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent_lm": op1_maxent_lm,
     "op2_repair_token_files": op2_repair_token_files,
+    "op3_license_signatures": op3_license_signatures,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_monoid_bpe": op6_monoid_bpe,

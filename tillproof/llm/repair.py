@@ -17,6 +17,7 @@ holds one document at least; no documents give no shards; other columns are igno
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -33,7 +34,7 @@ from .common import bounded_batches, spread, texts, work_dir
 MAGIC, HEAD, STEP = b"RPAI", struct.Struct("<4s9I"), 256
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = 4, each: int = 2048, least: int = 8, bins: int = 18) -> tuple[np.ndarray, list[int], np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int = 3, each: int = 2048, least: int = 8, bins: int = 18) -> tuple[np.ndarray, list[int], np.ndarray]:
     """Rules (pairs of symbols), the first rule of each round and the symbols left.
 
     base: the first nonterminal, above all ids. A pair needs `least` occurrences.
@@ -108,7 +109,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, firsts: list[int], base: int) ->
     return seq
 
 
-def pack(ids: np.ndarray, counts: np.ndarray, base: int, number: int = 0, rounds: int = 4) -> bytes:
+def pack(ids: np.ndarray, counts: np.ndarray, base: int, number: int = 0, rounds: int = 3) -> bytes:
     """A shard as bytes."""
     rules, firsts, seq = compress(ids, base, rounds)
     size = lengths(rules, firsts, base)
@@ -155,24 +156,29 @@ class Shard:
 
 @functools.lru_cache(2)
 def library_encoder(path: str) -> ChunkCache:
-    """The tokenizers library behind a cache of pieces; special tokens' strings are ordinary text."""
+    """The tokenizers library's model behind a cache of pieces; special tokens' strings are ordinary text.
+
+    The model takes a piece in the byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+    letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 512 - len(plain))]), strict=True))
+    merge = tokenizer.model.tokenize
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lists = [[t.id for t in merge(x.encode().decode("latin-1").translate(letters))] for x in pieces]
         length = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for x in lists for i in x), np.uint32, int(length.sum())), length
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum())), length
 
     from public_tokenizers import PATTERN
 
     return ChunkCache(PATTERN, encode)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "doc_id", base: int = 50_257, shard_ids: int = 1 << 18, rounds: int = 4) -> None:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "doc_id", base: int = 50_257, shard_ids: int = 1 << 18, rounds: int = 3) -> None:
     """Encodes the texts and writes shards to path, ordered by key over all partitions.
 
     One range shuffle of the texts; every further step is streaming within a partition. base is the

@@ -94,13 +94,18 @@ def reconcile(df: DataFrame, prefix: str = "", out: str = "") -> DataFrame:
     ]
     done = eleven.withColumns({f"{out}status": status, f"{out}corroborated": c("backed")})
     done = done.withColumn(f"{out}problems", F.when(F.col(f"{out}status") == "unresolved", F.array_compact(F.array(*problems))).otherwise(F.array().cast("array<string>")))
-    return done.drop(*[name for name in done.columns if name.startswith("_r_")])
+    made = [f"{out}{k}" for k in ("repairs", *(f"v_{f}" for f in FIELDS), "status", "corroborated", "problems")]
+    # A generator of one row: a filter on a verdict stays above it, as below it the whole chain would be written out in the filter.
+    return done.select(*(k for k in df.columns if k not in made), F.inline_outer(F.array(F.struct(*made))))
 
 
 def apply_repairs(df: DataFrame) -> DataFrame:
     """Writes each repair's value into its field."""
-    last = lambda f: F.element_at(F.filter("repairs", lambda r: r["field"] == f), -1)["to"]
-    return df.withColumns({f: F.coalesce(F.when(F.size(F.filter("repairs", lambda r, f=f: r["field"] == f)) > 0, last(f)), F.col(f)) for f in FIELDS})
+    def value(f: str) -> Column:
+        own = F.filter("repairs", lambda r: r["field"] == f)
+        return F.when(F.size(own) > 0, F.element_at(own, -1)["to"]).otherwise(F.col(f))
+
+    return df.withColumns({f: value(f) for f in FIELDS})
 
 
 def no_tip_printed(tip: Column) -> Column:

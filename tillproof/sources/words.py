@@ -23,12 +23,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = items.select("receipt_id", (F.col("item_idx") + 2).cast("int").alias("line"), F.col("desc").alias("label"), "price")
     none = F.lit(None).cast("bigint")
     n = F.col("n_items").cast("int")
+
+    def printed(line: Column, label: Column, price: Column = none) -> Column:
+        return F.struct(line.alias("line"), label.alias("label"), price.alias("price")).cast("struct<line:int,label:string,price:bigint>")
+
     rest = F.array(
-        F.struct(F.lit(0).alias("line"), F.concat(F.lit("SHOP "), (F.col("receipt_id") % 97).cast("string")).alias("label"), none.alias("price")),
-        F.struct(F.lit(1), F.lit("----------"), none),
-        F.struct(n + 2, F.lit("----------"), none),
-        *(F.struct(n + 3 + k, F.lit(f.upper()), F.col(f)) for k, f in enumerate(adapters.FIELDS)),
-        F.struct(n + 7, F.lit("THANK YOU"), none),
+        printed(F.lit(0), F.concat(F.lit("SHOP "), (F.col("receipt_id") % 97).cast("string"))),
+        printed(F.lit(1), F.lit("----------")),
+        printed(n + 2, F.lit("----------")),
+        *(printed(n + 3 + k, F.lit(f.upper()), F.col(f)) for k, f in enumerate(adapters.FIELDS)),
+        printed(n + 7, F.lit("THANK YOU")),
     )
     return bills.select("receipt_id", F.inline(rest)).unionByName(body)
 

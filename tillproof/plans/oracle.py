@@ -1 +1,56 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL that says the same as the queries, built from shared common table expressions."""
+
+from __future__ import annotations
+
+from .queries import LITERALS
+
+LINE = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+CENTS = "cast(floor(l_extendedprice * 100 + cast(0.5 as double)) as bigint)"
+ITEMS = f"items as (select l_orderkey as receipt_id, cast(row_number() over (partition by l_orderkey order by {LINE}) - 1 as int) as item_idx, {CENTS} as price from lineitem)"
+BILLS = f"""own as (select l_orderkey as receipt_id, count(*) as n, cast(sum({CENTS}) as bigint) as s, cast(sum({CENTS} * cast(floor(l_tax * 100 + cast(0.5 as double)) as bigint)) as bigint) as t from lineitem group by 1),
+b0 as (select o_orderkey as receipt_id, o_custkey as custkey, coalesce(n, 0) as n_items, coalesce(s, 0) as items_sum, (coalesce(t, 0) + 50) // 100 as tax from orders left join own on o_orderkey = receipt_id),
+b1 as (select *, items_sum as subtotal, items_sum * (receipt_id % 5 * 5) // 100 as tip from b0),
+bills as (select *, subtotal + tax + tip as total, cast(1 + custkey % 5 as int) as n_people from b1)"""
+PEOPLE = "people as (select receipt_id, subtotal, tax, tip, total, n_people, cast(unnest(range(n_people)) as int) as k from bills)"
+#: Who shares an item: those named, in the order of naming, or everybody.
+SHARED = """named as (select i.receipt_id, i.item_idx, i.price, p.k, p.n_people, (i.item_idx * 7 + p.k + i.receipt_id) % 3 = 0 as hit from items i join people p using (receipt_id)),
+counted as (select *, sum(cast(hit as int)) over (partition by receipt_id, item_idx) as hits from named),
+seated as (select *, row_number() over (partition by receipt_id, item_idx order by case when hits > 0 and item_idx % 2 = 1 then -k else k end) - 1 as pos, count(*) over (partition by receipt_id, item_idx) as n from counted where hit or hits = 0),
+cents as (select receipt_id, k, cast(floor(cast(price as double) / n) as bigint) + case when pos < price - cast(floor(cast(price as double) / n) as bigint) * n then 1 else 0 end as cents from seated),
+eaten as (select p.receipt_id, p.k, p.n_people, p.tax, p.tip, p.total, coalesce(cast(sum(c.cents) as bigint), 0) as items from people p left join cents c using (receipt_id, k) group by all)"""
+
+
+def shares(amount: str) -> str:
+    """Steps that divide an amount by the column items."""
+    a = amount
+    return f"""{a}1 as (select receipt_id, k, case when sum(items) over w = 0 then cast({a} as double) / count(*) over w else cast({a} as double) * items / sum(items) over w end as exact, {a} from eaten window w as (partition by receipt_id)),
+{a}2 as (select *, cast(floor(exact) as bigint) as low, exact - floor(exact) as frac from {a}1),
+{a}3 as (select receipt_id, k, low + case when row_number() over (partition by receipt_id order by frac desc, k) <= {a} - sum(low) over (partition by receipt_id) then 1 else 0 end as share from {a}2)"""
+
+
+SPLIT = f"with {ITEMS}, {BILLS}, {PEOPLE}, {SHARED}, {shares('tax')}, {shares('tip')}, done as (select e.receipt_id as bill_id, e.k as person_idx, 'p' || e.k as person_id, e.items, cast(x.share as bigint) as tax, cast(p.share as bigint) as tip, cast(e.items + x.share + p.share as bigint) as total, e.total as printed from eaten e join tax3 x using (receipt_id, k) join tip3 p using (receipt_id, k))"
+
+LITERAL_ROWS = ", ".join(f"(-1, {i}, '{s}')" for i, s in enumerate(LITERALS))
+PLAIN = "cast(price // 100 as varchar) || '.' || lpad(cast(price % 100 as varchar), 2, '0')"
+RAW = f"""with {ITEMS}, made as (select *, {PLAIN} as s from items),
+raws as (select receipt_id, item_idx, case receipt_id % 6 when 0 then s when 1 then ' $' || s when 2 then replace(s, '.', ',') when 3 then split_part(s, '.', 1) when 4 then substr(s, 1, 1) || ',' || substr(s, 2, 20) else s || '9' end as raw from made
+union all select * from (values {LITERAL_ROWS})), bare as (select *, regexp_replace(raw, '[$\\s]', '', 'g') as x from raws)"""
+CLEAN = "case when regexp_matches(x, '^\\d{1,3}(,\\d{3})+\\.\\d{2}$') then replace(x, ',', '') else regexp_replace(x, '^([^,]*),', '\\1.') end"
+TYPED = "case when regexp_matches(x, '^\\d+,\\d{1,2}$') then replace(x, ',', '.') else replace(x, ',', '') end"
+
+STREAK = """ef as (select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) as frame_no, case when event_type <> 'error' then cast(floor(value / 100) as bigint) end as value from events),
+isl as (select *, sum(case when value is null or value is distinct from before then 1 else 0 end) over (partition by session_id order by frame_no) as i from (select *, lag(value) over (partition by session_id order by frame_no) as before from ef)),
+st as (select session_id, frame_no, value, case when value is null then 0 else row_number() over (partition by session_id, i order by frame_no) end as streak from isl)"""
+
+SQL: dict[str, str] = {
+    "q01_split_shares": f"{SPLIT} select bill_id, person_idx, person_id, items, tax, tip, total from done",
+    "q02_split_sum_check": f"{SPLIT}, sums as (select bill_id, sum(total) as shared, count(*) as n, any_value(printed) as printed from done group by 1) select count(*) as bills, cast(sum(n) as bigint) as shares, cast(sum(cast(shared <> printed as int)) as bigint) as mismatches, cast(sum(shared) as bigint) as shared from sums",
+    "q04_even_split": f"with {BILLS}, {PEOPLE} select receipt_id as bill_id, k as person_idx, cast(floor(cast(total as double) / n_people) as bigint) + case when k < total - cast(floor(cast(total as double) / n_people) as bigint) * n_people then 1 else 0 end as total from people",
+    "q12_parse_cents": f"{RAW} select receipt_id, item_idx, raw, case when regexp_matches({CLEAN}, '^\\d+\\.\\d{{2}}$') then try_cast(replace({CLEAN}, '.', '') as bigint) end as cents from bare",
+    "q13_parse_typed": f"{RAW}, t as (select *, {TYPED} as y from bare) select receipt_id, item_idx, raw, case when regexp_matches(y, '^\\d+(\\.\\d{{0,2}})?$') then cast(split_part(y, '.', 1) as bigint) * 100 + cast(rpad(split_part(y, '.', 2), 2, '0') as bigint) end as cents from t",
+    "q14_format_cents": f"with {ITEMS}, c as (select receipt_id, item_idx, case when item_idx % 2 = 0 then price else -(price % 1000) end as c from items), a as (select *, cast(abs(c) // 100 as varchar) || '.' || lpad(cast(abs(c) % 100 as varchar), 2, '0') as plain from c) select receipt_id, item_idx, plain, case when c < 0 then '-' else '' end || plain as signed from a",
+    "q18_parse_roundtrip": f"with {ITEMS}, {BILLS}, texts as (select l_orderkey as receipt_id, cast(row_number() over (partition by l_orderkey order by {LINE}) - 1 as int) as item_idx, {CENTS} as price, p_name from lineitem join part on l_partkey = p_partkey), told as (select receipt_id, string_agg(p_name || '=' || price, ';' order by item_idx) as items from texts group by 1) select receipt_id, subtotal, tax, tip, total, n_items, items_sum, coalesce(items, '') as items from bills left join told using (receipt_id)",
+    "q21_field_streaks": f"with {STREAK} select session_id, frame_no, value, streak, streak >= 2 as confirmed from st",
+    "q24_unsteady": f"with {STREAK}, g as (select *, sum(cast(streak <> 1 as int)) over (partition by session_id order by frame_no) as j from st), r as (select *, sum(cast(streak = 1 as int)) over (partition by session_id, j order by frame_no) as run from g) select session_id, frame_no, cast(run as int) as run, run >= 6 as unsteady from r",
+    "q40_snapshot_gate": f"with {BILLS} select receipt_id, subtotal, tax, tip, total, case when receipt_id % 3 <> 0 then 'a.png' end as image from bills where receipt_id % 2 = 0",
+}

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FIELDS = ("subtotal", "tax", "tip", "total")
@@ -114,18 +115,23 @@ def sessions(frames: DataFrame) -> DataFrame:
     return wanted.groupBy("session_id").applyInPandasWithState(advance, OUT, "saved string", "update", GroupStateTimeout.NoTimeout)
 
 
-def replay(frames: DataFrame, name: str, source: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
-    """Runs a written table of frames through the stream; gives the last row of each session."""
-    spark = frames.sparkSession
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    table = f"{checkpoint}/out"
+def replay(portions: list[DataFrame], name: str, folder: str) -> DataFrame:
+    """Writes portions of frames one after the other and runs the stream over each; gives the last row of each session.
 
-    def keep(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import functions as F
+    The stream stops after each portion and goes on from its checkpoint, so portions count in their order, whatever
+    the order of the files within one.
+    """
+    spark, source, table = portions[0].sparkSession, f"{folder}/frames", f"{folder}/out"
 
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch_no={number}")
 
-    query = sessions(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{checkpoint}/state").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
+    for frames in portions:
+        frames.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frames.schema).parquet(source)
+        query = sessions(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
     rows = spark.read.parquet(table)
-    return rows.groupBy("session_id").agg({"batch": "max"}).withColumnRenamed("max(batch)", "batch").join(rows, ["session_id", "batch"]).drop("batch")
+    columns = [c for c in rows.columns if c not in ("batch", "batch_no", "session_id")]
+    last = rows.groupBy("session_id").agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+    return last.select("session_id", "r.*")

@@ -71,9 +71,9 @@ def assignees(item_idx: Column, receipt_id: Column, n_people: Column) -> Column:
 
 
 def frames(spark: SparkSession, sf_dir: str, per_session: int = 6) -> DataFrame:
-    """Six readings of every tenth receipt, each with one thing wrong or nothing; profile 3 never agrees with itself."""
-    prices = items(spark, sf_dir).where("receipt_id % 10 = 0").groupBy("receipt_id").agg(F.collect_list("price").alias("prices"))
-    base = bills(spark, sf_dir).where("receipt_id % 10 = 0").join(prices, "receipt_id", "left").withColumn("prices", F.coalesce("prices", F.array().cast("array<bigint>")))
+    """Six readings of every receipt, each with one thing wrong or nothing; profile 3 never agrees with itself."""
+    prices = items(spark, sf_dir).groupBy("receipt_id").agg(F.collect_list("price").alias("prices"))
+    base = bills(spark, sf_dir).join(prices, "receipt_id", "left").withColumn("prices", F.coalesce("prices", F.array().cast("array<bigint>")))
     out = base.withColumn("frame_no", F.explode(F.sequence(F.lit(1), F.lit(per_session))))
     out = out.withColumn("profile", F.expr("cast(receipt_id div 10 % 4 as int)")).withColumn("c", F.expr("cast((receipt_id * 31 + frame_no * 17) % 7 as int)"))
     code = F.when(F.col("profile") == 0, F.col("c")).when(F.col("profile") == 1, F.when(F.col("c") < 2, F.col("c") + 2).otherwise(F.col("c"))).when(F.col("profile") == 2, 2).otherwise(7)

@@ -2,7 +2,7 @@
 
 Voters are lexicons and patterns: a hand-written list of insults, lexicons of words and of word
 beginnings that labelled texts single out, split by a hash into several voters, repeated and dense
-hits, address patterns, and voters for clean text. Each votes 1, 0 or abstains. The label model has
+hits, address patterns, and voters for clean text, which learned words at a rate of chance don't silence. Each votes 1, 0 or abstains. The label model has
 an accuracy per voter and answer, found by expectation-maximisation, and discounts voters by the
 correlations that remain once the label is given. A linear classifier (hits, votes and hashed words)
 is fitted to its posterior labels and scores every text.
@@ -38,7 +38,6 @@ INSULTS = frozenset(
 #: Words that address someone; fixed values.
 ADDRESS = frozenset("you your you're du dich dein ihr tu toi vous votre tú usted eres vosotros".split())
 LEXICONS, HEAD, BITS = 3, 5, 14
-DENSE = 10
 
 
 class Hits(TokenCache):
@@ -91,14 +90,31 @@ class Hits(TokenCache):
         return sums, self.hash.a[rows], of
 
 
-def votes(s: np.ndarray) -> np.ndarray:
+def stray_rate(s: np.ndarray, y: np.ndarray) -> float:
+    """The rate of learned words, without a listed insult, up to which they are more often chance than not: long texts hold some.
+
+    The cut with the fewest misplaced labels, but with at most a twentieth of the toxic texts below it."""
+    hit = s[:, :LEXICONS].sum(1)
+    only = (hit > 0) & (s[:, LEXICONS + 1] == 0)
+    rate, toxic = hit[only] / s[only, LEXICONS + 4], y[only] == 1
+    if not toxic.any():
+        return 0.0
+    order = np.argsort(rate, kind="stable")
+    misplaced = np.cumsum(np.where(toxic[order], 1, -1))
+    last = np.append(np.diff(rate[order]) > 0, True)
+    k = np.flatnonzero(last)[misplaced[last].argmin()]
+    return float(min(rate[order][k], np.quantile(rate[toxic], 0.05))) if misplaced[k] < 0 else 0.0
+
+
+def votes(s: np.ndarray, stray_rate: float) -> np.ndarray:
     """The voters' answers, a column each: 1 toxic, 0 clean, -1 abstains."""
     lex, head, hand, address, shout, n = s[:, :LEXICONS], s[:, LEXICONS], s[:, LEXICONS + 1], s[:, LEXICONS + 2], s[:, LEXICONS + 3], np.maximum(s[:, LEXICONS + 4], 1)
     hit = lex.sum(1)
     yes, no = lambda c: np.where(c, 1, -1), lambda c: np.where(c, 0, -1)
-    out = [yes(lex[:, i] > 0) for i in range(LEXICONS)]
+    stray = (hand == 0) & (hit / n <= stray_rate)
+    out = [yes((lex[:, i] > 0) & ~stray) for i in range(LEXICONS)]
     out += [yes(hand > 0), yes(hit + hand >= 2), yes((hit + hand) / n > 0.004), yes((hit + hand > 0) & (address > 0)), yes(head >= 2)]
-    out += [no((hit == 0) & (hand == 0)), no((hit == 0) & (head == 0)), no((hit + hand == 0) & (shout / n > 0.5))]
+    out += [no(stray), no(stray & (head == 0)), no((hit + hand == 0) & (shout / n > 0.5))]
     return np.stack(out, 1).astype(np.int8)
 
 
@@ -140,22 +156,22 @@ class LabelModel:
 
 
 class Model:
-    """The classifier: dense weights, weights of hashed words and a bias."""
+    """The classifier: dense weights, weights of hashed words, a bias and the rate of stray words."""
 
-    def __init__(self, words: dict[str, float], heads: dict[str, float], dense: np.ndarray, hashes: np.ndarray, bias: float):
-        self.words, self.heads, self.dense, self.hashes, self.bias = words, heads, dense, hashes, bias
+    def __init__(self, words: dict[str, float], heads: dict[str, float], dense: np.ndarray, hashes: np.ndarray, bias: float, stray: float):
+        self.words, self.heads, self.dense, self.hashes, self.bias, self.stray = words, heads, dense, hashes, bias, stray
 
     def score(self, hits: Hits, docs: list[str]) -> np.ndarray:
         s, h, of = hits.features(docs)
-        z = inputs(s) @ self.dense + self.bias
+        z = inputs(s, self.stray) @ self.dense + self.bias
         n = np.bincount(of, minlength=len(docs))
         z += np.bincount(of, self.hashes[h], len(docs)) / np.sqrt(np.maximum(n, 1))
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def inputs(s: np.ndarray) -> np.ndarray:
+def inputs(s: np.ndarray, stray_rate: float) -> np.ndarray:
     """Dense inputs: logarithms of hits, the learned weight of the hits and the votes."""
-    v = votes(s)
+    v = votes(s, stray_rate)
     n = np.maximum(s[:, LEXICONS + 4], 1)[:, None]
     return np.concatenate([np.log1p(s[:, : LEXICONS + 3]), np.log1p(s[:, LEXICONS + 5 :]), np.minimum(1, 100 * s[:, : LEXICONS + 2] / n), v == 1, v == 0], 1).astype(float)
 
@@ -204,9 +220,10 @@ def train(samples: list[tuple[str, int]], epochs: int = 150, rate: float = 0.5)
     words, heads = lexicons(samples)
     hits = Hits(words, heads)
     s, h, of = hits.features([t for t, _ in samples])
-    v = votes(s)
+    stray = stray_rate(s, np.array([y for _, y in samples], int))
+    v = votes(s, stray)
     q = LabelModel(v).posterior(v) if len(v) else np.zeros(0)
-    x = inputs(s)
+    x = inputs(s, stray)
     n = np.sqrt(np.maximum(np.bincount(of, minlength=len(x)), 1))
     dense, hashes, bias = np.zeros(x.shape[1]), np.zeros(1 << BITS), -2.0
     sum_d, sum_h, sum_b = np.full_like(dense, 1e-3), np.full_like(hashes, 1e-3), 1e-3
@@ -224,7 +241,7 @@ def train(samples: list[tuple[str, int]], epochs: int = 150, rate: float = 0.5)
         bias += rate * b / math.sqrt(sum_b)
     if not len(x):
         dense[LEXICONS + 1], bias = 4.0, -3.0
-    return Model(words, heads, dense, hashes, bias)
+    return Model(words, heads, dense, hashes, bias, stray)
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = 6000, max_chars: int = 20_000) -> list[tuple[str, int]]:

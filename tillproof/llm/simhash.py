@@ -1,15 +1,17 @@
-"""SimHash near-duplicates: bit-sliced comparison inside buckets, then connected components.
+"""Near-duplicates: SimHash with bit-sliced comparison inside buckets, Jaccard by prefixes; then connected components.
 
 A bucket's fingerprints are stored as bit planes, 64 of them to a word. A query's distances to all
 of them grow in carry-save counters, a plane at a time; a comparison stops once every counter has
 passed the radius. Counters start so that passing the radius is the carry out of the top one.
 
-Two ways to buckets: exactly, by the pigeonhole principle (of r + 1 parts one is equal, twice
-over), for a small radius; or by random bit masks for a similarity, so many that a pair at the
-similarity is missed with a given probability only; bits and masks follow from the row count.
-A bucket gives a spanning forest of its links, nearest first, so a group of m makes m - 1 links,
-not all pairs. A large bucket is split again by the same principle where that is exact, else into
-tiles that are compared one by one.
+Buckets follow from the pigeonhole principle (of r + 1 parts one is equal, twice over). A bucket
+gives a spanning forest of its links, nearest first, so a group of m makes m - 1 links, not all
+pairs. A large bucket is split again by the same principle.
+
+Similar shingle sets are found exactly, too: shingles have one order, rare ones first, and two sets
+of a Jaccard similarity share one of their first shingles, so many that the rest can't make it up.
+Pairs that share enough of them are checked on the whole sets. What is joined already isn't compared
+again, but no pair is left out for being near another.
 
 Edge cases: a text with fewer words than a shingle is one shingle, one without words has fingerprint
 zero; null texts count as empty; equal texts link; null ids count as no id (the smallest id of a
@@ -54,36 +56,22 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = 3, words: int = 1, sets: bool = False) -> DataFrame:
-    """key, text_hash, fp0 to fp<words-1> (signed longs) and set_hash, of the set of shingles.
-
-    sets: each different shingle counts once, and set_hash is filled.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, text_hash long, " + "".join(f"fp{i} long, " for i in range(words)) + "set_hash string"
+def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = 3) -> DataFrame:
+    """key and fp0 (a signed long), the SimHash of the shingles."""
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, fp0 long"
 
     def make():
         digest = xxhash.xxh64_intdigest
 
         def step(batch: pa.RecordBatch):
-            lists, named = [], []
-            for text in texts(batch):
-                own = shingles(text, size)
-                if sets:
-                    own = list(set(own))
-                    named.append(xxhash.xxh3_128_hexdigest(b"".join(sorted(xxhash.xxh3_128_digest(x) for x in own))))
-                lists.append(own)
+            lists = [shingles(text, size) for text in texts(batch)]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            columns = [batch.column(key), batch.column("text_hash")]
-            for i in range(words):
-                hashes = np.fromiter((digest(x, SEED + i) for own in lists for x in own), np.uint64, int(counts.sum()))
-                columns.append(pa.array(majority(hashes, counts).view(np.int64)))
-            columns.append(pa.array(named if sets else [None] * len(lists), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, [key, "text_hash", *(f"fp{i}" for i in range(words)), "set_hash"])
+            hashes = np.fromiter((digest(x, SEED) for own in lists for x in own), np.uint64, int(counts.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(majority(hashes, counts).view(np.int64))], [key, "fp0"])
 
         return step
 
-    return in_batches(docs.select(key, "text", F.xxhash64("text").alias("text_hash")), make, schema)
+    return in_batches(docs.select(key, "text"), make, schema)
 
 
 def planes(x: np.ndarray) -> np.ndarray:
@@ -196,7 +184,7 @@ def spanning(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
     return i[kept], j[kept]
 
 
-def bucket_links(rows: DataFrame, masks: list[tuple[int, ...]], radius: int, exact: bool, id_type: str) -> DataFrame:
+def bucket_links(rows: DataFrame, masks: list[tuple[int, ...]], radius: int, id_type: str) -> DataFrame:
     """Links (a, b) between ids of rows (id, fp0, ...), from the buckets that each of the masks makes."""
     words = len(masks[0])
     fps = [f"fp{i}" for i in range(words)]
@@ -241,7 +229,7 @@ def bucket_links(rows: DataFrame, masks: list[tuple[int, ...]], radius: int, exa
         for g in np.flatnonzero(~small).tolist():
             s = slice(int(start[g]), int(start[g] + size[g]))
             fixed = np.array([np.uint64(m) for m in masks[int(k[s.start, 0])]], np.uint64)
-            i, j = links(x[s], radius, whole & ~fixed if exact else None)
+            i, j = links(x[s], radius, whole & ~fixed)
             found_i.append(i + s.start)
             found_j.append(j + s.start)
         i, j = np.concatenate(found_i), np.concatenate(found_j)
@@ -265,20 +253,6 @@ def exact_masks(radius: int, bits: int = 64) -> list[tuple[int, ...]]:
     return out
 
 
-def agreement(similarity: float) -> float:
-    """The chance that a bit of two SimHashes agrees, for sets of equal size at a Jaccard similarity."""
-    return 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-
-
-def random_masks(n: int, similarity: float, bits: int = 128, missed: float = 0.004) -> list[tuple[int, ...]]:
-    """Masks of about log2(n) - 10 random bits, so many that a pair at the similarity shares no bucket with chance `missed` only."""
-    k = max(8, math.ceil(math.log2(max(n, 2))) - 10)
-    count = math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** k))
-    draw = np.random.default_rng(20_240_501)
-    picks = [draw.choice(bits, k, replace=False).tolist() for _ in range(count)]
-    return [tuple(sum(1 << b for b in p) >> 64 * w & int(ONES) for w in range(bits // 64)) for p in picks]
-
-
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(v, root): the least id that each id of the links (a, b) reaches; labels spread and pointers jump.
 
@@ -301,9 +275,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, radius: int = 2) -> DataFrame:
     """key, fingerprint (hex) and component_id, the least key reachable by links of at most radius bits. Exact."""
-    prints = written(fingerprints(docs, key, size).select(key, "fp0"), "prints")
+    prints = written(fingerprints(docs, key, size), "prints")
     classes = prints.groupBy("fp0").agg(F.min(key).alias("least"))
-    found = bucket_links(classes.select(F.col("fp0").alias("id"), "fp0"), exact_masks(radius), radius, True, "long")
+    found = bucket_links(classes.select(F.col("fp0").alias("id"), "fp0"), exact_masks(radius), radius, "long")
     label = components(found)
     rooted = classes.join(label.withColumnRenamed("v", "fp0"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
     rooted = written(rooted, "rooted")
@@ -313,21 +287,176 @@ def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, radius: int = 2)
     return prints.join(named, "fp0").select(key, hexed.alias("fingerprint"), "component_id")
 
 
+def common_shingles(docs: DataFrame, size: int, sample: int = 5000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (in order) and counts of shingles that stand in several texts of a sample.
+
+    They only order the shingles: with any other sample the same pairs are found, at another cost.
+    """
+    every = max(1, docs.count() // sample)
+    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            for text in texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed(shingles(text, size)).view(np.int64))], ["token"])
+
+        return step
+
+    counts = in_batches(drawn, make, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 2")
+    rows = counts.orderBy(F.desc("c"), "token").limit(most).collect()
+    token, c = np.array([r["token"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows], np.int64)
+    order = np.argsort(token)
+    return token[order], c[order]
+
+
+def hashed(own: list[bytes]) -> np.ndarray:
+    """The set of shingles as hashes in order."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
+
+
+def least_part(n: int, similarity: float) -> int:
+    """How many members of a set of n a set at the similarity must share."""
+    return math.ceil(similarity * n - 1e-6)
+
+
+def rare_first(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    token, c = common
+    if not len(token):
+        return own
+    at = np.searchsorted(token, own).clip(max=len(token) - 1)
+    return own[np.lexsort((own, np.where(token[at] == own, c[at], 0)))]
+
+
+def prefixes(docs: DataFrame, key: str, size: int, similarity: float) -> DataFrame:
+    """key, text_hash, set_hash, n and prefix: the size of the shingle set and its first hashes.
+
+    Sets at the similarity share one of these: n less what they must share, and one.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+
+    def make():
+        common = shared.value
+
+        def step(batch: pa.RecordBatch):
+            named, sizes, first = [], [], []
+            for text in texts(batch):
+                own = list(set(shingles(text, size)))
+                named.append(xxhash.xxh3_128_hexdigest(b"".join(sorted(xxhash.xxh3_128_digest(x) for x in own))))
+                own = hashed(own)
+                sizes.append(len(own))
+                first.append(rare_first(own, common)[: len(own) - least_part(len(own), similarity) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("text_hash"), pa.array(named, pa.string()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary())], [key, "text_hash", "set_hash", "n", "prefix"])
+
+        return step
+
+    return in_batches(docs.select(key, "text", F.xxhash64("text").alias("text_hash")), make, f"`{key}` {kind}, text_hash long, set_hash string, n int, prefix binary")
+
+
+def whole_runs(batches, name: str):
+    """Tables in which no run of equal values is cut; rows come in ascending order of the column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(name).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut == 0 and held and held[-1].column(name)[0].as_py() == k[-1]:
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, cut))
+        yield pa.Table.from_batches(held).combine_chunks()
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def run_starts(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(k)))
+
+
+def shared_shingles(classes: DataFrame) -> DataFrame:
+    """(token, number, n): the first shingles of every class, where another class has the same one."""
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            token = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
+            length = np.fromiter(map(len, token), np.int64, len(token))
+            number, n = (np.repeat(batch.column(c).to_numpy(), length) for c in ("number", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(number), pa.array(n)], ["token", "number", "n"])
+
+        return step
+
+    def several(batches):
+        for part in whole_runs(batches, "token"):
+            _, size = run_starts(part.column("token").to_numpy())
+            yield from part.filter(pa.array(np.repeat(size > 1, size))).to_batches()
+
+    dealt = in_batches(classes.select("number", "n", "prefix"), make, "token long, number long, n int").repartition("token")
+    return dealt.sortWithinPartitions("token").mapInArrow(several, "token long, number long, n int")
+
+
+def sharing_pairs(rows: DataFrame, similarity: float, every: bool, large: int = 64) -> DataFrame:
+    """(a, b, na, nb, c): classes of different roots that share c first shingles, and their sizes.
+
+    every: all such pairs; else only neighbours by size, in buckets of more than `large` classes.
+    """
+
+    def run(batches):
+        for part in whole_runs(batches, "token"):
+            number, n, root = (part.column(c).to_numpy() for c in ("number", "n", "root"))
+            start, size = run_starts(part.column("token").to_numpy())
+            group, big = np.repeat(np.arange(len(start)), size), np.repeat(size > large, size)
+
+            def told(i, j, number=number, n=n, root=root):
+                k = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-6)
+                i, j = i[k], j[k]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (number[i], number[j], n[i], n[j])], ["a", "b", "na", "nb"])
+
+            longest = int(size[size <= large].max(initial=1)) if every else 4
+            for away in range(1, min(longest, len(n))):
+                i = np.arange(len(n) - away)
+                i = i[(group[i] == group[i + away]) & (big[i] != every)]
+                yield told(i, i + away)
+            for g in np.flatnonzero(size > large).tolist() if every else ():
+                a, b = int(start[g]), int(start[g] + size[g])
+                step = max(1, min(256, (1 << 20) // (b - a)))
+                for q in range(a, b, step):
+                    i, j = np.mgrid[q : min(q + step, b), q : b]
+                    k = j > i
+                    yield told(i[k], j[k])
+
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "number")
+    bounded_batches(rows.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """key, text_hash, class_id (texts with equal shingle sets) and group_id of every row.
+    """key, text_hash, class_id (texts with equal shingle sets) and group_id of every row. Exact.
 
-    Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked: SimHash
-    of 128 bits finds candidates in buckets of random masks, the nearest links of each bucket are
-    checked exactly, and linked classes form groups.
+    Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked, and
+    linked classes form groups. Neighbours in large buckets are checked first; then every pair that
+    these links have not joined and that shares enough of its first shingles.
     """
-    prints = written(fingerprints(docs, key, size, words=2, sets=True), "prints")
-    classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.min(F.struct(key, "text_hash")).alias("least"))
-    n = classes.count()
-    away = 1 - agreement(similarity)
-    radius = math.ceil(128 * away + 2.5 * math.sqrt(128 * away * (1 - away)))
-    found = written(bucket_links(classes.select("id", "fp0", "fp1"), random_masks(n, similarity), radius, False, "string"), "candidates")
-    checked = verified(docs, classes, found, key, size, similarity)
-    label = components(checked)
+    prints = written(prefixes(docs, key, size, similarity), "prints")
+    classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(key, "text_hash")).alias("least"))
+    classes = written(classes.withColumn("number", F.xxhash64("id")), "classes")
+    shared = written(shared_shingles(classes), "shared")
+
+    def checked(pairs: DataFrame, tag: str) -> DataFrame:
+        named = classes.select("number", "id")
+        found = pairs.join(named.toDF("a", "_a"), "a").join(named.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        return written(verified(docs, classes, written(found, "candidates"), key, size, similarity), tag)
+
+    near = sharing_pairs(shared.withColumn("root", F.col("number")), similarity, False)
+    first = checked(near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")), "first")
+    roots = components(first).select(F.xxhash64("v").alias("number"), F.xxhash64("root").alias("root"))
+    rooted = shared.join(roots, "number", "left").select("token", "number", "n", F.coalesce("root", "number").alias("root"))
+    least = F.ceil(F.lit(similarity) * F.col("nb") - 1e-6) - 1
+    enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
+    rest = checked(sharing_pairs(rooted, similarity, True).where(F.col("c") + least >= enough).select("a", "b"), "rest")
+    label = components(first.union(rest))
     return prints.join(label.select(F.col("v").alias("set_hash"), "root"), "set_hash", "left").select(key, "text_hash", F.col("set_hash").alias("class_id"), F.coalesce("root", "set_hash").alias("group_id"))
 
 
@@ -342,7 +471,7 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame, key: str, si
         def step(batch: pa.RecordBatch):
             sets = []
             for text in texts(batch):
-                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in shingles(text, size)), np.uint64)).tobytes())
+                sets.append(hashed(shingles(text, size)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "own"])
 
         return step

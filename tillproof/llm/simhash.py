@@ -253,24 +253,31 @@ def exact_masks(radius: int, bits: int = 64) -> list[tuple[int, ...]]:
     return out
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(v, root): the least id that each id of the links (a, b) reaches; labels spread and pointers jump.
+def components(links: DataFrame) -> DataFrame:
+    """(v, root): the least id that each id of the links (a, b) reaches, by large stars and small stars in turn.
 
+    An id hands its greater neighbours to the least one (large), then its lesser ones (small), until
+    only stars are left; no number of rounds is fixed, and it grows with the logarithm of a chain's length.
     Every round is a written table, so lineage stays short and a lost executor costs one round at most.
     """
-    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "links")
-    label = written(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).select("v", F.least("v", "m").alias("root")), "labels")
-    for _ in range(rounds):
-        told = both.join(label.select(F.col("v").alias("u"), "root"), "u").groupBy("v").agg(F.min("root").alias("m"))
-        near = label.join(told, "v").select("v", F.least("root", "m").alias("next"), "root")
-        over = label.select(F.col("v").alias("next"), F.col("root").alias("far"))
-        made = written(near.join(over, "next").select("v", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")), "labels")
-        changed = made.where("moved").limit(1).count()
-        dropped(label)
-        label = made.drop("moved")
-        if not changed:
-            break
-    return label
+    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
+    while not stars(edges):
+        both = edges.union(edges.select("u", "v"))
+        least = both.groupBy("v").agg(F.least("v", F.min("u")).alias("m"))
+        large = written(edges.select(F.col("u").alias("x"), F.col("v").alias("w")).join(least.withColumnRenamed("v", "x"), "x").select(F.col("w").alias("v"), F.col("m").alias("u")).distinct(), "links")
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least).distinct()
+        made = written(small, "links")
+        dropped(edges)
+        dropped(large)
+        edges = made
+    return edges.select("v", F.col("u").alias("root")).union(edges.select("u", "u").distinct())
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether each v of the edges (v, u) has one u, and no u is a v."""
+    chained = edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
+    return not chained and not edges.groupBy("v").count().where("count > 1").limit(1).count()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, radius: int = 2) -> DataFrame:

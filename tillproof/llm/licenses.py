@@ -2,8 +2,8 @@
 
 A text becomes its words (lower case, one space between them). Signatures are regular expressions over
 them, composed by rule from the ways to name a license and the ways to grant it; each has a keyword
-and a priority. Only texts that hold one of a few anchors are looked at further, and in
-those only signatures whose keyword stands there. A detection is dropped if one of at least its
+and a priority. Of each text only the signatures whose keyword stands there are looked for; a keyword
+is part of every match of its signature, so that loses none. A detection is dropped if one of at least its
 priority contains it (of equal spans the higher priority, then the first label, stays). All
 of it is one projection: no shuffle, and a text's detections never leave its row.
 
@@ -23,20 +23,23 @@ from pyspark.sql import functions as F
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, with their labels; fixed values.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-ANCHORS = ("licen", "copyright", "rights reserved", "spdx", "gpl", "public domain", "creative commons", "cc by", "cc0", "wtfpl", "permission is hereby", "redistribution and use", "copyleft")
 
 #: (label, keyword, ways to name it): words are separated by one space; V stands for "v", "version" or nothing.
 NAMED = [
-    ("mit", "mit", "mit|mit x11|expat"),
+    ("mit", "mit", "mit|mit x11"),
+    ("mit", "expat", "expat"),
     ("x11", "x11", "x11"),
-    ("isc", "isc", "isc|internet systems consortium"),
+    ("isc", "isc", "isc"),
+    ("isc", "internet systems", "internet systems consortium"),
     ("zlib", "zlib", "zlib|zlib libpng"),
     ("bsl-1.0", "boost", "boost software license(?: V1(?: 0)?)?"),
     ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl|do what the fuck you want to public license"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("wtfpl", "do what the fuck", "do what the fuck you want to public license"),
     ("ofl-1.1", "ofl", "sil ofl(?: 1 1)?|ofl 1 1"),
     ("ofl-1.1", "open font", "sil open font license(?: V1 1)?"),
-    ("psf-2.0", "python", "python software foundation license(?: V2)?|psf license"),
+    ("psf-2.0", "python", "python software foundation license(?: V2)?"),
+    ("psf-2.0", "psf", "psf license"),
     ("ruby", "ruby", "ruby license"),
     ("php-3.01", "php", "php license(?: V3(?: 0)?(?: ?1)?)?"),
     ("postgresql", "postgresql", "postgresql license"),
@@ -174,17 +177,20 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     lower = docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("_lower"))
     normal = lower.select(key, F.trim(F.regexp_replace("_lower", NOT_WORD, " ")).alias("_w"))
     w = F.col("_w")
-    gate = functools.reduce(lambda a, b: a | b, (w.contains(x) for x in ANCHORS))
     base = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(f"(?<![^ ]){phrase}(?![^ ])").alias("expression")) for phrase, label in BASE))
     found = F.flatten(F.transform(F.filter(base, lambda s: F.regexp_like(w, s["expression"])), lambda s: places(w, s["expression"], s["label"], F.lit(1))))
-    table = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(x).alias("expression")) for a, p, k, x in signatures()))
-    hits = F.filter(F.filter(table, lambda s: F.contains(w, s["keyword"])), lambda s: F.regexp_like(w, s["expression"]))
+    of: dict[str, list[Column]] = {}
+    for a, p, k, x in signatures():
+        of.setdefault(k, []).append(F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(x).alias("expression")))
+    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("own")) for k, own in of.items()))
+    near = F.flatten(F.transform(F.filter(table, lambda k: F.contains(w, k["keyword"])), lambda k: k["own"]))
+    hits = F.filter(near, lambda s: F.regexp_like(w, s["expression"]))
     own = F.array_sort(F.flatten(F.transform(hits, lambda s: places(w, s["expression"], s["label"], s["priority"]))))
     looked = normal.select(
         key,
         F.when(w == "", 0).otherwise(spaces(w) + 1).cast("long").alias("n_words"),
-        F.when(gate, found).alias("_base"),
-        F.when(gate, own).alias("_own"),
+        F.when(w.contains("licen"), found).alias("_base"),
+        own.alias("_own"),
     ).withColumn("_kept", F.when(F.size("_own") > 0, resolved(F.col("_own"))))
     labels = F.array_sort(F.array_distinct(F.coalesce(F.transform("_base", lambda d: d["label"]), F.array().cast("array<string>"))))
     weight = F.create_map(*itertools.chain.from_iterable((F.lit(p), F.lit(x)) for p, x in WEIGHT.items()))

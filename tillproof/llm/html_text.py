@@ -7,7 +7,7 @@ Text whose node is more likely content than not is kept. The model is trained on
 pages composed by rule from common layouts, whose labels are known by construction.
 
 Edge cases: null, empty and text-free pages give an empty text and 0; unclosed and stray tags are
-handled as browsers do for paragraphs, list items and cells; a page without tags is one block of
+handled as browsers do for paragraphs, list items, cells and options; a page without tags is one block of
 text; equal pages get equal rows; null ids and urls pass through; other columns are ignored.
 """
 
@@ -28,12 +28,16 @@ TAG = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-
 NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template select option button iframe object svg canvas video audio math head".split())
+RAW = frozenset("script style textarea title noscript template button iframe object svg canvas video audio head".split())
+#: Of those, the ones that run to the end of the page where their end tag is missing.
+ENDLESS = frozenset("script style textarea title".split())
+#: Lists to choose from: their text is never kept, and any other block ends them.
+CHOICES = frozenset("select datalist optgroup option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: Elements that an opening tag ends when they are still open, and what the search doesn't pass.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-GROUPS = [{"article", "main"}, {"section", "div", "center"}, {"p", "pre", "blockquote"}, {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"ul", "ol", "li", "dl", "dt", "dd", "menu"}, {"table", "tbody", "thead", "tr", "td", "th", "caption"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend", "dialog"}, {"figure", "figcaption", "details", "summary"}, {"html", "body", "#root"}]
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"optgroup"}, {"select", "datalist"})}
+GROUPS = [{"article", "main"}, {"section", "div", "center"}, {"p", "pre", "blockquote"}, {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"ul", "ol", "li", "dl", "dt", "dd", "menu"}, {"table", "tbody", "thead", "tr", "td", "th", "caption"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend", "dialog", "select", "datalist", "optgroup", "option"}, {"figure", "figcaption", "details", "summary"}, {"html", "body", "#root"}]
 GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
 BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|foot\w*|head|header|masthead|top-?bar|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comments?|comment-\w+|disqus|replies|reply|tags?|widget|pagination|pager|toc|skip|copyright|legal|search|toolbar|rail|teaser)(?:$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|post-body|entry\w*|story\w*|body|text|main\w*|page-content|prose)(?:$|[\s_-])", re.I)
@@ -57,7 +61,7 @@ class Page:
             if text:
                 plain = SPACES.sub(" ", html.unescape("".join(text))).strip()
                 text = []
-                if plain:
+                if plain and self.tag[stack[-1]] not in CHOICES:
                     self.blocks.append((stack[-1], plain))
                     self.chars[stack[-1]] += len(plain)
 
@@ -83,7 +87,7 @@ class Page:
             if name in RAW and not closing:
                 if name != "head" and not attributes.endswith("/"):
                     end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                    at = end.end() if end else size
+                    at = end.end() if end else size if name in ENDLESS else at
                 elif name == "head":
                     end = re.compile(r"</head\s*>|<body", re.I).search(source, at)
                     at = (end.end() if end[0][1] == "/" else end.start()) if end else at
@@ -111,6 +115,8 @@ class Page:
                 continue
             end_block()
             links = 0
+            while name not in CHOICES and self.tag[stack[-1]] in CHOICES:
+                pop(-1)
             if name in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == "p":

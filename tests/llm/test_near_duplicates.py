@@ -54,3 +54,15 @@ def test_links_of_a_large_group_of_unevenly_edited_copies_stay(spark, seed):
     own = plain_groups(texts)
     assert 1 < len(set(own)) < 250
     assert found_groups(spark, texts) == own
+
+
+def test_short_texts_and_texts_at_the_limit(spark):
+    draw = random.Random(7)
+    texts = ["", " ", "a", "a b", "a b c d e", "a b c d e f"]
+    for n in (8, 9, 12, 13, 20, 50, 200):  # the longer of two texts has a quarter more shingles: exactly 0.8
+        for _ in range(60):
+            w = [f"w{draw.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(w), " ".join([*w, *(f"x{draw.randrange(10**9)}" for _ in range((n - 4) // 4))])]
+    own = plain_groups(texts)
+    assert len(set(own)) < 0.55 * len(texts)
+    assert found_groups(spark, texts) == own

@@ -1,16 +1,20 @@
-"""A hashed maximum-entropy language model with a class-factored softmax.
-
-P(word | history) = P(class | history) P(word | class, history). The most frequent words stand in
-classes of 32 by rank; the others in classes by shape (letters, marks, length). Classes, and words
-of a frequent class, come from a softmax over hashed features of the history: the last word, the
-last two, and skips to the second and third last. A word of a shape class has its share of
-the class's training tokens; words never seen have the class's share of words seen once.
-
-Training is one pass over all training texts: each task updates its own copy by AdaGrad steps in
-batches; the changes are summed by chunks of rows on the executors and each row is averaged over the
-tasks that touched it. The size of the model is fixed by parameters. Token counts are exact, over
-all training texts, and grow with them: they are never collected. A task asks for the counts of the
-distinct tokens of a block of texts, so the join moves a row per block and token, not per text and token.
+"""A hashed maximum-entropy language model whose softmax is factored into classes.
+
+Every word has a code: a class, a smaller class inside it, and so on, with 16 ways at each level. The most
+frequent words have codes of their own, by rank; all others share codes by their kind of characters,
+their end and their beginning. P(code | history) is the product over the levels of softmaxes over hashed
+features of the history and the code so far: the last word, the last two, and a skip to the second last. A
+word that shares its code has its share of the code's training tokens. One outcome of each shared code stands
+for all words never seen in training; it has the code's share of words seen once. So the model is a distribution
+over the known words and these outcomes, as the base is one over the known words and one outcome for all
+others; known_score and known_base_score leave the unknown words out on both sides.
+
+Training is one pass over all training texts: each task takes AdaGrad steps on its own copy, the copies are
+summed on the executors in two steps (at most the square root of the tasks' number meets in one place), and
+each row is averaged over the tasks that touched it. The levels and the rows grow with the vocabulary up to
+most_levels and most_rows, which bound what a task and the driver hold. Token counts are exact, over all
+training texts, and grow with them: they are never collected. A task asks for the counts of the distinct rare
+tokens of a block of texts, so the join moves a row per block and token, not per text and token.
 
 Edge cases: a null or empty text is the end token alone; null ids are held out; texts of any length are
 whole; equal rows get equal scores; without training texts N and V are 0 and the model is uniform;
@@ -19,8 +23,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +38,35 @@ from .common import Grown, TokenCache, bounded_batches, in_batches, texts, writt
 from .langid import id_mod
 
 END = b""
-HEADS, WIDE, SHAPES = 31, 32, 32
-CLASSES = HEADS + SHAPES + 1
-ROWS, PAIR_ROWS, FEATURES = 1 << 14, 1 << 15, 5
-CHUNK, STEP, BLOCK = 1024, 4096, 500_000
+BITS, FAN = 4, 16
+#: Of the first level's 16 classes these are for frequent words; the other five for kinds of characters.
+FREQUENT = 11
+FEATURES, CHUNK, STEP, BLOCK = 4, 4096, 8192, 2_000_000
 SMOOTH = 0.1
 
 
+@dataclass(frozen=True)
+class Size:
+    """Levels of a code and bits of a row number."""
+
+    levels: int = 3
+    row_bits: int = 16
+
+    @property
+    def codes(self) -> int:
+        return FAN**self.levels
+
+    @property
+    def heads(self) -> int:
+        """How many words have a code of their own."""
+        return FREQUENT * self.codes // FAN
+
+    @staticmethod
+    def of(vocabulary: int, most_levels: int, most_rows: int) -> Size:
+        bits = max(vocabulary, 1).bit_length()
+        return Size(min(max(-(-(bits - 10) // BITS), 3), most_levels), min(max(bits // 2 + 5, 16), most_rows.bit_length() - 1))
+
+
 def tokens(text: str) -> list[bytes]:
     """Words between ASCII white space with A-Z in lower case, then the end."""
     out = text.encode().lower().split()
@@ -46,115 +74,135 @@ def tokens(text: str) -> list[bytes]:
     return out
 
 
-def shape(token: bytes) -> int:
-    """One of the 32 shape classes: script of its letters, a mark at its end, its length."""
+def shared_code(token: bytes, levels: int) -> int:
+    """The code of a word that isn't frequent: kind of characters, then its end, then its beginning."""
     if token.isascii():
-        script = 0
+        kind = 2 if not token.isalpha() else int(len(token) > 6)
     else:
-        script = 1 if b"\xc3\xa9" in token or b"\xc3\xa8" in token or b"\xc3\xaa" in token or b"\xc3\xa7" in token else 2 if b"\xc3\xb3" in token or b"\xc3\xb1" in token or b"\xc3\xad" in token else 3
-    n = len(token)
-    return script * 8 + (0 if token[-1:].isalnum() or token[-1:] >= b"\x80" else 4) + (n > 4) + (n > 8) + (n > 12)
+        kind = 3 if max(token) < 0xE0 else 4
+    code = (FREQUENT + kind) << BITS | zlib.crc32(token[-2:]) & FAN - 1
+    for k in range(levels - 2):
+        code = code << BITS | zlib.crc32(token[: 2 * k + 2], 1) & FAN - 1
+    return code
 
 
 class Features(TokenCache):
-    """Token -> its hash and its outcome: rank of a frequent word, or -1 - shape."""
+    """Token -> its hash, its code, and whether it shares the code."""
 
-    def __init__(self, heads: dict[bytes, int]):
+    def __init__(self, heads: dict[bytes, int], size: Size):
         super().__init__(600_000)
-        self.heads = heads
+        self.heads, self.size = heads, size
         self.reset()
 
     def reset(self) -> None:
-        self.hash, self.outcome = Grown(np.uint64), Grown(np.int32)
+        self.hash, self.code, self.shared, self.word = Grown(np.uint64), Grown(np.int32), Grown(np.bool_), []
+
+    @property
+    def full(self) -> bool:
+        """Whether the next call of rows() forgets all rows."""
+        return len(self) > self.limit
 
     def fill(self, new: list[bytes]) -> None:
-        self.hash.add(np.fromiter((zlib.crc32(t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for t in new), np.uint64, len(new)))
-        self.outcome.add(np.fromiter((self.heads.get(t, -1 - shape(t)) for t in new), np.int32, len(new)))
+        h = np.fromiter(map(zlib.crc32, new), np.uint64, len(new))
+        h = (h ^ h >> np.uint64(15)) * np.uint64(0x9E3779B97F4A7C15)
+        own = [self.heads.get(t, -1) for t in new]
+        self.hash.add(h ^ h >> np.uint64(31))
+        self.code.add(np.fromiter((c if c >= 0 else shared_code(t, self.size.levels) for c, t in zip(own, new, strict=True)), np.int32, len(new)))
+        self.shared.add(np.fromiter((c < 0 for c in own), np.bool_, len(new)))
+        self.word += new
 
     def inputs(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashed features of each token's history (a row each), the outcomes, and of which text each is."""
+        """Hashed features of each token's history (a row each), the tokens' rows, and of which text each is."""
         rows = self.rows([t for own in lists for t in own])
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         of = np.repeat(np.arange(len(lists)), counts)
         h = self.hash.a[rows]
         place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
         back = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             x = np.zeros(len(h), np.uint64)
             x[k:] = h[:-k]
             back.append(np.where(place >= k, x, np.uint64(k)))
-        mix = lambda x, k: (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
         f = np.zeros((len(h), FEATURES), np.uint64)
-        f[:, 1], f[:, 2], f[:, 3] = mix(back[0], 1), mix(back[0] * np.uint64(31) + back[1], 2), mix(back[1], 3)
-        f[:, 4] = mix(back[2], 4)
-        return f, self.outcome.a[rows], of
+        f[:, 1], f[:, 2] = back[0] + np.uint64(1), back[0] * np.uint64(31) + back[1] + np.uint64(2)
+        f[:, 3] = back[1] * np.uint64(3) + np.uint64(3)
+        return f, rows, of
 
 
 class Weights:
-    """Rows of hashed features: for the classes, and for the words of a frequent class."""
-
-    def __init__(self, classes: np.ndarray | None = None, words: np.ndarray | None = None):
-        self.classes = np.zeros((ROWS, CLASSES), np.float32) if classes is None else classes
-        self.words = np.zeros((PAIR_ROWS, WIDE), np.float32) if words is None else words
-
-    @staticmethod
-    def places(f: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Class of each outcome, rows of its features, which outcomes are frequent words, and those's rows."""
-        head = np.flatnonzero(outcome >= 0)
-        group = np.where(outcome >= 0, outcome // WIDE, HEADS - 1 - outcome)
-        rows = (f >> np.uint64(40)).astype(np.int64) & (ROWS - 1)
-        rows[:, 0] = 0
-        pair = (f[head] + (group[head].astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(0x94D049BB133111EB)) >> np.uint64(36)
-        return group, rows, head, pair.astype(np.int64) & (PAIR_ROWS - 1)
-
-    @staticmethod
-    def log_softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        z = w[rows[:, 0]]
+    """A table of rows for each level: the weights of a hashed feature and the code so far, one for each way on."""
+
+    def __init__(self, size: Size, tables: np.ndarray | None = None):
+        self.size = size
+        self.tables = np.zeros((size.levels, 1 << size.row_bits, FAN), np.float32) if tables is None else tables
+
+    def places(self, f: np.ndarray, code: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the features at a level, and the way that the code takes there."""
+        shift = BITS * (self.size.levels - 1 - level)
+        node = (code >> (shift + BITS)).astype(np.uint64) + np.uint64(1 + level)
+        x = f + (node * np.uint64(0x94D049BB133111EB))[:, None]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> np.uint64(64 - self.size.row_bits)).astype(np.int64), code >> shift & FAN - 1
+
+    def log_softmax(self, level: int, rows: np.ndarray) -> np.ndarray:
+        z = self.tables[level].take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
-            z += w[rows[:, k]]
+            z += self.tables[level].take(rows[:, k], 0)
         z -= z.max(1, keepdims=True)
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         return z
 
-    def log_prob(self, f: np.ndarray, outcome: np.ndarray) -> np.ndarray:
-        """Natural logarithm of P(class | history), and of P(word | class, history) for frequent words."""
+    def log_prob(self, f: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Natural logarithm of P(code | history)."""
         out = np.zeros(len(f))
         for a in range(0, len(f), STEP):
-            o = outcome[a : a + STEP]
-            group, rows, head, pair = self.places(f[a : a + STEP], o)
-            part = self.log_softmax(self.classes, rows)[np.arange(len(o)), group].astype(np.float64)
-            if len(head):
-                part[head] += self.log_softmax(self.words, pair)[np.arange(len(head)), o[head] % WIDE]
-            out[a : a + STEP] = part
+            g, c = f[a : a + STEP], code[a : a + STEP]
+            for level in range(self.size.levels):
+                rows, way = self.places(g, c, level)
+                out[a : a + STEP] += self.log_softmax(level, rows)[np.arange(len(c)), way]
         return out
 
 
+def in_order(rows: np.ndarray, bits: int) -> np.ndarray:
+    """A sorting order of row numbers, by sixteen bits at a time (numpy sorts these by counting)."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    if bits > 16:
+        order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Trainer:
     """AdaGrad on a task's own copy; the sum of squares is kept for each row."""
 
-    def __init__(self, rate: float = 0.5):
-        self.w, self.rate = Weights(), rate
-        self.sums = np.full(ROWS, 1e-2, np.float32), np.full(PAIR_ROWS, 1e-2, np.float32)
+    def __init__(self, size: Size, rate: float = 1.0):
+        self.w, self.rate = Weights(size), rate
+        self.sums = np.full(self.w.tables.shape[:2], 1e-2, np.float32)
 
-    def learn(self, f: np.ndarray, outcome: np.ndarray) -> None:
+    def learn(self, f: np.ndarray, code: np.ndarray) -> None:
         for a in range(0, len(f), STEP):
-            o = outcome[a : a + STEP]
-            group, rows, head, pair = Weights.places(f[a : a + STEP], o)
-            self.update(self.w.classes, self.sums[0], rows, group)
-            if len(head):
-                self.update(self.w.words, self.sums[1], pair, o[head] % WIDE)
-
-    def update(self, w: np.ndarray, sums: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
-        g = -np.exp(Weights.log_softmax(w, rows))
+            g, c = f[a : a + STEP], code[a : a + STEP]
+            for level in range(self.w.size.levels):
+                self.update(level, *self.w.places(g, c, level))
+
+    def update(self, level: int, rows: np.ndarray, gold: np.ndarray) -> None:
+        g = -np.exp(self.w.log_softmax(level, rows))
         g[np.arange(len(gold)), gold] += 1
-        for k in range(rows.shape[1]):
-            order = np.argsort(rows[:, k], kind="stable")
-            sorted_rows = rows[order, k]
-            cut = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-            used = sorted_rows[cut]
-            total = np.add.reduceat(g[order], cut, 0)
-            sums[used] += (total * total).mean(1)
-            w[used] += self.rate / rows.shape[1] * total / np.sqrt(sums[used])[:, None]
+        flat = rows.ravel()
+        order = in_order(flat, self.w.size.row_bits)
+        flat = flat[order]
+        cut = np.flatnonzero(np.diff(flat, prepend=-1))
+        used = flat[cut]
+        total = np.add.reduceat(g.take(order // rows.shape[1], 0), cut, 0)
+        sums = self.sums[level]
+        sums[used] += np.einsum("ij,ij->i", total, total) / FAN
+        total *= (self.rate / rows.shape[1] / np.sqrt(sums[used]))[:, None]
+        self.w.tables[level][used] += total
+
+
+def sums_of(of: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
+    """Sums of x by text; doubles where nothing is summed, too."""
+    return np.bincount(of, x, m).astype(np.float64)
 
 
 def held_out(key: str):
@@ -184,130 +232,158 @@ def count_tokens(docs: DataFrame, most: int = 300_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def shape_table(counts: DataFrame, heads: dict[bytes, int]) -> dict[int, tuple[int, int]]:
-    """Of each shape class the training tokens and how many of its words were seen once."""
+def code_totals(counts: DataFrame, heads: dict[bytes, int], size: Size) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code the training tokens of the words that share it, and how many of these were seen once."""
 
     def make():
         def step(batch: pa.RecordBatch):
             token, c = batch.column("token").to_pylist(), batch.column("c").to_numpy()
-            kind = np.fromiter((-1 if t in heads else shape(t) for t in token), np.int64, len(token))
-            rest = kind >= 0
-            n, once = np.bincount(kind[rest], c[rest], SHAPES), np.bincount(kind[rest], c[rest] == 1, SHAPES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES)), pa.array(n.astype(np.int64)), pa.array(once.astype(np.int64))], ["shape", "n", "once"])
+            code = np.fromiter((-1 if t in heads else shared_code(t, size.levels) for t in token), np.int64, len(token))
+            code, c = code[code >= 0], c[code >= 0]
+            used, of = np.unique(code, return_inverse=True)
+            n, once = np.bincount(of, c, len(used)), np.bincount(of, c == 1, len(used))
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n.astype(np.int64)), pa.array(once.astype(np.int64))], ["code", "n", "once"])
 
         return step
 
-    rows = in_batches(counts, make, "shape long, n long, once long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()
-    return {r["shape"]: (r["n"], r["once"]) for r in rows}
+    rows = in_batches(counts, make, "code long, n long, once long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()
+    n, once = np.zeros(size.codes), np.zeros(size.codes)
+    for r in rows:
+        n[r["code"]], once[r["code"]] = r["n"], r["once"]
+    return n, once
+
 
+def unseen_share(n: np.ndarray, once: np.ndarray) -> np.ndarray:
+    return np.clip((once + 0.5) / (n + 1.0), 1e-6, 0.9)
 
-def train(docs: DataFrame, heads: dict[bytes, int]) -> Weights:
-    """One pass over the texts; the driver gets the averaged model, whose size is fixed."""
+
+def train(docs: DataFrame, heads: dict[bytes, int], size: Size) -> Weights:
+    """One pass over the texts; the driver gets the averaged model, whose size is bounded."""
+    per, narrow = (1 << size.row_bits) // CHUNK, "chunk int, part int, tasks int, change binary, touched binary"
 
     def run(batches):
-        trainer, feature = Trainer(), Features(heads)
+        trainer, feature, seen = Trainer(size), Features(heads, size), False
         for batch in batches:
-            f, outcome, _ = feature.inputs([tokens(t) for t in texts(batch)])
-            trainer.learn(f, outcome)
-        for part, (w, sums) in enumerate(((trainer.w.classes, trainer.sums[0]), (trainer.w.words, trainer.sums[1]))):
-            touched = (sums > 1e-2).astype(np.uint8)
-            for a in range(0, len(w), CHUNK):
-                if touched[a : a + CHUNK].any():
-                    row = [pa.array([part * 1000 + a // CHUNK], pa.int32()), pa.array([w[a : a + CHUNK].astype(np.float16).tobytes()]), pa.array([touched[a : a + CHUNK].tobytes()])]
-                    yield pa.RecordBatch.from_arrays(row, ["chunk", "change", "touched"])
+            f, rows, _ = feature.inputs([tokens(t) for t in texts(batch)])
+            trainer.learn(f, feature.code.a[rows])
+            seen = True
+        part = math.isqrt(TaskContext.get().partitionId())
+        for level in range(size.levels) if seen else ():
+            touched = trainer.sums[level] > 1e-2
+            for k in range(per):
+                s = slice(k * CHUNK, (k + 1) * CHUNK)
+                yield message(level * per + k, part, trainer.w.tables[level][s].astype(np.float16), touched[s].astype(np.uint32))
+
+    def message(chunk: int, part: int, change: np.ndarray, touched: np.ndarray) -> pa.RecordBatch:
+        row = [pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([change.dtype.itemsize], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([touched.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, ["chunk", "part", "tasks", "change", "touched"])
 
     def add(batches):
-        total: dict[int, list] = {}
+        total: dict[tuple[int, int], list] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                x = np.frombuffer(r["change"], np.float16).astype(np.float32).reshape(CHUNK, -1)
-                n = np.frombuffer(r["touched"], np.uint8).astype(np.int64)
-                if r["chunk"] in total:
-                    total[r["chunk"]][0] += x
-                    total[r["chunk"]][1] += n
-                else:
-                    total[r["chunk"]] = [x, n]
-        for chunk, (x, n) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([(x / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()])], ["chunk", "mean"])
+                x = np.frombuffer(r["change"], np.float16 if r["tasks"] == 2 else np.float32).astype(np.float32).reshape(CHUNK, -1)
+                n = np.frombuffer(r["touched"], np.uint32)
+                k = r["chunk"], r["part"]
+                total[k] = [total[k][0] + x, total[k][1] + n] if k in total else [x, n]
+        for (chunk, part), (x, n) in total.items():
+            yield message(chunk, part, x, n)
 
     bounded_batches(docs.sparkSession)
-    changes = docs.select("text").mapInArrow(run, "chunk int, change binary, touched binary")
-    out = Weights()
-    for r in changes.repartition(16, "chunk").mapInArrow(add, "chunk int, mean binary").collect():
-        w, a = (out.classes, out.words)[r["chunk"] // 1000], r["chunk"] % 1000 * CHUNK
-        w[a : a + CHUNK] = np.frombuffer(r["mean"], np.float32).reshape(CHUNK, -1)
+    changes = docs.select("text").mapInArrow(run, narrow)
+    some = changes.repartition("chunk", "part").mapInArrow(add, narrow).withColumn("part", F.lit(0))
+    out = Weights(size)
+    for r in some.repartition("chunk").mapInArrow(add, narrow).collect():
+        x, n = np.frombuffer(r["change"], np.float32).reshape(CHUNK, -1), np.frombuffer(r["touched"], np.uint32)
+        level, k = divmod(r["chunk"], per)
+        out.tables[level, k * CHUNK : (k + 1) * CHUNK] = x / np.maximum(n, 1)[:, None]
     return out
 
 
-def blocks(docs: DataFrame, heads: dict[bytes, int], weights: Weights, key: str) -> DataFrame:
-    """A table of two kinds of rows: what a block asks for (place, token) and its texts (cells of place and number)."""
+def blocks(docs: DataFrame, shared, key: str) -> DataFrame:
+    """A table of two kinds of rows: what a block asks for (place, token, code) and its texts.
+
+    shared: the broadcast (heads, their counts, size, weights, logarithm of the base's denominator). A text's row
+    holds what the frequent words make of it, and its rare words as places of the block, one for each time.
+    """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"block long, place int, token binary, `{key}` {kind}, held_out boolean, n_tokens long, part_score double, cells binary"
-    shared = docs.sparkSession.sparkContext.broadcast((heads, weights))
+    sums = ("code_score", "head_score", "head_base")
+    schema = f"block long, place int, token binary, code int, `{key}` {kind}, held_out boolean, n_tokens long, n_heads long, {', '.join(f'{x} double' for x in sums)}, cells binary, cell_scores binary"
+    names = ["block", "place", "token", "code", key, "held_out", "n_tokens", "n_heads", *sums, "cells", "cell_scores"]
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        heads, weights = shared.value
-        feature, part, number = Features(heads), TaskContext.get().partitionId(), 0
-        arrow = None
-        names: dict[bytes, int] = {}
-        docs_of: list = []
-        held = 0
+        heads, head_counts, size, weights, log_base = shared.value
+        feature, part, number = Features(heads, size), TaskContext.get().partitionId(), 0
+        base = np.log10(head_counts + SMOOTH) - log_base
+        ids, held, texts_of, rare, scores = [], [], [], [], []
+        n = 0
 
         def flush():
-            nonlocal names, docs_of, held, number
-            block = part << 32 | number
-            n, m = len(names), len(docs_of)
-            empty = lambda t, k: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(list(names), pa.binary()), empty(arrow, n), empty(pa.bool_(), n), empty(pa.int64(), n), empty(pa.float64(), n), empty(pa.binary(), n)], fields)
-            ids, out, size, score, cells = zip(*docs_of, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), empty(pa.int32(), m), empty(pa.binary(), m), pa.array(ids, arrow), pa.array(out, pa.bool_()), pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(cells, pa.binary())], fields)
-            names, docs_of, held, number = {}, [], 0, number + 1
-
-        fields = ["block", "place", "token", key, "held_out", "n_tokens", "part_score", "cells"]
+            nonlocal ids, held, texts_of, rare, scores, number, n
+            block, m = part << 32 | number, sum(map(len, ids))
+            cut = [len(x) for x in rare]
+            used, place = np.unique(np.concatenate(rare), return_inverse=True)
+            k = len(used)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(k, dtype=np.int32)), pa.array([feature.word[i] for i in used.tolist()], pa.binary()), pa.array(feature.code.a[used]), pa.nulls(k, arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, pa.int64()) for _ in range(2)), *(pa.nulls(k, pa.float64()) for _ in sums), *(pa.nulls(k, pa.binary()) for _ in range(2))], names)
+            place, score = place.astype("<u4"), np.concatenate(scores).astype("<f4")
+            ends = np.cumsum(cut)
+            cells = [place[b - c : b].tobytes() for b, c in zip(ends.tolist(), cut, strict=True)]
+            cell_scores = [score[b - c : b].tobytes() for b, c in zip(ends.tolist(), cut, strict=True)]
+            columns = [pa.concat_arrays([x[j] for x in texts_of]) for j in range(len(texts_of[0]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.concat_arrays(ids), pa.concat_arrays(held), *columns, pa.array(cells, pa.binary()), pa.array(cell_scores, pa.binary())], names)
+            ids, held, texts_of, rare, scores, number, n = [], [], [], [], [], number + 1, 0
+
+        arrow = None
         for batch in batches:
             arrow = batch.schema.field(key).type
+            if ids and (feature.full or n >= BLOCK):
+                yield from flush()
             lists = [tokens(t) for t in texts(batch)]
-            f, outcome, of = feature.inputs(lists)
-            score = np.bincount(of, weights.log_prob(f, outcome), len(lists)) / np.log(10)
-            for k, (i, out) in enumerate(zip(batch.column(key).to_pylist(), batch.column("held_out").to_pylist(), strict=True)):
-                n = Counter(lists[k])
-                place = [names.setdefault(t, len(names)) for t in n]
-                docs_of.append((i, out, len(lists[k]), score[k], np.array([place, list(n.values())], "<u4").tobytes()))
-                held += len(lists[k])
-                if held >= BLOCK:
-                    yield from flush()
-        if docs_of:
+            f, rows, of = feature.inputs(lists)
+            code, tail = feature.code.a[rows], feature.shared.a[rows]
+            p = weights.log_prob(f, code) / np.log(10)
+            m = len(lists)
+            size_of = np.fromiter(map(len, lists), np.int64, m)
+            head = of[~tail]
+            frequent = np.bincount(head, minlength=m)
+            ids.append(batch.column(key))
+            held.append(batch.column("held_out"))
+            texts_of.append([pa.array(size_of), pa.array(frequent.astype(np.int64)), pa.array(sums_of(of, p, m)), pa.array(sums_of(head, p[~tail], m)), pa.array(sums_of(head, base[code[~tail]], m))])
+            cuts = np.cumsum(size_of - frequent)
+            rare += np.split(rows[tail], cuts[:-1])
+            scores += np.split(p[tail], cuts[:-1])
+            n += len(rows)
+        if ids:
             yield from flush()
 
     return docs.select(key, "text", held_out(key).alias("held_out")).mapInArrow(run, schema)
 
 
-def scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
+def scores(docs: DataFrame, key: str = "doc_id", most_levels: int = 4, most_rows: int = 1 << 18) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score, known_base_score and known_score of every text."""
     spark = docs.sparkSession
     training = docs.where(~held_out(key))
     counts = written(count_tokens(training), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    heads = {bytes(r["token"]): i for i, r in enumerate(counts.orderBy(F.desc("c"), "token").limit(HEADS * WIDE).collect())}
-    shapes = shape_table(counts, heads)
-    weights = train(training, heads)
-    table = written(blocks(docs, heads, weights, key), "blocks")
-    asked = table.where("token is not null").select("block", "place", "token")
-    known = asked.join(counts, "token", "left").select("block", "place", F.coalesce("c", F.lit(0)).alias("c"), F.expr("token").alias("token"))
-    kind = docs.schema[key].dataType.simpleString()
-    rest = table.where("token is null").select("block", F.lit(None).cast("int").alias("place"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("binary").alias("token"), key, "held_out", "n_tokens", "part_score", "cells")
-    told = known.select("*", *(F.lit(None).cast(t).alias(c) for c, t in ((key, kind), ("held_out", "boolean"), ("n_tokens", "long"), ("part_score", "double"), ("cells", "binary"))))
-    dealt = told.unionByName(rest).repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
     n, v = int(total["n"]), int(total["v"])
+    size = Size.of(v, most_levels, most_rows)
+    top = counts.orderBy(F.desc("c"), "token").limit(size.heads).collect()
+    heads = {bytes(r["token"]): i for i, r in enumerate(top)}
+    code_n, once = code_totals(counts, heads, size)
+    weights = train(training, heads, size)
     log_base = float(np.log10(n + SMOOTH * (v + 1)))
+    shared = spark.sparkContext.broadcast((heads, np.array([r["c"] for r in top], np.float64), size, weights, log_base))
+    table = written(blocks(docs, shared, key), "blocks")
+    asked = table.where("token is not null").select("block", "place", "token", "code")
+    told = asked.join(counts, "token", "left").select("block", "place", "code", F.coalesce("c", F.lit(0)).alias("c"))
+    rest = table.where("token is null").drop("token")
+    dealt = told.unionByName(rest, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
     bounded_batches(spark)
-    share = spark.sparkContext.broadcast((heads, shapes))
+    lam = unseen_share(code_n, once)
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        heads, shapes = share.value
-        lam = np.array([min(0.9, max((shapes.get(k, (0, 0))[1] + 0.5) / (shapes.get(k, (0, 0))[0] + 1.0), 1e-6)) for k in range(SHAPES)])
-        of_class = np.array([max(shapes.get(k, (0, 0))[0], 1) for k in range(SHAPES)])
         now, count, tail = None, Grown(np.int64), Grown(np.float64)
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -318,22 +394,26 @@ def scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                     now, count, tail = block[a], Grown(np.int64), Grown(np.float64)
                 m = int(asks[a:b].sum())
                 if m:
-                    c = batch.column("c").slice(a, m).to_numpy()
-                    word = batch.column("token").slice(a, m).to_pylist()
-                    k = np.fromiter((-1 if t in heads else shape(t) for t in word), np.int64, m)
-                    p = np.where(c > 0, (1 - lam[k]) * np.maximum(c, 1) / of_class[k], lam[k])
+                    c, code = batch.column("c").slice(a, m).to_numpy(), batch.column("code").slice(a, m).to_numpy()
                     count.add(c)
-                    tail.add(np.where(k < 0, 0.0, np.log10(p)))
+                    tail.add(np.log10(np.where(c > 0, (1 - lam[code]) * np.maximum(c, 1) / np.maximum(code_n[code], 1), lam[code])))
                 if a + m < b:
-                    part = batch.slice(a + m, b - a - m)
-                    size = part.column("n_tokens").to_numpy()
-                    known, base, score = [], [], []
-                    for raw, first in zip(part.column("cells").to_pylist(), part.column("part_score").to_pylist(), strict=True):
-                        place, times = np.frombuffer(raw, "<u4").reshape(2, -1)
-                        c = count.a[place]
-                        known.append(int(times[c > 0].sum()))
-                        base.append(float((times * (np.log10(c + SMOOTH) - log_base)).sum()))
-                        score.append(first + float((times * tail.a[place]).sum()))
-                    yield pa.RecordBatch.from_arrays([part.column(key), part.column("held_out"), pa.array(size), pa.array(known, pa.int64()), pa.array([n] * len(size), pa.int64()), pa.array(base), pa.array(score)], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return dealt.mapInArrow(run, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                    yield finished(batch.slice(a + m, b - a - m), count.a, tail.a)
+
+    def finished(part: pa.RecordBatch, count: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
+        m, raw = part.num_rows, part.column("cells").to_pylist()
+        place, own = np.frombuffer(b"".join(raw), "<u4"), np.frombuffer(b"".join(part.column("cell_scores").to_pylist()), "<f4")
+        of = np.repeat(np.arange(m), np.fromiter((len(x) // 4 for x in raw), np.int64, m))
+        c, p = count[place], tail[place]
+        seen, base = c > 0, np.log10(c + SMOOTH) - log_base
+        code_score, head, head_base, heads_n = (part.column(x).to_numpy() for x in ("code_score", "head_score", "head_base", "n_heads"))
+        known = heads_n + np.bincount(of[seen], minlength=m)
+        columns = [
+            pa.array(known, pa.int64()), pa.array(np.full(m, n), pa.int64()),
+            pa.array(head_base + sums_of(of, base, m)), pa.array(code_score + sums_of(of, p, m)),
+            pa.array(head_base + sums_of(of[seen], base[seen], m)), pa.array(head + sums_of(of[seen], (own + p)[seen], m)),
+        ]
+        return pa.RecordBatch.from_arrays([part.column(key), part.column("held_out"), part.column("n_tokens"), *columns], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "known_base_score", "known_score"])
+
+    out = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_base_score double, known_score double"
+    return dealt.mapInArrow(run, out)

@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from .common import Grown, TokenCache, in_batches, spread, texts
 
 #: White space as the tokenizer's own pattern language has it; Python's \s also holds U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Longest piece that is encoded directly, and the number of pairs whose check is remembered.
-LEAF, PAIRS = 24, 1 << 18
+#: Longest leaf of the tree; longest subtree that is remembered, and how many of these and of pairs' checks are.
+LEAF, SMALL, KEPT = 4, 16, 1 << 18
+#: Windows up to this length merge by plain search, longer ones with a heap.
+SHORT = 48
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -46,7 +49,8 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.holds = functools.lru_cache(PAIRS)(self._holds)
+        self.holds = functools.lru_cache(KEPT)(self._holds)
+        self.small = functools.lru_cache(KEPT)(self._halves)
 
     def leaf(self, piece: bytes) -> list[int]:
         """Merges the lowest rank, leftmost first, until nothing merges."""
@@ -100,19 +104,24 @@ class Bpe:
         while True:
             i, j = max(0, len(a) - w), min(len(b), w)
             window = b"".join([of[x] for x in a[i:]] + [of[x] for x in b[:j]])
-            middle = self.leaf(window) if len(window) <= 2 * LEAF else self.run(window)
+            middle = self.leaf(window) if len(window) <= SHORT else self.run(window)
             if (i == 0 or self.holds(a[i - 1], middle[0])) and (j == len(b) or self.holds(middle[-1], b[j])):
                 return a[:i] + middle + b[j:]
             w *= 2
 
-    def piece(self, piece: bytes) -> list[int]:
-        """The tree: leaves by merges, inner nodes by join()."""
+    def _halves(self, piece: bytes) -> list[int]:
+        half = len(piece) // 2
+        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+
+    def tree(self, piece: bytes) -> list[int]:
+        """Leaves by merges, inner nodes by join(); lists given out are never changed."""
         if len(piece) <= LEAF:
             return self.leaf(piece)
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        half = len(piece) // 2
-        return self.join(self.piece(piece[:half]), self.piece(piece[half:]))
+        return self.small(piece) if len(piece) <= SMALL else self._halves(piece)
+
+    def piece(self, piece: bytes) -> list[int]:
+        """A match of the pattern: a token if it is one, else what the tree makes of it."""
+        return [whole] if (whole := self.ranks.get(piece)) is not None else self.tree(piece)
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree."""
@@ -218,94 +227,17 @@ class ChunkCache(TokenCache):
         return np.concatenate(out), n
 
 
-class Leaves:
-    """Merges many short pieces side by side: one merge of each piece a round, as numpy rows."""
-
-    NONE = np.int32(2**31 - 1)
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
-        for whole, r in ranks.items():
-            for i in range(1, len(whole)):
-                a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
-                if a is not None and b is not None:
-                    pairs[a << 32 | b] = r
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.rank = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
-
-    def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], self.NONE)
-
-    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, in order, and the number of each; one array round per merge."""
-        n = len(pieces)
-        size = np.fromiter(map(len, pieces), np.int64, n)
-        order = np.argsort(size, kind="stable")
-        ids, length = np.full((n, int(size.max())), -1, np.int64), np.zeros(n, np.int64)
-        for block in np.array_split(order, max(1, n // 4096)):
-            w = int(size[block[-1]])
-            raw = np.frombuffer(b"".join([pieces[i].ljust(w, b"\0") for i in block.tolist()]), np.uint8).reshape(-1, w)
-            ids[block, :w] = self.block(self.base[raw], size[block])
-        length = (ids >= 0).sum(1)
-        return ids[ids >= 0].astype(np.uint32), length
-
-    def block(self, tok: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """tok: a row per piece, size: how many of a row count; merged tokens are -1."""
-        m, w = tok.shape
-        tok[np.arange(w)[None, :] >= size[:, None]] = -1
-        if w == 1:
-            return tok
-        rank = np.full((m, w + 1), self.NONE, np.int32)
-        both = tok[:, 1:] >= 0
-        rank[:, : w - 1][both] = self.look(tok[:, :-1][both], tok[:, 1:][both])
-        after = np.tile(np.arange(1, w + 1), (m, 1))
-        before = np.tile(np.arange(-1, w - 1), (m, 1))
-        stop, live = size.copy(), np.arange(m)
-        while len(live):
-            p = rank[live].argmin(1)
-            r = rank[live, p]
-            ok = r != self.NONE
-            live, p, r = live[ok], p[ok], r[ok]
-            if not len(live):
-                break
-            q = after[live, p]
-            s = after[live, q]
-            tok[live, p], tok[live, q] = r, -1
-            after[live, p] = s
-            rank[live, q] = self.NONE
-            rank[live, p] = self.NONE
-            more = s < stop[live]
-            a, b, c = live[more], p[more], s[more]
-            before[a, c] = b
-            rank[a, b] = self.look(tok[a, b], tok[a, c])
-            o = before[live, p]
-            more = o >= 0
-            a, b, c = live[more], o[more], p[more]
-            rank[a, b] = self.look(tok[a, b], tok[a, c])
-        return tok
-
-
 class Encoder(ChunkCache):
-    """Texts to ids: each match of the pattern through the tree, short ones side by side."""
+    """Texts to ids: each match of the pattern through the tree."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe, self.leaves = Bpe(ranks), Leaves(ranks)
+        self.bpe = Bpe(ranks)
         super().__init__(pattern, self.trees)
 
     def trees(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [x.encode() for x in pieces]
-        short = [x if len(x) <= LEAF else b"\0" for x in raw]
-        ids, length = self.leaves(short) if short else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        if not (long := [k for k, x in enumerate(raw) if len(x) > LEAF]):
-            return ids, length
-        cut = np.concatenate([[0], np.cumsum(length)])
-        lists = [ids[cut[k] : cut[k + 1]] for k in range(len(raw))]
-        for k in long:
-            lists[k] = np.array(self.bpe.piece(raw[k]), np.uint32)
-        return np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+        lists = [self.bpe.piece(x.encode()) for x in pieces]
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum())), length
 
 
 @functools.lru_cache(2)

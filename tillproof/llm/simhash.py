@@ -10,8 +10,8 @@ pairs. A large bucket is split again by the same principle.
 
 Similar shingle sets are found exactly, too: shingles have one order, rare ones first, and two sets
 of a Jaccard similarity share one of their first shingles, so many that the rest can't make it up.
-Pairs that share enough of them are checked on the whole sets. What is joined already isn't compared
-again, but no pair is left out for being near another.
+Pairs that share enough of them in small buckets are checked on the whole sets; what shares a large bucket
+meets in tiles of bounded size, is compared there and gives a star for each connected part, not its pairs.
 
 Edge cases: a text with fewer words than a shingle is one shingle, one without words has fingerprint
 zero; null texts count as empty; equal texts link; null ids count as no id (the smallest id of a
@@ -404,87 +404,146 @@ def shared_shingles(classes: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("token").mapInArrow(several, "token long, number long, n int")
 
 
-def sharing_pairs(rows: DataFrame, similarity: float, every: bool, large: int = 64) -> DataFrame:
-    """(a, b, na, nb, c): classes of different roots that share c first shingles, and their sizes.
+def bucket_sizes(shared: DataFrame) -> DataFrame:
+    """(token, m): how many classes have the token among their first shingles."""
+    return shared.groupBy("token").agg(F.count("*").alias("m"))
 
-    every: all such pairs; else only neighbours by size, in buckets of more than `large` classes.
-    """
+
+def sharing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, na, nb, c): classes that share c of the tokens of rows (token, number, n), and their sizes, na <= nb."""
 
     def run(batches):
         for part in whole_runs(batches, "token"):
-            number, n, root = (part.column(c).to_numpy() for c in ("number", "n", "root"))
+            number, n = (part.column(c).to_numpy() for c in ("number", "n"))
             start, size = run_starts(part.column("token").to_numpy())
-            group, big = np.repeat(np.arange(len(start)), size), np.repeat(size > large, size)
-
-            def told(i, j, number=number, n=n, root=root):
-                k = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-6)
-                i, j = i[k], j[k]
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (number[i], number[j], n[i], n[j])], ["a", "b", "na", "nb"])
-
-            longest = int(size[size <= large].max(initial=1)) if every else 4
-            for away in range(1, min(longest, len(n))):
+            group = np.repeat(np.arange(len(start)), size)
+            for away in range(1, int(size.max(initial=1))):
                 i = np.arange(len(n) - away)
-                i = i[(group[i] == group[i + away]) & (big[i] != every)]
-                yield told(i, i + away)
-            for g in np.flatnonzero(size > large).tolist() if every else ():
-                a, b = int(start[g]), int(start[g] + size[g])
-                step = max(1, min(256, (1 << 20) // (b - a)))
-                for q in range(a, b, step):
-                    i, j = np.mgrid[q : min(q + step, b), q : b]
-                    k = j > i
-                    yield told(i[k], j[k])
-
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "number")
+                i = i[(group[i] == group[i + away]) & (n[i] >= similarity * n[i + away] - 1e-6)]
+                j = i + away
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[i], number[j], n[i], n[j])], ["a", "b", "na", "nb"])
+
+    dealt = rows.select("token", "number", "n").repartition("token").sortWithinPartitions("token", "n", "number")
     bounded_batches(rows.sparkSession)
     return dealt.mapInArrow(run, "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def hub_groups(large: DataFrame) -> DataFrame:
+    """(hub, number, n): the classes of each large bucket under its hub, once each.
+
+    The hub of a bucket is the class that stands in most large buckets: of a text and its edited copies the least
+    edited one, whose rare shingles all are common to the group. So the buckets of one group mostly have one hub,
+    and two classes that share a large bucket share a hub.
+    """
+    score = large.groupBy("number").agg(F.count("*").alias("score"))
+    hub = large.join(score, "number").groupBy("token").agg(F.max(F.struct("score", "number")).alias("h")).select("token", F.col("h.number").alias("hub"))
+    return large.join(hub, "token").select("hub", "number", "n").distinct()
+
+
+def tile_links(groups: DataFrame, sets: DataFrame, similarity: float, tile: int = 1024, tile_shingles: int = 1 << 20) -> DataFrame:
+    """(a, b): links that connect what is similar enough within each hub's group; sets has number, id and own.
+
+    A group is cut into tiles of about `tile` classes or `tile_shingles` shingles, and each two tiles meet in one task,
+    so no task holds more, however large a group is. There all pairs are compared on their whole sets, and each
+    connected part gives a star instead of its pairs.
+    """
+    size = groups.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
+    own = groups.join(size, "hub").withColumn("tile", F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    met = own.select("hub", "number", "tile", other.alias("other")).select("hub", "number", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    dealt = met.join(sets, "number").select(F.xxhash64("hub", "i", "j").alias("place"), "id", "own").repartition("place").sortWithinPartitions("place")
+    bounded_batches(groups.sparkSession)
+
+    def run(batches):
+        for part in whole_runs(batches, "place"):
+            start, size = run_starts(part.column("place").to_numpy())
+            for s, m in zip(start.tolist(), size.tolist(), strict=True):
+                ids, own = part.column("id").slice(s, m).to_pylist(), part.column("own").slice(s, m).to_pylist()
+                a, b = similar_stars([np.frombuffer(x, np.uint64) for x in own], similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in a]), pa.array([ids[k] for k in b])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a string, b string")
+
+
+def similar_stars(sets: list[np.ndarray], similarity: float, columns: int = 2048) -> tuple[list[int], list[int]]:
+    """Of each part that links of the similarity connect, its first set with each other one."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, count = np.unique(np.concatenate(sets), return_counts=True)
+    flat = flat[count > 1]
+    rows = np.repeat(np.arange(len(sets)), n)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    if len(flat):
+        at = np.searchsorted(flat, joined := np.concatenate(sets)).clip(max=len(flat) - 1)
+        hit = flat[at] == joined
+        rows, at = rows[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        for first in range(0, len(flat), columns):
+            x, y = np.searchsorted(at, [first, first + columns])
+            own = np.zeros((len(sets), min(columns, len(flat) - first)), np.float32)
+            own[rows[x:y], at[x:y] - first] = 1
+            both += own @ own.T
+    link = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-6
+    left, a, b = np.ones(len(sets), bool), [], []
+    for k in range(len(sets)):
+        if left[k]:
+            new, left[k] = np.array([k]), False
+            while len(new):
+                new = np.flatnonzero(link[new].any(0) & left)
+                left[new] = False
+                a += [k] * len(new)
+                b += new.tolist()
+    return a, b
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8, large: int = 16) -> DataFrame:
     """key, text_hash, class_id (texts with equal shingle sets) and group_id of every row. Exact.
 
-    Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked, and
-    linked classes form groups. Neighbours in large buckets are checked first; then every pair that
-    these links have not joined and that shares enough of its first shingles.
+    Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked, and linked classes form
+    groups. Similar classes share one of their first shingles. In buckets of at most `large` classes the pairs are
+    counted, and those that share enough are checked; pairs that share a larger bucket are compared there, in tiles.
     """
     prints = written(prefixes(docs, key, size, similarity), "prints")
     classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(key, "text_hash")).alias("least"))
     classes = written(classes.withColumn("number", F.xxhash64("id")), "classes")
     shared = written(shared_shingles(classes), "shared")
-
-    def checked(pairs: DataFrame, tag: str) -> DataFrame:
-        named = classes.select("number", "id")
-        found = pairs.join(named.toDF("a", "_a"), "a").join(named.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        return written(verified(docs, classes, written(found, "candidates"), key, size, similarity), tag)
-
-    near = sharing_pairs(shared.withColumn("root", F.col("number")), similarity, False)
-    first = checked(near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")), "first")
-    roots = components(first).select(F.xxhash64("v").alias("number"), F.xxhash64("root").alias("root"))
-    rooted = shared.join(roots, "number", "left").select("token", "number", "n", F.coalesce("root", "number").alias("root"))
+    sized = shared.join(bucket_sizes(shared), "token")
     least = F.ceil(F.lit(similarity) * F.col("nb") - 1e-6) - 1
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
-    rest = checked(sharing_pairs(rooted, similarity, True).where(F.col("c") + least >= enough).select("a", "b"), "rest")
-    label = components(first.union(rest))
+    # A pair that also shares a large bucket may be counted too low here; it is compared there.
+    pairs = written(sharing_pairs(sized.where(F.col("m") <= large), similarity).where(F.col("c") + least >= enough).select("a", "b"), "candidates")
+    groups = written(hub_groups(sized.where(F.col("m") > large)), "hubs")
+    wanted = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).union(groups.select("number")).distinct()
+    sets = written(whole_sets(docs, classes.join(wanted, "number", "left_semi"), key, size), "sets")
+    links = written(verified(pairs, sets, similarity).union(tile_links(groups, sets, similarity)), "links")
+    label = components(links)
+    for done in (classes, shared, pairs, groups, sets):
+        dropped(done)
     return prints.join(label.select(F.col("v").alias("set_hash"), "root"), "set_hash", "left").select(key, "text_hash", F.col("set_hash").alias("class_id"), F.coalesce("root", "set_hash").alias("group_id"))
 
 
-def verified(docs: DataFrame, classes: DataFrame, found: DataFrame, key: str, size: int, similarity: float) -> DataFrame:
-    """The candidates whose shingle sets are similar enough; one text of each class is read for it."""
-    ends = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    wanted = classes.join(ends, "id", "left_semi").select("id", F.col("least")[key].alias("_key"), F.col("least")["text_hash"].alias("_hash"))
-    own = docs.select(F.col(key).alias("_key2"), "text", F.xxhash64("text").alias("_hash2"))
-    chosen = own.join(wanted, F.col("_key2").eqNullSafe(F.col("_key")) & (F.col("_hash2") == F.col("_hash"))).select("id", "text")
+def whole_sets(docs: DataFrame, classes: DataFrame, key: str, size: int) -> DataFrame:
+    """number, id and own (the hashes of the shingles, in order) of the classes, from one text of each."""
+    wanted = classes.select("id", "number", F.col("least")[key].alias("wanted_key"), F.col("least")["text_hash"].alias("wanted_hash"))
+    own = docs.select(F.col(key).alias("own_key"), "text", F.xxhash64("text").alias("own_hash"))
+    chosen = own.join(wanted, F.col("own_key").eqNullSafe(F.col("wanted_key")) & (F.col("own_hash") == F.col("wanted_hash"))).select("id", "number", "text").dropDuplicates(["id"])
 
     def make():
         def step(batch: pa.RecordBatch):
-            sets = []
-            for text in texts(batch):
-                sets.append(hashed(shingles(text, size)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "own"])
+            sets = [hashed(shingles(text, size)).tobytes() for text in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("id"), pa.array(sets, pa.binary())], ["number", "id", "own"])
 
         return step
 
-    sets = written(in_batches(chosen, make, "id string, own binary").dropDuplicates(["id"]), "sets")
-    pairs = found.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    return in_batches(chosen.select("id", "number", "text"), make, "number long, id string, own binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose shingle sets are similar enough, by id."""
+    x = sets.select(F.col("number").alias("a"), F.col("id").alias("a_id"), F.col("own").alias("x"))
+    y = sets.select(F.col("number").alias("b"), F.col("id").alias("b_id"), F.col("own").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a_id", "b_id", "x", "y")
 
     def compare():
         def step(batch: pa.RecordBatch):
@@ -493,21 +552,21 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame, key: str, si
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            out = batch.select(["a", "b"]).filter(pa.array(keep))
-            yield out
+            found = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column("a_id"), found.column("b_id")], ["a", "b"])
 
         return step
 
-    return in_batches(pairs.select("a", "b", "x", "y"), compare, "a string, b string")
+    return in_batches(both, compare, "a string, b string")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the least key (then text hash) stays.
 
-    Of rows that agree in key and text one stays.
+    Of rows that agree in key and text one stays. Columns of any name are carried along.
     """
-    named = written(near_duplicates(docs, key, size, similarity), "groups")
-    kept = named.groupBy("group_id").agg(F.min(F.struct(key, "text_hash")).alias("k")).select(F.col(f"k.{key}").alias("_k"), F.col("k.text_hash").alias("_h"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    left = rows.join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    return left.dropDuplicates([key, "_text_hash"]).drop("_text_hash")
+    named = near_duplicates(docs, key, size, similarity)
+    kept = named.groupBy("group_id").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("least")).select("least.k", "least.h")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("own_key"), F.xxhash64("text").alias("own_hash"))
+    left = rows.join(kept, F.col("own_key").eqNullSafe(F.col("k")) & (F.col("own_hash") == F.col("h")), "left_semi")
+    return left.dropDuplicates(["own_key", "own_hash"]).select("row.*")

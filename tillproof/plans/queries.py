@@ -230,14 +230,14 @@ def q27_policy_compare(spark, sf):
 
 @query
 def q28_multiset_recall(spark, sf):
-    f = adapters.frames(spark, sf).where("frame_no = 4")
-    seen = f.select("session_id", F.explode("prices").alias("price"))
-    true = adapters.items(spark, sf).select(F.col("receipt_id").alias("session_id"), "price")
-    hits = true.intersectAll(seen).groupBy("session_id").agg(F.count("*").alias("hits"))
-    n = true.groupBy("session_id").agg(F.count("*").alias("n_true"))
+    f = adapters.frames(spark, sf)
+    seen = f.select("session_id", "frame_no", F.explode("prices").alias("price")).groupBy("session_id", "frame_no", "price").agg(F.count("*").alias("seen"))
+    true = adapters.items(spark, sf).groupBy(F.col("receipt_id").alias("session_id"), "price").agg(F.count("*").alias("true"))
+    hits = seen.join(true, ["session_id", "price"]).groupBy("session_id", "frame_no").agg(F.sum(F.least("seen", "true")).alias("hits"))
+    n = true.groupBy("session_id").agg(F.sum("true").alias("n_true"))
     tokens = F.concat("prices", F.array_compact(F.array(*FIELDS)))
-    found = f.select("session_id", sum((F.array_contains(tokens, F.col(f"true_{x}")).cast("int") for x in FIELDS), F.lit(0)).alias("fields_found"))
-    return found.join(n, "session_id").join(hits, "session_id", "left").select("session_id", "n_true", F.coalesce("hits", F.lit(0)).alias("hits"), "fields_found")
+    found = f.select("session_id", "frame_no", sum((F.array_contains(tokens, F.col(f"true_{x}")).cast("int") for x in FIELDS), F.lit(0)).alias("fields_found"))
+    return found.join(n, "session_id").join(hits, ["session_id", "frame_no"], "left").select("session_id", "frame_no", "n_true", F.coalesce("hits", F.lit(0)).alias("hits"), "fields_found")
 
 
 @query

@@ -8,18 +8,21 @@ over that of a whole match. The items go to the workers, in blocks of at most bl
 larger test set takes one pass over the documents a block.
 
 Edge cases: words are lower-cased and lose punctuation at their ends; items of fewer than three words have no
-seeds and match nothing; null texts count as empty; long texts are read whole; items of equal text match
+seeds and match texts of just these words; items without words match nothing; null texts count as empty; long texts are read whole; items of equal text match
 on their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import Grown, TokenCache, in_batches, spread, texts
 from .langid import MARKS
@@ -65,16 +68,22 @@ class Items:
 
     def __init__(self, items: list[tuple[object, str]]):
         own = [(i, words_of(t or "")) for i, t in items]
-        own = [(i, w) for i, w in own if len(w) >= N]
+        own = [(i, w) for i, w in own if w]
         self.ids = [i for i, _ in own]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(x for _, ws in own for x in ws))}
         self.words = [np.array([self.vocabulary[x] for x in ws], np.int32) for _, ws in own]
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        for k, w in enumerate(self.words):
+            if len(w) < N:
+                self.short.setdefault(tuple(w.tolist()), []).append(k)
 
     def seed(self, counts: np.ndarray, total: int, docs: int, chance: float, least: int) -> None:
         """Chooses the seeds; afterwards keys (sorted), item and place hold one entry a seed."""
         log_p = np.log((counts + 1.0) / (total + len(counts) + 1.0))
         keys, item, place, rare = [], [], [], []
         for k, w in enumerate(self.words):
+            if len(w) < N:
+                continue
             g = np.stack([w[i : len(w) - N + 1 + i] for i in range(N)], 1).astype(np.int64)
             keys.append(self.key(g[:, 0], g[:, 1], g[:, 2]))
             rare.append(log_p[g].sum(1))
@@ -140,9 +149,14 @@ def candidates(items: Items, number: np.ndarray, of: np.ndarray) -> tuple[np.nda
 
 
 def matches(items: Items, number: np.ndarray, of: np.ndarray, floor: float) -> list[tuple]:
-    """(text, item, score, first word, end word, seeds) of alignments with a score of at least floor."""
+    """(text, item, score, first word, end word, seeds) of alignments with a score of at least floor, and of short items that are a whole text."""
     text, item, lo, hi, seeds = candidates(items, number, of)
     out = []
+    if items.short and len(of):
+        start = np.flatnonzero(np.diff(of, prepend=-1))
+        size = np.diff(np.append(start, len(of)))
+        for a, n in zip(start[size < N].tolist(), size[size < N].tolist(), strict=True):
+            out += [(int(of[a]), k, 1.0, a, a + n, 0) for k in items.short.get(tuple(number[a : a + n].tolist()), [])]
     size = np.fromiter(map(len, items.words), np.int64, len(items.words))
     order = np.lexsort([hi - lo, size[item]]) if len(text) else []
     for block in np.array_split(order, max(1, -(-len(order) // 128))) if len(text) else []:
@@ -188,25 +202,30 @@ def counted(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, in
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", floor: float = 0.45, chance: float = 0.5, least: int = 6, block_chars: int = 4_000_000) -> DataFrame:
     """key, item, score, first_word and end_word (places among the text's words), seeds: the best alignment of each
     text and item with a score of at least floor."""
+    out = None
+    for items in item_blocks(docs, benchmark, item, chance, least, block_chars):
+        found = searched(docs, items, key, item, floor, benchmark.schema[item].dataType)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def item_blocks(docs: DataFrame, benchmark: DataFrame, item: str, chance: float, least: int, block_chars: int) -> Iterator[Items]:
+    """The items with their seeds, in blocks of a bounded size; one block where there are none."""
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_chars))
-    kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, score double, first_word long, end_word long, seeds int"
-    out = None
     for b in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(item, "text"), F.lit(blocks)) == b)
         rows = part.select(item, "text").collect()
-        items = Items(sorted(((r[item], r["text"]) for r in rows), key=lambda r: (r[0] is None, r)))
+        items = Items(sorted(((r[item], r["text"]) for r in rows), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1] or "")))
         items.seed(*counted(docs, items.vocabulary), chance, least)
-        found = searched(docs, items, key, item, floor, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield items
 
 
-def searched(docs: DataFrame, items: Items, key: str, item: str, floor: float, schema: str) -> DataFrame:
+def searched(docs: DataFrame, items: Items, key: str, item: str, floor: float, item_type: DataType) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    item_type = schema.split(f"`{item}` ")[1].split(",")[0]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+    arrow = to_arrow_type(item_type)
+    more = [("score", DoubleType()), ("first_word", LongType()), ("end_word", LongType()), ("seeds", IntegerType())]
+    schema = StructType([StructField(c, t) for c, t in [(key, docs.schema[key].dataType), (item, item_type), *more]])
 
     def make():
         items = shared.value
@@ -239,7 +258,26 @@ def searched(docs: DataFrame, items: Items, key: str, item: str, floor: float, s
     return in_batches(docs.select(key, "text"), make, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **more) -> DataFrame:
-    """The rows of docs whose text aligns with no item."""
-    bad = leaks(docs, benchmark, key, **more).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", floor: float = 0.45, chance: float = 0.5, least: int = 6, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs whose text aligns with no item; each row by its own text, with all its columns."""
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    for items in item_blocks(docs, benchmark, item, chance, least, block_chars):
+        out = without(out, items, floor)
+    return out.select("row.*")
+
+
+def without(docs: DataFrame, items: Items, floor: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def make():
+        items = shared.value
+        numbers = Numbers(items.vocabulary)
+
+        def step(batch: pa.RecordBatch):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[m[0] for m in matches(items, *numbers.words(texts(batch)), floor)]] = False
+            yield batch.filter(pa.array(keep))
+
+        return step
+
+    return in_batches(docs, make, docs.schema)

@@ -1,12 +1,15 @@
 """Language of words in code-switched text by a linear-chain conditional random field.
 
-A sequence is a line of a text (cut after 256 words), an element a word with a letter. Its features
-are hashed n-grams of characters with the word's ends (so affixes too), longer affixes and its entry
-in a learned lexicon; transitions between languages are learned with them. Forward-backward gives
-each word's posterior; a text's language has the largest sum of them and score is its mean.
+A sequence is a line of a text, an element a word with a letter. Its features are hashed n-grams of
+characters with the word's ends (so affixes too), longer affixes and its entry in a learned lexicon;
+transitions between languages are learned with them, also from lines that join stretches of texts in
+several languages. Forward-backward gives each word's posterior; a text's language has the largest sum of
+them and score is its mean. Long lines go through in pieces of 256 words side by side; the messages between
+the pieces come first, so the chain is never cut.
 
-Learning takes at most per_lang labelled texts of each language, of max_chars characters at most,
-chosen by a hash of their id: a bounded sample for the classifier. Scoring takes all words of all texts.
+Learning takes at most per_lang labelled texts of each language, and bound texts of all languages together (but
+one of each at least), chosen by a hash of their id: a bounded sample for the classifier. Scoring takes all words of
+all texts.
 
 Edge cases: a null or empty text, or one without a letter, is `und` with score 0; ties go to the
 language first in the alphabet; null ids are held out; null languages teach nothing; without a
@@ -17,8 +20,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import Grown, TokenCache, in_batches, spread, texts
 
@@ -73,12 +77,16 @@ class Words(TokenCache):
         n = np.fromiter(map(len, words), np.int64, len(words))
         return (n + 1) + n + 3
 
-    def tokens(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all tokens, and of which text each is; a line's end and a text's end are tokens too."""
+    def tokens(self, docs: list[str], going_on: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all tokens, and of which text each is; a line's end and a text's end are tokens too.
+
+        The texts numbered in going_on share their last line with the next one.
+        """
         parts, counts = [], np.zeros(len(docs), np.int64)
         for k, text in enumerate(docs):
             own = text.replace("\n", " \n ").split(" ")
-            own.append("\n")
+            if k not in going_on:
+                own.append("\n")
             counts[k] = len(own)
             parts += own
         return self.rows(parts), np.repeat(np.arange(len(docs)), counts)
@@ -116,37 +124,69 @@ def hashed(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.nd
     return out, total
 
 
-def sequences(kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the words, and start and length of each sequence among them, longest first."""
+def sequences(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the words; start and length of each piece of a line among them, longest first, and whether it goes on with the piece before."""
     at = np.flatnonzero(kind == 1)
     if not len(at):
-        return at, at, at
+        return at, at, at, at.astype(bool)
     line = np.cumsum(kind == 2)[at]
     new = np.flatnonzero(np.diff(line, prepend=-1))
     size = np.diff(np.append(new, len(at)))
     pieces = -(-size // SEQ)
-    start = np.repeat(new, pieces) + SEQ * spread(np.zeros(len(new), np.int64), pieces)
+    number = spread(np.zeros(len(new), np.int64), pieces)
+    start = np.repeat(new, pieces) + SEQ * number
     length = np.minimum(np.repeat(new + size, pieces) - start, SEQ)
     order = np.argsort(-length, kind="stable")
-    return at, start[order], length[order]
-
-
-def posteriors(e: np.ndarray, start: np.ndarray, length: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """Each element's label posteriors and the log partition's sum; with pairs, expected transitions too.
-
-    e: scores of the elements; sequences are given longest first, so that at each step a prefix of
-    them is still going on.
+    return at, start[order], length[order], number[order] > 0
+
+
+def messages(x: np.ndarray, a: np.ndarray, start: np.ndarray, length: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each piece of a line hears from the pieces before and after it; ones where there are none."""
+    k = len(a)
+    before, after = np.ones((len(start), k), x.dtype), np.ones((len(start), k), x.dtype)
+    if not on.any():
+        return before, after
+    order = np.argsort(start)
+    g = on[order]
+    of = order[g | np.append(g[1:], False)]  # pieces of lines of several pieces, in order
+    of = of[np.argsort(-length[of], kind="stable")]
+    going = np.searchsorted(-length[of], -np.arange(1, int(length[of[0]]) + 1), "right")
+    m = np.empty((len(of), k, k), x.dtype)  # what a piece makes of a message
+    for t, n in enumerate(going.tolist()):
+        i = x[start[of[:n]] + t][:, None, :]
+        now = np.where(on[of, None, None], a, np.eye(k, dtype=x.dtype)) * i if t == 0 else (m[:n] @ a) * i
+        m[:n] = now / now.sum((1, 2), keepdims=True)
+    in_order = np.argsort(start[of])
+    of, m = of[in_order].tolist(), m[in_order]
+    for j in range(1, len(of)):
+        if on[of[j]]:
+            out = before[of[j - 1]] @ m[j - 1]
+            before[of[j]] = out / out.sum()
+    for j in range(len(of) - 1, 0, -1):
+        if on[of[j]]:
+            out = m[j] @ after[of[j]]
+            after[of[j - 1]] = out / out.sum()
+    return before, after
+
+
+def posteriors(e: np.ndarray, start: np.ndarray, length: np.ndarray, on: np.ndarray, trans: np.ndarray, pairs: bool = False):
+    """Each element's label posteriors; with pairs, expected transitions and the log partitions' sum too.
+
+    e: scores of the elements; pieces are given longest first, so that at each step a prefix of
+    them is still going on. on: whether a piece goes on with the line of the piece before it in e.
     """
     peak = e.max(1, keepdims=True)
     x = np.exp(e - peak)
     a, alpha, scale = np.exp(trans), np.empty_like(x), np.empty(len(x), x.dtype)
+    before, after = messages(x, a, start, length, on)
     going = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right")
     for t, n in enumerate(going.tolist()):
         i = start[:n] + t
-        v = x[i] if t == 0 else (alpha[i - 1] @ a) * x[i]
+        v = np.where(on[:, None], before @ a, 1) * x[i] if t == 0 else (alpha[i - 1] @ a) * x[i]
         s = v.sum(1)
         alpha[i], scale[i] = v / s[:, None], s
     beta = np.ones_like(x)
+    beta[start + length - 1] = after
     for t in range(len(going) - 2, -1, -1):
         i = start[: going[t + 1]] + t
         beta[i] = (beta[i + 1] * x[i + 1] / scale[i + 1][:, None]) @ a.T
@@ -155,9 +195,10 @@ def posteriors(e: np.ndarray, start: np.ndarray, length: np.ndarray, trans: np.n
     if not pairs:
         return post, None, None
     inner = np.ones(len(x), bool)
-    inner[start] = False
+    inner[start[~on]] = False
     j = np.flatnonzero(inner)
-    both = a * (alpha[j - 1].T @ (beta[j] * x[j] / scale[j][:, None]))
+    heard = beta[j] * x[j]
+    both = a * ((alpha[j - 1] / ((alpha[j - 1] @ a) * heard).sum(1, keepdims=True)).T @ heard)
     return post, both, float(np.log(scale).sum() + peak.sum())
 
 
@@ -165,15 +206,24 @@ class Model:
     def __init__(self, langs: list[str], lexicon: dict[str, int], weights: np.ndarray, trans: np.ndarray):
         self.langs, self.lexicon, self.weights, self.trans = langs, lexicon, weights, trans
 
+    def posteriors(self, words: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are words, and of each the posterior of the languages."""
+        at, start, length, on = sequences(words.kind.a[rows])
+        return at, posteriors(words.score.a[rows[at]], start, length, on, self.trans)[0] if len(at) else np.zeros((0, len(self.langs)))
+
+    def word_languages(self, text: str) -> list[str]:
+        """The likeliest language of each word of a text that has a letter."""
+        words = Words(self.lexicon, self.weights)
+        return [self.langs[k] for k in self.posteriors(words, words.tokens([text])[0])[1].argmax(1)]
+
     def predict(self, words: Words, docs: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return ["und"] * len(docs), np.zeros(len(docs))
         rows, doc = words.tokens(docs)
-        at, start, length = sequences(words.kind.a[rows], doc)
         k = len(self.langs)
         total = np.zeros((len(docs), k))
+        at, post = self.posteriors(words, rows)
         if len(at):
-            post = posteriors(words.score.a[rows[at]], start, length, self.trans)[0]
             of = doc[at]
             total = np.stack([np.bincount(of, post[:, j], len(docs)) for j in range(k)], 1)
         n, best = total.sum(1), total.round(9).argmax(1)
@@ -198,10 +248,13 @@ def train(samples: list[tuple[str, str]], epochs: int = 3, lexicon_size: int = 2
     sum_w, sum_t = np.full_like(weights, 1e-3), np.full_like(trans, 1e-3)
     label = np.array([langs.index(y) for _, y in samples])
     order = np.argsort([hash_of(t) for t, _ in samples], kind="stable")
+    draw = np.random.default_rng(7)
     for epoch in range(epochs):
         for group in np.array_split(order, max(1, len(order) // 24)):
-            rows, doc = words.tokens([samples[i][0] for i in group.tolist()])
-            at, start, length = sequences(words.kind.a[rows], doc)
+            docs, gold_of = [samples[i][0] for i in group.tolist()], label[group].tolist()
+            mixed, mixed_of, going_on = switched(docs, gold_of, draw)
+            rows, doc = words.tokens(docs + mixed, frozenset(len(docs) + k for k in going_on))
+            at, start, length, on = sequences(words.kind.a[rows])
             if not len(at):
                 continue
             types, inverse = np.unique(rows[at], return_inverse=True)
@@ -209,8 +262,8 @@ def train(samples: list[tuple[str, str]], epochs: int = 3, lexicon_size: int = 2
             feature = words.feature.a[spread(words.start.a[types], size)]
             cut, root = np.cumsum(size) - size, np.sqrt(size).astype(np.float32)[:, None]
             e = (np.add.reduceat(weights[feature], cut, 0) / root)[inverse]
-            post, both, _ = posteriors(e, start, length, trans, pairs=True)
-            gold = label[group][doc[at]]
+            post, both, _ = posteriors(e, start, length, on, trans, pairs=True)
+            gold = np.array(gold_of + mixed_of)[doc[at]]
             miss = -post
             miss[np.arange(len(at)), gold] += 1
             by_type = np.stack([np.bincount(inverse, miss[:, j], len(types)) for j in range(k)], 1) / root
@@ -221,7 +274,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 3, lexicon_size: int = 2
             weights[used] += (rate * 100 * g / np.sqrt(sum_w[used])).astype(np.float32)
             seen = np.zeros((k, k))
             inner = np.ones(len(at), bool)
-            inner[start] = False
+            inner[start[~on]] = False
             np.add.at(seen, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
             g = (seen - both) / len(at)
             sum_t += (g * 100) ** 2
@@ -230,29 +283,48 @@ def train(samples: list[tuple[str, str]], epochs: int = 3, lexicon_size: int = 2
     return Model(langs, lexicon, weights, trans.astype(np.float32))
 
 
+def switched(docs: list[str], labels: list[int], draw: np.random.Generator, stretches: int = 4) -> tuple[list[str], list[int], list[int]]:
+    """Lines that go through several languages: stretches of the texts, their labels and which of them go on in the next one."""
+    texts, of, going_on = [], [], []
+    if len(set(labels)) < 2:
+        return texts, of, going_on
+    split = [x.split() for x in docs]
+    for _ in range(max(1, len(docs) // 2)):
+        for k in range(stretches):
+            i = int(draw.integers(len(docs)))
+            first = int(draw.integers(max(len(split[i]), 1)))
+            texts.append(" ".join(split[i][first : first + int(draw.integers(2, 25))]))
+            of.append(labels[i])
+            if k < stretches - 1:
+                going_on.append(len(texts) - 1)
+    return texts, of, going_on
+
+
 def hash_of(text: str) -> int:
     import zlib
 
     return zlib.crc32(text.encode())
 
 
-def sample(docs: DataFrame, key: str = "doc_id", per_lang: int = 300, max_chars: int = 20_000, max_langs: int = 64) -> list[tuple[str, str]]:
-    """At most about per_lang texts a language, by a hash of the id; docs holds what may be learned from."""
-    usable = docs.where(F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
-    number = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not number:
-        return []
-    share = F.create_map(*[F.lit(x) for r in number for x in (r["lang"], min(1.0, 1.1 * per_lang / r["count"]))])
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("langid"))
-    picked = usable.withColumn("_h", order).where(F.pmod("_h", F.lit(1_000_003)) / 1_000_003 < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    rows = picked.orderBy("_h", "text").limit(int(per_lang * 1.2) * len(number)).select("text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in rows]
+def sample(docs: DataFrame, key: str = "doc_id", per_lang: int = 300, bound: int = 40_000) -> list[tuple[str, str]]:
+    """At most about per_lang texts a language (less where there are very many languages), by a hash of the id; docs holds what may be learned from."""
+    usable = docs.select(F.col(key).alias("id"), "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    number = usable.groupBy("lang").count()
+    n = number.count()
+    quota = max(1, min(per_lang, bound // max(n, 1)))
+    order = F.xxhash64(F.col("id").cast("string"), F.lit("langid"))
+    # First a cut by the hash, with room to spare, then the least hashes of each language.
+    share = F.least(F.lit(1.0), (F.lit(quota) + 4 * F.sqrt(F.lit(float(quota))) + 10) / F.col("count"))
+    near = usable.join(F.broadcast(number) if n <= bound else number, "lang").withColumn("h", order).where(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    rows = near.withColumn("r", rank).where(F.col("r") <= quota).select("text", "lang").collect()
+    return sorted((r["text"], r["lang"]) for r in rows)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns in keep, lang_pred and score of every text."""
-    columns = list(dict.fromkeys([key, *keep, "text"]))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in dict.fromkeys([key, *keep])), "lang_pred string", "score double"])
+    names = list(dict.fromkeys([key, *keep]))
+    schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in names), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -261,12 +333,11 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str,
 
         def step(batch: pa.RecordBatch):
             langs, score = model.predict(words, texts(batch))
-            names = list(dict.fromkeys([key, *keep]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
         return step
 
-    return in_batches(docs.select(*columns), make, schema)
+    return in_batches(docs.select(*dict.fromkeys([*names, "text"])), make, schema)
 
 
 def languages(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

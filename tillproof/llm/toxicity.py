@@ -7,7 +7,7 @@ an accuracy per voter and answer, found by expectation-maximisation, and discoun
 correlations that remain once the label is given. A linear classifier (hits, votes and hashed words)
 is fitted to its posterior labels and scores every text.
 
-Learning takes at most `bound` labelled texts of at most max_chars characters, by a hash of their id.
+Learning takes at most `bound` labelled texts, of any length, by a hash of their id.
 
 Edge cases: null and empty texts get the score of a text without any hit; texts of any length count
 whole; labels that are null or of rows without text teach nothing; several labels of one id are all
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import Grown, TokenCache, in_batches, texts
 from .langid import MARKS, id_mod
@@ -244,21 +245,21 @@ def train(samples: list[tuple[str, int]], epochs: int = 150, rate: float = 0.5)
     return Model(words, heads, dense, hashes, bias, stray)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = 6000, max_chars: int = 20_000) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = 6000) -> list[tuple[str, int]]:
     """At most bound labelled texts that may be learned from, by a hash of the id."""
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & (id_mod(key, 4) != 2)).select(key, "toxic")
     n = chosen.count()
     order = F.xxhash64(F.col(key).cast("string"), F.lit("toxicity"))
     chosen = chosen.withColumn("_h", order).where(F.pmod("_h", F.lit(1_000_003)) / 1_000_003 < min(1.0, 1.1 * bound / max(n, 1)))
     chosen = chosen.orderBy("_h", key, "toxic").limit(bound)
-    rows = docs.select(key, "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), key).orderBy("_h", "text", "toxic").limit(bound)
+    rows = docs.select(key, "text").where(F.length("text") > 0).join(F.broadcast(chosen), key).orderBy("_h", "text", "toxic").limit(bound)
     return [(r["text"], r["toxic"]) for r in rows.select("text", "toxic").collect()]
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = (), cut: float = 0.3) -> DataFrame:
     """key, the columns in keep, score and predicted of every text."""
     names = list(dict.fromkeys([key, *keep]))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "score double, predicted int"])
+    schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in names), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -10,8 +10,9 @@ def test_codes_and_the_words_of_a_code_sum_to_one():
     size = lm.Size(3, 12)
     w = lm.Weights(size, draw.normal(size=(3, 1 << 12, lm.FAN)).astype(np.float32))
     for _ in range(3):
-        f = np.repeat(draw.integers(0, 1 << 63, (1, lm.FEATURES), dtype=np.uint64), size.codes, 0)
-        p = np.exp(w.log_prob(f, np.arange(size.codes, dtype=np.int32)))
+        outcomes = np.array([*range(size.heads), *range(size.heads, size.codes, lm.FAN)], np.int32)  # shared codes have a level less
+        f = np.repeat(draw.integers(0, 1 << 63, (1, lm.FEATURES), dtype=np.uint64), len(outcomes), 0)
+        p = np.exp(w.log_prob(f, outcomes))
         assert abs(p.sum() - 1) < 1e-3 and (p > 0).all()
     c = np.array([1, 1, 5, 90])
     lam = lm.unseen_share(np.array([c.sum()]), np.array([2]))[0]
@@ -23,7 +24,7 @@ def test_words_get_codes_in_range_and_sizes_follow_the_vocabulary():
         size = lm.Size.of(v, 4, 1 << 18)
         assert size.levels == levels and 16 <= size.row_bits <= 18
         codes = [lm.shared_code(t, levels) for t in (b"", b"a", b"walking", b"x1", "é".encode(), "你好".encode())]
-        assert all(size.heads <= c < size.codes for c in codes)
+        assert all(size.heads <= c < size.codes and c % lm.FAN == 0 for c in codes)
 
 
 def test_update_equals_a_plain_loop():

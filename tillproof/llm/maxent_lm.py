@@ -7,7 +7,7 @@ features of the history and the code so far: the last word, the last two, and a
 word that shares its code has its share of the code's training tokens. One outcome of each shared code stands
 for all words never seen in training; it has the code's share of words seen once. So the model is a distribution
 over the known words and these outcomes, as the base is one over the known words and one outcome for all
-others; known_score and known_base_score leave the unknown words out on both sides.
+others.
 
 Training is one pass over all training texts: each task takes AdaGrad steps on its own copy, the copies are
 summed on the executors in two steps (at most the square root of the tasks' number meets in one place), and
@@ -41,8 +41,9 @@ END = b""
 BITS, FAN = 4, 16
 #: Of the first level's 16 classes these are for frequent words; the other five for kinds of characters.
 FREQUENT = 11
-FEATURES, CHUNK, STEP, BLOCK = 4, 4096, 8192, 2_000_000
+FEATURES, CHUNK, STEP, BLOCK = 4, 4096, 8192, 4_000_000
 SMOOTH = 0.1
+ONES = np.ones(FAN, np.float32)
 
 
 @dataclass(frozen=True)
@@ -75,15 +76,15 @@ def tokens(text: str) -> list[bytes]:
 
 
 def shared_code(token: bytes, levels: int) -> int:
-    """The code of a word that isn't frequent: kind of characters, then its end, then its beginning."""
+    """The code of a word that isn't frequent: kind of characters, then its end, then its beginning; it has a level less (a zero)."""
     if token.isascii():
         kind = 2 if not token.isalpha() else int(len(token) > 6)
     else:
         kind = 3 if max(token) < 0xE0 else 4
     code = (FREQUENT + kind) << BITS | zlib.crc32(token[-2:]) & FAN - 1
-    for k in range(levels - 2):
+    for k in range(levels - 3):
         code = code << BITS | zlib.crc32(token[: 2 * k + 2], 1) & FAN - 1
-    return code
+    return code << BITS
 
 
 class Features(TokenCache):
@@ -145,22 +146,28 @@ class Weights:
         x *= np.uint64(0xBF58476D1CE4E5B9)
         return (x >> np.uint64(64 - self.size.row_bits)).astype(np.int64), code >> shift & FAN - 1
 
-    def log_softmax(self, level: int, rows: np.ndarray) -> np.ndarray:
+    def walk(self, f: np.ndarray, code: np.ndarray):
+        """For each level: which of the outcomes have a way there, the rows of their features, and the ways."""
+        for level in range(self.size.levels):
+            if level < self.size.levels - 1:
+                yield level, slice(None), *self.places(f, code, level)
+            elif len(own := np.flatnonzero(code < self.size.heads)):
+                yield level, own, *self.places(f[own], code[own], level)
+
+    def exponents(self, level: int, rows: np.ndarray) -> np.ndarray:
         z = self.tables[level].take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
             z += self.tables[level].take(rows[:, k], 0)
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        np.clip(z, -40, 40, z)
         return z
 
     def log_prob(self, f: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(code | history)."""
         out = np.zeros(len(f))
         for a in range(0, len(f), STEP):
-            g, c = f[a : a + STEP], code[a : a + STEP]
-            for level in range(self.size.levels):
-                rows, way = self.places(g, c, level)
-                out[a : a + STEP] += self.log_softmax(level, rows)[np.arange(len(c)), way]
+            for level, own, rows, way in self.walk(f[a : a + STEP], code[a : a + STEP]):
+                z = self.exponents(level, rows)
+                out[a : a + STEP][own] += z[np.arange(len(way)), way] - np.log(np.exp(z) @ ONES)
         return out
 
 
@@ -181,13 +188,14 @@ class Trainer:
 
     def learn(self, f: np.ndarray, code: np.ndarray) -> None:
         for a in range(0, len(f), STEP):
-            g, c = f[a : a + STEP], code[a : a + STEP]
-            for level in range(self.w.size.levels):
-                self.update(level, *self.w.places(g, c, level))
+            for level, _, rows, way in self.w.walk(f[a : a + STEP], code[a : a + STEP]):
+                self.update(level, rows, way)
 
     def update(self, level: int, rows: np.ndarray, gold: np.ndarray) -> None:
-        g = -np.exp(self.w.log_softmax(level, rows))
-        g[np.arange(len(gold)), gold] += 1
+        g = self.w.exponents(level, rows)
+        np.exp(g, g)
+        g *= (-1 / (g @ ONES))[:, None]
+        g.ravel()[np.arange(0, g.size, FAN) + gold] += 1
         flat = rows.ravel()
         order = in_order(flat, self.w.size.row_bits)
         flat = flat[order]
@@ -195,7 +203,7 @@ class Trainer:
         used = flat[cut]
         total = np.add.reduceat(g.take(order // rows.shape[1], 0), cut, 0)
         sums = self.sums[level]
-        sums[used] += np.einsum("ij,ij->i", total, total) / FAN
+        sums[used] += (total * total) @ ONES / FAN
         total *= (self.rate / rows.shape[1] / np.sqrt(sums[used]))[:, None]
         self.w.tables[level][used] += total
 
@@ -300,68 +308,66 @@ def train(docs: DataFrame, heads: dict[bytes, int], size: Size) -> Weights:
     return out
 
 
+def packed(columns: dict[str, pa.Array]) -> bytes:
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def blocks(docs: DataFrame, shared, key: str) -> DataFrame:
-    """A table of two kinds of rows: what a block asks for (place, token, code) and its texts.
+    """A table of two kinds of rows: what a block asks for (place, token, code) and a batch of its texts.
 
-    shared: the broadcast (heads, their counts, size, weights, logarithm of the base's denominator). A text's row
-    holds what the frequent words make of it, and its rare words as places of the block, one for each time.
+    shared: the broadcast (heads, their counts, size, weights, logarithm of the base's denominator). A batch holds what
+    the frequent words make of each text, and the rare words of all its texts as places of the block, in the
+    order of the texts. Often asked words have low places: their upper bytes are mostly zero and compress well.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    sums = ("code_score", "head_score", "head_base")
-    schema = f"block long, place int, token binary, code int, `{key}` {kind}, held_out boolean, n_tokens long, n_heads long, {', '.join(f'{x} double' for x in sums)}, cells binary, cell_scores binary"
-    names = ["block", "place", "token", "code", key, "held_out", "n_tokens", "n_heads", *sums, "cells", "cell_scores"]
+    names, none = ["block", "place", "token", "code", "texts", "low", "high"], pa.nulls
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         heads, head_counts, size, weights, log_base = shared.value
         feature, part, number = Features(heads, size), TaskContext.get().partitionId(), 0
         base = np.log10(head_counts + SMOOTH) - log_base
-        ids, held, texts_of, rare, scores = [], [], [], [], []
-        n = 0
+        told, rare, n = [], [], 0
 
         def flush():
-            nonlocal ids, held, texts_of, rare, scores, number, n
-            block, m = part << 32 | number, sum(map(len, ids))
-            cut = [len(x) for x in rare]
-            used, place = np.unique(np.concatenate(rare), return_inverse=True)
-            k = len(used)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(k, dtype=np.int32)), pa.array([feature.word[i] for i in used.tolist()], pa.binary()), pa.array(feature.code.a[used]), pa.nulls(k, arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, pa.int64()) for _ in range(2)), *(pa.nulls(k, pa.float64()) for _ in sums), *(pa.nulls(k, pa.binary()) for _ in range(2))], names)
-            place, score = place.astype("<u4"), np.concatenate(scores).astype("<f4")
-            ends = np.cumsum(cut)
-            cells = [place[b - c : b].tobytes() for b, c in zip(ends.tolist(), cut, strict=True)]
-            cell_scores = [score[b - c : b].tobytes() for b, c in zip(ends.tolist(), cut, strict=True)]
-            columns = [pa.concat_arrays([x[j] for x in texts_of]) for j in range(len(texts_of[0]))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.concat_arrays(ids), pa.concat_arrays(held), *columns, pa.array(cells, pa.binary()), pa.array(cell_scores, pa.binary())], names)
-            ids, held, texts_of, rare, scores, number, n = [], [], [], [], [], number + 1, 0
-
-        arrow = None
+            nonlocal told, rare, number, n
+            block = part << 32 | number
+            times = np.bincount(np.concatenate(rare), minlength=len(feature.word))
+            used = np.flatnonzero(times)
+            used = used[np.argsort(-times[used], kind="stable")]
+            k, place = len(used), np.zeros(len(times), np.int64)
+            place[used] = np.arange(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(k, dtype=np.int32)), pa.array([feature.word[i] for i in used.tolist()], pa.binary()), pa.array(feature.code.a[used]), *(none(k, pa.binary()) for _ in range(3))], names)
+            for own, rows in zip(told, rare, strict=True):
+                at = place[rows]
+                raw = [packed(own), at.astype("<u2").tobytes(), (at >> 16).astype(np.uint8).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), none(1, pa.int32()), none(1, pa.binary()), none(1, pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names)
+            told, rare, number, n = [], [], number + 1, 0
+
         for batch in batches:
-            arrow = batch.schema.field(key).type
-            if ids and (feature.full or n >= BLOCK):
+            if told and (feature.full or n >= BLOCK):
                 yield from flush()
             lists = [tokens(t) for t in texts(batch)]
             f, rows, of = feature.inputs(lists)
             code, tail = feature.code.a[rows], feature.shared.a[rows]
             p = weights.log_prob(f, code) / np.log(10)
-            m = len(lists)
-            size_of = np.fromiter(map(len, lists), np.int64, m)
-            head = of[~tail]
+            m, head = len(lists), of[~tail]
             frequent = np.bincount(head, minlength=m)
-            ids.append(batch.column(key))
-            held.append(batch.column("held_out"))
-            texts_of.append([pa.array(size_of), pa.array(frequent.astype(np.int64)), pa.array(sums_of(of, p, m)), pa.array(sums_of(head, p[~tail], m)), pa.array(sums_of(head, base[code[~tail]], m))])
-            cuts = np.cumsum(size_of - frequent)
-            rare += np.split(rows[tail], cuts[:-1])
-            scores += np.split(p[tail], cuts[:-1])
+            size_of = np.fromiter(map(len, lists), np.int64, m)
+            own = {"key": batch.column(key), "held_out": batch.column("held_out"), "n_tokens": pa.array(size_of), "n_heads": pa.array(frequent.astype(np.int64))}
+            told.append(own | {"code_score": pa.array(sums_of(of, p, m)), "head_base": pa.array(sums_of(head, base[code[~tail]], m))})
+            rare.append(rows[tail])
             n += len(rows)
-        if ids:
+        if told:
             yield from flush()
 
-    return docs.select(key, "text", held_out(key).alias("held_out")).mapInArrow(run, schema)
+    return docs.select(key, "text", held_out(key).alias("held_out")).mapInArrow(run, "block long, place int, token binary, code int, texts binary, low binary, high binary")
 
 
 def scores(docs: DataFrame, key: str = "doc_id", most_levels: int = 4, most_rows: int = 1 << 18) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score, known_base_score and known_score of every text."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
     spark = docs.sparkSession
     training = docs.where(~held_out(key))
     counts = written(count_tokens(training), "counts")
@@ -397,23 +403,18 @@ def scores(docs: DataFrame, key: str = "doc_id", most_levels: int = 4, most_rows
                     c, code = batch.column("c").slice(a, m).to_numpy(), batch.column("code").slice(a, m).to_numpy()
                     count.add(c)
                     tail.add(np.log10(np.where(c > 0, (1 - lam[code]) * np.maximum(c, 1) / np.maximum(code_n[code], 1), lam[code])))
-                if a + m < b:
-                    yield finished(batch.slice(a + m, b - a - m), count.a, tail.a)
-
-    def finished(part: pa.RecordBatch, count: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
-        m, raw = part.num_rows, part.column("cells").to_pylist()
-        place, own = np.frombuffer(b"".join(raw), "<u4"), np.frombuffer(b"".join(part.column("cell_scores").to_pylist()), "<f4")
-        of = np.repeat(np.arange(m), np.fromiter((len(x) // 4 for x in raw), np.int64, m))
-        c, p = count[place], tail[place]
-        seen, base = c > 0, np.log10(c + SMOOTH) - log_base
-        code_score, head, head_base, heads_n = (part.column(x).to_numpy() for x in ("code_score", "head_score", "head_base", "n_heads"))
-        known = heads_n + np.bincount(of[seen], minlength=m)
-        columns = [
-            pa.array(known, pa.int64()), pa.array(np.full(m, n), pa.int64()),
-            pa.array(head_base + sums_of(of, base, m)), pa.array(code_score + sums_of(of, p, m)),
-            pa.array(head_base + sums_of(of[seen], base[seen], m)), pa.array(head + sums_of(of[seen], (own + p)[seen], m)),
-        ]
-        return pa.RecordBatch.from_arrays([part.column(key), part.column("held_out"), part.column("n_tokens"), *columns], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "known_base_score", "known_score"])
-
-    out = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_base_score double, known_score double"
-    return dealt.mapInArrow(run, out)
+                for k in range(a + m, b):
+                    raw = [batch.column(x)[k].as_py() for x in ("texts", "low", "high")]
+                    yield finished(pa.ipc.open_stream(raw[0]).read_next_batch(), np.frombuffer(raw[1], "<u2") | np.frombuffer(raw[2], np.uint8).astype(np.int64) << 16, count.a, tail.a)
+
+    def finished(part: pa.RecordBatch, place: np.ndarray, count: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
+        m = part.num_rows
+        size_of, heads_n, code_score, head_base = (part.column(x).to_numpy() for x in ("n_tokens", "n_heads", "code_score", "head_base"))
+        of = np.repeat(np.arange(m), size_of - heads_n)
+        c = count[place]
+        known = heads_n + np.bincount(of[c > 0], minlength=m)
+        base = head_base + sums_of(of, np.log10(c + SMOOTH) - log_base, m)
+        columns = [pa.array(known, pa.int64()), pa.array(np.full(m, n), pa.int64()), pa.array(base), pa.array(code_score + sums_of(of, tail[place], m))]
+        return pa.RecordBatch.from_arrays([part.column("key"), part.column("held_out"), part.column("n_tokens"), *columns], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return dealt.mapInArrow(run, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

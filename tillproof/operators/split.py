@@ -29,7 +29,7 @@ def apportion(df: DataFrame, group: list[str], idx: str, amount: str, weight: st
 
 def equal_share(amount: Column, n: Column, position: Column) -> Column:
     """apportion() with equal weights: the first positions get the cents left over."""
-    low = F.floor(amount.cast("double") / n).cast("bigint")
+    low = F.floor(amount.cast("double") / F.nullif(n, F.lit(0))).cast("bigint")
     return low + F.when(position < amount - low * n, 1).otherwise(0)
 
 
@@ -46,8 +46,12 @@ def item_shares(items: DataFrame) -> DataFrame:
     return each.select("bill_id", "person_id", equal_share(F.col("price"), F.col("n"), F.col("pos")).alias("cents"))
 
 
+#: Why a bill isn't divided.
+NOBODY, UNKNOWN, DISPUTED, OPEN, LOST = "nobody to split between", "a total is unknown", "items differ from the subtotal", "the bill does not balance", "the shares do not add up to the total"
+
+
 def split_bill(bills: DataFrame, items: DataFrame) -> DataFrame:
-    """A row per person: items, tax, tip and total, or split_error and nulls.
+    """A row per person: items, tax, tip and total, or split_error and nulls; a bill without people has one row.
 
     bills: bill_id, people (ids in order), subtotal, tax, tip, total. items: bill_id, price,
     assignees. Everything stays partitioned by bill_id.
@@ -57,21 +61,40 @@ def split_bill(bills: DataFrame, items: DataFrame) -> DataFrame:
     eaten = item_shares(priced).unionByName(zero).groupBy("bill_id", "person_id").agg(F.sum("cents").alias("items"))
     sums = items.groupBy("bill_id").agg(F.sum("price").alias("_items"))
     checked = bills.join(sums, "bill_id", "left").withColumn("_items", F.coalesce("_items", F.lit(0)))
-    error = F.when(F.size("people") == 0, "nobody to split between").when(F.col("_items") != F.col("subtotal"), "items differ from the subtotal").when(F.col("subtotal") + F.col("tax") + F.col("tip") != F.col("total"), "the bill does not balance")
-    people = checked.withColumn("split_error", error).select("bill_id", "tax", "tip", "split_error", F.posexplode("people").alias("person_idx", "person_id"))
-    rows = people.withColumnsRenamed({"tax": "_tax", "tip": "_tip"}).join(eaten, ["bill_id", "person_id"])
+    unknown = F.col("subtotal").isNull() | F.col("tax").isNull() | F.col("tip").isNull() | F.col("total").isNull()
+    error = F.when(F.coalesce(F.size("people"), F.lit(0)) <= 0, NOBODY).when(unknown, UNKNOWN).when(F.col("_items") != F.col("subtotal"), DISPUTED).when(F.col("subtotal") + F.col("tax") + F.col("tip") != F.col("total"), OPEN)
+    people = checked.withColumn("split_error", error).select("bill_id", "tax", "tip", F.col("total").alias("_total"), "split_error", F.posexplode_outer("people").alias("person_idx", "person_id"))
+    rows = people.withColumnsRenamed({"tax": "_tax", "tip": "_tip"}).join(eaten, ["bill_id", "person_id"], "left")
     rows = apportion(rows, ["bill_id"], "person_idx", "_tax", "items", "tax")
     rows = apportion(rows, ["bill_id"], "person_idx", "_tip", "items", "tip")
+    rows = rows.withColumn("total", F.col("items") + F.col("tax") + F.col("tip"))
+    whole = F.sum("total").over(Window.partitionBy("bill_id")) == F.col("_total")
+    rows = rows.withColumn("split_error", F.coalesce("split_error", F.when(~F.coalesce(whole, F.lit(False)), LOST)))
     ok = F.col("split_error").isNull()
-    return rows.select("bill_id", "person_idx", "person_id", *(F.when(ok, F.col(c)).alias(c) for c in ("items", "tax", "tip")), F.when(ok, F.col("items") + F.col("tax") + F.col("tip")).alias("total"), "split_error")
+    return rows.select("bill_id", "person_idx", "person_id", *(F.when(ok, F.col(c)).alias(c) for c in ("items", "tax", "tip", "total")), "split_error")
 
 
 def split_evenly(bills: DataFrame) -> DataFrame:
-    """A row per person of bill_id, people, total: the total in equal parts, the first ones a cent more."""
-    each = bills.select("bill_id", "total", F.size("people").alias("n"), F.posexplode("people").alias("person_idx", "person_id"))
+    """A row per person of bill_id, people, total: the total in equal parts, the first ones a cent more; else split_error and nulls."""
+    error = F.when(F.coalesce(F.size("people"), F.lit(0)) <= 0, NOBODY).when(F.col("total").isNull(), UNKNOWN)
+    each = bills.select("bill_id", "total", F.size("people").alias("n"), error.alias("split_error"), F.posexplode_outer("people").alias("person_idx", "person_id"))
     share = equal_share(F.col("total"), F.col("n"), F.col("person_idx"))
-    zero = F.lit(0).cast("bigint")
-    return each.select("bill_id", "person_idx", "person_id", share.alias("items"), zero.alias("tax"), zero.alias("tip"), share.alias("total"))
+    zero = F.when(F.col("split_error").isNull(), F.lit(0).cast("bigint"))
+    return each.select("bill_id", "person_idx", "person_id", share.alias("items"), zero.alias("tax"), zero.alias("tip"), share.alias("total"), "split_error")
+
+
+def settled_split(bills: DataFrame, items: DataFrame) -> DataFrame:
+    """The verdict on each bill with its split: a row per person while the printed numbers close, else one row of nulls.
+
+    bills: bill_id, people, n_items, items_sum, the totals as printed, tip_percent, tip_cents. An added tip is shared like
+    the printed one; a bill without items is divided evenly.
+    """
+    judged = verdict(bills).select("bill_id", "people", "status", "no_tip_printed", "settles", "evenly", "added_tip", F.col("v_subtotal").alias("subtotal"), F.col("v_tax").alias("tax"), F.col("pay_tip").alias("tip"), F.col("pay_total").alias("total"))
+    whole, alone = judged.where("settles and not evenly"), judged.where("settles and evenly")
+    shares = split_bill(whole, items.join(whole.select("bill_id"), "bill_id", "left_semi")).unionByName(split_evenly(alone.select("bill_id", "people", "total"))).where("split_error is null").drop("split_error")
+    out = judged.select("bill_id", "status", "no_tip_printed", "evenly", "added_tip").join(shares, "bill_id", "left")
+    divided = F.col("person_id").isNotNull()
+    return out.withColumns({"evenly": F.col("evenly") & divided, "added_tip": F.when(divided, F.col("added_tip")).otherwise(0)})
 
 
 def verdict(bills: DataFrame) -> DataFrame:

@@ -309,4 +309,17 @@ b as (select receipt_id, rho, sqrt(1 - rho * rho) as part from a)
 select receipt_id, round(list_reduce(list_prepend(cast(0.25 as double), list_transform(range(1, 13), lambda k: cast((receipt_id * 31 + k * 17) % 101 as double) / 100 - cast(0.5 as double))), lambda x, d: rho * x + part * d), 9) as x from b""",
     "q47_text_folds": f"""with s as (select p_partkey, p_name, '<' || p_name || '&''> 10' as s from part) select p_partkey, translate(s, '01', 'OI') as folded, replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&apos;') as escaped, {normal("'  ' || p_name || ' ' || chr(9) || ' x '")} as normal from s""",
     "q48_pgm_encode": f"select vec_id as image_id, hex(encode('P5' || chr(10) || '8 8' || chr(10) || '255' || chr(10))) || array_to_string(list_transform({LEVELS}, lambda v: printf('%02X', v)), '') as pgm from embeddings",
+    "q49_verdict_split": f"""{verdict('case receipt_id % 4 when 1 then cast(18 as double) when 2 then cast(12.5 as double) end', 'case receipt_id % 4 when 3 then 250 end')},
+seats as (select receipt_id, case when receipt_id % 23 = 0 then 0 else n_people end as n_people from bills),
+due as materialized (select receipt_id, n_items = 0 as evenly, v_tax as tax, pay_tip as tip, pay_total as total, n_people, cast(unnest(range(n_people)) as int) as k from verdict join seats using (receipt_id) where settles),
+own_items as (select receipt_id, item_idx, price from items where receipt_id % 16 not in (11, 14) and (receipt_id % 16 <> 8 or item_idx > 0)),
+named as (select i.receipt_id, i.item_idx, i.price, d.k, (i.item_idx * 7 + d.k + i.receipt_id) % 3 = 0 as hit from own_items i join due d using (receipt_id) where not evenly),
+counted as (select *, sum(cast(hit as int)) over (partition by receipt_id, item_idx) as hits from named),
+seated as (select *, row_number() over (partition by receipt_id, item_idx order by case when hits > 0 and item_idx % 2 = 1 then -k else k end) - 1 as pos, count(*) over (partition by receipt_id, item_idx) as n from counted where hit or hits = 0),
+cents as (select receipt_id, k, cast(floor(cast(price as double) / n) as bigint) + case when pos < price - cast(floor(cast(price as double) / n) as bigint) * n then 1 else 0 end as cents from seated),
+eaten as materialized (select d.receipt_id, d.k, d.tax, d.tip, coalesce(cast(sum(c.cents) as bigint), 0) as items from due d left join cents c using (receipt_id, k) where not d.evenly group by all),
+{shares('tax')}, {shares('tip')},
+parts as (select e.receipt_id, e.k, e.items, cast(x.share as bigint) as tax, cast(p.share as bigint) as tip, cast(e.items + x.share + p.share as bigint) as total from eaten e join tax3 x using (receipt_id, k) join tip3 p using (receipt_id, k)
+ union all select receipt_id, k, cast(floor(cast(total as double) / n_people) as bigint) + case when k < total - cast(floor(cast(total as double) / n_people) as bigint) * n_people then 1 else 0 end as items, 0, 0, cast(floor(cast(total as double) / n_people) as bigint) + case when k < total - cast(floor(cast(total as double) / n_people) as bigint) * n_people then 1 else 0 end from due where evenly)
+select v.receipt_id as bill_id, status, no_tip_printed, settles and n_items = 0 and k is not null as evenly, case when k is null then 0 else added_tip end as added_tip, k as person_idx, 'p' || k as person_id, items, d.tax, d.tip, d.total from verdict v left join parts d using (receipt_id)""",
 }

@@ -419,6 +419,16 @@ def q48_pgm_encode(spark, sf):
     return r.select("image_id", F.hex(words.to_pgm(F.col("width"), F.col("height"), F.col("data"))).alias("pgm"))
 
 
+@query
+def q49_verdict_split(spark, sf):
+    bills, items = tables(spark, sf)
+    m, k = F.col("bill_id") % 16, F.col("bill_id") % 4
+    read = misreads(spark, sf).drop("custkey", "first_price").withColumnRenamed("receipt_id", "bill_id").join(bills.select("bill_id", "people"), "bill_id")
+    read = read.withColumns({"people": F.when(F.col("bill_id") % 23 == 0, F.array().cast("array<string>")).otherwise(F.col("people")), "tip_percent": F.when(k == 1, 18.0).when(k == 2, 12.5), "tip_cents": F.when(k == 3, F.lit(250).cast("long"))})
+    own = items.where(~m.isin(11, 14) & ((m != 8) | (F.col("item_idx") > 0)))
+    return split.settled_split(read, own).select("bill_id", "status", "no_tip_printed", "evenly", "added_tip", "person_idx", "person_id", "items", "tax", "tip", "total")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """What each person owes of each bill that closes."""
     return q01_split_shares(spark, sf).orderBy("bill_id", "person_idx")

@@ -1,12 +1,12 @@
 """From located words to a parsed receipt: rows by geometry, then prices, labels and items.
 
-Words have receipt_id, word_idx, text, x0, y0, x1, y1. Everything is partitioned by receipt_id once;
-the one fold (a row's running mean) is a higher-order aggregate over the words of a receipt.
+Words have receipt_id, word_idx, text, x0, y0, x1, y1. A receipt's words are collected once, by the only shuffle;
+slope, rows, column, prices, labels and fields are array functions on that one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import WS, parse_cents, strip
@@ -44,26 +44,48 @@ def is_divider(text: Column) -> Column:
     return text.rlike(DIVIDER)
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns worked out once: a generator of one row keeps them from being written into later lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def median(values: Column) -> Column:
+    """Of an array of numbers; null if it is empty."""
+    ordered = F.array_sort(values)
+    n = F.size(values)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
+def pages(words: DataFrame) -> DataFrame:
+    """receipt_id, ws (its words), line_height and slope: the one shuffle of a parse.
+
+    The slope is the median over the words of the slope to the nearest right-hand neighbour; a steep one counts as none.
+    """
+    word = F.struct("word_idx", "text", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    page = words.groupBy("receipt_id").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    m = median(F.transform("ws", lambda w: w["y1"] - w["y0"]))
+    page = fixed(page, line_height=F.when(m == 0, 1.0).otherwise(m))
+    tall = F.col("line_height")
+
+    def neighbour(a: Column) -> Column:
+        near = F.filter("ws", lambda b: (a["word_idx"] != b["word_idx"]) & (b["x0"] - a["x1"]).between(0, 3 * tall) & (F.abs(b["cy"] - a["cy"]) <= 1.5 * tall))
+        return F.array_min(F.transform(near, lambda b: F.struct((b["x0"] - a["x1"]).alias("gap"), b["x0"].alias("x0"), b["word_idx"].alias("word_idx"), (b["cx"] - a["cx"]).alias("dx"), (b["cy"] - a["cy"]).alias("dy"))))
+
+    pairs = F.filter(F.transform("ws", neighbour), lambda n: n.isNotNull() & (F.abs(n["dx"]) >= 1))
+    s = F.coalesce(median(F.transform(pairs, lambda n: n["dy"] / n["dx"])), F.lit(0.0))
+    page = fixed(page, found=s)
+    return page.select("receipt_id", "ws", "line_height", F.when(F.abs("found") > 0.3, 0.0).otherwise(F.col("found")).alias("slope"))
+
+
 def slopes(words: DataFrame) -> DataFrame:
-    """receipt_id, line_height, slope: the median slope between right-hand neighbours; steep means none."""
-    w = words.select("receipt_id", "word_idx", "x0", "x1", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h"))
-    size = w.groupBy("receipt_id").agg(F.median("h").alias("m")).select("receipt_id", F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")).alias("line_height"))
-    a, b = w.join(size, "receipt_id").alias("a"), w.alias("b")
-    gap = F.col("b.x0") - F.col("a.x1")
-    near = (F.col("a.receipt_id") == F.col("b.receipt_id")) & (F.col("a.word_idx") != F.col("b.word_idx")) & (gap >= 0) & (gap <= 3 * F.col("line_height")) & (F.abs(F.col("b.cy") - F.col("a.cy")) <= 1.5 * F.col("line_height"))
-    pairs = a.join(b, near).groupBy("a.receipt_id", "a.word_idx", "a.cx", "a.cy").agg(F.min_by(F.struct("b.cx", "b.cy"), F.struct(gap, F.col("b.x0"), F.col("b.word_idx"))).alias("n"))
-    dx = F.col("n.cx") - F.col("cx")
-    found = pairs.where(F.abs(dx) >= 1).groupBy("receipt_id").agg(F.median((F.col("n.cy") - F.col("cy")) / dx).alias("s"))
-    s = F.coalesce("s", F.lit(0.0))
-    return size.join(found, "receipt_id", "left").select("receipt_id", "line_height", F.when(F.abs(s) > 0.3, 0.0).otherwise(s).alias("slope"))
+    """receipt_id, line_height, slope."""
+    return pages(words).drop("ws")
 
 
-def rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
-    """receipt_id, row_idx, y, flat_y, x0, y0, x1, y1, text and words (in reading order) of each row."""
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    w = words.join(slopes(words), "receipt_id").withColumn("cy", cy).withColumn("flat", F.col("cy") - F.col("slope") * cx)
-    word = F.struct("flat", "word_idx", "x0", "y0", "x1", "y1", "cy", "text")
-    page = w.groupBy("receipt_id", "line_height").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+def page_rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
+    """receipt_id and rows: an array of row_idx, y, flat_y, x0, y0, x1, y1, text and words (in reading order)."""
+    word = lambda w: F.struct((w["cy"] - F.col("slope") * w["cx"]).alias("flat"), *(w[k].alias(k) for k in ("word_idx", "x0", "y0", "x1", "y1", "cy", "text")))
+    page = fixed(pages(words), flat_ws=F.array_sort(F.transform("ws", word))).drop("ws")
     start = F.struct(F.array().cast("array<int>").alias("rows"), F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def fold(acc: Column, x: Column) -> Column:
@@ -71,63 +93,100 @@ def rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
         row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
         return F.struct(F.array_append(acc["rows"], row).alias("rows"), row.alias("row"), F.when(joins, acc["sum"] + x["flat"]).otherwise(x["flat"]).alias("sum"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"))
 
-    told = page.withColumn("_rows", F.aggregate("ws", start, fold)["rows"])
-    each = told.select("receipt_id", F.explode(F.arrays_zip("ws", "_rows")).alias("z")).select("receipt_id", F.col("z._rows").alias("group"), "z.ws.*")
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "flat", "word_idx", "x1", "text")))
-    out = each.groupBy("receipt_id", "group").agg(F.avg("cy").alias("y"), F.avg("flat").alias("flat_y"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), ordered.alias("words"))
-    at = Window.partitionBy("receipt_id").orderBy("flat_y", "group")
-    return out.select("receipt_id", (F.row_number().over(at) - 1).alias("row_idx"), "y", "flat_y", "x0", "y0", "x1", "y1", F.array_join(F.transform("words", lambda v: v["text"]), " ").alias("text"), F.transform("words", lambda v: F.struct(v["text"].alias("text"), v["x1"].alias("x1"), parse_cents(v["text"]).alias("cents"))).alias("words"))
+    page = fixed(page, of=F.aggregate("flat_ws", start, fold)["rows"])
+
+    def gathered(g: Column) -> Column:
+        own = F.filter(F.arrays_zip(F.col("flat_ws").alias("w"), F.col("of").alias("r")), lambda z: z["r"] == g)
+        return F.struct(g.alias("group"), F.array_sort(F.transform(own, lambda z: F.struct(*(z["w"][k].alias(k) for k in ("x0", "flat", "word_idx", "x1", "text", "y0", "y1", "cy"))))).alias("ws"))
+
+    page = fixed(page, groups=F.transform(F.when(F.size("of") > 0, F.sequence(F.lit(0), F.array_max("of"))).otherwise(F.array().cast("array<int>")), gathered))
+    mean = lambda ws, k: F.aggregate(ws, F.lit(0.0), lambda s, w: s + w[k]) / F.size(ws)
+    least, most = lambda ws, k: F.array_min(F.transform(ws, lambda w: w[k])), lambda ws, k: F.array_max(F.transform(ws, lambda w: w[k]))
+
+    def row(g: Column) -> Column:
+        ws = g["ws"]
+        seen = F.transform(ws, lambda w: F.struct(w["text"].alias("text"), w["x1"].alias("x1"), parse_cents(w["text"]).alias("cents")))
+        text = F.array_join(F.transform(ws, lambda w: w["text"]), " ")
+        return F.struct(mean(ws, "flat").alias("flat_y"), g["group"].alias("group"), mean(ws, "cy").alias("y"), least(ws, "x0").alias("x0"), least(ws, "y0").alias("y0"), most(ws, "x1").alias("x1"), most(ws, "y1").alias("y1"), text.alias("text"), seen.alias("words"))
+
+    page = fixed(page, sorted_rows=F.array_sort(F.transform("groups", row)))
+    names = ("y", "flat_y", "x0", "y0", "x1", "y1", "text", "words")
+    return fixed(page.select("receipt_id", "sorted_rows"), rows=F.transform("sorted_rows", lambda r, i: F.struct(i.alias("row_idx"), *(r[k].alias(k) for k in names)))).drop("sorted_rows")
+
+
+def rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
+    """receipt_id, row_idx, y, flat_y, x0, y0, x1, y1, text and words, a row each."""
+    return page_rows(words, tolerance).select("receipt_id", F.inline("rows"))
+
 
+def page_priced(pages: DataFrame) -> DataFrame:
+    """pages (receipt_id, rows) with column_x, page_width and block_start; their rows with price, desc, label, divider and payment.
 
-def price_column(rows: DataFrame) -> DataFrame:
-    """receipt_id, column_x (null without prices) and page_width: the right edge on which most last prices agree."""
-    edges = rows.withColumn("_e", F.try_element_at(F.filter("words", lambda v: v["cents"].isNotNull()), F.lit(-1))["x1"])
-    page = edges.groupBy("receipt_id").agg(F.array_sort(F.collect_list("_e")).alias("xs"), F.greatest(F.lit(1.0), F.max("x1")).alias("page_width"))
+    column_x (null without prices) is the right edge on which most last prices agree; a row's price is the last amount in
+    the column, else the last at all, and desc the words before it.
+    """
+    last = F.transform("rows", lambda r: F.try_element_at(F.filter(r["words"], lambda v: v["cents"].isNotNull()), F.lit(-1))["x1"])
+    page = fixed(pages, xs=F.array_sort(F.array_compact(last)), page_width=F.greatest(F.lit(1.0), F.array_max(F.transform("rows", lambda r: r["x1"]))))
     span = F.try_element_at("xs", F.lit(-1)) - F.get("xs", F.lit(0))
-    page = page.withColumn("_tol", F.greatest(F.when(span == 0, 1.0).otherwise(span) * 0.05, F.lit(12.0)))
-    votes = F.transform("xs", lambda x: F.struct(F.size(F.filter("xs", lambda o: F.abs(o - x) <= F.col("_tol"))).alias("n"), (-x).alias("x")))
-    best = F.when(F.size("xs") < 2, F.get("xs", F.lit(0))).otherwise(-F.array_max(votes)["x"])
-    return page.select("receipt_id", best.alias("column_x"), "page_width")
-
-
-def priced(rows: DataFrame) -> DataFrame:
-    """rows with column_x, price (the last amount in the column, else the last at all), desc before it and label."""
-    df = rows.join(price_column(rows), "receipt_id")
-    money = F.filter(F.transform("words", lambda v, i: F.struct(i.alias("at"), v["x1"].alias("x1"), v["cents"].alias("cents"))), lambda v: v["cents"].isNotNull())
-    df = df.withColumn("_m", money).withColumn("_tol", F.greatest(F.col("page_width") * 0.06, F.lit(15.0)))
-    inside = F.filter("_m", lambda v: F.abs(v["x1"] - F.col("column_x")) <= F.col("_tol"))
-    df = df.withColumn("_p", F.coalesce(F.try_element_at(inside, F.lit(-1)), F.try_element_at("_m", F.lit(-1))))
-    before = F.array_join(F.transform(F.slice("words", F.lit(1), F.coalesce(F.col("_p.at"), F.lit(0))), lambda v: v["text"]), " ")
-    df = df.withColumns({"price": F.col("_p.cents"), "desc": F.when(F.col("_p").isNotNull(), strip(before))})
-    upper = F.upper(F.coalesce("desc", strip(F.col("text"))))
-    df = df.withColumns({"label": label(upper), "divider": is_divider(F.col("text")), "payment": is_payment(upper)})
-    first = F.min(F.when(F.col("price").isNotNull() & opens_block(F.col("text")), F.col("row_idx"))).over(Window.partitionBy("receipt_id"))
-    return df.withColumn("block_start", first).drop("_m", "_tol", "_p")
-
-
-def items(priced: DataFrame) -> DataFrame:
+    page = fixed(page, tol=F.greatest(F.when(span == 0, 1.0).otherwise(span) * 0.05, F.lit(12.0)))
+    votes = F.transform("xs", lambda x: F.struct(F.size(F.filter("xs", lambda o: F.abs(o - x) <= F.col("tol"))).alias("n"), (-x).alias("x")))
+    page = fixed(page, column_x=F.when(F.size("xs") < 2, F.get("xs", F.lit(0))).otherwise(-F.array_max(votes)["x"]), wide=F.greatest(F.col("page_width") * 0.06, F.lit(15.0)))
+
+    def with_price(r: Column) -> Column:
+        money = F.filter(F.transform(r["words"], lambda v, i: F.struct(i.alias("at"), v["x1"].alias("x1"), v["cents"].alias("cents"))), lambda v: v["cents"].isNotNull())
+        inside = F.filter(money, lambda v: F.abs(v["x1"] - F.col("column_x")) <= F.col("wide"))
+        return F.struct(r.alias("r"), F.coalesce(F.try_element_at(inside, F.lit(-1)), F.try_element_at(money, F.lit(-1))).alias("p"))
+
+    page = fixed(page, found=F.transform("rows", with_price))
+
+    def described(x: Column) -> Column:
+        before = F.array_join(F.transform(F.slice(x["r"]["words"], F.lit(1), F.coalesce(x["p"]["at"], F.lit(0))), lambda v: v["text"]), " ")
+        return F.struct(x["r"].alias("r"), x["p"]["cents"].alias("price"), F.when(x["p"].isNotNull(), strip(before)).alias("desc"))
+
+    page = fixed(page, told=F.transform("found", described))
+
+    def labelled(x: Column) -> Column:
+        upper = F.upper(F.coalesce(x["desc"], strip(x["r"]["text"])))
+        return F.struct(*(x["r"][k].alias(k) for k in ("row_idx", "y", "flat_y", "x0", "y0", "x1", "y1", "text", "words")), x["price"].alias("price"), x["desc"].alias("desc"), label(upper).alias("label"), is_divider(x["r"]["text"]).alias("divider"), is_payment(upper).alias("payment"), (x["price"].isNotNull() & opens_block(x["r"]["text"])).alias("opens"))
+
+    page = fixed(page, priced_rows=F.transform("told", labelled))
+    first = F.array_min(F.transform(F.filter("priced_rows", lambda r: r["opens"]), lambda r: r["row_idx"]))
+    return fixed(page.select("receipt_id", "column_x", "page_width", "priced_rows"), block_start=first).withColumnRenamed("priced_rows", "rows")
+
+
+def priced(words: DataFrame) -> DataFrame:
+    """receipt_id, column_x, page_width, block_start and the priced rows of the words, a row each."""
+    return page_priced(page_rows(words)).select("receipt_id", "column_x", "page_width", "block_start", F.inline("rows")).drop("opens")
+
+
+def dishes(rows: Column, block_start: Column) -> Column:
+    """item_idx, desc, price and row_idx of the lines that are dishes."""
+    ok = lambda r: ~r["divider"] & r["price"].isNotNull() & r["label"].isNull() & ~r["payment"] & (r["desc"] != "") & (block_start.isNull() | (r["row_idx"] < block_start))
+    return F.transform(F.filter(rows, ok), lambda r, i: F.struct(i.alias("item_idx"), r["desc"].alias("desc"), r["price"].alias("price"), r["row_idx"].alias("row_idx")))
+
+
+def items(words: DataFrame) -> DataFrame:
     """receipt_id, item_idx, desc, price, row_idx of the lines that are dishes."""
-    ok = ~F.col("divider") & F.col("price").isNotNull() & F.col("label").isNull() & ~F.col("payment") & (F.col("desc") != "") & (F.col("block_start").isNull() | (F.col("row_idx") < F.col("block_start")))
-    at = Window.partitionBy("receipt_id").orderBy("row_idx")
-    return priced.where(ok).select("receipt_id", (F.row_number().over(at) - 1).alias("item_idx"), "desc", "price", "row_idx")
-
-
-def fields(priced: DataFrame) -> DataFrame:
-    """receipt_id, the four totals (first occurrence), the rows they stand in and unreadable labels, in order."""
-    df = priced.where(~F.col("divider"))
-    aggs = []
-    for name, _ in LABELS:
-        hit = (F.col("label") == name) & F.col("price").isNotNull()
-        aggs += [F.min_by(F.when(hit, F.col("price")), F.when(hit, F.col("row_idx"))).alias(name), F.min(F.when(hit, F.col("row_idx"))).alias(f"{name}_row")]
-        aggs.append(F.min(F.when((F.col("label") == name) & F.col("price").isNull(), F.col("row_idx"))).alias(f"_u_{name}"))
-    one = df.groupBy("receipt_id").agg(*aggs)
-    lost = [F.when(F.col(f"_u_{n}").isNotNull() & (F.col(f"{n}_row").isNull() | (F.col(f"_u_{n}") < F.col(f"{n}_row"))), F.struct(F.col(f"_u_{n}").alias("row"), F.lit(n).alias("name"))) for n, _ in LABELS]
+    return page_priced(page_rows(words)).select("receipt_id", F.inline(dishes(F.col("rows"), F.col("block_start"))))
+
+
+def with_fields(page: DataFrame) -> DataFrame:
+    """page (receipt_id, rows, ...) with the four totals (first occurrence), the rows they stand in and unreadable labels, in order."""
+    said = lambda name, read: F.get(F.filter("rows", lambda r: ~r["divider"] & F.coalesce(r["label"] == name, F.lit(False)) & (r["price"].isNotNull() if read else r["price"].isNull())), F.lit(0))
+    page = fixed(page, **{f"hit_{n}": said(n, True) for n, _ in LABELS}, **{f"miss_{n}": said(n, False)["row_idx"] for n, _ in LABELS})
+    lost = [F.when(F.col(f"miss_{n}").isNotNull() & (F.col(f"hit_{n}").isNull() | (F.col(f"miss_{n}") < F.col(f"hit_{n}.row_idx"))), F.struct(F.col(f"miss_{n}").alias("row"), F.lit(n).alias("name"))) for n, _ in LABELS]
     names = F.transform(F.array_sort(F.array_compact(F.array(*lost))), lambda u: u["name"])
-    return one.withColumn("unreadable", F.array_join(names, ",")).drop(*(f"_u_{n}" for n, _ in LABELS))
+    out = page.withColumns({n: F.col(f"hit_{n}.price") for n, _ in LABELS} | {f"{n}_row": F.col(f"hit_{n}.row_idx") for n, _ in LABELS} | {"unreadable": F.array_join(names, ",")})
+    return out.drop(*(f"{k}_{n}" for n, _ in LABELS for k in ("hit", "miss")))
+
+
+def fields(words: DataFrame) -> DataFrame:
+    """receipt_id, the four totals, the rows they stand in and unreadable labels, in order."""
+    return with_fields(page_priced(page_rows(words))).drop("rows", "column_x", "page_width", "block_start")
 
 
 def parse(words: DataFrame) -> DataFrame:
     """receipt_id, totals, unreadable, n_items, items_sum and items (an array in order)."""
-    p = priced(rows(words))
-    own = items(p).groupBy("receipt_id").agg(F.count("*").alias("n_items"), F.sum("price").alias("items_sum"), F.array_sort(F.collect_list(F.struct("item_idx", "desc", "price"))).alias("items"))
-    return fields(p).join(own, "receipt_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_items", "items_sum")})
+    page = fixed(with_fields(page_priced(page_rows(words))), items=dishes(F.col("rows"), F.col("block_start")))
+    total = F.aggregate("items", F.lit(0).cast("bigint"), lambda s, i: s + i["price"])
+    return page.drop("rows", "column_x", "page_width", "block_start").withColumns({"n_items": F.size("items"), "items_sum": total})

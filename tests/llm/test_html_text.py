@@ -1,5 +1,9 @@
 """Pages whose elements have no end tag, without Spark."""
 
+import itertools
+import time
+
+import numpy as np
 import pytest
 
 from tillproof.llm import html_text
@@ -39,3 +43,41 @@ def test_scripts_without_end_tag_run_to_the_end():
 
 def test_text_of_choices_is_dropped():
     assert text("<article><p>Rivers carry sand and stones down to the sea for thousands of years.</p><select><option>one<option>two</select></article>") == "Rivers carry sand and stones down to the sea for thousands of years."
+
+
+def test_marginals_equal_enumeration():
+    draw = np.random.default_rng(4)
+    sources = ["<div><p>one</p><ul><li>two<li>three</ul></div><nav>x</nav>", "plain", "<article><h1>a</h1><p>b<p>c</article><footer>d</footer>"]
+    f = html_text.Forest([html_text.Page(s) for s in sources], {})
+    model = html_text.Model(draw.normal(size=html_text.WIDTH), draw.normal(size=(html_text.EDGES, 2, 2)))
+    p, both, _ = model.marginals(f)
+    s = f.x @ model.unary
+    cuts = [*f.first.tolist(), len(s)]
+    for a, b in zip(cuts, cuts[1:]):
+        want, pairs, total = np.zeros(b - a), np.zeros((b - a, 2, 2)), 0.0
+        for y in itertools.product((0, 1), repeat=b - a):
+            w = np.exp(sum(s[a + k] * y[k] + (0 if f.root[a + k] else model.pair[f.edge[a + k], y[f.parent[a + k] - a], y[k]]) for k in range(b - a)))
+            total += w
+            for k in range(b - a):
+                want[k] += w * y[k]
+                if not f.root[a + k]:
+                    pairs[k, y[f.parent[a + k] - a], y[k]] += w
+        assert np.allclose(p[a:b], want / total)
+        inner = ~f.root[a:b]
+        assert np.allclose(both[a:b][inner], pairs[inner] / total)
+
+
+def test_deep_and_unclosed_pages_take_seconds():
+    model = html_text.trained()
+    start = time.process_time()
+    for page in ("<div>" * 20_000 + "text", "<p>" * 50_000, "<b><button>" * 20_000 + "x", "<ul><li>" * 10_000, "<table><tr><td>" * 8_000):
+        model.text([html_text.Page(page)], {})
+    assert time.process_time() - start < 60
+
+
+def test_the_content_of_pages_of_other_draws_is_found():
+    model, right, total = html_text.trained(), 0, 0
+    for source, content in html_text.labelled_pages(60, seed=99):
+        got = set(model.text([html_text.Page(source)], {})[0].split("\n")) - {""}
+        right, total = right + len(got & content), total + len(got | content)
+    assert right / total > 0.95, right / total

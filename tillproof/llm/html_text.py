@@ -21,6 +21,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import in_batches, texts
 
@@ -53,8 +54,8 @@ class Page:
         self.chars, self.linked = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, text, links, at, size = [0], [], 0, 0, len(source)
-        inline: list[str] = []
-        held = 0
+        opened: dict[str, list[int]] = {}  # places in the stack of each tag that is open, so that no search walks the stack
+        endless: set[str] = set()  # tags without any further end tag
 
         def end_block() -> None:
             nonlocal text
@@ -67,8 +68,13 @@ class Page:
 
         def pop(to: int) -> None:
             end_block()
+            for k in stack[to:]:
+                opened[self.tag[k]].pop()
             del stack[to:]
-            inline.clear()
+
+        def last(*tags: str) -> int:
+            """The highest place in the stack of any of the tags; 0 if none is open."""
+            return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
         while at < size:
             m = TAG.search(source, at)
@@ -86,7 +92,9 @@ class Page:
             name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
             if name in RAW and not closing:
                 if name != "head" and not attributes.endswith("/"):
-                    end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                    end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                    if end is None:
+                        endless.add(name)
                     at = end.end() if end else size if name in ENDLESS else at
                 elif name == "head":
                     end = re.compile(r"</head\s*>|<body", re.I).search(source, at)
@@ -104,43 +112,30 @@ class Page:
                 continue
             if closing:
                 links = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        pop(k)
-                        break
-                    if name == "p" and self.tag[stack[k]] not in ("p",):
-                        break
-                else:
-                    continue
+                k = last(name)
+                if k and (name != "p" or k == len(stack) - 1):
+                    pop(k)
                 continue
             end_block()
             links = 0
             while name not in CHOICES and self.tag[stack[-1]] in CHOICES:
-                pop(-1)
-            if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == "p":
-                        pop(k)
-                        break
-                    if self.tag[stack[k]] in ("td", "th", "table", "button", "object"):
-                        break
+                pop(len(stack) - 1)
+            if name in CLOSES_P and (k := last("p")) > last("td", "th", "table", "button", "object"):
+                pop(k)
             if name in ENDS:
                 over, stop = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in stop:
+                while (k := last(*over)) > last(*stop):
+                    pop(k)
+                    if name != "tr":
                         break
-                    if self.tag[stack[k]] in over:
-                        pop(k)
-                        if name != "tr":
-                            break
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
             self.tag.append(name)
             self.names.append(" ".join(x for g in NAMES.findall(attributes) for x in g if x) if attributes else "")
             self.chars.append(0)
             self.linked.append(0)
+            opened.setdefault(name, []).append(len(stack))
             stack.append(len(self.tag) - 1)
-            held += 1
         end_block()
 
 
@@ -166,7 +161,7 @@ class Forest:
         own = np.fromiter((x for p in pages for x in p.chars), float, len(parent))
         linked = np.fromiter((x for p in pages for x in p.linked), float, len(parent))
         self.first = first
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max()) + 1)]
+        self.levels = np.split(np.argsort(self.depth, kind="stable"), np.cumsum(np.bincount(self.depth))[:-1])
         all_chars, all_linked, children = own.copy(), linked.copy(), np.zeros(len(own))
         for level in self.levels[:0:-1]:
             np.add.at(all_chars, self.parent[level], all_chars[level])
@@ -303,7 +298,7 @@ def trained(rounds: int = 120, rate: float = 0.4, l2: float = 2e-3) -> Model:
 def main_text(pages: DataFrame, key: str = "page_id", source: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the columns in also, text and n_chars of every page."""
     names = [key, *also]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names) + ", text string, n_chars long"
+    schema = StructType([*(StructField(c, pages.schema[c].dataType) for c in names), StructField("text", StringType()), StructField("n_chars", LongType())])
     shared = pages.sparkSession.sparkContext.broadcast(trained())
 
     def make():

@@ -322,4 +322,7 @@ eaten as materialized (select d.receipt_id, d.k, d.tax, d.tip, coalesce(cast(sum
 parts as (select e.receipt_id, e.k, e.items, cast(x.share as bigint) as tax, cast(p.share as bigint) as tip, cast(e.items + x.share + p.share as bigint) as total from eaten e join tax3 x using (receipt_id, k) join tip3 p using (receipt_id, k)
  union all select receipt_id, k, cast(floor(cast(total as double) / n_people) as bigint) + case when k < total - cast(floor(cast(total as double) / n_people) as bigint) * n_people then 1 else 0 end as items, 0, 0, cast(floor(cast(total as double) / n_people) as bigint) + case when k < total - cast(floor(cast(total as double) / n_people) as bigint) * n_people then 1 else 0 end from due where evenly)
 select v.receipt_id as bill_id, status, no_tip_printed, settles and n_items = 0 and k is not null as evenly, case when k is null then 0 else added_tip end as added_tip, k as person_idx, 'p' || k as person_id, items, d.tax, d.tip, d.total from verdict v left join parts d using (receipt_id)""",
+    "q50_pgm_decode": f"select vec_id as image_id, 8 as width, 8 as height, array_to_string(list_transform({LEVELS}, lambda v: printf('%02X', v)), '') as pixels from embeddings",
+    "q51_crop": f"with l as (select vec_id, {LEVELS} as v from embeddings) select vec_id as image_id, 4 as width, 5 as height, array_to_string(list_transform(range(20), lambda i: printf('%02X', v[(1 + i // 4) * 8 + 2 + i % 4 + 1])), '') as pixels from l",
+    "q52_empty_bills": f"select c_custkey as bill_id, {NULL} as subtotal, c_custkey * 7 as total, 2 as people, 'i1' as item, c_custkey % 500 as price, 2 as next_id from customer",
 }

@@ -429,6 +429,28 @@ def q49_verdict_split(spark, sf):
     return split.settled_split(read, own).select("bill_id", "status", "no_tip_printed", "evenly", "added_tip", "person_idx", "person_id", "items", "tax", "tip", "total")
 
 
+@query
+def q50_pgm_decode(spark, sf):
+    r = rasters(spark, sf)
+    files = r.select(F.col("image_id").cast("string").alias("path"), words.to_pgm(F.col("width"), F.col("height"), F.col("data")).alias("content"))
+    return words.gray(files).select(F.col("path").cast("long").alias("image_id"), "width", "height", F.hex("data").alias("pixels"))
+
+
+@query
+def q51_crop(spark, sf):
+    return raster.mapped(rasters(spark, sf), lambda i: raster.crop(i, 2, 1, 4, 5)).select("image_id", "width", "height", F.hex("data").alias("pixels"))
+
+
+@query
+def q52_empty_bills(spark, sf):
+    c = adapters.read(spark, sf, "customer").select(F.col("c_custkey").alias("bill_id"), edits.empty_bill(F.array(person(0), person(1))).alias("bill"))
+    none = lambda t: F.lit(None).cast(t)
+    step = lambda i, op, other, text, value: F.struct(F.lit(i).alias("seq"), F.lit(op).alias("op"), none("string").alias("target"), other.alias("other"), text.alias("text"), value.cast("bigint").alias("value"))
+    made = F.array(step(0, "setField", F.lit("total"), none("string"), F.col("bill_id") * 7), step(1, "addItem", none("string"), F.lit("Tea"), F.col("bill_id") % 500))
+    b = F.col("bill")
+    return edits.apply(c, c.select("bill_id", F.inline(made))).select("bill_id", b["subtotal"].alias("subtotal"), b["total"].alias("total"), F.size(b["people"]).alias("people"), b["items"][0]["id"].alias("item"), b["items"][0]["price"].alias("price"), b["next_id"].alias("next_id"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """What each person owes of each bill that closes."""
     return q01_split_shares(spark, sf).orderBy("bill_id", "person_idx")

@@ -17,7 +17,7 @@ BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get batches that are small whatever the length of a text."""
+    """Python workers get batches that are small whatever the length of a text; the session keeps this setting, as plans read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -25,13 +25,13 @@ def bounded_batches(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, which the cluster names.
 
-    Where it is unset, a local master gets a temporary folder and any other master the warehouse.
+    Where it is unset, a local master gets a temporary folder; on any other master that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = os.path.join(tempfile.gettempdir(), "tillproof") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "tillproof")
     return f"{base.rstrip('/')}/tillproof-{tag}-{uuid.uuid4().hex}"
 
 

@@ -150,13 +150,13 @@ class Block:
         return self.ids[c[best]], score[best]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 5, pivots: int = 256, near: int = 64, share: float = 0.15, slots: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 5, pivots: int = 256, near: int = 64, share: float = 0.15, slots: int = 64, block: int = 4096) -> DataFrame:
     """query_id, rank, <key>, score: the k nearest of every query by cosine."""
     schema = f"query_id long, `{key}` long, score double"
     chosen = choose(vectors, key, column, pivots, near)
     if not len(chosen.x):
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    blocks = written(index(vectors, chosen, key, column, slots=slots), "index")
+    blocks = written(index(vectors, chosen, key, column, block, slots), "index")
     asked = written(query_blocks(queries.where(F.col(key).isNotNull()).dropDuplicates([key]), chosen, key, column), "queries")
     dealt = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     pairs = blocks.join(dealt, "slot")

@@ -192,23 +192,13 @@ def bucket_links(rows: DataFrame, masks: list[tuple[int, ...]], radius: int, id_
     keys = F.array(*[F.struct(F.lit(t).alias("t"), *(F.col(f).bitwiseAND(F.lit(signed(m))).alias(f"k{i}") for i, (f, m) in enumerate(zip(fps, mask, strict=True)))) for t, mask in enumerate(masks)])
     by = ["t", *(f"k{i}" for i in range(words))]
     dealt = rows.select("id", *fps, F.explode(keys).alias("k")).select("id", *fps, "k.*")
-    dealt = dealt.repartition(*by).sortWithinPartitions(*by, *fps)
+    dealt = dealt.withColumn("place", F.xxhash64(*by)).repartition("place").sortWithinPartitions("place", *by, *fps)
     bounded_batches(rows.sparkSession)
     whole = np.full(words, ONES, np.uint64)
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            if rest is not None:
-                now = pa.concat_tables([rest, now]).combine_chunks()
-            k = np.stack([now.column(c).to_numpy() for c in by], 1)
-            new = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            last = int(new[-1]) if len(new) else 0
-            yield from done(now.slice(0, last), k[:last])
-            rest = now.slice(last)
-        if rest is not None and rest.num_rows:
-            yield from done(rest, np.stack([rest.column(c).to_numpy() for c in by], 1))
+        for part in whole_runs(batches, "place"):
+            yield from done(part, np.stack([part.column(c).to_numpy() for c in by], 1))
 
     def done(part, k):
         if part.num_rows < 2:

@@ -73,11 +73,10 @@ class Hits(TokenCache):
         self.flag.add(flag)
         self.hash.add(number)
 
-    def features(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of the flags of each text; the hashed words and of which text each is."""
+    def features(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the flags of each text, given as its words; the hashed words and of which text each is."""
         parts, counts = [], np.zeros(len(docs), np.int64)
-        for k, text in enumerate(docs):
-            own = text.split()
+        for k, own in enumerate(docs):
             counts[k] = len(own)
             parts += own
         of = np.repeat(np.arange(len(docs)), counts)
@@ -91,6 +90,20 @@ class Hits(TokenCache):
         return sums, self.hash.a[rows], of
 
 
+    def compact(self, docs: list[str], piece: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with each hashed word of a text once, and its number; a long text goes through in pieces."""
+        sums, found = np.zeros((len(docs), LEXICONS + 6)), []
+        for k, text in enumerate(docs):
+            words = text.split()
+            for a in range(0, len(words), piece):
+                s, h, _ = self.features([words[a : a + piece]])
+                sums[k] += s[0]
+                used, n = np.unique(h, return_counts=True)
+                found.append((used.astype(np.int32), np.full(len(used), k, np.int32), n.astype(np.float32)))
+        h, of, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+        return sums, h, of, n
+
+
 def stray_rate(s: np.ndarray, y: np.ndarray) -> float:
     """The rate of learned words, without a listed insult, up to which they are more often chance than not: long texts hold some.
 
@@ -163,7 +176,7 @@ class Model:
         self.words, self.heads, self.dense, self.hashes, self.bias, self.stray = words, heads, dense, hashes, bias, stray
 
     def score(self, hits: Hits, docs: list[str]) -> np.ndarray:
-        s, h, of = hits.features(docs)
+        s, h, of = hits.features([x.split() for x in docs])
         z = inputs(s, self.stray) @ self.dense + self.bias
         n = np.bincount(of, minlength=len(docs))
         z += np.bincount(of, self.hashes[h], len(docs)) / np.sqrt(np.maximum(n, 1))
@@ -192,16 +205,15 @@ def apart(samples: list[tuple[str, int]], hashes: int = 4) -> list[tuple[str, in
 
 def lexicons(samples: list[tuple[str, int]], least: int = 3) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings whose texts are toxic far more often than others, with their log odds."""
-    counts = ({}, {})
-    heads = ({}, {})
-    total = [1, 1]
-    for text, y in samples:
-        total[y] += 1
-        own = {x.strip(MARKS).lower() for x in text.split()}
-        for w in own:
-            counts[y][w] = counts[y].get(w, 0) + 1
-        for w in {w[:HEAD] for w in own if len(w) > HEAD}:
-            heads[y][w] = heads[y].get(w, 0) + 1
+    counts, heads, total = ({}, {}), ({}, {}), [1, 1]
+    for y in (1, 0):  # of the others' words only those count that toxic texts hold, too
+        for text in (t for t, label in samples if label == y):
+            total[y] += 1
+            own = {x.strip(MARKS).lower() for x in text.split()}
+            for c, found in ((counts, own), (heads, {w[:HEAD] for w in own if len(w) > HEAD})):
+                for w in found:
+                    if y or w in c[1]:
+                        c[y][w] = c[y].get(w, 0) + 1
 
     def odd(c, least, floor):
         out = {}
@@ -220,21 +232,21 @@ def train(samples: list[tuple[str, int]], epochs: int = 150, rate: float = 0.5)
     samples = apart(samples)
     words, heads = lexicons(samples)
     hits = Hits(words, heads)
-    s, h, of = hits.features([t for t, _ in samples])
+    s, h, of, times = hits.compact([t for t, _ in samples])
     stray = stray_rate(s, np.array([y for _, y in samples], int))
     v = votes(s, stray)
     q = LabelModel(v).posterior(v) if len(v) else np.zeros(0)
     x = inputs(s, stray)
-    n = np.sqrt(np.maximum(np.bincount(of, minlength=len(x)), 1))
+    n = np.sqrt(np.maximum(np.bincount(of, times, len(x)), 1))
     dense, hashes, bias = np.zeros(x.shape[1]), np.zeros(1 << BITS), -2.0
     sum_d, sum_h, sum_b = np.full_like(dense, 1e-3), np.full_like(hashes, 1e-3), 1e-3
     for _ in range(epochs if len(x) else 0):
-        z = x @ dense + bias + np.bincount(of, hashes[h], len(x)) / n
+        z = x @ dense + bias + np.bincount(of, hashes[h] * times, len(x)) / n
         miss = q - 1 / (1 + np.exp(-z.clip(-30, 30)))
         g = x.T @ miss / len(x) - 1e-4 * dense
         sum_d += g * g
         dense += rate * g / np.sqrt(sum_d)
-        g = np.bincount(h, (miss / n)[of], 1 << BITS) / len(x) - 1e-3 * hashes
+        g = np.bincount(h, (miss / n)[of] * times, 1 << BITS) / len(x) - 1e-3 * hashes
         sum_h += g * g
         hashes += 0.1 * rate * g / np.sqrt(sum_h)
         b = float(miss.mean())

@@ -313,8 +313,11 @@ def q36_stream_session(spark, sf):
     import tempfile
     import uuid
 
-    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-    base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
     root = f"{base.rstrip('/')}/tillproof-stream-{uuid.uuid4().hex}"
     frames = adapters.frames(spark, sf).select("session_id", "frame_no", "n_items", "items_sum", "items_key", *FIELDS)
     portions = [frames.where(F.col("frame_no").between(k, k + 1)) for k in (1, 3, 5)]

@@ -89,3 +89,26 @@ def test_sql_agrees(spark, sf, name):
     plain = lambda v: None if pd.isna(v) else str(v) if isinstance(v, str) else round(float(v), 9)
     rows = lambda d: sorted(map(repr, (tuple(plain(v) for v in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))))
     assert rows(got) == rows(want)
+
+
+def test_stream_rules_equal_reconcile_on_misread_bills(spark, sf):
+    from tillproof.plans import queries
+    from tillproof.streaming import session
+
+    rows = reconcile(queries.misreads(spark, sf)).collect()
+    assert len({r.m for r in rows}) == 16
+    for r in rows:
+        status, values = session.judge(r.n_items, r.items_sum, {f: r[f] for f in FIELDS})
+        assert (status, [values[f] for f in FIELDS]) == (r.status, [r[f"v_{f}"] for f in FIELDS]), r
+
+
+def test_blocks_of_totals_and_dishes_named_like_labels(spark):
+    from tillproof.operators import receipt
+
+    lines = [("TIP TOP BURGER", 1250), ("MEATBALL SUB", 900), ("TAXI DRIVER STEAK", 2000), ("SUBTOTAL", 4150), ("TAX 8%", 332), ("TIP", 500), ("TOTAL", 4982), ("VISA 1234", 4982)]
+    rows = [(1, k * 100 + i, t, 20.0 + 90 * i, 40.0 * k, 100.0 + 90 * i, 40.0 * k + 20) for k, (label, _) in enumerate(lines) for i, t in enumerate(label.split())]
+    rows += [(1, k * 100 + 99, f"{p // 100}.{p % 100:02d}", 520.0, 40.0 * k, 600.0, 40.0 * k + 20) for k, (_, p) in enumerate(lines)]
+    words = spark.createDataFrame(rows, "receipt_id int, word_idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = receipt.parse(words).first()
+    assert [(i.desc, i.price) for i in got["items"]] == [("MEATBALL SUB", 900), ("TAXI DRIVER STEAK", 2000)]
+    assert (got.subtotal, got.tax, got.tip, got.total) == (4150, 332, 1250, 4982) and got.unreadable == ""

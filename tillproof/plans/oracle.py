@@ -225,6 +225,18 @@ def right(prefix: str) -> str:
     return f"not ({each(prefix + '{f} is distinct from true_{f}', ' or ')})"
 
 
+def policies(profile: str) -> str:
+    """Steps on ses that count what each policy of accepting settles, and the final selection."""
+    tries = " union all ".join(f"select session_id, frame_no, '{name}' as policy, {ok} as ok, {right(p)} as good from ses" for name, ok, p in (("single", "a_status <> 'unresolved'", "a_v_"), ("streak", "b_status <> 'unresolved'", "b_v_"), ("combined", "accepted", "v_")))
+    return f"""tries as ({tries}), best as (select session_id, policy, arg_min(good, frame_no) filter (where ok) as good from tries group by all)
+select {profile} as profile, policy, count(*) as sessions, count(good) as settled, cast(coalesce(sum(cast(good as int)), 0) as bigint) as correct from best group by all"""
+
+
+#: Frames whose amounts are lost by the rule of sources.words.degraded().
+POOR = f"""{PRINTED}, looks as (select receipt_id as session_id, cast(unnest(range(1, 5)) as int) as frame_no, line, label, price, n_items as dishes from printed join bills using (receipt_id) where price is not null),
+reads as (select *, case when (session_id * 31 + line * 7 + frame_no * 13) % 17 > 1 then price end as read from looks),
+seen as (select session_id, frame_no, list_sort(list(read) filter (where line < dishes + 2 and read is not null)) as prices, {each("max(read) filter (where line >= dishes + 3 and label = upper('{f}')) as {f}")} from reads group by all),
+frames as (select s.*, cast(coalesce(len(prices), 0) as bigint) as n_items, cast(coalesce(list_sum(prices), 0) as bigint) as items_sum, coalesce(array_to_string(prices, ','), '') as items_key, {each("b.{f} as true_{f}")} from seen s join bills b on b.receipt_id = session_id)"""
 TONE = f"case when n_items = 0 and coalesce({each('{f}')}) is null then 'idle' when {SETTLES} then 'ok' when status = 'repaired' then 'warn' else 'bad' end"
 TEXTS = ", ".join(f"'{x}'" for x in LINES)
 
@@ -264,12 +276,7 @@ regexp_matches(u, '\b(CASH|CHANGE|VISA|MASTERCARD|MC|AMEX|DEBIT|CREDIT|CARD|TEND
     "q23_dense_latch": f"with {FRAMES}, dense as (select * exclude (n_items), case when frame_no >= 3 then n_items * 4 else n_items end as n_items from frames), {observed('dense')} select session_id, frame_no, needed, c_total, frames_seen from obs",
     "q25_settle_frames": f"with {FRAMES}, {settled('frames')} select session_id, frame_no, via, status, {each('v_{f}')} from ses",
     "q26_session_accept": f"with {FRAMES}, {settled('frames')}, {ACCEPT} select * from told",
-    "q27_policy_compare": f"""with {FRAMES}, {settled('frames')}, tries as (
-select session_id, frame_no, 'single' as policy, a_status <> 'unresolved' as ok, {right('a_v_')} as good from ses union all
-select session_id, frame_no, 'streak', b_status <> 'unresolved', {right('b_v_')} from ses union all
-select session_id, frame_no, 'combined', accepted, {right('v_')} from ses),
-best as (select session_id, policy, arg_min(good, frame_no) filter (where ok) as good from tries group by all)
-select cast(session_id // 10 % 4 as int) as profile, policy, count(*) as sessions, count(good) as settled, cast(coalesce(sum(cast(good as int)), 0) as bigint) as correct from best group by all""",
+    "q27_policy_compare": f"with {FRAMES}, {settled('frames')}, {policies('cast(session_id // 10 % 4 as int)')}",
     "q28_multiset_recall": f"""with {FRAMES}, seen as (select session_id, frame_no, price, count(*) as n from (select session_id, frame_no, unnest(prices) as price from frames) group by all),
 true_items as (select receipt_id as session_id, price, count(*) as n from items group by all),
 hit as (select session_id, frame_no, cast(sum(least(s.n, t.n)) as bigint) as hits from seen s join true_items t using (session_id, price) group by all),
@@ -325,4 +332,6 @@ select v.receipt_id as bill_id, status, no_tip_printed, settles and n_items = 0
     "q50_pgm_decode": f"select vec_id as image_id, 8 as width, 8 as height, array_to_string(list_transform({LEVELS}, lambda v: printf('%02X', v)), '') as pixels from embeddings",
     "q51_crop": f"with l as (select vec_id, {LEVELS} as v from embeddings) select vec_id as image_id, 4 as width, 5 as height, array_to_string(list_transform(range(20), lambda i: printf('%02X', v[(1 + i // 4) * 8 + 2 + i % 4 + 1])), '') as pixels from l",
     "q52_empty_bills": f"select c_custkey as bill_id, {NULL} as subtotal, c_custkey * 7 as total, 2 as people, 'i1' as item, c_custkey % 500 as price, 2 as next_id from customer",
+    "q53_degraded_sessions": f"with {POOR}, {settled('frames')}, {ACCEPT} select * from told",
+    "q54_degraded_policies": f"with {POOR}, {settled('frames')}, {policies('0')}",
 }

@@ -214,20 +214,44 @@ def q26_session_accept(spark, sf):
     return consensus.first_accepted(adapters.frames(spark, sf))
 
 
-@query
-def q27_policy_compare(spark, sf):
-    df = consensus.sessions(adapters.frames(spark, sf)).withColumn("profile", F.expr("cast(session_id div 10 % 4 as int)"))
+def policies(frames: DataFrame, profile: F.Column) -> DataFrame:
+    """How many sessions each policy of accepting settles, and how many of these rightly."""
+    df = consensus.sessions(frames).withColumn("profile", profile)
     right = lambda p: F.coalesce(*(F.when(~F.col(f"{p}{f}").eqNullSafe(F.col(f"true_{f}")), F.lit(False)) for f in FIELDS), F.lit(True))
-    policies = F.array(
+    tries = F.array(
         F.struct(F.lit("single").alias("policy"), (F.col("a_status") != "unresolved").alias("ok"), right("a_v_").alias("right")),
         F.struct(F.lit("streak").alias("policy"), (F.col("b_status") != "unresolved").alias("ok"), right("b_v_").alias("right")),
         F.struct(F.lit("combined").alias("policy"), F.col("accepted").alias("ok"), right("v_").alias("right")),
     )
-    rows = df.select("session_id", "profile", "frame_no", F.inline(policies))
+    rows = df.select("session_id", "profile", "frame_no", F.inline(tries))
     first = rows.groupBy("session_id", "profile", "policy").agg(F.min_by(F.when(F.col("ok"), F.col("right")), F.when(F.col("ok"), F.col("frame_no"))).alias("right"))
     return first.groupBy("profile", "policy").agg(F.count("*").alias("sessions"), F.count("right").alias("settled"), F.sum(F.coalesce(F.col("right").cast("long"), F.lit(0))).alias("correct"))
 
 
+@query
+def q27_policy_compare(spark, sf):
+    return policies(adapters.frames(spark, sf), F.expr("cast(session_id div 10 % 4 as int)"))
+
+
+def poor_frames(spark, sf):
+    """Frames as they come out of the parser when words are degraded, with the truth."""
+    read = receipt.parse(words.degraded(words.words(spark, sf)))
+    prices = F.array_sort(F.transform("items", lambda i: i["price"]))
+    out = read.select(F.expr("receipt_id div 10").alias("session_id"), F.expr("cast(receipt_id % 10 as int)").alias("frame_no"), *FIELDS, F.col("n_items").cast("long").alias("n_items"), "items_sum", F.array_join(prices.cast("array<string>"), ",").alias("items_key"))
+    true = adapters.bills(spark, sf).select(F.col("receipt_id").alias("session_id"), *(F.col(f).alias(f"true_{f}") for f in FIELDS))
+    return out.join(true, "session_id")
+
+
+@query
+def q53_degraded_sessions(spark, sf):
+    return consensus.first_accepted(poor_frames(spark, sf))
+
+
+@query
+def q54_degraded_policies(spark, sf):
+    return policies(poor_frames(spark, sf), F.lit(0))
+
+
 @query
 def q28_multiset_recall(spark, sf):
     f = adapters.frames(spark, sf)

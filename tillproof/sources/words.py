@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import format_cents, strip
@@ -55,6 +55,20 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(lines(spark, sf_dir))
 
 
+def degraded(words: DataFrame, frames: int = 4) -> DataFrame:
+    """Words as a few poor frames of each receipt would have them: amounts lose their decimal point or are lost, and the paper turns a little.
+
+    receipt_id becomes ten times the receipt's own plus the number of the frame.
+    """
+    shaken = words.withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(frames))))
+    luck = F.expr("(receipt_id * 31 + word_idx div 100 * 7 + frame * 13) % 17")
+    amount = F.col("x1") == F.lit(float(RIGHT))
+    kept = shaken.where(~(amount & (luck == 1)))
+    turn = (F.col("frame") - 2) * F.lit(0.005) * (F.col("x0") + F.col("x1")) / 2
+    text = F.when(amount & (luck == 0), F.replace("text", F.lit("."), F.lit(""))).otherwise(F.col("text"))
+    return kept.select((F.col("receipt_id") * 10 + F.col("frame")).alias("receipt_id"), "word_idx", text.alias("text"), "x0", (F.col("y0") + turn).alias("y0"), "x1", (F.col("y1") + turn).alias("y1"), "confidence")
+
+
 def flatten(trees: DataFrame, column: str = "tree", key: str = "receipt_id") -> DataFrame:
     """key, word_idx, text, box and confidence out of a recogniser's JSON: blocks, paragraphs, lines, words.
 
@@ -111,6 +125,3 @@ def gray(path_frame: DataFrame) -> DataFrame:
     head = F.regexp_extract(text, r"^P5\s(\d+)\s(\d+)\s255\s", 0)
     return path_frame.where(F.length(head) > 0).select("path", F.regexp_extract(text, r"^P5\s(\d+)", 1).cast("int").alias("width"), F.regexp_extract(text, r"^P5\s\d+\s(\d+)", 1).cast("int").alias("height"), F.expr("substring(content, length(regexp_extract(decode(substring(content, 1, 40), 'ISO-8859-1'), '^P5\\\\s\\\\d+\\\\s\\\\d+\\\\s255\\\\s', 0)) + 1)").alias("data"))
 
-
-def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)

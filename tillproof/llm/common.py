@@ -35,10 +35,19 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/tillproof-{tag}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: its shuffle files go when the write ends, as nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df from a written table: lineage ends there, and a lost executor costs no more than its own tasks."""
     spark, path = df.sparkSession, work_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before or "false")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,8 @@ pairs. A large bucket is split again by the same principle.
 
 Similar shingle sets are found exactly, too: shingles have one order, rare ones first, and two sets
 of a Jaccard similarity share one of their first shingles, so many that the rest can't make it up.
-Pairs that share enough of them in small buckets are checked on the whole sets; what shares a large bucket
-meets in tiles of bounded size, is compared there and gives a star for each connected part, not its pairs.
+What shares enough of them in small buckets, or a large bucket, meets in tiles of bounded size, is compared there
+on the whole sets and gives a star for each connected part, not its pairs.
 
 Edge cases: a text with fewer words than a shingle is one shingle, one without words has fingerprint
 zero; null texts count as empty; equal texts link; null ids count as no id (the smallest id of a
@@ -492,7 +492,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similar
 
     Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked, and linked classes form
     groups. Similar classes share one of their first shingles. In buckets of at most `large` classes the pairs are
-    counted, and those that share enough are checked; pairs that share a larger bucket are compared there, in tiles.
+    counted, and what shares enough with a class is its group; a larger bucket is its hub's group. All groups are
+    compared in tiles.
     """
     prints = written(prefixes(docs, key, size, similarity), "prints")
     classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(key, "text_hash")).alias("least"))
@@ -502,22 +503,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similar
     least = F.ceil(F.lit(similarity) * F.col("nb") - 1e-6) - 1
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
     # A pair that also shares a large bucket may be counted too low here; it is compared there.
-    pairs = written(sharing_pairs(sized.where(F.col("m") <= large), similarity).where(F.col("c") + least >= enough).select("a", "b"), "candidates")
-    groups = written(hub_groups(sized.where(F.col("m") > large)), "hubs")
-    wanted = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).union(groups.select("number")).distinct()
-    sets = written(whole_sets(docs, classes.join(wanted, "number", "left_semi"), key, size), "sets")
-    links = written(verified(pairs, sets, similarity).union(tile_links(groups, sets, similarity)), "links")
+    pairs = sharing_pairs(sized.where(F.col("m") <= large), similarity).where(F.col("c") + least >= enough)
+    ends = F.array(F.struct(F.col("a").alias("number"), F.col("na").alias("n")), F.struct(F.col("b").alias("number"), F.col("nb").alias("n")))
+    paired = pairs.select(F.col("a").alias("hub"), F.inline(ends)).distinct()
+    groups = written(paired.unionByName(hub_groups(sized.where(F.col("m") > large))).distinct(), "groups")
+    dropped(shared)
+    sets = written(whole_sets(docs, classes.join(groups.select("number").distinct(), "number", "left_semi"), key, size), "sets")
+    dropped(classes)
+    links = written(tile_links(groups, sets, similarity), "links")
+    dropped(groups)
+    dropped(sets)
     label = components(links)
-    for done in (classes, shared, pairs, groups, sets):
-        dropped(done)
+    dropped(links)
     return prints.join(label.select(F.col("v").alias("set_hash"), "root"), "set_hash", "left").select(key, "text_hash", F.col("set_hash").alias("class_id"), F.coalesce("root", "set_hash").alias("group_id"))
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, key: str, size: int) -> DataFrame:
     """number, id and own (the hashes of the shingles, in order) of the classes, from one text of each."""
-    wanted = classes.select("id", "number", F.col("least")[key].alias("wanted_key"), F.col("least")["text_hash"].alias("wanted_hash"))
-    own = docs.select(F.col(key).alias("own_key"), "text", F.xxhash64("text").alias("own_hash"))
-    chosen = own.join(wanted, F.col("own_key").eqNullSafe(F.col("wanted_key")) & (F.col("own_hash") == F.col("wanted_hash"))).select("id", "number", "text").dropDuplicates(["id"])
+    row = lambda k, h: F.xxhash64(k, h).alias("row")
+    wanted = classes.select("id", "number", row(F.col("least")[key], F.col("least")["text_hash"]))
+    own = docs.select("text", row(F.col(key), F.xxhash64("text")))
+    chosen = own.join(wanted, "row").dropDuplicates(["row"])
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -529,27 +535,6 @@ def whole_sets(docs: DataFrame, classes: DataFrame, key: str, size: int) -> Data
     return in_batches(chosen.select("id", "number", "text"), make, "number long, id string, own binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the pairs whose shingle sets are similar enough, by id."""
-    x = sets.select(F.col("number").alias("a"), F.col("id").alias("a_id"), F.col("own").alias("x"))
-    y = sets.select(F.col("number").alias("b"), F.col("id").alias("b_id"), F.col("own").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a_id", "b_id", "x", "y")
-
-    def compare():
-        def step(batch: pa.RecordBatch):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            found = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([found.column("a_id"), found.column("b_id")], ["a", "b"])
-
-        return step
-
-    return in_batches(both, compare, "a string, b string")
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the least key (then text hash) stays.
 

@@ -82,6 +82,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def in_slices(rows: list, size: int = 128) -> Iterator[list]:
+    """Parts of a batch, so that what a worker holds for each token at once stays small."""
+    return (rows[a : a + size] for a in range(0, len(rows), size))
+
+
 class TokenCache(dict):
     """token -> row of arrays that fill() computes for many new tokens at a time.
 

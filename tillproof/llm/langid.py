@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Grown, TokenCache, in_batches, spread, texts
+from .common import Grown, TokenCache, in_batches, in_slices, spread, texts
 
 BITS, SEQ = 15, 256
 MARKS = ".,;:!?\"'()[]{}<>«»&%$#*|-_=+/\\@~^`"
@@ -39,7 +39,7 @@ class Words(TokenCache):
     """Token -> hashed features; kind is 1 for a word, 0 for a token without letters, 2 for a line's end."""
 
     def __init__(self, lexicon: dict[str, int], weights: np.ndarray | None = None):
-        super().__init__(600_000)
+        super().__init__(200_000)
         self.lexicon, self.weights = lexicon, weights
         self.reset()
 
@@ -332,7 +332,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str,
         words = Words(model.lexicon, model.weights)
 
         def step(batch: pa.RecordBatch):
-            langs, score = model.predict(words, texts(batch))
+            found = [model.predict(words, part) for part in in_slices(texts(batch))]
+            langs, score = [x for own, _ in found for x in own], np.concatenate([p for _, p in found])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
         return step

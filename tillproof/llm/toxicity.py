@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import Grown, TokenCache, in_batches, texts
+from .common import Grown, TokenCache, in_batches, in_slices, texts
 from .langid import MARKS, id_mod
 
 #: Insults in the four languages; fixed values.
@@ -45,7 +45,7 @@ class Hits(TokenCache):
     """Token -> hit flags, a weight in each lexicon and a hashed number."""
 
     def __init__(self, words: dict[str, float], heads: dict[str, float]):
-        super().__init__(600_000)
+        super().__init__(200_000)
         self.words, self.heads = words, heads
         self.reset()
 
@@ -86,7 +86,7 @@ class Hits(TokenCache):
         rows = self.rows(parts)
         flag = self.flag.a[rows]
         some = counts > 0
-        sums[some] = np.add.reduceat(flag.astype(np.float64), (np.cumsum(counts) - counts)[some], 0)
+        sums[some] = np.add.reduceat(flag, (np.cumsum(counts) - counts)[some], 0, dtype=np.float64)
         return sums, self.hash.a[rows], of
 
 
@@ -279,7 +279,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str,
         hits = Hits(model.words, model.heads)
 
         def step(batch: pa.RecordBatch):
-            score = model.score(hits, texts(batch))
+            score = np.concatenate([model.score(hits, part) for part in in_slices(texts(batch))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array((score >= cut).astype(np.int32))], [*names, "score", "predicted"])
 
         return step

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over their whole tables, and SQL where it can say the same."""
+"""The queries op1 to op13 over their whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, langid, licenses, maxent_lm, permutation_index, repair, simhash, toxicity
+from . import byte_bpe, decontaminate, html_text, langid, licenses, maxent_lm, permutation_index, repair, runs, simhash, toxicity
 from .common import table
 
 
@@ -58,6 +58,12 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(docs).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", runs.with_planted_period(docs.text, docs.doc_id).alias("text"))
+    return runs.digests(runs.periodic_runs(planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent_lm": op1_maxent_lm,
     "op2_repair_token_files": op2_repair_token_files,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dom_main_text": op8_dom_main_text,
     "op9_permutation_index": op9_permutation_index,
     "op10_crf_language": op10_crf_language,
+    "op11_word_runs": op11_word_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {}

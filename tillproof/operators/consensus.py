@@ -1,7 +1,8 @@
 """Readings of one receipt, frame by frame: what agrees long enough is confirmed.
 
-Batch form: gaps and islands over windows of session_id ordered by frame_no, all sharing one
-exchange and one sort. streaming.session holds the same rules as keyed state.
+Batch form: every streak is a running number less the last one at which the value changed, so all of them, the latch and
+the repeats share one exchange and one sort by session_id and frame_no. streaming.session holds the same rules as keyed
+state.
 """
 
 from __future__ import annotations
@@ -18,37 +19,48 @@ def by(session: str = "session_id", frame: str = "frame_no") -> Window:
     return Window.partitionBy(session).orderBy(frame)
 
 
+def so_far(session: str = "session_id", frame: str = "frame_no") -> Window:
+    return by(session, frame).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def streaks(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """For each column (by the name it gets) how many frames in a row have held its value; 0 where it wasn't read.
+
+    Adds _n, the number of the frame in its session.
+    """
+    before = df.withColumns({"_n": F.row_number().over(by())} | {f"_was_{out}": F.lag(value).over(by()) for out, value in values.items()})
+    new = {out: F.col(value).isNull() | ~F.col(value).eqNullSafe(F.col(f"_was_{out}")) for out, value in values.items()}
+    since = before.withColumns({f"_since_{out}": F.max(F.when(n, F.col("_n"))).over(so_far()) for out, n in new.items()})
+    runs = {out: F.when(F.col(value).isNull(), 0).otherwise(F.col("_n") - F.col(f"_since_{out}") + 1) for out, value in values.items()}
+    return since.withColumns(runs).drop(*(f"_{k}_{out}" for out in values for k in ("was", "since")))
+
+
 def streak(df: DataFrame, value: str, out: str) -> DataFrame:
     """How many frames in a row have held this value; 0 where it wasn't read."""
-    new = F.col(value).isNull() | ~F.col(value).eqNullSafe(F.lag(value).over(by()))
-    island = df.withColumn("_i", F.sum(new.cast("int")).over(by()))
-    run = F.row_number().over(Window.partitionBy("session_id", "_i").orderBy("frame_no"))
-    return island.withColumn(out, F.when(F.col(value).isNull(), 0).otherwise(run)).drop("_i")
+    return streaks(df, {out: value}).drop("_n")
 
 
 def run_length(df: DataFrame, holds: Column, out: str) -> DataFrame:
     """How many frames in a row the condition has held, up to this one."""
-    one = df.withColumn("_h", holds).withColumn("_i", F.sum((~F.col("_h")).cast("int")).over(by()))
-    run = F.sum(F.col("_h").cast("int")).over(Window.partitionBy("session_id", "_i").orderBy("frame_no"))
-    return one.withColumn(out, run.cast("int")).drop("_h", "_i")
+    one = df.withColumns({"_h": false(holds), "_k": F.row_number().over(by())})
+    last = F.max(F.when(~F.col("_h"), F.col("_k"))).over(so_far())
+    return one.withColumn(out, F.when(F.col("_h"), F.col("_k") - F.coalesce(last, F.lit(0))).otherwise(0)).drop("_h", "_k")
 
 
-def observe(frames: DataFrame, confirmations: int | None = None) -> DataFrame:
+def observe(frames: DataFrame, confirmations: int | None = None, also: dict[str, str] | None = None) -> DataFrame:
     """Streaks, the confirmations needed, what is confirmed, and whether the hand is unsteady.
 
     frames: session_id, frame_no, the four totals, n_items, items_sum, items_key. A crowded page
     (25 money tokens in any frame so far) needs a third confirmation, from then on, for all fields.
+    also: further streaks, as streaks() takes them.
     """
     df = frames.withColumn("_key", F.when(F.col("n_items") > 0, F.col("items_key")))
-    for f in FIELDS:
-        df = streak(df, f, f"streak_{f}")
-    df = streak(df, "_key", "streak_items")
+    df = streaks(df, {f"streak_{f}": f for f in FIELDS} | {"streak_items": "_key"} | (also or {}))
     tokens = F.col("n_items") + sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
-    dense = F.max((tokens >= DENSE).cast("int")).over(by().rowsBetween(Window.unboundedPreceding, 0))
+    dense = F.max((tokens >= DENSE).cast("int")).over(so_far())
     needed = F.lit(confirmations) if confirmations else F.when(dense == 1, 3).otherwise(2)
-    df = df.withColumns({"needed": needed, "frames_seen": F.row_number().over(by())})
-    streaks = [F.col(f"streak_{f}") for f in (*FIELDS, "items")]
-    df = df.withColumns({"saw": F.greatest(*streaks) >= 1, "agreed": F.greatest(*streaks) >= 2})
+    most = F.greatest(*(F.col(f"streak_{f}") for f in (*FIELDS, "items")))
+    df = df.withColumns({"needed": needed, "saw": most >= 1, "agreed": most >= 2}).withColumnRenamed("_n", "frames_seen")
     df = run_length(df, F.col("saw") & ~F.col("agreed"), "disagreements").withColumn("unsteady", F.col("disagreements") >= UNSTEADY)
     held = {f"c_{f}": F.when(F.col(f"streak_{f}") >= F.col("needed"), F.col(f)) for f in FIELDS}
     items = F.col("streak_items") >= F.col("needed")
@@ -56,9 +68,14 @@ def observe(frames: DataFrame, confirmations: int | None = None) -> DataFrame:
 
 
 def settle(frames: DataFrame, confirmations: int | None = None) -> DataFrame:
-    """Each frame alone, then the confirmed view: via is frame, consensus or null, with the status and values that count."""
-    alone = reconcile(observe(frames, confirmations), out="a_")
-    both = reconcile(alone, prefix="c_", out="b_")
+    """Each frame alone, then the confirmed view: via is frame, consensus or null, with the status and values that count.
+
+    repeats: for how many frames in a row the same repair has been made of a frame alone.
+    """
+    alone = reconcile(frames, out="a_")
+    values = F.array_join(F.array(*(F.coalesce(F.col(f"a_v_{f}").cast("string"), F.lit("x")) for f in FIELDS)), "/")
+    alone = alone.withColumn("_repair", F.when(F.col("a_status") == "repaired", F.concat(values, F.lit("|"), F.col("items_key"))))
+    both = reconcile(observe(alone, confirmations, {"repeats": "_repair"}).drop("_repair"), prefix="c_", out="b_")
     settled = F.col("a_status") != "unresolved"
     agreed = ~settled & (F.col("b_status") != "unresolved")
     pick = lambda name: F.when(agreed, F.col(f"b_{name}")).otherwise(F.col(f"a_{name}"))
@@ -69,14 +86,10 @@ def sessions(frames: DataFrame) -> DataFrame:
     """The accept policy on top: a reconciled frame or a confirmed view settles; a repaired frame needs the same
     repair in the next frame."""
     df = settle(frames)
-    values = F.array_join(F.array(*(F.coalesce(F.col(f"v_{f}").cast("string"), F.lit("x")) for f in FIELDS)), "/")
-    repaired = (F.col("via") == "frame") & (F.col("status") == "repaired")
-    df = df.withColumn("_repair", F.when(false(repaired), F.concat(values, F.lit("|"), F.col("items_key"))))
-    df = streak(df, "_repair", "repeats")
     accepted = false(F.col("status") == "reconciled") | false(F.col("via") == "consensus") | (F.col("repeats") >= REPEATS)
     saw = (F.col("n_items") > 0) | F.coalesce(*(F.when(F.col(f).isNotNull(), F.lit(True)) for f in FIELDS), F.lit(False))
     df = df.withColumn("accepted", F.col("via").isNotNull() & accepted)
-    return df.withColumns({"awaiting_repeat": (F.col("repeats") >= 1) & ~F.col("accepted"), "saw_money": saw}).drop("_repair")
+    return df.withColumns({"awaiting_repeat": (F.col("repeats") >= 1) & ~F.col("accepted"), "saw_money": saw})
 
 
 def first_accepted(frames: DataFrame) -> DataFrame:

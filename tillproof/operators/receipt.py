@@ -1,15 +1,21 @@
 """From located words to a parsed receipt: rows by geometry, then prices, labels and items.
 
 Words have receipt_id, word_idx, text, x0, y0, x1, y1. A receipt's words are collected once, by the only shuffle;
-slope, rows, column, prices, labels and fields are array functions on that one row.
+slope and rows are worked out for batches of receipts (layout); column, prices, labels and fields are array functions
+on that one row. Words without text or box don't count; a receipt without words has no rows, a line height of 1 and no
+slope.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import WS, parse_cents, strip
+from . import layout
 
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 SP = f"[{WS}]"
@@ -49,69 +55,35 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def median(values: Column) -> Column:
-    """Of an array of numbers; null if it is empty."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
-
-
 def pages(words: DataFrame) -> DataFrame:
-    """receipt_id, ws (its words), line_height and slope: the one shuffle of a parse.
+    """receipt_id and ws, its words that have a text and a box, in any order: the one shuffle of a parse."""
+    whole = functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ("text", "x0", "y0", "x1", "y1")))
+    place = (F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))
+    word = F.struct(F.col("word_idx").cast("bigint").alias("word_idx"), "text", *place, parse_cents("text").alias("cents"))
+    return words.groupBy("receipt_id").agg(F.collect_list(F.when(whole, word)).alias("ws"))
 
-    The slope is the median over the words of the slope to the nearest right-hand neighbour; a steep one counts as none.
-    """
-    word = F.struct("word_idx", "text", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    page = words.groupBy("receipt_id").agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    m = median(F.transform("ws", lambda w: w["y1"] - w["y0"]))
-    page = fixed(page, line_height=F.when(m == 0, 1.0).otherwise(m))
-    tall = F.col("line_height")
 
-    def neighbour(a: Column) -> Column:
-        near = F.filter("ws", lambda b: (a["word_idx"] != b["word_idx"]) & (b["x0"] - a["x1"]).between(0, 3 * tall) & (F.abs(b["cy"] - a["cy"]) <= 1.5 * tall))
-        return F.array_min(F.transform(near, lambda b: F.struct((b["x0"] - a["x1"]).alias("gap"), b["x0"].alias("x0"), b["word_idx"].alias("word_idx"), (b["cx"] - a["cx"]).alias("dx"), (b["cy"] - a["cy"]).alias("dy"))))
-
-    pairs = F.filter(F.transform("ws", neighbour), lambda n: n.isNotNull() & (F.abs(n["dx"]) >= 1))
-    s = F.coalesce(median(F.transform(pairs, lambda n: n["dy"] / n["dx"])), F.lit(0.0))
-    page = fixed(page, found=s)
-    return page.select("receipt_id", "ws", "line_height", F.when(F.abs("found") > 0.3, 0.0).otherwise(F.col("found")).alias("slope"))
+def laid_out(words: DataFrame, kernel: Callable, made: str) -> DataFrame:
+    """A kernel of layout over batches of receipts; bounded in rows and bytes."""
+    page = pages(words)
+    conf = page.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return page.mapInArrow(kernel, f"receipt_id {page.schema['receipt_id'].dataType.simpleString()}, {made}")
 
 
 def slopes(words: DataFrame) -> DataFrame:
-    """receipt_id, line_height, slope."""
-    return pages(words).drop("ws")
+    """receipt_id, line_height and slope.
+
+    The line height is the median of the words' heights (1 if that is 0), the slope the median over the words of the
+    slope to the nearest right-hand neighbour; a steep one counts as none.
+    """
+    return laid_out(words, layout.slopes, "line_height double, slope double")
 
 
 def page_rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
     """receipt_id and rows: an array of row_idx, y, flat_y, x0, y0, x1, y1, text and words (in reading order)."""
-    word = lambda w: F.struct((w["cy"] - F.col("slope") * w["cx"]).alias("flat"), *(w[k].alias(k) for k in ("word_idx", "x0", "y0", "x1", "y1", "cy", "text")))
-    page = fixed(pages(words), flat_ws=F.array_sort(F.transform("ws", word))).drop("ws")
-    start = F.struct(F.array().cast("array<int>").alias("rows"), F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        joins = (acc["n"] > 0) & (F.abs(x["flat"] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) <= F.col("line_height") * tolerance)
-        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
-        return F.struct(F.array_append(acc["rows"], row).alias("rows"), row.alias("row"), F.when(joins, acc["sum"] + x["flat"]).otherwise(x["flat"]).alias("sum"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"))
-
-    page = fixed(page, of=F.aggregate("flat_ws", start, fold)["rows"])
-
-    def gathered(g: Column) -> Column:
-        own = F.filter(F.arrays_zip(F.col("flat_ws").alias("w"), F.col("of").alias("r")), lambda z: z["r"] == g)
-        return F.struct(g.alias("group"), F.array_sort(F.transform(own, lambda z: F.struct(*(z["w"][k].alias(k) for k in ("x0", "flat", "word_idx", "x1", "text", "y0", "y1", "cy"))))).alias("ws"))
-
-    page = fixed(page, groups=F.transform(F.when(F.size("of") > 0, F.sequence(F.lit(0), F.array_max("of"))).otherwise(F.array().cast("array<int>")), gathered))
-    mean = lambda ws, k: F.aggregate(ws, F.lit(0.0), lambda s, w: s + w[k]) / F.size(ws)
-    least, most = lambda ws, k: F.array_min(F.transform(ws, lambda w: w[k])), lambda ws, k: F.array_max(F.transform(ws, lambda w: w[k]))
-
-    def row(g: Column) -> Column:
-        ws = g["ws"]
-        seen = F.transform(ws, lambda w: F.struct(w["text"].alias("text"), w["x1"].alias("x1"), parse_cents(w["text"]).alias("cents")))
-        text = F.array_join(F.transform(ws, lambda w: w["text"]), " ")
-        return F.struct(mean(ws, "flat").alias("flat_y"), g["group"].alias("group"), mean(ws, "cy").alias("y"), least(ws, "x0").alias("x0"), least(ws, "y0").alias("y0"), most(ws, "x1").alias("x1"), most(ws, "y1").alias("y1"), text.alias("text"), seen.alias("words"))
-
-    page = fixed(page, sorted_rows=F.array_sort(F.transform("groups", row)))
-    names = ("y", "flat_y", "x0", "y0", "x1", "y1", "text", "words")
-    return fixed(page.select("receipt_id", "sorted_rows"), rows=F.transform("sorted_rows", lambda r, i: F.struct(i.alias("row_idx"), *(r[k].alias(k) for k in names)))).drop("sorted_rows")
+    return laid_out(words, layout.rows(tolerance), f"rows {layout.ROWS_SQL}")
 
 
 def rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:

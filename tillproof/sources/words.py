@@ -11,9 +11,9 @@ from . import adapters
 #: Layout of a printed receipt in pixels; fixed values.
 LINE, LEFT, RIGHT, TOP, ADVANCE, TALL = 30, 45, 575, 60, 12.6, 15
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
-OCR_WORD = f"struct<text:string,bbox:{BOX},confidence:double>"
-OCR_LINE = f"struct<words:array<{OCR_WORD}>>"
-OCR_TREE = f"struct<blocks:array<struct<paragraphs:array<struct<lines:array<{OCR_LINE}>>>>>,lines:array<{OCR_LINE}>,words:array<{OCR_WORD}>>"
+#: Under these names a recogniser's node keeps what is inside it, looked for in this order; fixed values.
+INSIDE = ("blocks", "paragraphs", "lines", "children")
+FOUND = f"array<struct<text:string,bbox:{BOX},confidence:double>>"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,26 +69,79 @@ def degraded(words: DataFrame, frames: int = 4) -> DataFrame:
     return kept.select((F.col("receipt_id") * 10 + F.col("frame")).alias("receipt_id"), "word_idx", text.alias("text"), "x0", (F.col("y0") + turn).alias("y0"), "x1", (F.col("y1") + turn).alias("y1"), "confidence")
 
 
-def flatten(trees: DataFrame, column: str = "tree", key: str = "receipt_id") -> DataFrame:
-    """key, word_idx, text, box and confidence out of a recogniser's JSON: blocks, paragraphs, lines, words.
+def word_lists(trees: DataFrame, column: str = "tree", key: str = "receipt_id") -> DataFrame:
+    """key, readable, ws: all words in a recogniser's JSON of any layout and depth, in order; a row for every tree.
 
-    Words without text or box go; unknown confidence is 0. The children of a list of words aren't visited.
+    A walk from the root: of an array each element, of an object its list `words` and nothing else, or, where it has
+    none, what it keeps under INSIDE; anything else holds nothing. Words without text or box go; a confidence that isn't
+    a number is 0. A tree that isn't JSON (or has a name twice in one object, or exceeds a VARIANT) is not readable and
+    has no words. The walk is one array that is opened level by level in its place, for as long as it has open nodes.
     """
-    t = F.from_json(column, OCR_TREE)
-    empty = F.array().cast(f"array<{OCR_LINE}>")
-    deep = F.flatten(F.transform(F.coalesce(t["blocks"], F.array().cast("array<struct<paragraphs:array<struct<lines:array<" + OCR_LINE + ">>>>>")), lambda b: F.flatten(F.transform(F.coalesce(b["paragraphs"], F.array().cast(f"array<struct<lines:array<{OCR_LINE}>>>")), lambda p: F.coalesce(p["lines"], empty)))))
-    found = F.flatten(F.transform(F.concat(deep, F.coalesce(t["lines"], empty)), lambda x: F.coalesce(x["words"], F.array().cast(f"array<{OCR_WORD}>"))))
-    all_words = F.coalesce(t["words"], found)
-    clean = F.filter(F.transform(all_words, lambda w: F.struct(strip(w["text"]).alias("text"), w["bbox"].alias("bbox"), F.coalesce(w["confidence"], F.lit(0.0)).alias("confidence"))), lambda w: F.coalesce(w["text"] != "", F.lit(False)) & w["bbox"].isNotNull())
-    return trees.select(key, F.posexplode(clean).alias("word_idx", "w")).select(key, "word_idx", "w.text", "w.bbox.x0", "w.bbox.y0", "w.bbox.x1", "w.bbox.y1", "w.confidence")
+    node = lambda v, done: F.struct(v.alias("v"), F.lit(done).alias("word"))
+    get = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
+
+    def opened(n: Column) -> Column:
+        v = n["v"]
+        elements, words = get(v, "$", "array<variant>"), get(v, "$.words", "array<variant>")
+        inside = F.array_compact(F.array(*(get(v, f"$.{k}") for k in INSIDE)))
+        as_nodes = lambda vs, done: F.transform(vs, lambda x: node(x, done))
+        return F.when(n["word"], F.array(n)).when(elements.isNotNull(), as_nodes(elements, False)).when(words.isNotNull(), as_nodes(words, True)).otherwise(as_nodes(inside, False))
+
+    def level(seen: Column, _: Column) -> Column:
+        more = F.struct(F.flatten(F.transform(seen["nodes"], opened)).alias("nodes"), F.exists(seen["nodes"], lambda n: ~n["word"]).alias("open"))
+        return F.when(seen["open"], more).otherwise(seen)
+
+    root = F.struct(F.array(node(F.col("_root"), False)).alias("nodes"), F.lit(True).alias("open"))
+    deepest = F.length(F.regexp_replace(column, r"[^\[{]", "")) + 2
+    leaves = F.aggregate(F.sequence(F.lit(1), deepest), root, level)["nodes"]
+
+    def word(n: Column) -> Column:
+        text, box, sure = get(n["v"], "$.text"), get(n["v"], "$.bbox"), get(n["v"], "$.confidence")
+        has_box = box.isNotNull() & ~F.is_variant_null(box) & ~F.coalesce(F.to_json(box).isin("false", "0", '""'), F.lit(False))
+        number = F.schema_of_variant(sure).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        return F.struct(
+            F.when(F.schema_of_variant(text) == "STRING", strip(get(n["v"], "$.text", "string"))).alias("text"),
+            F.when(has_box, F.struct(*(get(box, f"$.{k}", "double").alias(k) for k in ("x0", "y0", "x1", "y1")))).alias("bbox"),
+            F.coalesce(F.when(number, get(n["v"], "$.confidence", "double")), F.lit(0.0)).alias("confidence"),
+        )
+
+    kept = F.filter(F.transform(leaves, word), lambda w: F.coalesce(w["text"] != "", F.lit(False)) & w["bbox"].isNotNull())
+    read = trees.select(key, F.col(column), F.try_parse_json(column).alias("_root"))
+    found = F.when(F.col("_root").isNotNull(), kept).otherwise(F.array().cast(FOUND))
+    return read.select(key, F.col("_root").isNotNull().alias("readable"), found.alias("ws"))
+
+
+def flatten(trees: DataFrame, column: str = "tree", key: str = "receipt_id") -> DataFrame:
+    """key, word_idx, text, box and confidence: the words of word_lists(), a row each; trees without words give none."""
+    each = word_lists(trees, column, key).select(key, F.posexplode("ws").alias("word_idx", "w"))
+    return each.select(key, "word_idx", "w.text", "w.bbox.x0", "w.bbox.y0", "w.bbox.x1", "w.bbox.y1", "w.confidence")
 
 
-def to_tree(words: DataFrame) -> DataFrame:
-    """receipt_id, tree: words as a recogniser would give them, a line each."""
+def to_tree(words: DataFrame, layout: Column | None = None) -> DataFrame:
+    """receipt_id, tree: words as recognisers of several versions would give them; layout (0 to 7) says in which way."""
+    by = F.col("receipt_id") % 8 if layout is None else layout
     word = F.struct(F.col("text"), F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.col("confidence"))
-    line = words.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", word.alias("w")))).alias("ws"))
-    one = F.transform("ws", lambda x: F.struct(F.array(x["w"]).alias("words")))
-    return line.select("receipt_id", F.to_json(F.struct(F.array(F.struct(F.array(F.struct(one.alias("lines"))).alias("paragraphs"))).alias("blocks"))).alias("tree"))
+    page = words.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.to_json(word).alias("w")))).alias("ws"))
+    page = page.select("receipt_id", F.transform("ws", lambda x: x["w"]).alias("ws"))
+    half = F.floor(F.size("ws") / 2).cast("int")
+    first, second = F.slice("ws", F.lit(1), half), F.slice("ws", half + 1, F.size("ws"))
+    listed = lambda ws: F.concat(F.lit("["), F.array_join(ws, ","), F.lit("]"))
+    having = lambda name, inner: F.concat(F.lit(f'{{"{name}":'), inner, F.lit("}"))
+    each = lambda ws: listed(F.transform(ws, lambda w: F.concat(F.lit('{"words":['), w, F.lit("]}"))))
+    one = lambda x: F.concat(F.lit("["), x, F.lit("]"))
+    deep = (F.col("receipt_id") % 50 + 1).cast("int")
+    blank = '{"text":"  ","bbox":{"x0":1,"y0":1,"x1":2,"y1":2}},{"text":"no box"},{"text":7,"bbox":{"x0":1}},{"bbox":{"x0":1}},'
+    layouts = [
+        having("blocks", one(having("paragraphs", one(having("lines", each(F.col("ws"))))))),
+        having("words", listed(F.col("ws"))),
+        having("lines", each(F.col("ws"))),
+        having("blocks", F.concat(F.lit("["), having("lines", each(first)), F.lit(","), having("paragraphs", having("words", listed(second))), F.lit("]"))),
+        F.concat(F.repeat(F.lit('{"children":['), deep), having("words", listed(F.col("ws"))), F.repeat(F.lit("]}"), deep)),
+        F.concat(F.lit("["), each(first), F.lit(",[[],[["), having("words", listed(second)), F.lit(']],null,5,"words"]]')),
+        F.concat(F.lit('{"lines":'), each(second), F.lit(',"symbols":[{"words":[{"text":"never","bbox":{}}]}],"words":"none","blocks":'), each(first), F.lit("}")),
+        F.concat(F.lit('{"lines":[{"words":[{"text":"never","bbox":{}}]}],"words":[' + blank), F.array_join("ws", ","), F.lit("]}")),
+    ]
+    return page.select("receipt_id", F.coalesce(*(F.when(by == k, x) for k, x in enumerate(layouts))).alias("tree"))
 
 
 def extent(words: DataFrame) -> DataFrame:

@@ -9,7 +9,11 @@ import pytest
 
 from tillproof.operators import layout, receipt
 
-KIND = pa.list_(pa.struct([("word_idx", pa.int64()), ("text", pa.string()), *((k, pa.float64()) for k in ("x0", "y0", "x1", "y1")), ("cents", pa.int64())]))
+KIND = pa.schema([("receipt_id", pa.int64()), ("word_idx", pa.int64()), ("text", pa.string()), *((k, pa.float64()) for k in ("x0", "y0", "x1", "y1")), ("cents", pa.int64())])
+
+
+def table(pages: list[list[dict]]) -> pa.Table:
+    return pa.Table.from_pylist([{"receipt_id": k} | w for k, ws in enumerate(pages) for w in ws], KIND)
 
 
 def page(rnd: random.Random, n: int) -> list[dict]:
@@ -55,9 +59,12 @@ def plain(ws: list[dict], tolerance: float = 0.6) -> tuple[float, float, list[li
 def test_kernel_equals_loops(seed):
     rnd = random.Random(seed)
     pages = [page(rnd, rnd.choice([0, 1, 2, 9, 30, 60, 150])) for _ in range(40)]
-    p = layout.Pages(pa.array(pages, KIND))
+    p = layout.Pages(table(pages))
     rows = p.rows(0.6, layout.ROWS).to_pylist()
-    for k, ws in enumerate(pages):
+    batches = table(pages).to_batches(max_chunksize=rnd.choice([1, 7, 50]))
+    parts = [r for b in layout.rows(0.6)(iter(batches)) for r in b.to_pylist()]
+    assert [r["receipt_id"] for r in parts] == p.ids.to_pylist() and [r["rows"] for r in parts] == rows
+    for k, ws in enumerate([ws for ws in pages if ws]):
         tall, slope, own = plain(ws)
         assert p.tall[k] == tall and p.slope[k] == pytest.approx(slope, abs=1e-12)
         got = [[int(w["text"][1:]) for w in r["words"]] for r in rows[k]]
@@ -74,9 +81,7 @@ def test_a_long_receipt_and_one_id_for_many(spark):
     long = [w for k in range(10_000) for w in line(k, 0.0)]
     piled = [(k * 1000 + n, *w[1:]) for n in range(1000) for k, w in enumerate(w for j in range(12) for w in line(j, 0.0))]
     for words, rows in ((long, 10_000), (piled, 12)):
-        columns = dict(zip(("word_idx", "text", "x0", "y0", "x1", "y1"), map(list, zip(*words, strict=True)), strict=True))
-        own = pa.StructArray.from_arrays([*(pa.array(columns[f.name], f.type) for f in KIND.value_type if f.name != "cents"), pa.nulls(len(words), pa.int64())], fields=list(KIND.value_type))
-        ws = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), own, type=KIND)
+        ws = table([[dict(zip(("word_idx", "text", "x0", "y0", "x1", "y1"), w, strict=True)) for w in words]])
         start = time.perf_counter()
         p = layout.Pages(ws)
         assert len(p.rows(0.6, layout.ROWS)[0]) == rows and p.slope[0] == 0

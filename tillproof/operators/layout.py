@@ -107,17 +107,38 @@ def fold(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, allowed: np.n
     return out
 
 
+PLACE = ("x0", "y0", "x1", "y1")
+
+
+def changes(ids: pa.Array) -> np.ndarray:
+    """Whether each id is unlike the one before it; nulls are alike."""
+    if len(ids) < 2:
+        return np.ones(len(ids), bool)
+    a, b = ids.slice(1), ids.slice(0, len(ids) - 1)
+    unlike = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return np.append(True, unlike.to_numpy(zero_copy_only=False))
+
+
 class Pages:
-    """The words of a batch of receipts; ws: lists of word_idx, text, x0, y0, x1, y1 and cents."""
-
-    def __init__(self, ws: pa.ListArray):
-        flat = ws.flatten()
-        field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
-        self.counts = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.n = len(self.counts)
-        self.receipt = np.repeat(np.arange(self.n), self.counts)
-        self.number, self.text, self.cents = field("word_idx"), flat.field("text"), flat.field("cents")
-        self.x0, self.y0, self.x1, self.y1 = (field(k).astype(np.float64) for k in ("x0", "y0", "x1", "y1"))
+    """Receipts whose words stand together in a table of receipt_id, word_idx, text, x0, y0, x1, y1 and cents.
+
+    Words without text or box don't count, but their receipts stay.
+    """
+
+    def __init__(self, words: pa.Table):
+        words = words.combine_chunks()
+        column = lambda k: pa.array([], words.schema.field(k).type) if not words.num_rows else words.column(k).chunk(0)
+        new = changes(column("receipt_id"))
+        self.ids = column("receipt_id").filter(pa.array(new))
+        self.n = len(self.ids)
+        place = [column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in PLACE]
+        whole = pc.is_valid(column("text")).to_numpy(zero_copy_only=False) & ~np.isnan(np.array(place)).any(axis=0)
+        self.receipt = (np.cumsum(new) - 1)[whole]
+        self.counts = np.bincount(self.receipt, minlength=self.n)
+        self.x0, self.y0, self.x1, self.y1 = (p[whole] for p in place)
+        self.number = column("word_idx").to_numpy(zero_copy_only=False)[whole]
+        kept = pa.array(whole)
+        self.text, self.cents = column("text").filter(kept), column("cents").filter(kept)
         self.cx, self.cy = (self.x0 + self.x1) / 2, (self.y0 + self.y1) / 2
         self.tall = medians(self.y1 - self.y0, self.receipt, self.n, 0.0)
         self.tall[self.tall == 0] = 1.0
@@ -166,18 +187,36 @@ ROWS = pa.list_(pa.struct([("row_idx", pa.int32()), *((k, pa.float64()) for k in
 ROWS_SQL = "array<struct<row_idx:int,y:double,flat_y:double,x0:double,y0:double,x1:double,y1:double,text:string,words:array<struct<text:string,x1:double,cents:bigint>>>>"
 
 
-def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """receipt_id, line_height and slope of receipt_id and ws."""
+def of_whole_receipts(batches: Iterator[pa.RecordBatch]) -> Iterator[Pages]:
+    """Pages of batches whose receipts stand together; the last receipt of a batch waits for its other words."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        p = Pages(batch.column("ws"))
-        yield pa.RecordBatch.from_arrays([batch.column("receipt_id"), pa.array(p.tall), pa.array(p.slope)], names=["receipt_id", "line_height", "slope"])
+        if waiting:
+            last = waiting[-1].column(0)
+            joint = changes(pa.concat_arrays([last.slice(len(last) - 1), batch.column(0)]))[1:]
+        else:
+            joint = changes(batch.column(0))
+        starts = np.flatnonzero(joint)
+        end = int(starts[-1]) if len(starts) else 0
+        if len(starts) and (waiting or end):
+            yield Pages(pa.Table.from_batches([*waiting, batch.slice(0, end)]))
+            waiting = []
+        waiting.append(batch.slice(end))
+    if waiting:
+        yield Pages(pa.Table.from_batches(waiting))
+
+
+def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """receipt_id, line_height and slope of sorted words."""
+    for p in of_whole_receipts(batches):
+        yield pa.RecordBatch.from_arrays([p.ids, pa.array(p.tall), pa.array(p.slope)], names=["receipt_id", "line_height", "slope"])
 
 
 def rows(tolerance: float):
-    """receipt_id and rows of receipt_id and ws."""
+    """receipt_id and rows of sorted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("receipt_id"), Pages(batch.column("ws")).rows(tolerance, ROWS)], names=["receipt_id", "rows"])
+        for p in of_whole_receipts(batches):
+            yield pa.RecordBatch.from_arrays([p.ids, p.rows(tolerance, ROWS)], names=["receipt_id", "rows"])
 
     return run

@@ -1,19 +1,19 @@
 """From located words to a parsed receipt: rows by geometry, then prices, labels and items.
 
-Words have receipt_id, word_idx, text, x0, y0, x1, y1. A receipt's words are collected once, by the only shuffle;
-slope and rows are worked out for batches of receipts (layout); column, prices, labels and fields are array functions
+Words have receipt_id, word_idx, text, x0, y0, x1, y1. A receipt's words come together by the only shuffle;
+slope and rows are worked out for many receipts at a time (layout); column, prices, labels and fields are array functions
 on that one row. Words without text or box don't count; a receipt without words has no rows, a line height of 1 and no
 slope.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import fixed
 from ..functions.money import WS, parse_cents, strip
 from . import layout
 
@@ -50,26 +50,12 @@ def is_divider(text: Column) -> Column:
     return text.rlike(DIVIDER)
 
 
-def fixed(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with the columns worked out once: a generator of one row keeps them from being written into later lambdas."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
-def pages(words: DataFrame) -> DataFrame:
-    """receipt_id and ws, its words that have a text and a box, in any order: the one shuffle of a parse."""
-    whole = functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ("text", "x0", "y0", "x1", "y1")))
-    place = (F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))
-    word = F.struct(F.col("word_idx").cast("bigint").alias("word_idx"), "text", *place, parse_cents("text").alias("cents"))
-    return words.groupBy("receipt_id").agg(F.collect_list(F.when(whole, word)).alias("ws"))
-
-
 def laid_out(words: DataFrame, kernel: Callable, made: str) -> DataFrame:
-    """A kernel of layout over batches of receipts; bounded in rows and bytes."""
-    page = pages(words)
-    conf = page.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return page.mapInArrow(kernel, f"receipt_id {page.schema['receipt_id'].dataType.simpleString()}, {made}")
+    """A kernel of layout over the words, a receipt's together: one shuffle of plain rows and a sort by receipt alone."""
+    place = (F.col(c).cast("double").alias(c) for c in layout.PLACE)
+    flat = words.select("receipt_id", F.col("word_idx").cast("bigint").alias("word_idx"), F.col("text").cast("string").alias("text"), *place, parse_cents("text").alias("cents"))
+    together = flat.repartition("receipt_id").sortWithinPartitions("receipt_id")
+    return together.mapInArrow(kernel, f"receipt_id {flat.schema['receipt_id'].dataType.simpleString()}, {made}")
 
 
 def slopes(words: DataFrame) -> DataFrame:

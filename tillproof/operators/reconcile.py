@@ -16,6 +16,15 @@ from ..functions.money import money_text
 
 FIELDS = ("subtotal", "tax", "tip", "total")
 MAX_TAX, MAX_TIP = 0.3, 1.0
+#: Sentences of repairs and problems, between their amounts; fixed values.
+SUMMED = ("no printed subtotal; summed ", " line items")
+NO_TIP = "no tip on the printed bill"
+REQUIRED = "not read from the receipt; the other three totals require "
+CORRECTED = ("the receipt did not add up; ", " was the only field whose correction balances it (", " → ", ")")
+NO_WAY = "The printed totals do not add up and no single correction fixes them — more than one number is likely misread."
+MANY_WAYS = ("The printed totals do not add up, and ", " different corrections would each fix them (", "). Cannot choose safely.")
+MISSING = ("Missing ", ", and too little is known to work out the rest.")
+DISPUTED = ("The line items add to ", " but the receipt says the subtotal is ", " — some items were missed or misread.")
 
 
 def known(*cs: Column) -> Column:
@@ -38,6 +47,20 @@ def solved(field: str, v: dict[str, Column]) -> Column:
     return {"subtotal": t - x - p, "tax": t - s - p, "tip": t - s - x, "total": s + x + p}[field]
 
 
+def apart(any_column: Column) -> Column:
+    """Keeps a projection out of its stage's one method, which grows beyond what the JVM compiles; on its own it is generated in small ones.
+
+    A function over an array has no place in a stage's method. What it gives has to be used, or it is pruned.
+    """
+    return F.transform(F.array(any_column), lambda x: x)
+
+
+def those(kind: str, *entries: tuple[Column, Column]) -> Column:
+    """The values whose conditions hold, as an array; unlike a filter of an array it stays in generated code."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(*(F.when(when, F.array(value).cast(f"array<{kind}>")).otherwise(none) for when, value in entries))
+
+
 def reconcile(df: DataFrame, prefix: str = "", out: str = "") -> DataFrame:
     """Adds status, v_<field>, repairs, problems, items_sum_used and corroborated, each name begun by out.
 
@@ -57,7 +80,7 @@ def reconcile(df: DataFrame, prefix: str = "", out: str = "") -> DataFrame:
     hole = F.when((c("gaps") == 1) & ~c("disputed"), F.coalesce(*(F.when(c("hole") == f, solved(f, v)) for f in FIELDS)))
     six = five.withColumn("_r_answer", hole)
     trial = {f: F.when(c("hole") == f, c("answer")).otherwise(v[f]) for f in FIELDS}
-    seven = six.withColumn("_r_fit", c("answer").isNotNull() & plausible(trial))
+    seven = six.withColumns({"_r_fit": c("answer").isNotNull() & plausible(trial), "_r_apart1": apart(c("gaps"))})
     seven = seven.withColumns({f"_r_w_{f}": F.when(c("fit") & (c("hole") == f), c("answer")).otherwise(v[f]) for f in FIELDS})
     w = {f: c(f"w_{f}") for f in FIELDS}
     eight = seven.withColumn("_r_closes", known(*w.values()) & false(w["subtotal"] + w["tax"] + w["tip"] == w["total"]) & ~c("disputed"))
@@ -67,36 +90,43 @@ def reconcile(df: DataFrame, prefix: str = "", out: str = "") -> DataFrame:
     for f in FIELDS:
         changed = {g: c(f"d_{f}") if g == f else w[g] for g in FIELDS}
         may[f] = c("open") & (c(f"d_{f}") != w[f]) & plausible(changed) & (~c("backed") if f == "subtotal" else F.lit(True))
-    ten = nine.withColumns({f"_r_c_{f}": may[f] for f in FIELDS})
+    ten = nine.withColumns({f"_r_c_{f}": may[f] for f in FIELDS} | {"_r_apart2": apart(c("gaps"))})
     ten = ten.withColumn("_r_ways", sum((c(f"c_{f}").cast("int") for f in FIELDS), F.lit(0)))
-    fixed = {f: (c("ways") == 1) & c(f"c_{f}") for f in FIELDS}
-    arrow = F.lit("→")
+    only = lambda value: F.when(c("ways") == 1, F.coalesce(*(F.when(c(f"c_{f}"), value(f)) for f in FIELDS)))
+    eleven = ten.withColumns({"_r_which": only(F.lit), "_r_old": only(lambda f: w[f]), "_r_new": only(lambda f: c(f"d_{f}"))})
 
-    def repair(when: Column, field: Column, old: Column, new: Column, reason: Column) -> Column:
-        return F.when(when, F.struct(field.alias("field"), old.cast("bigint").alias("from"), new.cast("bigint").alias("to"), reason.alias("reason")))
+    def repair(when: Column, field: Column, old: Column, new: Column, reason: Column) -> tuple[Column, Column]:
+        return when, F.struct(field.alias("field"), old.cast("bigint").alias("from"), new.cast("bigint").alias("to"), reason.alias("reason"))
 
     none = F.lit(None)
     repairs = [
-        repair(c("derived"), F.lit("subtotal"), none, total_of_items, F.concat(F.lit("no printed subtotal; summed "), n.cast("string"), F.lit(" line items"))),
-        repair(c("notip"), F.lit("tip"), none, F.lit(0), F.lit("no tip on the printed bill")),
-        repair(c("fit"), c("hole"), none, c("answer"), F.concat(F.lit("not read from the receipt; the other three totals require "), money_text(c("answer")))),
-        *(repair(fixed[f], F.lit(f), w[f], c(f"d_{f}"), F.concat(F.lit(f"the receipt did not add up; {f} was the only field whose correction balances it ("), money_text(w[f]), F.lit(" "), arrow, F.lit(" "), money_text(c(f"d_{f}")), F.lit(")"))) for f in FIELDS),
+        repair(c("derived"), F.lit("subtotal"), none, total_of_items, F.concat(F.lit(SUMMED[0]), n.cast("string"), F.lit(SUMMED[1]))),
+        repair(c("notip"), F.lit("tip"), none, F.lit(0), F.lit(NO_TIP)),
+        repair(c("fit"), c("hole"), none, c("answer"), F.concat(F.lit(REQUIRED), money_text(c("answer")))),
+        repair(c("ways") == 1, c("which"), c("old"), c("new"), F.concat(F.lit(CORRECTED[0]), c("which"), F.lit(CORRECTED[1]), money_text(c("old")), F.lit(CORRECTED[2]), money_text(c("new")), F.lit(CORRECTED[3]))),
     ]
-    eleven = ten.withColumns({f"{out}repairs": F.array_compact(F.array(*repairs))} | {f"{out}v_{f}": F.when(fixed[f], c(f"d_{f}")).otherwise(w[f]) for f in FIELDS})
-    status = F.when(c("closes") & (F.size(f"{out}repairs") == 0), "reconciled").when(c("closes") | (c("ways") == 1), "repaired").otherwise("unresolved")
-    lost = F.array_join(F.array_compact(F.array(*(F.when(w[f].isNull(), F.lit(f)) for f in FIELDS))), ", ")
-    ways = F.array_join(F.array_compact(F.array(*(F.when(c(f"c_{f}"), F.lit(f)) for f in FIELDS))), ", ")
+    lost = F.array_join(F.array(*(F.when(w[f].isNull(), F.lit(f)) for f in FIELDS)), ", ")
+    ways = F.array_join(F.array(*(F.when(c(f"c_{f}"), F.lit(f)) for f in FIELDS)), ", ")
     problems = [
-        F.when(c("open") & (c("ways") == 0), F.lit("The printed totals do not add up and no single correction fixes them — more than one number is likely misread.")),
-        F.when(c("open") & (c("ways") > 1), F.concat(F.lit("The printed totals do not add up, and "), c("ways").cast("string"), F.lit(" different corrections would each fix them ("), ways, F.lit("). Cannot choose safely."))),
-        F.when(~known(*w.values()) & ~c("disputed"), F.concat(F.lit("Missing "), lost, F.lit(", and too little is known to work out the rest."))),
-        F.when((n > 0) & w["subtotal"].isNotNull() & ~c("backed"), F.concat(F.lit("The line items add to "), money_text(total_of_items), F.lit(" but the receipt says the subtotal is "), money_text(w["subtotal"]), F.lit(" — some items were missed or misread."))),
+        (c("open") & (c("ways") == 0), F.lit(NO_WAY)),
+        (c("open") & (c("ways") > 1), F.concat(F.lit(MANY_WAYS[0]), c("ways").cast("string"), F.lit(MANY_WAYS[1]), ways, F.lit(MANY_WAYS[2]))),
+        (~known(*w.values()) & ~c("disputed"), F.concat(F.lit(MISSING[0]), lost, F.lit(MISSING[1]))),
+        (c("disputed"), F.concat(F.lit(DISPUTED[0]), money_text(total_of_items), F.lit(DISPUTED[1]), money_text(w["subtotal"]), F.lit(DISPUTED[2]))),
     ]
-    done = eleven.withColumns({f"{out}status": status, f"{out}corroborated": c("backed")})
-    done = done.withColumn(f"{out}problems", F.when(F.col(f"{out}status") == "unresolved", F.array_compact(F.array(*problems))).otherwise(F.array().cast("array<string>")))
+    whole = ~(c("derived") | c("notip") | c("fit"))
+    done = eleven.withColumns(
+        {f"{out}v_{f}": F.when(c("which") == f, c("new")).otherwise(w[f]) for f in FIELDS}
+        | {
+            f"{out}repairs": those("struct<field:string,from:bigint,to:bigint,reason:string>", *repairs),
+            f"{out}problems": those("string", *problems),
+            f"{out}status": F.when(c("closes") & whole, "reconciled").when(c("closes") | (c("ways") == 1), "repaired").otherwise("unresolved"),
+            f"{out}corroborated": c("backed"),
+            "_r_apart": F.array(c("apart1"), c("apart2"), apart(c("ways"))),
+        }
+    )
     made = [f"{out}{k}" for k in ("repairs", *(f"v_{f}" for f in FIELDS), "status", "corroborated", "problems")]
     # A generator of one row: a filter on a verdict stays above it, as below it the whole chain would be written out in the filter.
-    return done.select(*(k for k in df.columns if k not in made), F.inline_outer(F.array(F.struct(*made))))
+    return done.select(*(k for k in df.columns if k not in made), F.inline_outer(F.array(F.struct(*made, "_r_apart")))).drop("_r_apart")
 
 
 def apply_repairs(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fixed
 from ..functions.money import format_cents, strip
 from . import adapters
 
@@ -95,20 +96,22 @@ def word_lists(trees: DataFrame, column: str = "tree", key: str = "receipt_id")
     deepest = F.length(F.regexp_replace(column, r"[^\[{]", "")) + 2
     leaves = F.aggregate(F.sequence(F.lit(1), deepest), root, level)["nodes"]
 
-    def word(n: Column) -> Column:
-        text, box, sure = get(n["v"], "$.text"), get(n["v"], "$.bbox"), get(n["v"], "$.confidence")
-        has_box = box.isNotNull() & ~F.is_variant_null(box) & ~F.coalesce(F.to_json(box).isin("false", "0", '""'), F.lit(False))
-        number = F.schema_of_variant(sure).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    def parts(n: Column) -> Column:
+        return get(n["v"], "$", "struct<text:variant,bbox:variant,confidence:variant>")
+
+    def word(p: Column) -> Column:
+        box, kind = get(p["bbox"], "$", BOX), F.schema_of_variant(p["confidence"])
+        truthy = p["bbox"].isNotNull() & ~F.is_variant_null(p["bbox"]) & ~F.coalesce(F.to_json(p["bbox"]).isin("false", "0", '""'), F.lit(False))
         return F.struct(
-            F.when(F.schema_of_variant(text) == "STRING", strip(get(n["v"], "$.text", "string"))).alias("text"),
-            F.when(has_box, F.struct(*(get(box, f"$.{k}", "double").alias(k) for k in ("x0", "y0", "x1", "y1")))).alias("bbox"),
-            F.coalesce(F.when(number, get(n["v"], "$.confidence", "double")), F.lit(0.0)).alias("confidence"),
+            F.when(F.schema_of_variant(p["text"]) == "STRING", strip(get(p["text"], "$", "string"))).alias("text"),
+            F.coalesce(box, F.when(truthy, F.struct(*(get(p["bbox"], f"$.{k}", "double").alias(k) for k in ("x0", "y0", "x1", "y1"))))).alias("bbox"),
+            F.coalesce(F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), get(p["confidence"], "$", "double")), F.lit(0.0)).alias("confidence"),
         )
 
-    kept = F.filter(F.transform(leaves, word), lambda w: F.coalesce(w["text"] != "", F.lit(False)) & w["bbox"].isNotNull())
-    read = trees.select(key, F.col(column), F.try_parse_json(column).alias("_root"))
+    kept = F.filter(F.transform(F.transform(leaves, parts), word), lambda w: F.coalesce(w["text"] != "", F.lit(False)) & w["bbox"].isNotNull())
+    read = fixed(trees.select(key, F.col(column)), _root=F.try_parse_json(column))
     found = F.when(F.col("_root").isNotNull(), kept).otherwise(F.array().cast(FOUND))
-    return read.select(key, F.col("_root").isNotNull().alias("readable"), found.alias("ws"))
+    return fixed(read, ws=found).select(key, F.col("_root").isNotNull().alias("readable"), "ws")
 
 
 def flatten(trees: DataFrame, column: str = "tree", key: str = "receipt_id") -> DataFrame:

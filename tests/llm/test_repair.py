@@ -43,3 +43,27 @@ def test_equal_documents_shrink_far_below_an_eighth():
     one = np.random.default_rng(1).integers(0, BASE, 500)
     rules, _, seq = repair.compress(np.tile(one, 200), BASE)
     assert len(seq) + len(rules) < 2000
+
+
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "x<|endoftext|>", "in<|endoftext|>side", " <|endoftext|>  two  spaces", "<|endoftext", "é\n<|endoftext|>\n\nline", "plain text", "", "the of and " * 4000 + "<|endoftext|>"]
+
+
+def test_added_tokens_are_what_the_library_makes_of_them(spark, tmp_path):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ADDED)], "doc_id long, text string")
+    repair.write_shards(docs, path, 2, str(tmp_path / "shards"))
+    ids = [i for r in spark.read.parquet(str(tmp_path / "shards")).orderBy("part", "shard").collect() for i in repair.Shard(r.shard_bytes).all()]
+    assert ids == [i for t in ADDED for i in [*library.encode(t, add_special_tokens=False).ids, 2]] and ids.count(50256) == sum(t.count(ADDED[0]) for t in ADDED)
+
+
+def test_null_and_repeated_keys(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(None, "a"), (None, None), (5, "b b"), (5, "b b"), (5, "<|endoftext|>")], "doc_id long, text string")
+    got = repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 5, 5, 5] and sorted(r.n_tokens for r in got) == [1, 2, 2, 3, 3]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(5)]

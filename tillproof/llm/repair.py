@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import struct
 import zlib
 
@@ -162,28 +163,51 @@ class Shard:
         return expand(part, self.rules, self.firsts, self.base)[skip : skip + stop - start]
 
 
-@functools.lru_cache(2)
-def library_encoder(path: str) -> ChunkCache:
-    """The tokenizers library's model behind a cache of pieces; special tokens' strings are ordinary text.
+class LibraryEncoder:
+    """Ids as the tokenizers library gives them: its model behind a cache of pieces.
 
-    The model takes a piece in the byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on.
+    A text that holds one of the tokenizer's added tokens is encoded by the library as a whole, and so is every text if
+    the tokenizer normalizes what it reads. The model takes a piece in the byte-level alphabet: printable Latin-1 stands
+    for itself, other bytes for U+0100 on.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
-    letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 512 - len(plain))]), strict=True))
-    merge = tokenizer.model.tokenize
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+        self.letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 512 - len(plain))]), strict=True))
+        self.cache = ChunkCache(PATTERN, self.merged)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("" if self.tokenizer.normalizer is not None else "|".join(added) or r"(?!)")
+
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [[t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.letters))] for x in pieces]
+        return flat(lists)
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [[t.id for t in merge(x.encode().decode("latin-1").translate(letters))] for x in pieces]
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum())), length
+    def __call__(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        odd = [k for k, x in enumerate(given) if self.whole.search(x)]
+        if not odd:
+            return self.cache(given)
+        apart = set(odd)
+        ids, n = self.cache([x for k, x in enumerate(given) if k not in apart])
+        own = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+        parts = [self.tokenizer.encode(x, add_special_tokens=False).ids if k in apart else next(own) for k, x in enumerate(given)]
+        return np.concatenate([np.asarray(p, np.uint32) for p in parts]), np.fromiter(map(len, parts), np.int64, len(parts))
 
-    from public_tokenizers import PATTERN
 
-    return ChunkCache(PATTERN, encode)
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    length = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum())), length
+
+
+@functools.lru_cache(2)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each tokenizer and worker."""
+    return LibraryEncoder(path)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "doc_id", base: int | None = None, shard_ids: int = 1 << 18, rounds: int | None = None) -> None:
@@ -207,17 +231,17 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: s
 
         def flush():
             nonlocal ids, counts, keys, held, before, shard
-            flat, n = np.concatenate(ids), np.array(counts)
-            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before]), pa.array([held]), pa.array([keys]), pa.array([pack(flat, n, base, shard, rounds)], pa.binary())]
+            n = np.array(counts)
+            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before]), pa.array([held]), pa.array([keys]), pa.array([pack(np.concatenate(ids), n, base, shard, rounds)], pa.binary())]
             ids, counts, keys, before, held, shard = [], [], [], before + held, 0, shard + 1
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "before", "n_ids", "keys", "shard_bytes"])
 
         for batch in batches:
             given = texts(batch)
-            flat, n = encode(given)
+            made, n = encode(given)
             cut = np.concatenate([[0], np.cumsum(n)])
             for k, name in enumerate(batch.column(key).to_pylist()):
-                ids.append(np.append(flat[cut[k] : cut[k + 1]], np.uint32(end_id)))
+                ids.append(np.append(made[cut[k] : cut[k + 1]], np.uint32(end_id)))
                 counts.append(len(ids[-1]))
                 keys.append(name)
                 held += counts[-1]

@@ -177,6 +177,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
         self.letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 512 - len(plain))]), strict=True))
         self.cache = ChunkCache(PATTERN, self.merged)
@@ -184,7 +185,7 @@ class LibraryEncoder:
         self.whole = re.compile("" if self.tokenizer.normalizer is not None else "|".join(added) or r"(?!)")
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [[t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.letters))] for x in pieces]
+        lists = [[t.id for t in self.merge(x.encode().decode("latin-1").translate(self.letters))] for x in pieces]
         return flat(lists)
 
     def __call__(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -430,6 +430,20 @@ def hub_groups(large: DataFrame) -> DataFrame:
     return large.join(hub, "token").select("hub", "number", "n").distinct()
 
 
+def main_groups(groups: DataFrame) -> DataFrame:
+    """(hub, number, n): every class in the largest of its groups only."""
+    size = groups.groupBy("hub").agg(F.count("*").alias("m"))
+    return groups.join(size, "hub").groupBy("number", "n").agg(F.max(F.struct("m", "hub")).alias("g")).select(F.col("g.hub").alias("hub"), "number", "n")
+
+
+def unjoined(groups: DataFrame, ids: DataFrame, label: DataFrame) -> DataFrame:
+    """(hub, number, n): the groups whose classes lie in several components; ids has number and id, label v (an id) and root."""
+    part = ids.join(label.select(F.col("v").alias("id"), "root"), "id", "left").select("number", F.coalesce("root", "id").alias("root"))
+    found = groups.join(part, "number")
+    several = found.groupBy("hub").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("hub")
+    return found.join(several, "hub", "left_semi").select("hub", "number", "n")
+
+
 def tile_links(groups: DataFrame, sets: DataFrame, similarity: float, tile: int = 1024, tile_shingles: int = 1 << 20) -> DataFrame:
     """(a, b): links that connect what is similar enough within each hub's group; sets has number, id and own.
 
@@ -492,8 +506,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similar
 
     Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked, and linked classes form
     groups. Similar classes share one of their first shingles. In buckets of at most `large` classes the pairs are
-    counted, and what shares enough with a class is its group; a larger bucket is its hub's group. All groups are
-    compared in tiles.
+    counted, and what shares enough with a class is its group; a larger bucket is its hub's group. Groups are compared
+    in tiles of whole sets, in two rounds: first each class in its largest group alone, then all groups whose classes
+    that hasn't connected. A group whose classes are connected already can't change what is connected, so most sets are
+    sent once.
     """
     prints = written(prefixes(docs, key, size, similarity), "prints")
     classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(key, "text_hash")).alias("least"))
@@ -508,13 +524,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similar
     paired = pairs.select(F.col("a").alias("hub"), F.inline(ends)).distinct()
     groups = written(paired.unionByName(hub_groups(sized.where(F.col("m") > large))).distinct(), "groups")
     dropped(shared)
-    sets = written(whole_sets(docs, classes.join(groups.select("number").distinct(), "number", "left_semi"), key, size), "sets")
+    members = classes.join(groups.select("number").distinct(), "number", "left_semi")
+    sets = written(whole_sets(docs, members, key, size), "sets")
+    ids = written(sets.select("number", "id"), "ids")
     dropped(classes)
-    links = written(tile_links(groups, sets, similarity), "links")
+    first = written(tile_links(main_groups(groups), sets, similarity), "links")
+    apart = written(unjoined(groups, ids, components(first)), "apart")
     dropped(groups)
-    dropped(sets)
+    later = written(tile_links(apart, sets, similarity), "links")
+    for done in (apart, sets, ids):
+        dropped(done)
+    links = first.unionByName(later)
     label = components(links)
-    dropped(links)
+    dropped(first)
+    dropped(later)
     return prints.join(label.select(F.col("v").alias("set_hash"), "root"), "set_hash", "left").select(key, "text_hash", F.col("set_hash").alias("class_id"), F.coalesce("root", "set_hash").alias("group_id"))
 
 

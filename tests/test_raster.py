@@ -64,3 +64,44 @@ def test_grey_maps_are_read_from_files_and_sharpened(spark, tmp_path):
     read = words.gray(spark.read.format("binaryFile").load(str(tmp_path))).selectExpr("cast(substring(path, -5, 1) as long) as image_id", "width", "height", "data")
     got = {r.image_id: np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width) for r in raster.mapped(read, raster.preprocess).collect()}
     assert sorted(got) == [0, 1, 2] and all((got[int(n[0])] == raster.preprocess(i)).all() for n, i in images.items())
+
+
+@pytest.mark.parametrize("tall,wide,h,w", [(8, 8, 5, 5), (7, 11, 3, 4), (5, 5, 1, 1), (6, 4, 9, 10), (9, 130, 9, 63)])
+def test_area_averages_equal_sums_over_cells(tall, wide, h, w):
+    image = np.random.default_rng(tall * wide).integers(0, 256, (tall, wide)).astype(np.uint8)
+    want = np.zeros((h, w))
+    for j in range(h):
+        for i in range(w):
+            over = lambda k, n, old, new: max(0, min((k + 1) * new, (n + 1) * old) - max(k * new, n * old))
+            want[j, i] = sum(int(image[y, x]) * over(y, j, tall, h) * over(x, i, wide, w) for y in range(tall) for x in range(wide)) / (tall * wide)
+    assert (raster.area_average(image, w, h) == raster.clamp(want)).all()
+
+
+def test_fit_scales_down_only():
+    image = np.arange(48, dtype=np.uint8).reshape(6, 8)
+    assert raster.fit(image, 8) is image and raster.fit(image, 5).shape == (4, 5) and raster.fit(image, 1).shape == (1, 1)
+
+
+def test_quarter_turns_are_exact_and_small_angles_equal_a_loop():
+    image = np.random.default_rng(3).integers(0, 256, (7, 10)).astype(np.uint8)
+    for k in range(-3, 5):
+        assert (raster.rotate(image, 90 * k) == np.rot90(image, -k)).all()
+    for degrees in (1.5, -4.0, 33.0):
+        got, (tall, wide) = raster.rotate(image, degrees, fill=200), image.shape
+        cos, sin = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+        for (j, i), seen in np.ndenumerate(got):
+            x, y = i + 0.5 - got.shape[1] / 2, j + 0.5 - got.shape[0] / 2
+            sx, sy = cos * x + sin * y + wide / 2 - 0.5, -sin * x + cos * y + tall / 2 - 0.5
+            total = 0.0
+            for yy in (int(np.floor(sy)), int(np.floor(sy)) + 1):
+                for xx in (int(np.floor(sx)), int(np.floor(sx)) + 1):
+                    value = image[yy, xx] if 0 <= yy < tall and 0 <= xx < wide else 200
+                    total += value * (1 - abs(sx - xx)) * (1 - abs(sy - yy))
+            assert abs(int(seen) - total) <= 0.5 + 1e-6
+
+
+def test_degraded_planes_wide_enough_for_tiles():
+    image = np.random.default_rng(4).integers(0, 256, (150, 200)).astype(np.uint8)
+    poor = raster.degrade(image, degrees=2.0, sigma=1.2, factor=0.8, offset=20, longest=120)
+    assert max(poor.shape) == 120 and poor.dtype == np.uint8
+    assert raster.preprocess(poor, contrast=True).shape == poor.shape

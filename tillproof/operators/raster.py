@@ -89,6 +89,73 @@ def crop(image: np.ndarray, sx: int, sy: int, sw: int, sh: int) -> np.ndarray:
     return image[sy : sy + sh, sx : sx + sw]
 
 
+def area_average(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The image at another size: each pixel the mean of the area it covers, whole and part pixels alike.
+
+    A table of sums over all corners gives the sum of any area from four of them; lengths are in parts of a pixel that
+    both sizes divide, so sums are whole numbers.
+    """
+    sums = np.pad(np.cumsum(np.cumsum(image.astype(np.int64), axis=0), axis=1), ((1, 0), (1, 0)))
+
+    def at_edges(sums: np.ndarray, old: int, new: int) -> np.ndarray:
+        """Along the first axis, `new` times the sums up to each edge of the new pixels."""
+        cell, rest = np.divmod(np.arange(new + 1) * old, new)
+        after = sums[np.minimum(cell + 1, old)]
+        return sums[cell] * new + (after - sums[cell]) * rest[:, None]
+
+    tall, wide = image.shape
+    sums = at_edges(at_edges(sums, tall, height).T, wide, width).T
+    total = sums[1:, 1:] - sums[:-1, 1:] - sums[1:, :-1] + sums[:-1, :-1]
+    return clamp(total / (wide * tall))
+
+
+def fit(image: np.ndarray, longest: int = 3000) -> np.ndarray:
+    """Scaled down, never up, to a longest edge."""
+    tall, wide = image.shape
+    scale = min(1.0, longest / max(wide, tall))
+    size = lambda v: max(1, int(np.floor(v * scale + 0.5)))
+    return image if scale == 1 else area_average(image, size(wide), size(tall))
+
+
+def rotate(image: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
+    """Turned clockwise about the middle on paper that is large enough, between four pixels by their distance.
+
+    Every new pixel asks where it comes from; what lies beyond the image is fill. Quarter turns are exact.
+    """
+    tall, wide = image.shape
+    quarter = round(degrees / 90)
+    if degrees == 90 * quarter:
+        cos, sin = ((1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0))[quarter % 4]
+    else:
+        cos, sin = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    w = int(np.ceil(abs(wide * cos) + abs(tall * sin) - 1e-9))
+    h = int(np.ceil(abs(wide * sin) + abs(tall * cos) - 1e-9))
+    x, y = np.meshgrid(np.arange(w) + 0.5 - w / 2, np.arange(h) + 0.5 - h / 2)
+    sx, sy = cos * x + sin * y + wide / 2 - 0.5, -sin * x + cos * y + tall / 2 - 0.5
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    fx, fy = sx - x0, sy - y0
+
+    def at(yy: np.ndarray, xx: np.ndarray) -> np.ndarray:
+        inside = (xx >= 0) & (xx < wide) & (yy >= 0) & (yy < tall)
+        return np.where(inside, image[np.clip(yy, 0, tall - 1), np.clip(xx, 0, wide - 1)], float(fill))
+
+    top = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx
+    low = at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+    return clamp(top * (1 - fy) + low * fy)
+
+
+def levels(image: np.ndarray, factor: float, offset: float) -> np.ndarray:
+    return clamp(image * factor + offset)
+
+
+def degrade(image: np.ndarray, degrees: float = 0, sigma: float = 0, factor: float = 1, offset: float = 0, longest: int | None = None) -> np.ndarray:
+    """A poor photograph of the image: turned, out of focus, pale or dark, and small."""
+    out = rotate(image, degrees) if degrees else image
+    out = blur(out, sigma) if sigma else out
+    out = levels(out, factor, offset) if (factor, offset) != (1, 0) else out
+    return fit(out, longest) if longest else out
+
+
 def mapped(rasters: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """image_id, width, height, data after the change of each raster; batch by batch."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import reconcile as told
 from .queries import LINES, LITERALS
 
 LINE = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
@@ -82,20 +83,20 @@ def judged(name: str, source: str, prefix: str = "") -> str:
         return f"case when {when} then {{'field': {field}, 'old': {old}, 'new': cast({new} as bigint), 'why': {why}}} end"
 
     fixes = [
-        fix("derived", "'subtotal'", NULL, "g_i", "'no printed subtotal; summed ' || g_n || ' line items'"),
-        fix("notip", "'tip'", NULL, "0", "'no tip on the printed bill'"),
-        fix("fit", "hole", NULL, "answer", f"'not read from the receipt; the other three totals require ' || {money('answer')}"),
+        fix("derived", "'subtotal'", NULL, "g_i", f"'{told.SUMMED[0]}' || g_n || '{told.SUMMED[1]}'"),
+        fix("notip", "'tip'", NULL, "0", f"'{told.NO_TIP}'"),
+        fix("fit", "hole", NULL, "answer", f"'{told.REQUIRED}' || {money('answer')}"),
     ]
     for f in FIELDS:
-        why = f"'the receipt did not add up; {f} was the only field whose correction balances it (' || {money('w_' + f)} || ' → ' || {money('d_' + f)} || ')'"
+        why = f"'{told.CORRECTED[0]}{f}{told.CORRECTED[1]}' || {money('w_' + f)} || '{told.CORRECTED[2]}' || {money('d_' + f)} || '{told.CORRECTED[3]}'"
         fixes.append(fix(f"ways = 1 and can_{f}", f"'{f}'", f"w_{f}", f"d_{f}", why))
     lost = f"array_to_string({those(each("case when w_{f} is null then '{f}' end"))}, ', ')"
     names = f"array_to_string({those(each("case when can_{f} then '{f}' end"))}, ', ')"
     problems = [
-        "case when gap and ways = 0 then 'The printed totals do not add up and no single correction fixes them — more than one number is likely misread.' end",
-        f"case when gap and ways > 1 then 'The printed totals do not add up, and ' || ways || ' different corrections would each fix them (' || {names} || '). Cannot choose safely.' end",
-        f"case when not whole and not disputed then 'Missing ' || {lost} || ', and too little is known to work out the rest.' end",
-        f"case when g_n > 0 and w_subtotal is not null and not backed then 'The line items add to ' || {money('g_i')} || ' but the receipt says the subtotal is ' || {money('w_subtotal')} || ' — some items were missed or misread.' end",
+        f"case when gap and ways = 0 then '{told.NO_WAY}' end",
+        f"case when gap and ways > 1 then '{told.MANY_WAYS[0]}' || ways || '{told.MANY_WAYS[1]}' || {names} || '{told.MANY_WAYS[2]}' end",
+        f"case when not whole and not disputed then '{told.MISSING[0]}' || {lost} || '{told.MISSING[1]}' end",
+        f"case when g_n > 0 and w_subtotal is not null and not backed then '{told.DISPUTED[0]}' || {money('g_i')} || '{told.DISPUTED[1]}' || {money('w_subtotal')} || '{told.DISPUTED[2]}' end",
     ]
     made = "g_n, g_i, " + each("g_{f}") + ", derived, g_sub, disputed, notip, g_tip1, gaps, hole, answer, fit, " + each("w_{f}, d_{f}, can_{f}") + ", whole, closes, gap, ways"
     return f"""{n}1 as materialized (select *, {own} from {source}),
@@ -241,6 +242,7 @@ TONE = f"case when n_items = 0 and coalesce({each('{f}')}) is null then 'idle' w
 TEXTS = ", ".join(f"'{x}'" for x in LINES)
 
 
+SESSION_RESET = f"with {FRAMES}, two as (select * exclude (session_id), session_id * 2 + cast(frame_no > 3 as int) as session_id from frames), {settled('two')}, {ACCEPT} select * from told"
 SQL: dict[str, str] = {
     "q01_split_shares": f"{SPLIT} select bill_id, person_idx, person_id, items, tax, tip, total from done",
     "q02_split_sum_check": f"{SPLIT}, sums as (select bill_id, sum(total) as shared, count(*) as n, any_value(printed) as printed from done group by 1) select count(*) as bills, cast(sum(n) as bigint) as shares, cast(sum(cast(shared <> printed as int)) as bigint) as mismatches, cast(sum(shared) as bigint) as shared from sums",
@@ -252,8 +254,8 @@ SQL: dict[str, str] = {
     "q21_field_streaks": f"with {STREAK} select session_id, frame_no, value, streak, streak >= 2 as confirmed from st",
     "q24_unsteady": f"with {STREAK}, g as (select *, sum(cast(streak <> 1 as int)) over (partition by session_id order by frame_no) as j from st), r as (select *, sum(cast(streak = 1 as int)) over (partition by session_id, j order by frame_no) as run from g) select session_id, frame_no, cast(run as int) as run, run >= 6 as unsteady from r",
     "q40_snapshot_gate": f"with {BILLS} select receipt_id, subtotal, tax, tip, total, case when receipt_id % 3 <> 0 then 'a.png' end as image from bills where receipt_id % 2 = 0",
-    "q03_apportion_ties": """with rows0 as (select i % 400 as k, i // 400 as i from range(2000) t(i)),
-rows1 as (select k - 30 as g, i, k * 37 % 1501 - 300 as amount, case when k % 9 = 0 then 0 else k * (i + 3) % 7 end as w from rows0),
+    "q03_apportion_ties": f"""with {ITEMS},
+rows1 as (select receipt_id - 30 as g, item_idx as i, receipt_id * 37 % 1501 - 300 as amount, case when receipt_id % 9 = 0 then 0 else receipt_id * (item_idx + 3) % 7 end as w from items),
 x as (select *, case when sum(w) over p = 0 then cast(amount as double) / count(*) over p else cast(amount as double) * w / sum(w) over p end as exact from rows1 window p as (partition by g)),
 y as (select *, cast(floor(exact) as bigint) as low, exact - floor(exact) as frac from x)
 select g, i, amount, w, cast(low + case when row_number() over (partition by g order by frac desc, i) <= amount - sum(low) over (partition by g) then 1 else 0 end as bigint) as share from y""",
@@ -297,16 +299,17 @@ select c_nationkey, arg_min(case when k = 1 then 'Friend' else 'Friend ' || k en
 said as (select *, case when k = 0 then 'Couldn’t load the reader. Reload the page to try again.' when k = 20 then 'Reading the receipt…' when k = 10 then 'Loading the reader. About 4.5 MB, first time only.' when k = 30 then null when k = 40 then 'Fill the frame with the receipt.' when unsteady then 'Hold steady.' when again then 'Almost there. Hold still.' when not saw_money then 'No prices yet. Move closer or add light.' else 'Reading… keep the whole receipt in frame.' end as line,
 case when k = 50 then 'Read from your photo' when via_seen = 'consensus' then 'Confirmed across ' || frame_no || ' frames' when frame_no = 1 then 'Read and verified in one frame' else 'Verified on frame ' || frame_no end as origin from lines), {judged('ton', 'said')}
 select session_id, frame_no, line, origin, {TONE} as tone from ton""",
-    "q38_geometry_scalars": f"""with a as (select i, i * 7 % 4001 as fw, i * 13 % 3001 as fh, i * 3 % 801 as ew, i * 5 % 601 as eh from range(2000) t(i)),
+    "q38_geometry_scalars": f"""with a as (select i, i * 7 % 4001 as fw, i * 13 % 3001 as fh, i * 3 % 801 as ew, i * 5 % 601 as eh from (select p_partkey as i from part)),
 b as (select *, ew > 0 and eh > 0 and fw > 0 and fh > 0 as known, cast(ew as double) / nullif(eh, 0) as e, cast(fw as double) / nullif(fh, 0) as r from a),
 c as (select *, coalesce(known and r > e, false) as wide, coalesce(known and r < e, false) as tall, greatest(1, {half_up('fh * e')}) as narrow, greatest(1, {half_up('fw / nullif(e, 0)')}) as low from b),
 d as (select *, case when wide then narrow else fw end as w, case when tall then low else fh end as h, case when wide then cast(floor((fw - narrow) / cast(2 as double)) as bigint) else 0 end as x, case when tall then cast(floor((fh - low) / cast(2 as double)) as bigint) else 0 end as y, least(cast(1 as double), cast(3000 as double) / nullif(greatest(fw, fh), 0)) as s from c)
 select i, round(least(cast(6 as double), greatest(cast(1.5 as double), cast(fw as double) / 900 * cast(1.5 as double))), 9) as sigma, x + {half_up('w * cast(0.1 as double)')} as sx, y + {half_up('h * cast(0.05 as double)')} as sy, greatest(1, {half_up('w * cast(0.8 as double)')}) as sw, greatest(1, {half_up('h * cast(0.9 as double)')}) as sh,
 case when fw > 0 and fh > 0 then greatest(1, {half_up('fw * s')}) end as width, case when fw > 0 and fh > 0 then greatest(1, {half_up('fh * s')}) end as height from d""",
     "q39_flatten_words": f"with {PRINTED} select receipt_id, string_agg(text, ' ' order by row_idx) as text, cast(sum(len(string_split(text, ' '))) as bigint) as n, cast(90 as double) as confidence, cast(575 as double) as width from texts group by 1",
-    "q41_fixture_discovery": "with stems as (select k, 'r' || k as stem from range(500) t(k)) select stem, stem || case when k % 5 = 0 then '.png' when k % 4 = 1 then '.jpg' when k % 3 = 0 then '.jpeg' when k % 2 = 0 then '.webp' end as path from stems",
+    "q41_fixture_discovery": "with stems as (select c_custkey as k, 'r' || c_custkey as stem from customer where c_custkey % 7 <> 3) select stem, stem || case when k % 11 = 5 then null when k % 5 = 0 then '.png' when k % 4 = 1 then '.jpg' when k % 3 = 0 then '.jpeg' when k % 2 = 0 then '.webp' end as path from stems",
     "q42_still_policy": f"{RECON} select receipt_id, status <> 'unresolved' as settled, status, n_items > 0 or {each('{f} is not null', ' or ')} as saw_money from rec",
-    "q43_session_reset": f"with {FRAMES}, two as (select * exclude (session_id), session_id * 2 + cast(frame_no > 3 as int) as session_id from frames), {settled('two')}, {ACCEPT} select * from told",
+    "q43_session_reset": SESSION_RESET,
+    "q55_stream_reset": SESSION_RESET,
     "q44_ghost_assignees": f"""with {ITEMS}, {BILLS}, {PEOPLE}, named as (select i.receipt_id, i.item_idx, i.price, p.k, i.item_idx > 0 and (i.item_idx * 7 + p.k + i.receipt_id) % 3 = 0 as hit from items i join people p using (receipt_id)),
 counted as (select *, sum(cast(hit as int)) over (partition by receipt_id, item_idx) as hits from named),
 seated as (select *, row_number() over (partition by receipt_id, item_idx order by case when hits > 0 and item_idx % 2 = 1 then -k else k end) - 1 as pos, count(*) over (partition by receipt_id, item_idx) as n from counted where hit or hits = 0)
@@ -334,4 +337,11 @@ select v.receipt_id as bill_id, status, no_tip_printed, settles and n_items = 0
     "q52_empty_bills": f"select c_custkey as bill_id, {NULL} as subtotal, c_custkey * 7 as total, 2 as people, 'i1' as item, c_custkey % 500 as price, 2 as next_id from customer",
     "q53_degraded_sessions": f"with {POOR}, {settled('frames')}, {ACCEPT} select * from told",
     "q54_degraded_policies": f"with {POOR}, {settled('frames')}, {policies('0')}",
+    "q57_area_average": f"""with l as (select vec_id, {LEVELS} as v from embeddings), sizes as (select * from (values (5, 8, 8, 5, 5), (3, 8, 6, 3, 2)) s(longest, ww, hh, w, h)),
+cells as (select vec_id, v, longest, ww, hh, w, h, cast(unnest(range(w * h)) as int) as p from l, sizes),
+sums as (select vec_id, longest, w, h, p, list_sum(list_transform(range(ww * hh), lambda c: v[c % ww + c // ww * 8 + 1]
+ * greatest(0, least((c % ww + 1) * w, (p % w + 1) * ww) - greatest(c % ww * w, p % w * ww)) * greatest(0, least((c // ww + 1) * h, (p // w + 1) * hh) - greatest(c // ww * h, p // w * hh)))) / cast(ww * hh as double) as x from cells)
+select vec_id as image_id, longest, w as width, h as height, string_agg(printf('%02X', cast(round_even(x, 0) as int)), '' order by p) as pixels from sums group by all""",
+    "q58_turned_and_paled": f"with l as (select vec_id, {LEVELS} as v from embeddings) select vec_id as image_id, 6 as width, 8 as height, array_to_string(list_transform(range(48), lambda i: printf('%02X', cast(round_even(v[(5 - i % 6) * 8 + i // 6 + 1] * cast(0.5 as double) + 40, 0) as int))), '') as pixels from l",
+    "q59_jump_draws": "with l as (select o_orderkey as receipt_id, list_reduce(list_prepend(cast(o_orderkey as bigint), range(k)), lambda s, i: (s * 1103515245 + 12345) & 2147483647) as s, k from orders, (values (1), (7), (40), (1000)) t(k)) select receipt_id, max(s) filter (k = 1) as draw_1, max(s) filter (k = 7) as draw_7, max(s) filter (k = 40) as draw_40, max(s) filter (k = 1000) as draw_1000 from l group by 1",
 }

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry, money
+from ..functions import distance, draws, geometry, money
 from ..operators import consensus, edits, raster, receipt, split
 from ..operators.reconcile import apply_repairs, reconcile
 from ..sources import adapters, words
 from ..sources.adapters import FIELDS
+from ..streaming import session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,8 +58,8 @@ def q02_split_sum_check(spark, sf):
 
 @query
 def q03_apportion_ties(spark, sf):
-    k, i = F.col("id") % 400, F.expr("id div 400")
-    rows = spark.range(2000).select((k - 30).alias("g"), i.alias("i"), ((k * 37) % 1501 - 300).alias("amount"), F.when(k % 9 == 0, 0).otherwise((k * (i + 3)) % 7).cast("long").alias("w"))
+    g, i = F.col("receipt_id"), F.col("item_idx")
+    rows = adapters.items(spark, sf).select((g - 30).alias("g"), i.alias("i"), ((g * 37) % 1501 - 300).alias("amount"), F.when(g % 9 == 0, 0).otherwise((g * (i + 3)) % 7).cast("long").alias("w"))
     return split.apportion(rows, ["g"], "i", "amount", "w", "share")
 
 
@@ -330,22 +333,32 @@ def q35_clahe(spark, sf):
     return raster.mapped(rasters(spark, sf), lambda i: raster.clahe(i, tile=4)).select("image_id", F.hex("data").alias("pixels"))
 
 
-@query
-def q36_stream_session(spark, sf):
-    from ..streaming import session
-
-    import tempfile
-    import uuid
-
+def stream_folder(spark) -> str:
+    """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.gettempdir()
-    root = f"{base.rstrip('/')}/tillproof-stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tillproof-stream-{uuid.uuid4().hex}"
+
+
+@query
+def q36_stream_session(spark, sf):
     frames = adapters.frames(spark, sf).select("session_id", "frame_no", "n_items", "items_sum", "items_key", *FIELDS)
     portions = [frames.where(F.col("frame_no").between(k, k + 1)) for k in (1, 3, 5)]
-    return session.replay(portions, f"q36_{uuid.uuid4().hex[:8]}", root).drop("frames", "late")
+    return session.replay(portions, f"q36_{uuid.uuid4().hex[:8]}", stream_folder(spark)).drop("frames", "late", "epoch", "closed")
+
+
+@query
+def q55_stream_reset(spark, sf):
+    """The stream of frames with a reset before the fourth one of each session; the two epochs are sessions of their own."""
+    frames = adapters.frames(spark, sf).select("session_id", "frame_no", "n_items", "items_sum", "items_key", *FIELDS, F.lit(False).alias("reset"))
+    resets = frames.where("frame_no = 4").withColumns({"reset": F.lit(True)} | {c: F.lit(None).cast("bigint") for c in ("n_items", "items_sum", *FIELDS)} | {"items_key": F.lit(None).cast("string")})
+    both = frames.unionByName(resets)
+    portions = [both.where(F.col("frame_no").between(k, k + 2)) for k in (1, 4)]
+    done = session.replay(portions, f"q55_{uuid.uuid4().hex[:8]}", stream_folder(spark))
+    return done.select((F.col("session_id") * 2 + F.col("epoch")).alias("session_id"), F.col("frames").cast("long").alias("n_frames"), "settled_frame", "via", "status", *(f"v_{f}" for f in FIELDS))
 
 
 @query
@@ -360,8 +373,8 @@ def q37_status_and_tone(spark, sf):
 
 @query
 def q38_geometry_scalars(spark, sf):
-    i = F.col("id")
-    df = spark.range(2000).select(i.alias("i"), (i * 7 % 4001).alias("fw"), (i * 13 % 3001).alias("fh"), (i * 3 % 801).alias("ew"), (i * 5 % 601).alias("eh"))
+    i = F.col("p_partkey")
+    df = adapters.read(spark, sf, "part").select(i.alias("i"), (i * 7 % 4001).alias("fw"), (i * 13 % 3001).alias("fh"), (i * 3 % 801).alias("ew"), (i * 5 % 601).alias("eh"))
     rect = geometry.guide_source_rect(F.col("fw"), F.col("fh"), F.col("ew"), F.col("eh"), F.lit(0.1), F.lit(0.05), F.lit(0.8), F.lit(0.9))
     size = geometry.fitted(F.col("fw"), F.col("fh"))
     return df.select("i", geometry.sigma_for(F.col("fw")).alias("sigma"), rect.alias("r"), size.alias("s")).select("i", F.round("sigma", 9).alias("sigma"), "r.*", F.col("s.width").cast("long").alias("width"), F.col("s.height").cast("long").alias("height"))
@@ -385,10 +398,10 @@ def q40_snapshot_gate(spark, sf):
 
 @query
 def q41_fixture_discovery(spark, sf):
-    k = F.col("id")
-    truths = spark.range(500).select(F.concat(F.lit("r"), k.cast("string")).alias("stem"))
+    k = F.col("c_custkey")
+    customers, stem = adapters.read(spark, sf, "customer"), F.concat(F.lit("r"), k.cast("string")).alias("stem")
     kinds = F.array(*(F.when(k % m == r, F.lit(e)) for e, m, r in ((".webp", 2, 0), (".jpeg", 3, 0), (".jpg", 4, 1), (".png", 5, 0), (".gif", 1, 0))))
-    files = spark.range(600).select(F.concat(F.lit("r"), k.cast("string")).alias("stem"), F.explode(F.array_compact(kinds)).alias("ext"))
+    truths, files = customers.where(k % 7 != 3).select(stem), customers.where(k % 11 != 5).select(stem, F.explode(F.array_compact(kinds)).alias("ext"))
     return words.discover(truths, files)
 
 
@@ -478,6 +491,37 @@ def q52_empty_bills(spark, sf):
     return edits.apply(c, c.select("bill_id", F.inline(made))).select("bill_id", b["subtotal"].alias("subtotal"), b["total"].alias("total"), F.size(b["people"]).alias("people"), b["items"][0]["id"].alias("item"), b["items"][0]["price"].alias("price"), b["next_id"].alias("next_id"))
 
 
+@query
+def q56_document_accuracy(spark, sf):
+    """Character accuracy of every whole document against a copy with look-alike letters."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    d = adapters.read(spark, sf, "documents")
+    pair = d.select("doc_id", money.normalise("text").alias("a"), money.normalise(F.translate("text", "aeo", "o0")).alias("b"))
+    seen = pair.select("doc_id", F.length("a").alias("n_chars"), distance.edit_distance(F.col("a"), F.col("b")).alias("distance"))
+    return seen.withColumn("accuracy", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") / F.greatest(F.lit(1), F.col("n_chars"))), 9))
+
+
+@query
+def q57_area_average(spark, sf):
+    r = rasters(spark, sf)
+    whole = raster.mapped(r, lambda i: raster.fit(i, 5)).withColumn("longest", F.lit(5))
+    part = raster.mapped(r, lambda i: raster.fit(raster.crop(i, 0, 0, 8, 6), 3)).withColumn("longest", F.lit(3))
+    return whole.unionByName(part).select("image_id", "longest", "width", "height", F.hex("data").alias("pixels"))
+
+
+@query
+def q58_turned_and_paled(spark, sf):
+    poor = raster.mapped(rasters(spark, sf), lambda i: raster.degrade(raster.crop(i, 0, 0, 8, 6), degrees=90, factor=0.5, offset=40))
+    return poor.select("image_id", "width", "height", F.hex("data").alias("pixels"))
+
+
+@query
+def q59_jump_draws(spark, sf):
+    """The 1st, 7th, 40th and 1000th draw seeded by each order, each by itself."""
+    o = adapters.read(spark, sf, "orders").select(F.col("o_orderkey").alias("receipt_id"))
+    return o.select("receipt_id", *(draws.state(F.col("receipt_id"), F.lit(k)).alias(f"draw_{k}") for k in (1, 7, 40, 1000)))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """What each person owes of each bill that closes."""
     return q01_split_shares(spark, sf).orderBy("bill_id", "person_idx")

@@ -1,22 +1,29 @@
 """Capture sessions as a stream: frames grouped by session, the rules of operators.consensus as keyed state.
 
-A micro-batch may bring a session's frames in any order and in several chunks; they are sorted by
-frame_no before they count. A frame that isn't newer than the last one counted is dropped and counted
-as late. Once a session has settled, further frames are ignored. State is a few numbers a session.
+A micro-batch may bring a session's frames in any order and in several chunks; they are sorted by frame_no before they
+count. A frame that isn't newer than the last one counted is dropped and counted as late. Once a session has settled,
+further frames are ignored until it is reset: a row with `reset` begins the session anew from its frame_no on, as a new
+epoch, and the epoch before it is closed. A session that hears nothing for `idle` seconds is closed at the next
+micro-batch and its state goes. State is a few numbers a session.
 """
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import json
+import time
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FIELDS = ("subtotal", "tax", "tip", "total")
-OUT = "session_id long, settled_frame int, via string, status string, v_subtotal long, v_tax long, v_tip long, v_total long, frames int, late int"
+OUT = "session_id long, settled_frame int, via string, status string, v_subtotal long, v_tax long, v_tip long, v_total long, frames int, late int, epoch int, closed string"
+#: Seconds without a frame after which a session is closed.
+IDLE = 3600.0
 
 
 def plausible(v: dict) -> bool:
@@ -59,7 +66,7 @@ class Session:
     """The state of one session; to_json and from_json carry it between micro-batches."""
 
     def __init__(self, saved: dict | None = None):
-        self.s = saved or {"streaks": {f: [None, 0] for f in (*FIELDS, "items")}, "needed": 2, "last": 0, "frames": 0, "late": 0, "repair": ["", 0], "settled": None, "items": [0, 0]}
+        self.s = saved or {"streaks": {f: [None, 0] for f in (*FIELDS, "items")}, "needed": 2, "last": 0, "frames": 0, "late": 0, "repair": ["", 0], "settled": None, "epoch": 0}
 
     def observe(self, r: dict) -> None:
         s = self.s
@@ -90,33 +97,76 @@ class Session:
         if via and (status == "reconciled" or via == "consensus" or s["repair"][1] >= 2):
             s["settled"] = [r["frame_no"], via, status, *(values[f] for f in FIELDS)]
 
-    def row(self, session_id: int) -> dict:
+    def reset(self, frame_no: int) -> None:
+        """A new epoch from this frame on; frames before it come too late."""
+        old = self.s
+        self.s = Session().s | {"epoch": old["epoch"] + 1, "last": max(old["last"], frame_no - 1)}
+
+    def row(self, session_id: int, closed: str | None = None) -> dict:
         s = self.s
         done = s["settled"] or [None] * 7
-        return dict(zip(["session_id", "settled_frame", "via", "status", "v_subtotal", "v_tax", "v_tip", "v_total", "frames", "late"], [session_id, *done, s["frames"], s["late"]], strict=True))
+        return dict(zip(["session_id", "settled_frame", "via", "status", "v_subtotal", "v_tax", "v_tip", "v_total", "frames", "late", "epoch", "closed"], [session_id, *done, s["frames"], s["late"], s["epoch"], closed], strict=True))
 
 
 def number(v) -> int | None:
     return None if v is None or pd.isna(v) else int(v)
 
 
-def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    session = Session(json.loads(state.get[0]) if state.exists else None)
-    rows = pd.concat(list(chunks)).sort_values("frame_no")
-    for r in rows.astype(object).to_dict("records"):
-        session.observe({k: r[k] if k == "items_key" else number(r[k]) for k in ("frame_no", "n_items", "items_sum", "items_key", *FIELDS)})
+def told(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows).astype({c: "Int64" for c in ("settled_frame", "v_subtotal", "v_tax", "v_tip", "v_total")} | {"closed": object})
+
+
+def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState, idle: int) -> Iterator[pd.DataFrame]:
+    session, out = Session(json.loads(state.get[0]) if state.exists else None), []
+    if state.hasTimedOut:
+        state.remove()
+        yield told([session.row(int(key[0]), "idle")])
+        return
+    given = pd.concat(list(chunks)).astype(object).sort_values(["frame_no", "reset"], ascending=[True, False])
+    for r in given.to_dict("records"):
+        if r["reset"]:
+            if session.s["frames"]:
+                out.append(session.row(int(key[0]), "reset"))
+            session.reset(number(r["frame_no"]))
+        else:
+            session.observe({k: r[k] if k == "items_key" else number(r[k]) for k in ("frame_no", "n_items", "items_sum", "items_key", *FIELDS)})
+    if session.s["frames"] or not out:
+        out.append(session.row(int(key[0])))
     state.update((json.dumps(session.s),))
-    yield pd.DataFrame([session.row(int(key[0]))]).astype({c: "Int64" for c in ("settled_frame", "v_subtotal", "v_tax", "v_tip", "v_total")})
+    state.setTimeoutDuration(idle)
+    yield told(out)
+
+
+def sessions(frames: DataFrame, idle: float = IDLE) -> DataFrame:
+    """A row per session and micro-batch that touched it: how it stands after the frames so far; a row more for each epoch that was closed."""
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in frames.columns else F.lit(False)
+    wanted = frames.select("session_id", "frame_no", "n_items", "items_sum", "items_key", *FIELDS, reset.alias("reset"))
+    step = functools.partial(advance, idle=int(idle * 1000))
+
+    def run(key, chunks, state):
+        return step(key, chunks, state)
+
+    return wanted.groupBy("session_id").applyInPandasWithState(run, OUT, "saved string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: With timeouts every batch asks for another one, so a run over what is there would never end; they count at the next batch with frames.
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
+@contextlib.contextmanager
+def batches_with_frames_only(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(EMPTY_BATCHES)
+    spark.conf.set(EMPTY_BATCHES, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(EMPTY_BATCHES, before)
 
-def sessions(frames: DataFrame) -> DataFrame:
-    """A row per session and micro-batch that touched it: how it stands after the frames so far."""
-    wanted = frames.select("session_id", "frame_no", "n_items", "items_sum", "items_key", *FIELDS)
-    return wanted.groupBy("session_id").applyInPandasWithState(advance, OUT, "saved string", "update", GroupStateTimeout.NoTimeout)
 
+def replay(portions: list[DataFrame], name: str, folder: str, idle: float = IDLE, pause: float = 0) -> DataFrame:
+    """Writes portions of frames one after the other and runs the stream over each; gives the last row of each session and epoch.
 
-def replay(portions: list[DataFrame], name: str, folder: str) -> DataFrame:
-    """Writes portions of frames one after the other and runs the stream over each; gives the last row of each session.
+    pause: seconds between portions.
 
     The stream stops after each portion and goes on from its checkpoint, so portions count in their order, whatever
     the order of the files within one.
@@ -126,12 +176,14 @@ def replay(portions: list[DataFrame], name: str, folder: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch_no={number}")
 
-    for frames in portions:
+    for k, frames in enumerate(portions):
+        time.sleep(pause if k else 0)
         frames.write.mode("append").parquet(source)
         stream = spark.readStream.schema(frames.schema).parquet(source)
-        query = sessions(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start()
-        query.awaitTermination()
+        with batches_with_frames_only(spark):
+            query = sessions(stream, idle).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start()
+            query.awaitTermination()
     rows = spark.read.parquet(table)
-    columns = [c for c in rows.columns if c not in ("batch", "batch_no", "session_id")]
-    last = rows.groupBy("session_id").agg(F.max_by(F.struct(*columns), "batch").alias("r"))
-    return last.select("session_id", "r.*")
+    columns = [c for c in rows.columns if c not in ("batch", "batch_no", "session_id", "epoch")]
+    last = rows.groupBy("session_id", "epoch").agg(F.max_by(F.struct(*columns), F.struct("batch", F.col("closed").isNotNull())).alias("r"))
+    return last.select("session_id", "epoch", "r.*")

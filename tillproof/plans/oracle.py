@@ -344,4 +344,5 @@ sums as (select vec_id, longest, w, h, p, list_sum(list_transform(range(ww * hh)
 select vec_id as image_id, longest, w as width, h as height, string_agg(printf('%02X', cast(round_even(x, 0) as int)), '' order by p) as pixels from sums group by all""",
     "q58_turned_and_paled": f"with l as (select vec_id, {LEVELS} as v from embeddings) select vec_id as image_id, 6 as width, 8 as height, array_to_string(list_transform(range(48), lambda i: printf('%02X', cast(round_even(v[(5 - i % 6) * 8 + i // 6 + 1] * cast(0.5 as double) + 40, 0) as int))), '') as pixels from l",
     "q59_jump_draws": "with l as (select o_orderkey as receipt_id, list_reduce(list_prepend(cast(o_orderkey as bigint), range(k)), lambda s, i: (s * 1103515245 + 12345) & 2147483647) as s, k from orders, (values (1), (7), (40), (1000)) t(k)) select receipt_id, max(s) filter (k = 1) as draw_1, max(s) filter (k = 7) as draw_7, max(s) filter (k = 40) as draw_40, max(s) filter (k = 1000) as draw_1000 from l group by 1",
+    "q60_live_frames": f"with {STREAK}, n as (select (coalesce(max(frame_no), 1) + 3) // 4 as admitted from ef), t as (select ef.*, (frame_no - 1) // admitted as tick from ef, n) select session_id, tick, max(frame_no) as frame_no, max_by(value_or, frame_no)[1] as value from (select *, [value] as value_or from t) group by 1, 2",
 }

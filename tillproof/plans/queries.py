@@ -14,7 +14,7 @@ from ..operators import consensus, edits, raster, receipt, split
 from ..operators.reconcile import apply_repairs, reconcile
 from ..sources import adapters, words
 from ..sources.adapters import FIELDS
-from ..streaming import session
+from ..streaming import camera, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -522,6 +522,14 @@ def q59_jump_draws(spark, sf):
     return o.select("receipt_id", *(draws.state(F.col("receipt_id"), F.lit(k)).alias(f"draw_{k}") for k in (1, 7, 40, 1000)))
 
 
+@query
+def q60_live_frames(spark, sf):
+    """All events as a live source in four ticks: of each user's frames in a tick the newest one."""
+    frames = adapters.event_frames(spark, sf)
+    admitted = -(-(frames.agg(F.max("frame_no")).first()[0] or 1) // 4)
+    return camera.watch(frames, 4, stream_folder(spark), admitted).select("session_id", "tick", "frame_no", "value")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """What each person owes of each bill that closes."""
     return q01_split_shares(spark, sf).orderBy("bill_id", "person_idx")

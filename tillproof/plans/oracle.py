@@ -242,6 +242,11 @@ TONE = f"case when n_items = 0 and coalesce({each('{f}')}) is null then 'idle' w
 TEXTS = ", ".join(f"'{x}'" for x in LINES)
 
 
+#: Areas of the planes, as sums over the cells that they cover.
+AVERAGED = f"""with l as (select vec_id, {LEVELS} as v from embeddings), sizes as (select * from (values (5, 8, 8, 5, 5), (3, 8, 6, 3, 2)) s(longest, ww, hh, w, h)),
+cells as (select vec_id, v, longest, ww, hh, w, h, cast(unnest(range(w * h)) as int) as p from l, sizes),
+sums as (select vec_id, longest, w, h, p, list_sum(list_transform(range(ww * hh), lambda c: v[c % ww + c // ww * 8 + 1]
+ * greatest(0, least((c % ww + 1) * w, (p % w + 1) * ww) - greatest(c % ww * w, p % w * ww)) * greatest(0, least((c // ww + 1) * h, (p // w + 1) * hh) - greatest(c // ww * h, p // w * hh)))) / cast(ww * hh as double) as x from cells)"""
 SESSION_RESET = f"with {FRAMES}, two as (select * exclude (session_id), session_id * 2 + cast(frame_no > 3 as int) as session_id from frames), {settled('two')}, {ACCEPT} select * from told"
 SQL: dict[str, str] = {
     "q01_split_shares": f"{SPLIT} select bill_id, person_idx, person_id, items, tax, tip, total from done",
@@ -337,12 +342,10 @@ select v.receipt_id as bill_id, status, no_tip_printed, settles and n_items = 0
     "q52_empty_bills": f"select c_custkey as bill_id, {NULL} as subtotal, c_custkey * 7 as total, 2 as people, 'i1' as item, c_custkey % 500 as price, 2 as next_id from customer",
     "q53_degraded_sessions": f"with {POOR}, {settled('frames')}, {ACCEPT} select * from told",
     "q54_degraded_policies": f"with {POOR}, {settled('frames')}, {policies('0')}",
-    "q57_area_average": f"""with l as (select vec_id, {LEVELS} as v from embeddings), sizes as (select * from (values (5, 8, 8, 5, 5), (3, 8, 6, 3, 2)) s(longest, ww, hh, w, h)),
-cells as (select vec_id, v, longest, ww, hh, w, h, cast(unnest(range(w * h)) as int) as p from l, sizes),
-sums as (select vec_id, longest, w, h, p, list_sum(list_transform(range(ww * hh), lambda c: v[c % ww + c // ww * 8 + 1]
- * greatest(0, least((c % ww + 1) * w, (p % w + 1) * ww) - greatest(c % ww * w, p % w * ww)) * greatest(0, least((c // ww + 1) * h, (p // w + 1) * hh) - greatest(c // ww * h, p // w * hh)))) / cast(ww * hh as double) as x from cells)
-select vec_id as image_id, longest, w as width, h as height, string_agg(printf('%02X', cast(round_even(x, 0) as int)), '' order by p) as pixels from sums group by all""",
+    "q57_area_average": f"{AVERAGED} select vec_id as image_id, longest, w as width, h as height, string_agg(printf('%02X', cast(round_even(x, 0) as int)), '' order by p) as pixels from sums group by all",
     "q58_turned_and_paled": f"with l as (select vec_id, {LEVELS} as v from embeddings) select vec_id as image_id, 6 as width, 8 as height, array_to_string(list_transform(range(48), lambda i: printf('%02X', cast(round_even(v[(5 - i % 6) * 8 + i // 6 + 1] * cast(0.5 as double) + 40, 0) as int))), '') as pixels from l",
     "q59_jump_draws": "with l as (select o_orderkey as receipt_id, list_reduce(list_prepend(cast(o_orderkey as bigint), range(k)), lambda s, i: (s * 1103515245 + 12345) & 2147483647) as s, k from orders, (values (1), (7), (40), (1000)) t(k)) select receipt_id, max(s) filter (k = 1) as draw_1, max(s) filter (k = 7) as draw_7, max(s) filter (k = 40) as draw_40, max(s) filter (k = 1000) as draw_1000 from l group by 1",
     "q60_live_frames": f"with {STREAK}, n as (select (coalesce(max(frame_no), 1) + 3) // 4 as admitted from ef), t as (select ef.*, (frame_no - 1) // admitted as tick from ef, n) select session_id, tick, max(frame_no) as frame_no, max_by(value_or, frame_no)[1] as value from (select *, [value] as value_or from t) group by 1, 2",
+    "q61_rgba_gray": f"with l as (select vec_id, {LEVELS} as v from embeddings) select vec_id as image_id, 4 as width, 4 as height, array_to_string(list_transform(range(16), lambda i: printf('%02X', cast(round_even((299 * v[4 * i + 1] + 587 * v[4 * i + 2] + 114 * v[4 * i + 3]) / cast(1000 as double), 0) as int))), '') as pixels from l",
+    "q62_files_prepared": f"{AVERAGED} select vec_id as image_id, w as width, h as height, string_agg(printf('%02X', cast(round_even(round_even(x, 0) * cast(0.5 as double) + 40, 0) as int)), '' order by p) as pixels from sums where longest = 3 group by all",
 }

@@ -522,6 +522,24 @@ def q59_jump_draws(spark, sf):
     return o.select("receipt_id", *(draws.state(F.col("receipt_id"), F.lit(k)).alias(f"draw_{k}") for k in (1, 7, 40, 1000)))
 
 
+@query
+def q61_rgba_gray(spark, sf):
+    """The embeddings as 4 x 4 pixels of red, green, blue and alpha, in grey."""
+    r = rasters(spark, sf).withColumns({"width": F.lit(16), "height": F.lit(4)})
+    gray = raster.mapped(r, lambda i: raster.to_gray(i.reshape(4, 4, 4)))
+    return gray.select("image_id", "width", "height", F.hex("data").alias("pixels"))
+
+
+@query
+def q62_files_prepared(spark, sf):
+    """Grey maps as files hold them: read, cropped to a guide, scaled down and made paler, in one pass."""
+    r = rasters(spark, sf)
+    files = r.select(F.col("image_id").cast("string").alias("path"), words.to_pgm(F.col("width"), F.col("height"), F.col("data")).alias("content"))
+    planes = words.gray(files).select(F.col("path").cast("long").alias("image_id"), "width", "height", "data")
+    done = raster.mapped(planes, lambda i: raster.levels(raster.fit(raster.crop(i, 0, 0, 8, 6), 3), 0.5, 40))
+    return done.select("image_id", "width", "height", F.hex("data").alias("pixels"))
+
+
 @query
 def q60_live_frames(spark, sf):
     """All events as a live source in four ticks: of each user's frames in a tick the newest one."""

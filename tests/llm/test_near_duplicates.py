@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tillproof.llm import simhash
@@ -66,3 +67,39 @@ def test_short_texts_and_texts_at_the_limit(spark):
     own = plain_groups(texts)
     assert len(set(own)) < 0.55 * len(texts)
     assert found_groups(spark, texts) == own
+
+
+def test_parities_never_leave_out_a_similar_pair():
+    draw = np.random.default_rng(11)
+    sets = []
+    for n in (1, 2, 5, 31, 32, 33, 60, 100, 127, 129, 200):
+        base = draw.integers(0, 2**63, n, dtype=np.uint64)
+        for more in (0, n // 8, n // 4, n // 3, n):
+            less = draw.choice(base, n - draw.integers(0, n // 6 + 1), replace=False)
+            sets.append(np.unique(np.concatenate([less, draw.integers(0, 2**63, more, dtype=np.uint64)])))
+    bits, n = [np.frombuffer(simhash.parities(x), np.uint64) for x in sets], np.array([len(x) for x in sets])
+    part = draw.integers(0, 40, len(sets))
+    near = simhash.near_some(bits, n, part, 0.8, words=64)
+    for i, x in enumerate(sets):
+        others = [set(y.tolist()) for j, y in enumerate(sets) if part[j] != part[i]]
+        own = set(x.tolist())
+        if any(5 * len(own & y) >= 4 * len(own | y) for y in others):
+            assert near[i]
+    assert not near.all()
+    alone = [np.unique(draw.integers(0, 2**63, 1500, dtype=np.uint64)) for _ in range(50)]
+    few = simhash.near_some([np.frombuffer(simhash.parities(x), np.uint64) for x in alone], np.array([len(x) for x in alone]), np.arange(50), 0.8)
+    assert not few.any()
+
+
+def test_long_texts_that_only_share_a_passage_and_edited_copies_among_them(spark):
+    draw = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for _ in range(60):
+        w = [f"w{draw.randrange(10**9)}" for _ in range(draw.randrange(250, 320))]
+        at = draw.randrange(len(w))
+        w = w[:at] + passage + w[at:]
+        texts += [" ".join(w), edited(draw, w, 0.01)] if draw.random() < 0.3 else [" ".join(w)]
+    own = plain_groups(texts)
+    assert 50 < len(set(own)) < len(texts)
+    assert found_groups(spark, texts) == own

@@ -10,8 +10,9 @@ pairs. A large bucket is split again by the same principle.
 
 Similar shingle sets are found exactly, too: shingles have one order, rare ones first, and two sets
 of a Jaccard similarity share one of their first shingles, so many that the rest can't make it up.
-What shares enough of them in small buckets, or a large bucket, meets in tiles of bounded size, is compared there
-on the whole sets and gives a star for each connected part, not its pairs.
+What shares enough of them in small buckets, or a large bucket, meets in tiles of bounded size: first as parity
+bitmaps, whose distance is never more than the number of shingles in which two sets differ, so that members like
+no other one go; then on the whole sets, and each connected part gives a star, not its pairs.
 
 Edge cases: a text with fewer words than a shingle is one shingle, one without words has fingerprint
 zero; null texts count as empty; equal texts link; null ids count as no id (the smallest id of a
@@ -311,6 +312,17 @@ def hashed(own: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
 
 
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each residue of a hash, set where an odd number of members has it; 2 to 4 bits a member, a power of two.
+
+    Two sets differ in at least as many members as their bitmaps do in bits; halves put together by exclusive or
+    are the bitmap of half the width.
+    """
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def least_part(n: int, similarity: float) -> int:
     """How many members of a set of n a set at the similarity must share."""
     return math.ceil(similarity * n - 1e-6)
@@ -325,7 +337,7 @@ def rare_first(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def prefixes(docs: DataFrame, key: str, size: int, similarity: float) -> DataFrame:
-    """key, text_hash, set_hash, n and prefix: the size of the shingle set and its first hashes.
+    """key, text_hash, set_hash, n, prefix and bits: the size of the shingle set, its first hashes and its parities.
 
     Sets at the similarity share one of these: n less what they must share, and one.
     """
@@ -336,18 +348,20 @@ def prefixes(docs: DataFrame, key: str, size: int, similarity: float) -> DataFra
         common = shared.value
 
         def step(batch: pa.RecordBatch):
-            named, sizes, first = [], [], []
+            named, sizes, first, bits = [], [], [], []
             for text in texts(batch):
                 own = list(set(shingles(text, size)))
                 named.append(xxhash.xxh3_128_hexdigest(b"".join(sorted(xxhash.xxh3_128_digest(x) for x in own))))
                 own = hashed(own)
                 sizes.append(len(own))
                 first.append(rare_first(own, common)[: len(own) - least_part(len(own), similarity) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("text_hash"), pa.array(named, pa.string()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary())], [key, "text_hash", "set_hash", "n", "prefix"])
+                bits.append(parities(own))
+            made = pa.array(named, pa.string()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(bits, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("text_hash"), *made], [key, "text_hash", "set_hash", "n", "prefix", "bits"])
 
         return step
 
-    return in_batches(docs.select(key, "text", F.xxhash64("text").alias("text_hash")), make, f"`{key}` {kind}, text_hash long, set_hash string, n int, prefix binary")
+    return in_batches(docs.select(key, "text", F.xxhash64("text").alias("text_hash")), make, f"`{key}` {kind}, text_hash long, set_hash string, n int, prefix binary, bits binary")
 
 
 def whole_runs(batches, name: str):
@@ -386,9 +400,18 @@ def shared_shingles(classes: DataFrame) -> DataFrame:
         return step
 
     def several(batches):
-        for part in whole_runs(batches, "token"):
-            _, size = run_starts(part.column("token").to_numpy())
-            yield from part.filter(pa.array(np.repeat(size > 1, size))).to_batches()
+        held, met = None, False  # the last row so far, and whether the one before it has its token
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            k = part.column("token").to_numpy()
+            same = k[1:] == k[:-1]
+            before, after = np.concatenate([[met], same]), np.concatenate([same, [False]])
+            yield part.slice(0, len(k) - 1).filter(pa.array((before | after)[:-1]))
+            held, met = part.slice(len(k) - 1), bool(before[-1])
+        if held is not None and met:
+            yield held
 
     dealt = in_batches(classes.select("number", "n", "prefix"), make, "token long, number long, n int").repartition("token")
     return dealt.sortWithinPartitions("token").mapInArrow(several, "token long, number long, n int")
@@ -437,24 +460,84 @@ def main_groups(groups: DataFrame) -> DataFrame:
 
 
 def unjoined(groups: DataFrame, ids: DataFrame, label: DataFrame) -> DataFrame:
-    """(hub, number, n): the groups whose classes lie in several components; ids has number and id, label v (an id) and root."""
-    part = ids.join(label.select(F.col("v").alias("id"), "root"), "id", "left").select("number", F.coalesce("root", "id").alias("root"))
-    found = groups.join(part, "number")
-    several = found.groupBy("hub").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("hub")
-    return found.join(several, "hub", "left_semi").select("hub", "number", "n")
+    """(hub, number, n, part): the groups whose classes lie in several components; ids has number and id, label v (an id) and root."""
+    root = ids.join(label.select(F.col("v").alias("id"), "root"), "id", "left").select("number", F.xxhash64(F.coalesce("root", "id")).alias("part"))
+    found = groups.join(root, "number")
+    several = found.groupBy("hub").agg((F.min("part") < F.max("part")).alias("several")).where("several").select("hub")
+    return found.join(several, "hub", "left_semi").select("hub", "number", "n", "part")
 
 
-def tile_links(groups: DataFrame, sets: DataFrame, similarity: float, tile: int = 1024, tile_shingles: int = 1 << 20) -> DataFrame:
-    """(a, b): links that connect what is similar enough within each hub's group; sets has number, id and own.
+def in_tiles(groups: DataFrame, tile: int, tile_shingles: int) -> DataFrame:
+    """The rows of groups with i and j, the two tiles that meet; a row comes once for each tile of its group.
 
     A group is cut into tiles of about `tile` classes or `tile_shingles` shingles, and each two tiles meet in one task,
-    so no task holds more, however large a group is. There all pairs are compared on their whole sets, and each
-    connected part gives a star instead of its pairs.
+    so no task holds more, however large a group is.
     """
     size = groups.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
     own = groups.join(size, "hub").withColumn("tile", F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    met = own.select("hub", "number", "tile", other.alias("other")).select("hub", "number", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return met.select(*groups.columns, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+
+
+def fitting(groups: DataFrame, classes: DataFrame, similarity: float, tile: int = 2048, tile_shingles: int = 1 << 22) -> DataFrame:
+    """(hub, number, n): the rows of groups (hub, number, n, part) that may be similar to a row of their hub with another part.
+
+    The bound is that of the parities, so no row of a similar pair is left out; classes has number and bits.
+    """
+    met = in_tiles(groups, tile, tile_shingles).join(classes.select("number", "bits"), "number")
+    dealt = met.select(F.xxhash64("hub", "i", "j").alias("place"), "hub", "number", "n", "part", "bits").repartition("place").sortWithinPartitions("place")
+    bounded_batches(groups.sparkSession)
+
+    def run(batches):
+        for table in whole_runs(batches, "place"):
+            start, size = run_starts(table.column("place").to_numpy())
+            n, part = table.column("n").to_numpy(), table.column("part").to_numpy()
+            for s, m in zip(start.tolist(), size.tolist(), strict=True):
+                bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").slice(s, m).to_pylist()]
+                kept = table.slice(s, m).filter(pa.array(near_some(bits, n[s : s + m], part[s : s + m], similarity)))
+                yield from kept.select(["hub", "number", "n"]).to_batches()
+
+    return dealt.mapInArrow(run, "hub long, number long, n int").distinct()
+
+
+def near_some(bits: list[np.ndarray], n: np.ndarray, part: np.ndarray, similarity: float, words: int = 1 << 19) -> np.ndarray:
+    """Whether each set (parities, size, part) may be similar to one of another part.
+
+    Sizes of similar sets differ by less than two, so their bitmaps have one width or one is twice the other.
+    """
+    near = np.zeros(len(n), bool)
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+
+    def meet(x: np.ndarray, y: np.ndarray, planes: np.ndarray, others: np.ndarray) -> None:
+        step = max(1, words // (len(y) * planes.shape[1]))
+        for first in range(0, len(x), step):
+            a = x[first : first + step]
+            at = np.flatnonzero(~near[y]) if near[a].all() else np.arange(len(y))
+            b = y[at]
+            fits = (np.minimum.outer(n[a], n[b]) >= similarity * np.maximum.outer(n[a], n[b]) - 1e-6) & (part[a][:, None] != part[b])
+            if not fits.any():
+                continue
+            both = np.add.outer(n[a], n[b]).astype(np.int64)
+            apart = np.bitwise_count(planes[first : first + step, None] ^ others[None, at]).sum(2, dtype=np.int64)
+            fits &= apart <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-6).astype(np.int64)
+            near[a[fits.any(1)]] = True
+            near[b[fits.any(0)]] = True
+
+    for w in np.unique(width).tolist():
+        x, y = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        planes = np.stack([bits[k] for k in x])
+        meet(x, x, planes, planes)
+        if len(y):
+            meet(x, y, planes, np.stack([bits[k][:w] ^ bits[k][w:] for k in y]))
+    return near
+
+
+def tile_links(groups: DataFrame, sets: DataFrame, similarity: float, tile: int = 1024, tile_shingles: int = 1 << 20) -> DataFrame:
+    """(a, b): links that connect what is similar enough within each hub's group; sets has number, id and own.
+
+    In a tile all pairs are compared on their whole sets, and each connected part gives a star instead of its pairs.
+    """
+    met = in_tiles(groups.select("hub", "number", "n"), tile, tile_shingles)
     dealt = met.join(sets, "number").select(F.xxhash64("hub", "i", "j").alias("place"), "id", "own").repartition("place").sortWithinPartitions("place")
     bounded_batches(groups.sparkSession)
 
@@ -506,13 +589,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similar
 
     Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked, and linked classes form
     groups. Similar classes share one of their first shingles. In buckets of at most `large` classes the pairs are
-    counted, and what shares enough with a class is its group; a larger bucket is its hub's group. Groups are compared
-    in tiles of whole sets, in two rounds: first each class in its largest group alone, then all groups whose classes
-    that hasn't connected. A group whose classes are connected already can't change what is connected, so most sets are
-    sent once.
+    counted, and what shares enough with a class is its group; a larger bucket is its hub's group. From groups go, by
+    their parities, members that are like no other one: long texts that only have a passage in common. Groups are
+    compared in tiles of whole sets, in two rounds: first each class in its largest group alone, then members that may
+    be like one of their group which that hasn't connected with them. What is connected already can't change what is
+    connected, so most sets are sent once.
     """
     prints = written(prefixes(docs, key, size, similarity), "prints")
-    classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(key, "text_hash")).alias("least"))
+    classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min(F.struct(key, "text_hash")).alias("least"))
     classes = written(classes.withColumn("number", F.xxhash64("id")), "classes")
     shared = written(shared_shingles(classes), "shared")
     sized = shared.join(bucket_sizes(shared), "token")
@@ -522,17 +606,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similar
     pairs = sharing_pairs(sized.where(F.col("m") <= large), similarity).where(F.col("c") + least >= enough)
     ends = F.array(F.struct(F.col("a").alias("number"), F.col("na").alias("n")), F.struct(F.col("b").alias("number"), F.col("nb").alias("n")))
     paired = pairs.select(F.col("a").alias("hub"), F.inline(ends)).distinct()
-    groups = written(paired.unionByName(hub_groups(sized.where(F.col("m") > large))).distinct(), "groups")
+    met = written(paired.unionByName(hub_groups(sized.where(F.col("m") > large))).distinct(), "met")
     dropped(shared)
+    groups = written(fitting(met.withColumn("part", F.col("number")), classes, similarity), "groups")
+    dropped(met)
     members = classes.join(groups.select("number").distinct(), "number", "left_semi")
     sets = written(whole_sets(docs, members, key, size), "sets")
     ids = written(sets.select("number", "id"), "ids")
-    dropped(classes)
     first = written(tile_links(main_groups(groups), sets, similarity), "links")
-    apart = written(unjoined(groups, ids, components(first)), "apart")
-    dropped(groups)
+    left = written(unjoined(groups, ids, components(first)), "left")
+    apart = written(fitting(left, classes, similarity), "apart")
     later = written(tile_links(apart, sets, similarity), "links")
-    for done in (apart, sets, ids):
+    for done in (groups, classes, left, apart, sets, ids):
         dropped(done)
     links = first.unionByName(later)
     label = components(links)

@@ -28,3 +28,9 @@ def test_odd_vectors(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in pi.nearest(vectors, vectors).collect() if r.query_id == 0)
     assert got == [(0, 1, 8, 1.0), (0, 2, 9, 1.0), (0, 3, 1, round(0.5**0.5, 9))]
     assert pi.nearest(vectors.limit(0), vectors).count() == 0 and pi.nearest(vectors, vectors.limit(0)).count() == 0
+
+
+def test_queries_dealt_to_all_slots_are_not_broadcast(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    found = pi.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+    assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -159,7 +159,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
     blocks = written(index(vectors, chosen, key, column, block, slots), "index")
     asked = written(query_blocks(queries.where(F.col(key).isNotNull()).dropDuplicates([key]), chosen, key, column), "queries")
     dealt = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    pairs = blocks.join(dealt, "slot")
+    # A planner sees the queries as they are stored, not dealt to every slot: the merge keeps them from being broadcast.
+    pairs = blocks.hint("merge").join(dealt, "slot")
     size = chosen.near
 
     def make():

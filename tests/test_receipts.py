@@ -1,8 +1,11 @@
 """Reconciliation, division, money, parsing, sessions and SQL of the receipt engine."""
 
+import time
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tillproof.functions import money
@@ -112,3 +115,13 @@ def test_blocks_of_totals_and_dishes_named_like_labels(spark):
     got = receipt.parse(words).first()
     assert [(i.desc, i.price) for i in got["items"]] == [("MEATBALL SUB", 900), ("TAXI DRIVER STEAK", 2000)]
     assert (got.subtotal, got.tax, got.tip, got.total) == (4150, 332, 1250, 4982) and got.unreadable == ""
+
+
+def test_placeholder_names_of_many_people(spark):
+    """Time in proportion to the names; spacing, case, leading zeros, other numbers and null names."""
+    many = ["Friend", *(f" FRIEND {k}" for k in range(2, 200_000))]
+    cases = {"many": (many, "Friend 200000"), "gap": (["friend", "Friend 3"], "Friend 2"), "zeros": (["Friend", "Friend 02", "Friend 1", "Friend 2x"], "Friend 2"), "null": ([None, "Friend"], "Friend 2"), "none": ([], "Friend")}
+    df = spark.createDataFrame([(k, names) for k, (names, _) in cases.items()], "k string, names array<string>")
+    start = time.perf_counter()
+    assert {r.k: r.name for r in df.select("k", money.placeholder_name(F.col("names")).alias("name")).collect()} == {k: want for k, (_, want) in cases.items()}
+    assert time.perf_counter() - start < 60

@@ -77,14 +77,35 @@ def percent_text(n: Column, d: Column) -> Column:
     return F.when(d == 0, "n/a").otherwise(F.concat(F.round(100.0 * n / F.when(d != 0, d)).cast("bigint").cast("string"), F.lit("%")))
 
 
+def placeholder_number(name: Column | str) -> Column:
+    """Which of Friend (1), Friend 2, ... a name is, in whatever case and spacing; null if none."""
+    text = F.lower(strip(col(name)))
+    number = F.regexp_extract(text, r"^friend ([1-9][0-9]{0,17})\z", 1).try_cast("bigint")
+    return F.when(text == "friend", F.lit(1).cast("bigint")).when(number > 1, number)
+
+
+def free_name(numbers: Column | str) -> Column:
+    """The first of Friend, Friend 2, ... whose number isn't among the numbers."""
+    numbers = col(numbers)
+    free = F.get(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.size(numbers).cast("bigint") + 1), numbers), F.lit(0))
+    return F.when(free == 1, F.lit("Friend")).otherwise(F.concat(F.lit("Friend "), free.cast("string")))
+
+
 def placeholder_name(names: Column) -> Column:
     """The first of Friend, Friend 2, ... that no one has, in whatever case and spacing."""
-    taken = F.transform(names, lambda n: F.lower(strip(n)))
-    made = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda n: F.when(n == 1, F.lit("Friend")).otherwise(F.concat(F.lit("Friend "), n.cast("string"))))
-    return F.get(F.filter(made, lambda n: ~F.array_contains(taken, F.lower(n))), F.lit(0))
+    return free_name(F.array_compact(F.transform(names, placeholder_number)))
+
+
+def id_number(i: Column | str) -> Column:
+    """The number after an id's first letter, 0 without one."""
+    return F.coalesce(F.substring(col(i), 2, 18).try_cast("bigint"), F.lit(0))
+
+
+def id_after(most: Column) -> Column:
+    """One more than the largest number of all ids, if there are any."""
+    return F.greatest(F.lit(1), F.coalesce(most, F.lit(0)) + 1).cast("bigint")
 
 
 def next_id(ids: Column) -> Column:
     """One more than the largest number after an id's first letter; ids without a number count as 0."""
-    numbers = F.transform(ids, lambda i: F.coalesce(F.substring(i, 2, 18).try_cast("bigint"), F.lit(0)))
-    return F.greatest(F.lit(1), F.coalesce(F.array_max(numbers), F.lit(0)) + 1).cast("bigint")
+    return id_after(F.array_max(F.transform(ids, id_number)))

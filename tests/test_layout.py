@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import __spark_entry__
 from tillproof.operators import layout, receipt
+from tillproof.sources import words
 
 KIND = pa.schema([("receipt_id", pa.int64()), ("word_idx", pa.int64()), ("text", pa.string()), *((k, pa.float64()) for k in ("x0", "y0", "x1", "y1")), ("cents", pa.int64())])
 
@@ -96,3 +98,22 @@ def test_words_without_text_or_box(spark):
     parsed = {r.receipt_id: r for r in receipt.parse(df).collect()}
     assert parsed[2].n_items == 0 and parsed[2].total is None and receipt.parse(df.limit(0)).isEmpty()
     assert {r.receipt_id: (r.line_height, r.slope) for r in receipt.slopes(df).collect()} == {1: (9.0, 0.0), 2: (1.0, 0.0)}
+
+
+@pytest.mark.parametrize("frames", [0, 3])
+def test_receipts_stay_together_from_the_source_on(spark, sf, frames):
+    """Neither a shuffle nor a sort of words, and the same rows."""
+    w = words.words(spark, sf, frames)
+    w = words.degraded(w, frames) if frames else w
+    got, want = receipt.rows(w, together=True).drop("words"), receipt.rows(w).drop("words")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan(got) and "Sort [receipt_id" not in plan(got) and "Repartition" in plan(want)
+    if frames:
+        plain = receipt.rows(words.degraded(words.words(spark, sf), frames)).drop("words")
+        assert plain.count() == got.count() and plain.exceptAll(got).isEmpty()
+
+
+def test_trees_are_walked_once(spark, sf):
+    plan = __spark_entry__.queries()["q39_flatten_words"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2  # bills and items, each once

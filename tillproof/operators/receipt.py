@@ -1,6 +1,7 @@
 """From located words to a parsed receipt: rows by geometry, then prices, labels and items.
 
-Words have receipt_id, word_idx, text, x0, y0, x1, y1. A receipt's words come together by the only shuffle;
+Words have receipt_id, word_idx, text, x0, y0, x1, y1. A receipt's words come together by the only shuffle, or by none
+where they stand together (`together`, as sources.words gives them);
 slope and rows are worked out for many receipts at a time (layout); column, prices, labels and fields are array functions
 on that one row. Words without text or box don't count; a receipt without words has no rows, a line height of 1 and no
 slope.
@@ -50,31 +51,35 @@ def is_divider(text: Column) -> Column:
     return text.rlike(DIVIDER)
 
 
-def laid_out(words: DataFrame, kernel: Callable, made: str) -> DataFrame:
-    """A kernel of layout over the words, a receipt's together: one shuffle of plain rows and a sort by receipt alone."""
+def laid_out(words: DataFrame, kernel: Callable, made: str, together: bool = False) -> DataFrame:
+    """A kernel of layout over the words, a receipt's together: one shuffle of plain rows and a sort by receipt alone.
+
+    together: each receipt's words stand in one partition and one after the other already, as a source gives them that
+    opens whole receipts; then neither is needed.
+    """
     place = (F.col(c).cast("double").alias(c) for c in layout.PLACE)
     flat = words.select("receipt_id", F.col("word_idx").cast("bigint").alias("word_idx"), F.col("text").cast("string").alias("text"), *place, parse_cents("text").alias("cents"))
-    together = flat.repartition("receipt_id").sortWithinPartitions("receipt_id")
-    return together.mapInArrow(kernel, f"receipt_id {flat.schema['receipt_id'].dataType.simpleString()}, {made}")
+    dealt = flat if together else flat.repartition("receipt_id").sortWithinPartitions("receipt_id")
+    return dealt.mapInArrow(kernel, f"receipt_id {flat.schema['receipt_id'].dataType.simpleString()}, {made}")
 
 
-def slopes(words: DataFrame) -> DataFrame:
+def slopes(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, line_height and slope.
 
     The line height is the median of the words' heights (1 if that is 0), the slope the median over the words of the
     slope to the nearest right-hand neighbour; a steep one counts as none.
     """
-    return laid_out(words, layout.slopes, "line_height double, slope double")
+    return laid_out(words, layout.slopes, "line_height double, slope double", together)
 
 
-def page_rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
+def page_rows(words: DataFrame, tolerance: float = 0.6, together: bool = False) -> DataFrame:
     """receipt_id and rows: an array of row_idx, y, flat_y, x0, y0, x1, y1, text and words (in reading order)."""
-    return laid_out(words, layout.rows(tolerance), f"rows {layout.ROWS_SQL}")
+    return laid_out(words, layout.rows(tolerance), f"rows {layout.ROWS_SQL}", together)
 
 
-def rows(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
+def rows(words: DataFrame, tolerance: float = 0.6, together: bool = False) -> DataFrame:
     """receipt_id, row_idx, y, flat_y, x0, y0, x1, y1, text and words, a row each."""
-    return page_rows(words, tolerance).select("receipt_id", F.inline("rows"))
+    return page_rows(words, tolerance, together).select("receipt_id", F.inline("rows"))
 
 
 def page_priced(pages: DataFrame) -> DataFrame:
@@ -112,9 +117,9 @@ def page_priced(pages: DataFrame) -> DataFrame:
     return fixed(page.select("receipt_id", "column_x", "page_width", "priced_rows"), block_start=first).withColumnRenamed("priced_rows", "rows")
 
 
-def priced(words: DataFrame) -> DataFrame:
+def priced(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, column_x, page_width, block_start and the priced rows of the words, a row each."""
-    return page_priced(page_rows(words)).select("receipt_id", "column_x", "page_width", "block_start", F.inline("rows")).drop("opens")
+    return page_priced(page_rows(words, together=together)).select("receipt_id", "column_x", "page_width", "block_start", F.inline("rows")).drop("opens")
 
 
 def dishes(rows: Column, block_start: Column) -> Column:
@@ -123,9 +128,9 @@ def dishes(rows: Column, block_start: Column) -> Column:
     return F.transform(F.filter(rows, ok), lambda r, i: F.struct(i.alias("item_idx"), r["desc"].alias("desc"), r["price"].alias("price"), r["row_idx"].alias("row_idx")))
 
 
-def items(words: DataFrame) -> DataFrame:
+def items(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, item_idx, desc, price, row_idx of the lines that are dishes."""
-    return page_priced(page_rows(words)).select("receipt_id", F.inline(dishes(F.col("rows"), F.col("block_start"))))
+    return page_priced(page_rows(words, together=together)).select("receipt_id", F.inline(dishes(F.col("rows"), F.col("block_start"))))
 
 
 def with_fields(page: DataFrame) -> DataFrame:
@@ -138,13 +143,13 @@ def with_fields(page: DataFrame) -> DataFrame:
     return out.drop(*(f"{k}_{n}" for n, _ in LABELS for k in ("hit", "miss")))
 
 
-def fields(words: DataFrame) -> DataFrame:
+def fields(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, the four totals, the rows they stand in and unreadable labels, in order."""
-    return with_fields(page_priced(page_rows(words))).drop("rows", "column_x", "page_width", "block_start")
+    return with_fields(page_priced(page_rows(words, together=together))).drop("rows", "column_x", "page_width", "block_start")
 
 
-def parse(words: DataFrame) -> DataFrame:
+def parse(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, totals, unreadable, n_items, items_sum and items (an array in order)."""
-    page = fixed(with_fields(page_priced(page_rows(words))), items=dishes(F.col("rows"), F.col("block_start")))
+    page = fixed(with_fields(page_priced(page_rows(words, together=together))), items=dishes(F.col("rows"), F.col("block_start")))
     total = F.aggregate("items", F.lit(0).cast("bigint"), lambda s, i: s + i["price"])
     return page.drop("rows", "column_x", "page_width", "block_start").withColumns({"n_items": F.size("items"), "items_sum": total})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +19,38 @@ INSIDE = ("blocks", "paragraphs", "lines", "children")
 FOUND = f"array<struct<text:string,bbox:{BOX},confidence:double>>"
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """receipt_id, line, label, price: what a receipt prints, from its merchant to its thanks."""
+def lines(spark: SparkSession, sf_dir: str, frames: int = 0) -> DataFrame:
+    """receipt_id, line, label, price: what a receipt prints, from its merchant to its thanks; with frames, so many times, with the frame's number.
+
+    A receipt is one row until its lines are opened, so the lines of one (and its words) stand together.
+    """
     bills = adapters.bills(spark, sf_dir)
     items = adapters.items(spark, sf_dir, described=True)
-    body = items.select("receipt_id", (F.col("item_idx") + 2).cast("int").alias("line"), F.col("desc").alias("label"), "price")
     none = F.lit(None).cast("bigint")
-    n = F.col("n_items").cast("int")
+    line = "struct<line:int,label:string,price:bigint>"
+
+    def printed(line_no: Column, label: Column, price: Column = none) -> Column:
+        return F.struct(line_no.alias("line"), label.alias("label"), price.alias("price")).cast(line)
+
+    head = F.struct(F.col("n_items").cast("int").alias("n"), *adapters.FIELDS)
+    body = printed(F.col("item_idx") + 2, F.col("desc"), F.col("price"))
+    parts = bills.select("receipt_id", head.alias("head"), F.lit(None).cast(line).alias("body")).unionByName(items.select("receipt_id", body.alias("body")), allowMissingColumns=True)
+    pages = parts.groupBy("receipt_id").agg(F.collect_list("head").alias("heads"), F.collect_list("body").alias("bodies"))
 
-    def printed(line: Column, label: Column, price: Column = none) -> Column:
-        return F.struct(line.alias("line"), label.alias("label"), price.alias("price")).cast("struct<line:int,label:string,price:bigint>")
+    def rest(h: Column) -> Column:
+        return F.array(
+            printed(F.lit(0), F.concat(F.lit("SHOP "), (F.col("receipt_id") % 97).cast("string"))),
+            printed(F.lit(1), F.lit("----------")),
+            printed(h["n"] + 2, F.lit("----------")),
+            *(printed(h["n"] + 3 + k, F.lit(f.upper()), h[f]) for k, f in enumerate(adapters.FIELDS)),
+            printed(h["n"] + 7, F.lit("THANK YOU")),
+        )
 
-    rest = F.array(
-        printed(F.lit(0), F.concat(F.lit("SHOP "), (F.col("receipt_id") % 97).cast("string"))),
-        printed(F.lit(1), F.lit("----------")),
-        printed(n + 2, F.lit("----------")),
-        *(printed(n + 3 + k, F.lit(f.upper()), F.col(f)) for k, f in enumerate(adapters.FIELDS)),
-        printed(n + 7, F.lit("THANK YOU")),
-    )
-    return bills.select("receipt_id", F.inline(rest)).unionByName(body)
+    shown = F.concat(F.flatten(F.transform("heads", rest)), "bodies")
+    if not frames:
+        return pages.select("receipt_id", F.inline(shown))
+    taken = pages.withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(frames))))
+    return taken.select("receipt_id", "frame", F.inline(shown))
 
 
 def render(lines: DataFrame, skew: Column | None = None, tall: float = TALL) -> DataFrame:
@@ -47,21 +62,23 @@ def render(lines: DataFrame, skew: Column | None = None, tall: float = TALL) ->
     at = F.transform(parts, lambda w, i: F.struct(w.alias("text"), (start + ADVANCE * (F.length(F.array_join(F.slice(parts, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0))).alias("x0")))
     described = F.transform(at, lambda p: F.struct(p["text"].alias("text"), p["x0"].alias("x0"), (p["x0"] + ADVANCE * F.length(p["text"])).alias("x1")))
     price = F.when(F.col("price").isNotNull(), F.array(F.struct(amount.alias("text"), (F.lit(float(RIGHT)) - ADVANCE * F.length(amount)).alias("x0"), F.lit(float(RIGHT)).alias("x1")))).otherwise(F.array().cast("array<struct<text:string,x0:double,x1:double>>"))
-    each = lines.select("receipt_id", "line", F.posexplode(F.concat(described, price)).alias("k", "w"))
+    own = [c for c in ("receipt_id", "frame") if c in lines.columns]
+    each = lines.select(*own, "line", F.posexplode(F.concat(described, price)).alias("k", "w"))
     y = TOP + LINE * F.col("line") + slope * (F.col("w.x0") + F.col("w.x1")) / 2
-    return each.select("receipt_id", (F.col("line") * 100 + F.col("k")).alias("word_idx"), F.col("w.text").alias("text"), F.col("w.x0").alias("x0"), y.alias("y0"), F.col("w.x1").alias("x1"), (y + tall).alias("y1"), F.lit(90.0).alias("confidence"))
+    return each.select(*own, (F.col("line") * 100 + F.col("k")).alias("word_idx"), F.col("w.text").alias("text"), F.col("w.x0").alias("x0"), y.alias("y0"), F.col("w.x1").alias("x1"), (y + tall).alias("y1"), F.lit(90.0).alias("confidence"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(lines(spark, sf_dir))
+def words(spark: SparkSession, sf_dir: str, frames: int = 0) -> DataFrame:
+    return render(lines(spark, sf_dir, frames))
 
 
 def degraded(words: DataFrame, frames: int = 4) -> DataFrame:
     """Words as a few poor frames of each receipt would have them: amounts lose their decimal point or are lost, and the paper turns a little.
 
-    receipt_id becomes ten times the receipt's own plus the number of the frame.
+    receipt_id becomes ten times the receipt's own plus the number of the frame. Words that have a frame's number already
+    are taken as they are, so what stands together stays so.
     """
-    shaken = words.withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(frames))))
+    shaken = words if "frame" in words.columns else words.withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(frames))))
     luck = F.expr("(receipt_id * 31 + word_idx div 100 * 7 + frame * 13) % 17")
     amount = F.col("x1") == F.lit(float(RIGHT))
     kept = shaken.where(~(amount & (luck == 1)))
@@ -81,12 +98,22 @@ def word_lists(trees: DataFrame, column: str = "tree", key: str = "receipt_id")
     node = lambda v, done: F.struct(v.alias("v"), F.lit(done).alias("word"))
     get = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
 
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), then), F.lit(0))  # the value is worked out once
+
+    def as_nodes(vs: Column, done: bool) -> Column:
+        return F.transform(vs, lambda x: node(x, done))
+
+    def inside(v: Column) -> Column:
+        """What stands under INSIDE; a list is opened at once."""
+        one = lambda k: bound(get(v, f"$.{k}", "array<variant>"), lambda e: F.coalesce(e, F.array_compact(F.array(get(v, f"$.{k}")))))
+        return as_nodes(F.flatten(F.array(*(one(k) for k in INSIDE))), False)
+
     def opened(n: Column) -> Column:
         v = n["v"]
-        elements, words = get(v, "$", "array<variant>"), get(v, "$.words", "array<variant>")
-        inside = F.array_compact(F.array(*(get(v, f"$.{k}") for k in INSIDE)))
-        as_nodes = lambda vs, done: F.transform(vs, lambda x: node(x, done))
-        return F.when(n["word"], F.array(n)).when(elements.isNotNull(), as_nodes(elements, False)).when(words.isNotNull(), as_nodes(words, True)).otherwise(as_nodes(inside, False))
+        listed = lambda ws: F.when(ws.isNotNull(), as_nodes(ws, True)).otherwise(inside(v))
+        elements = lambda es: F.when(es.isNotNull(), as_nodes(es, False)).otherwise(bound(get(v, "$.words", "array<variant>"), listed))
+        return F.when(n["word"], F.array(n)).otherwise(bound(get(v, "$", "array<variant>"), elements))
 
     def level(seen: Column, _: Column) -> Column:
         more = F.struct(F.flatten(F.transform(seen["nodes"], opened)).alias("nodes"), F.exists(seen["nodes"], lambda n: ~n["word"]).alias("open"))
@@ -147,9 +174,14 @@ def to_tree(words: DataFrame, layout: Column | None = None) -> DataFrame:
     return page.select("receipt_id", F.coalesce(*(F.when(by == k, x) for k, x in enumerate(layouts))).alias("tree"))
 
 
+def width() -> Column:
+    """How far to the right the boxes of a group of words reach."""
+    return F.coalesce(F.max("x1"), F.lit(0.0))
+
+
 def extent(words: DataFrame) -> DataFrame:
     """receipt_id, width, height: as far as boxes reach."""
-    return words.groupBy("receipt_id").agg(F.coalesce(F.max("x1"), F.lit(0.0)).alias("width"), F.coalesce(F.max("y1"), F.lit(0.0)).alias("height"))
+    return words.groupBy("receipt_id").agg(width().alias("width"), F.coalesce(F.max("y1"), F.lit(0.0)).alias("height"))
 
 
 def to_pgm(width: Column, height: Column, data: Column) -> Column:

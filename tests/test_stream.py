@@ -67,3 +67,27 @@ def test_live_frames_go_on_after_a_stop(spark, tmp_path):
     # With two frames a tick the good one is passed over.
     half = {r.session_id: r for r in camera.settled(frames, 4, str(tmp_path / "c"), admitted=2).collect()}
     assert all(r.settled_frame is None for r in half.values())
+
+
+def test_a_session_costs_little_per_micro_batch():
+    """A thousand steps of the state in well under the time that frames of pandas with typed columns take."""
+    import time
+
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutDuration(self, ms):
+            pass
+
+    rows = [(2, 4.0, 1000, "1,2", 1000, 80.0, 200, 1280, False), (1, float("nan"), None, None, None, None, None, None, True), (1, 0.0, 0, "", None, None, None, None, False)]
+    chunks = [pd.DataFrame(rows[k:], columns=[*session.FRAME, "reset"]) for k in (0, 2)]
+    start = time.perf_counter()
+    for _ in range(1000):
+        (out,) = session.advance((7,), iter(chunks), State(), 1000)
+    assert time.perf_counter() - start < 3
+    assert out[["session_id", "settled_frame", "v_tax", "frames", "late", "epoch"]].to_dict("records") == [{"session_id": 7, "settled_frame": 2, "v_tax": 80, "frames": 2, "late": 1, "epoch": 1}]

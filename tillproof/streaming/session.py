@@ -108,12 +108,27 @@ class Session:
         return dict(zip(["session_id", "settled_frame", "via", "status", "v_subtotal", "v_tax", "v_tip", "v_total", "frames", "late", "epoch", "closed"], [session_id, *done, s["frames"], s["late"], s["epoch"], closed], strict=True))
 
 
+#: What a frame brings, besides the session.
+FRAME = ("frame_no", "n_items", "items_sum", "items_key", *FIELDS)
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+
+
 def number(v) -> int | None:
-    return None if v is None or pd.isna(v) else int(v)
+    return None if v is None or v != v else int(v)
 
 
 def told(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows).astype({c: "Int64" for c in ("settled_frame", "v_subtotal", "v_tax", "v_tip", "v_total")} | {"closed": object})
+    """Rows as plain objects: a session gives one or two, too few for columns of types of their own."""
+    return pd.DataFrame([[r[c] for c in COLUMNS] for r in rows], columns=COLUMNS, dtype=object)
+
+
+def arrived(chunks: Iterable[pd.DataFrame]) -> list[dict]:
+    """The frames of a session in their order, a reset before the frame of its number."""
+    out = []
+    for chunk in chunks:
+        columns = [chunk[c].tolist() for c in (*FRAME, "reset")]
+        out += [dict(zip((*FRAME, "reset"), r, strict=True)) for r in zip(*columns, strict=True)]
+    return sorted(out, key=lambda r: (r["frame_no"], not r["reset"]))
 
 
 def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState, idle: int) -> Iterator[pd.DataFrame]:
@@ -122,14 +137,13 @@ def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState, idle:
         state.remove()
         yield told([session.row(int(key[0]), "idle")])
         return
-    given = pd.concat(list(chunks)).astype(object).sort_values(["frame_no", "reset"], ascending=[True, False])
-    for r in given.to_dict("records"):
+    for r in arrived(chunks):
         if r["reset"]:
             if session.s["frames"]:
                 out.append(session.row(int(key[0]), "reset"))
             session.reset(number(r["frame_no"]))
         else:
-            session.observe({k: r[k] if k == "items_key" else number(r[k]) for k in ("frame_no", "n_items", "items_sum", "items_key", *FIELDS)})
+            session.observe({k: r[k] if k == "items_key" else number(r[k]) for k in FRAME})
     if session.s["frames"] or not out:
         out.append(session.row(int(key[0])))
     state.update((json.dumps(session.s),))

@@ -126,6 +126,9 @@ def arrived(chunks: Iterable[pd.DataFrame]) -> list[dict]:
     """The frames of a session in their order, a reset before the frame of its number."""
     out = []
     for chunk in chunks:
+        if "frame" in chunk:
+            out += [{c: r.get(c) for c in (*FRAME, "reset")} for r in map(json.loads, chunk["frame"].tolist())]
+            continue
         columns = [chunk[c].tolist() for c in (*FRAME, "reset")]
         out += [dict(zip((*FRAME, "reset"), r, strict=True)) for r in zip(*columns, strict=True)]
     return sorted(out, key=lambda r: (r["frame_no"], not r["reset"]))
@@ -154,7 +157,8 @@ def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState, idle:
 def sessions(frames: DataFrame, idle: float = IDLE) -> DataFrame:
     """A row per session and micro-batch that touched it: how it stands after the frames so far; a row more for each epoch that was closed."""
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in frames.columns else F.lit(False)
-    wanted = frames.select("session_id", "frame_no", "n_items", "items_sum", "items_key", *FIELDS, reset.alias("reset"))
+    # One column: each costs a conversion to pandas for every session and micro-batch.
+    wanted = frames.select("session_id", F.to_json(F.struct(*FRAME, reset.alias("reset"))).alias("frame"))
     step = functools.partial(advance, idle=int(idle * 1000))
 
     def run(key, chunks, state):

@@ -67,25 +67,25 @@ def observe(frames: DataFrame, confirmations: int | None = None, also: dict[str,
     return df.withColumns(held | {"c_n_items": F.when(items, F.col("n_items")).otherwise(0), "c_items_sum": F.when(items, F.col("items_sum")).otherwise(0), "items_confirmed": items}).drop("_key")
 
 
-def settle(frames: DataFrame, confirmations: int | None = None) -> DataFrame:
+def settle(frames: DataFrame, confirmations: int | None = None, told: bool = True) -> DataFrame:
     """Each frame alone, then the confirmed view: via is frame, consensus or null, with the status and values that count.
 
-    repeats: for how many frames in a row the same repair has been made of a frame alone.
+    repeats: for how many frames in a row the same repair has been made of a frame alone. told=False makes no sentences.
     """
-    alone = reconcile(frames, out="a_")
+    alone = reconcile(frames, out="a_", told=told)
     values = F.array_join(F.array(*(F.coalesce(F.col(f"a_v_{f}").cast("string"), F.lit("x")) for f in FIELDS)), "/")
     alone = alone.withColumn("_repair", F.when(F.col("a_status") == "repaired", F.concat(values, F.lit("|"), F.col("items_key"))))
-    both = reconcile(observe(alone, confirmations, {"repeats": "_repair"}).drop("_repair"), prefix="c_", out="b_")
+    both = reconcile(observe(alone, confirmations, {"repeats": "_repair"}).drop("_repair"), prefix="c_", out="b_", told=told)
     settled = F.col("a_status") != "unresolved"
     agreed = ~settled & (F.col("b_status") != "unresolved")
     pick = lambda name: F.when(agreed, F.col(f"b_{name}")).otherwise(F.col(f"a_{name}"))
-    return both.withColumns({"via": F.when(settled, "frame").when(agreed, "consensus"), "status": pick("status"), "problems": pick("problems")} | {f"v_{f}": pick(f"v_{f}") for f in FIELDS})
+    return both.withColumns({"via": F.when(settled, "frame").when(agreed, "consensus"), "status": pick("status")} | ({"problems": pick("problems")} if told else {}) | {f"v_{f}": pick(f"v_{f}") for f in FIELDS})
 
 
 def sessions(frames: DataFrame) -> DataFrame:
     """The accept policy on top: a reconciled frame or a confirmed view settles; a repaired frame needs the same
-    repair in the next frame."""
-    df = settle(frames)
+    repair in the next frame. Without the sentences of repairs and problems."""
+    df = settle(frames, told=False)
     accepted = false(F.col("status") == "reconciled") | false(F.col("via") == "consensus") | (F.col("repeats") >= REPEATS)
     saw = (F.col("n_items") > 0) | F.coalesce(*(F.when(F.col(f).isNotNull(), F.lit(True)) for f in FIELDS), F.lit(False))
     df = df.withColumn("accepted", F.col("via").isNotNull() & accepted)

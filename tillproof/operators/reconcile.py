@@ -61,10 +61,10 @@ def those(kind: str, *entries: tuple[Column, Column]) -> Column:
     return F.concat(*(F.when(when, F.array(value).cast(f"array<{kind}>")).otherwise(none) for when, value in entries))
 
 
-def reconcile(df: DataFrame, prefix: str = "", out: str = "") -> DataFrame:
-    """Adds status, v_<field>, repairs, problems, items_sum_used and corroborated, each name begun by out.
+def reconcile(df: DataFrame, prefix: str = "", out: str = "", told: bool = True) -> DataFrame:
+    """Adds status, v_<field>, repairs, problems and corroborated, each name begun by out.
 
-    prefix begins the names of the input columns.
+    prefix begins the names of the input columns; told=False leaves out repairs and problems with their sentences.
     """
     c = lambda name: F.col(f"_r_{name}")
     one = df.withColumns({f"_r_{k}": F.col(f"{prefix}{k}").cast("bigint") for k in ("n_items", "items_sum", *FIELDS)})
@@ -124,7 +124,8 @@ def reconcile(df: DataFrame, prefix: str = "", out: str = "") -> DataFrame:
             "_r_apart": F.array(c("apart1"), c("apart2"), apart(c("ways"))),
         }
     )
-    made = [f"{out}{k}" for k in ("repairs", *(f"v_{f}" for f in FIELDS), "status", "corroborated", "problems")]
+    texts = ("repairs", "problems") if told else ()
+    made = [f"{out}{k}" for k in (*(f"v_{f}" for f in FIELDS), "status", "corroborated", *texts)]
     # A generator of one row: a filter on a verdict stays above it, as below it the whole chain would be written out in the filter.
     return done.select(*(k for k in df.columns if k not in made), F.inline_outer(F.array(F.struct(*made, "_r_apart")))).drop("_r_apart")
 

@@ -48,14 +48,19 @@ def step(b: Column, e: Column) -> Column:
     percent = F.when(tip, F.when(other == "percent", value.cast("double"))).otherwise(b["tip_percent"])
     cents = F.when(tip, F.when(other == "cents", value)).otherwise(b["tip_cents"])
     number = b["next_id"] + F.when(op.isin("addItem", "addPerson"), 1).otherwise(0)
-    return F.struct(people.alias("people"), items.alias("items"), *fields, percent.alias("tip_percent"), cents.alias("tip_cents"), number.alias("next_id")).cast(BILL)
+    return F.struct(people.alias("people"), items.alias("items"), *fields, percent.alias("tip_percent"), cents.alias("tip_cents"), number.alias("next_id"))
 
 
 def apply(bills: DataFrame, edits: DataFrame) -> DataFrame:
     """bill_id and bill after all its edits (bill_id, seq, op, target, other, text, value), by seq."""
     own = edits.groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "target", "other", "text", "value").cast(EDIT))).alias("edits"))
-    both = bills.join(own, "bill_id", "left").withColumn("edits", F.coalesce("edits", F.array().cast(f"array<{EDIT}>")))
-    return both.select("bill_id", F.aggregate("edits", F.col("bill").cast(BILL), step).alias("bill"))
+    return applied(bills.join(own, "bill_id", "left"))
+
+
+def applied(bills: DataFrame) -> DataFrame:
+    """bill_id and bill after the edits (an array in the order of seq, null for none) that its row holds: no row for an edit, no shuffle."""
+    listed = F.coalesce(F.col("edits"), F.array()).cast(f"array<{EDIT}>")
+    return bills.select("bill_id", F.aggregate(listed, F.col("bill").cast(BILL), step).alias("bill"))
 
 
 def bill_of(people: Column, items: Column, totals: dict[str, Column]) -> Column:

@@ -58,3 +58,30 @@ def test_draws_jump_to_where_the_sequence_gets(spark):
             s = (s * draws.A + draws.C) & draws.MASK
     df = spark.createDataFrame(list(want), "seed long, k int").select("seed", "k", draws.state(F.col("seed"), F.col("k")).alias("s"), draws.draw(F.col("seed"), F.col("k")).alias("d"))
     assert all(r.s == want[r.seed, r.k] and 0 <= r.d <= 1 for r in df.collect())
+
+
+def test_bands_of_long_texts_equal_a_plain_table(monkeypatch):
+    """Guesses that hold and guesses that don't: edits at random, at one end only, a part moved, nothing in common."""
+    monkeypatch.setattr(distance, "PROBE", 16)
+    draw = random.Random(12)
+    for k in range(120):
+        letters = draw.choice(["ab", "abcdefgh ", "aé漢😀"])
+        a = "".join(draw.choice(letters) for _ in range(draw.randrange(33, 220)))
+        cut = draw.randrange(len(a))
+        b = [a[cut:] + a[:cut], a[:cut] + "".join(draw.choice(letters) for _ in range(60)), "".join(draw.choice("xyz") for _ in a), "".join(c for c in a if draw.random() > 0.1)][k % 4]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, above = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1))
+        assert distance.edits(a, b) == distance.edits(b, a) == row[-1]
+
+
+def test_windows_are_as_narrow_as_the_distance(monkeypatch):
+    """A long text and a copy with one edit in a hundred characters: no window has a tenth of the rows."""
+    draw, seen, plain = random.Random(3), [], distance.in_band
+    a = "".join(draw.choice("abcdefgh ") for _ in range(40_000))
+    b = "".join(c if draw.random() > 0.01 else "z" for c in a)
+    monkeypatch.setattr(distance, "in_band", lambda here, m, b, most: seen.append(most / m) or plain(here, m, b, most))
+    assert 0 < distance.edits(a, b) <= sum(x != y for x, y in zip(a, b, strict=True))
+    assert min(seen) < 0.1 and len(seen) <= 3

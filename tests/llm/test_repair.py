@@ -67,3 +67,31 @@ def test_null_and_repeated_keys(spark):
     got = repair.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 5, 5, 5] and sorted(r.n_tokens for r in got) == [1, 2, 2, 3, 3]
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(5)]
+
+
+def test_zero_characters_and_a_full_cache_change_no_ids():
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode = tokenizers.Tokenizer.from_file(path), repair.LibraryEncoder(path)
+    draw = np.random.default_rng(8)
+    encode.cache.limit = 300
+    for turn in range(30):
+        given = ["a \0b", "\0", " \0 c\n\0d", "x, (y). z!", "", *(" ".join(f"often{i % 9}, rare{i}." for i in draw.integers(0, 10**6, 40)) for _ in range(5))]
+        ids, n = encode(given)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(x, add_special_tokens=False).ids for x in given]
+    assert turn and "often3," in encode.cache and "(y)." in encode.cache and len(encode.cache) <= 300 + 500
+
+
+def test_stretches_that_come_again_outlive_a_full_cache():
+    import public_tokenizers
+
+    encode = repair.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode.cache.limit, asked = 50, []
+    many = encode.cache.pieces.encode
+    encode.cache.pieces.encode = lambda pieces: asked.extend(pieces) or many(pieces)
+    encode.cache.pieces.limit = 0  # pieces themselves are forgotten each time
+    for turn in range(20):
+        encode(["and again " + " ".join(f"w{turn}x{k}" for k in range(20))])
+    assert asked.count(" again") == 1

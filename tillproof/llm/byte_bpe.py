@@ -19,6 +19,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -46,11 +47,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encodes pieces by ranks; decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.holds = functools.lru_cache(KEPT)(self._holds)
-        self.small = functools.lru_cache(KEPT)(self._halves)
+        self.holds = functools.lru_cache(kept)(self._holds)
+        self.small = functools.lru_cache(kept)(self._halves)
 
     def leaf(self, piece: bytes) -> list[int]:
         """Merges the lowest rank, leftmost first, until nothing merges."""
@@ -159,11 +160,11 @@ class ChunkCache(TokenCache):
 
     def __init__(self, pattern: str, encode, limit: int = 500_000):
         super().__init__(limit)
-        self.find, self.pieces = splitter(pattern).findall, PieceCache(encode)
+        self.find, self.pieces = splitter(pattern).findall, PieceCache(encode, min(limit, 500_000))
         self.reset()
 
     def reset(self) -> None:
-        self.ids, self.start, self.length = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
+        self.ids, self.start, self.length, self.uses = Grown(np.uint32), Grown(np.int64), Grown(np.int64), Grown(np.int64)
 
     def split(self, given: str) -> list[str]:
         """The pattern's matches; plain words with marks after them need no regular expression."""
@@ -174,11 +175,11 @@ class ChunkCache(TokenCache):
 
     def many(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the strings, and how many each has; long pieces aren't remembered."""
-        parts, counts = [], np.zeros(len(given), np.int64)
-        for k, x in enumerate(given):
-            own = self.split(x)
-            counts[k] = len(own)
-            parts += own
+        lists = [self.split(x) for x in given]
+        return self.encoded(list(itertools.chain.from_iterable(lists)), list(map(len, lists)))
+
+    def encoded(self, parts: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the pieces of several strings, and how many each string has."""
         if max(map(len, parts), default=0) > 256:
             ids, length = self.pieces.encode(parts)
         else:
@@ -186,33 +187,70 @@ class ChunkCache(TokenCache):
             length = self.pieces.length.a[rows]
             ids = self.pieces.ids.a[spread(self.pieces.start.a[rows], length)]
         total = np.concatenate([[0], np.cumsum(length)])
-        at = np.concatenate([[0], np.cumsum(counts)])
+        at = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
         return ids, total[at[1:]] - total[at[:-1]]
 
     def fill(self, new: list[str]) -> None:
-        odd = [i for i, x in enumerate(new) if not (y := x[1:] if x[:1] in ("\n", "\0") else x) or y[0].isspace() or y[-1].isspace()]
-        ids, length = self.many([x[1:] if x[:1] == "\0" else x if x[:1] == "\n" else f" {x}" for x in new])
+        parts, counts, odd = [], [], []
+        for k, x in enumerate(new):
+            if x.isalpha():
+                parts.append(f" {x}")
+                counts.append(1)
+            elif x[-1:] in self.TAIL and (y := x[:-1]).isalpha():
+                parts += f" {y}", x[-1]
+                counts.append(2)
+            else:
+                y = x[1:] if x[:1] in ("\n", "\0") else x
+                if not y or y[0].isspace() or y[-1].isspace():
+                    odd.append(k)
+                own = self.split(y if x[:1] == "\0" else x if x[:1] == "\n" else f" {x}")
+                parts += own
+                counts.append(len(own))
+        self.told(*self.encoded(parts, counts), odd)
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """Row numbers of the stretches of a batch, each given once."""
+        if len(self) > self.limit:
+            self.trim()
+        out = super().rows(tokens)
+        self.uses.a[out] += 1
+        return out
+
+    def trim(self) -> None:
+        """Only stretches that several batches held stay, at most as many as half the limit: the rest rarely comes again."""
+        uses, start, length = (x.a[: len(self)] for x in (self.uses, self.start, self.length))
+        kept = np.flatnonzero((uses > 1) & (length >= 0))
+        kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: self.limit // 2]])
+        flag = np.zeros(len(self), bool)
+        flag[kept] = True
+        names = list(itertools.compress(self, flag))
+        ids, length = self.ids.a[spread(start[kept], length[kept])], length[kept]
+        self.clear()
+        self.reset()
+        self.update(zip(names, range(len(names)), strict=True))
+        self.told(ids, length, [])
+
+    def told(self, ids: np.ndarray, length: np.ndarray, odd: list[int]) -> None:
         self.start.add(self.ids.n + np.cumsum(length) - length)
         self.ids.add(ids)
         length[odd] = -1
         self.length.add(length)
+        self.uses.add(np.zeros(len(length), np.int64))
 
     def __call__(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has."""
-        parts, counts = [], np.zeros(len(docs), np.int64)
-        for k, text in enumerate(docs):
-            if text:
-                own = text.replace("\n", " \n").split(" ")
-                own[0] = f"\0{own[0]}"
-                counts[k] = len(own)
-                parts += own
         n = np.zeros(len(docs), np.int64)
-        if not parts:
+        some = [k for k, text in enumerate(docs) if text]
+        if not some:
             return np.zeros(0, np.uint32), n
-        rows = self.rows(parts)
+        # A zero character marks where a text begins, so a text that holds one is split as a whole.
+        marked = pa.array(["\0" + docs[k].replace("\n", " \n") for k in some], pa.large_string())
+        parts = pc.split_pattern(marked, " ")
+        met = parts.flatten().dictionary_encode()
+        rows = self.rows(met.dictionary.to_numpy(zero_copy_only=False).tolist())[met.indices.to_numpy()]
         length = self.length.a[rows]
-        of = np.repeat(np.arange(len(docs)), counts)
-        whole = np.unique(of[length < 0])
+        of = np.repeat(np.array(some), pc.list_value_length(parts).to_numpy())
+        whole = np.union1d(of[length < 0], np.array([k for k in some if "\0" in docs[k]], np.int64)).astype(np.int64)
         if not len(whole):
             n = np.bincount(of, length, len(docs)).astype(np.int64)
             return self.ids.a[spread(self.start.a[rows], length)], n
@@ -230,9 +268,9 @@ class ChunkCache(TokenCache):
 class Encoder(ChunkCache):
     """Texts to ids: each match of the pattern through the tree."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe = Bpe(ranks)
-        super().__init__(pattern, self.trees)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 500_000):
+        self.bpe = Bpe(ranks, min(KEPT, limit // 2))
+        super().__init__(pattern, self.trees, limit)
 
     def trees(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [self.bpe.piece(x.encode()) for x in pieces]
@@ -241,11 +279,12 @@ class Encoder(ChunkCache):
 
 
 @functools.lru_cache(2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(read_ranks(path), pattern)
+def encoder(path: str, pattern: str, limit: int = 500_000) -> Encoder:
+    """One for each worker, which keeps it; limit: how many stretches it remembers."""
+    return Encoder(read_ranks(path), pattern, limit)
 
 
-def encode_decode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", keep_ids: bool = False, limit: int = 500_000) -> DataFrame:
     """For each row: key, n_tokens, ids_sha256, decoded_sha256, lossless and, if asked for, the ids.
 
     lossless tells whether the decoded bytes are the text's UTF-8 bytes.
@@ -253,24 +292,24 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean" + ", ids array<int>" * keep_ids
 
     def make():
-        encode = encoder(rank_file, pattern)
+        encode = encoder(rank_file, pattern, limit)
 
         def step(batch: pa.RecordBatch):
             given = texts(batch)
             flat, n = encode(given)
             cut = np.concatenate([[0], np.cumsum(n)]).tolist()
-            le, ids = flat.astype("<u4"), flat.tolist()
+            le = flat.astype("<u4")
             coded, plain, same = [], [], []
             for k, text in enumerate(given):
                 a, b = cut[k], cut[k + 1]
-                back = encode.bpe.decode(ids[a:b])
+                back = encode.bpe.decode(flat[a:b].tolist())
                 coded.append(hashlib.sha256(le[a:b]).hexdigest())
                 plain.append(hashlib.sha256(back).hexdigest())
                 same.append(back == text.encode())
             columns = [batch.column(key), pa.array(n), pa.array(coded), pa.array(plain), pa.array(same)]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "lossless"]
             if keep_ids:
-                columns.append(pa.array([ids[cut[k] : cut[k + 1]] for k in range(len(given))], pa.list_(pa.int32())))
+                columns.append(pa.array([flat[cut[k] : cut[k + 1]].tolist() for k in range(len(given))], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,10 @@ class TokenCache(dict):
         if len(self) > self.limit:
             self.clear()
             self.reset()
-        out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        out = np.fromiter(map(self.get, tokens, repeat(-1)), np.int64, len(tokens))
+        late = np.flatnonzero(out < 0)
+        if len(late):
+            out[late] = np.fromiter(map(self.__getitem__, [tokens[k] for k in late.tolist()]), np.int64, len(late))
         if self.pending:
             new, self.pending = self.pending, []
             self.fill(new)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import os
 import re
 import struct
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ChunkCache
-from .common import bounded_batches, spread, texts, work_dir
+from .common import bounded_batches, in_slices, spread, texts, work_dir
 
 #: Odd factors of the hash in turn, so that what a bin hides in one round it shows in another.
 MIX = (0x5851F42D4C957F2D, 0x1D8E4E27C47D124F, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD)
+ID = operator.attrgetter("id")
 MAGIC, HEAD, STEP = b"RPAI", struct.Struct("<4s9I"), 256
 
 
@@ -50,22 +52,27 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, each: int =
             break
         key = seq[:-1] << 32 | seq[1:]
         h = ((key * np.int64(MIX[turn % len(MIX)])) >> (64 - bins)) & ((1 << bins) - 1)
+        whole = np.flatnonzero((np.bincount(h, minlength=1 << bins) >= least).take(h))  # a frequent pair's bin is frequent
+        key, h = key.take(whole), h.take(whole)
         pair = np.zeros(1 << bins, np.int64)
         pair[h] = key  # of pairs that share a bin one counts now
-        mine = pair[h] == key
-        number = np.bincount(h[mine], minlength=1 << bins)
+        mine = np.flatnonzero(pair.take(h) == key)
+        some, h = whole.take(mine), h.take(mine)
+        number = np.bincount(h, minlength=1 << bins)
         often = np.flatnonzero(number >= least)
         if not len(often):  # none in the bins: every pair by itself
+            some = whole
             pair, h, number = np.unique(key, return_inverse=True, return_counts=True)
-            mine, often = np.ones(len(key), bool), np.flatnonzero(number >= least)
+            often = np.flatnonzero(number >= least)
         best = often[np.argsort(-number[often], kind="stable")[:each]]
         if not len(best):
             break
         place = np.full(len(pair), each, np.int32)
         place[best] = np.arange(len(best))
-        rank = np.where(mine, place[h], each)
+        rank = place.take(h)
         at = np.flatnonzero(rank < each)
-        rank, beside = rank[at], np.diff(at) == 1
+        rank, at = rank[at], some[at]
+        beside = np.diff(at) == 1
         start = np.concatenate([[True], ~beside | (rank[1:] != rank[:-1])])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         free, chosen = run % 2 == 0, np.zeros(len(at), bool)  # in a run of one symbol every other pair
@@ -151,7 +158,15 @@ class Shard:
         self.seq = take(symbols, f"<u{wide}").astype(np.int64)
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.firsts, self.base)
+        """Every rule is expanded once; symbols are then looked up."""
+        rule = self.seq >= self.base
+        length, start = np.ones(len(self.seq), np.int64), self.seq.copy()
+        if rule.any():
+            told = expand(np.arange(self.base, self.base + len(self.rules)), self.rules, self.firsts, self.base)
+            at = self.base + np.cumsum(self.size) - self.size
+            length[rule], start[rule] = self.size[self.seq[rule] - self.base], at[self.seq[rule] - self.base]
+            return np.concatenate([np.arange(self.base), told])[spread(start, length)]
+        return start
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, from the step below its start on."""
@@ -180,13 +195,17 @@ class LibraryEncoder:
         self.merge = self.tokenizer.model.tokenize
         plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
         self.letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 512 - len(plain))]), strict=True))
-        self.cache = ChunkCache(PATTERN, self.merged)
+        self.cache = ChunkCache(PATTERN, self.merged, 800_000)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("" if self.tokenizer.normalizer is not None else "|".join(added) or r"(?!)")
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [[t.id for t in self.merge(x.encode().decode("latin-1").translate(self.letters))] for x in pieces]
-        return flat(lists)
+        ids, length = [], []
+        for part in in_slices(pieces, 4096):  # a token of the library is an object
+            lists = [self.merge(x.encode().decode("latin-1").translate(self.letters)) for x in part]
+            length.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(map(ID, itertools.chain.from_iterable(lists)), np.uint32, int(length[-1].sum())))
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(length or [np.zeros(0, np.int64)])
 
     def __call__(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
@@ -200,11 +219,6 @@ class LibraryEncoder:
         return np.concatenate([np.asarray(p, np.uint32) for p in parts]), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    length = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum())), length
-
-
 @functools.lru_cache(2)
 def library_encoder(path: str) -> LibraryEncoder:
     """One for each tokenizer and worker."""

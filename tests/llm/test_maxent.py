@@ -56,3 +56,18 @@ def test_training_beats_counts_on_a_regular_text():
     for _ in range(5):
         trainer.learn(f, feature.code.a[rows])
     assert np.exp(trainer.w.log_prob(f, feature.code.a[rows])).mean() > 0.5
+
+
+def test_a_step_adds_up_many_rows_without_loss():
+    size = lm.Size(3, 8)
+    t = lm.Trainer(size)
+    n = 1 << 20
+    gold = np.zeros(n, np.int64)
+    gold[: n // 2] = 1
+    t.update(0, np.tile(np.arange(lm.FEATURES), (n, 1)), gold)
+    each = float(np.float32(1 / lm.FAN))
+    total = np.full(lm.FAN, -each * n)
+    total[:2] += n // 2
+    expected = 1e-2 + (total**2).mean()
+    assert np.allclose(t.sums[0][: lm.FEATURES], expected, rtol=1e-6)
+    assert np.allclose(t.w.tables[0][: lm.FEATURES], t.rate / lm.FEATURES * total / np.sqrt(expected), rtol=1e-6)

@@ -43,7 +43,7 @@ BITS, FAN = 4, 16
 FREQUENT = 11
 FEATURES, CHUNK, STEP, BLOCK = 4, 4096, 8192, 4_000_000
 SMOOTH = 0.1
-ONES = np.ones(FAN, np.float32)
+ONES, WAYS = np.ones(FAN, np.float32), np.arange(FAN, dtype=np.int32)
 
 
 @dataclass(frozen=True)
@@ -171,20 +171,13 @@ class Weights:
         return out
 
 
-def in_order(rows: np.ndarray, bits: int) -> np.ndarray:
-    """A sorting order of row numbers, by sixteen bits at a time (numpy sorts these by counting)."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    if bits > 16:
-        order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
-    return order
-
-
 class Trainer:
     """AdaGrad on a task's own copy; the sum of squares is kept for each row."""
 
     def __init__(self, size: Size, rate: float = 1.0):
         self.w, self.rate = Weights(size), rate
         self.sums = np.full(self.w.tables.shape[:2], 1e-2, np.float32)
+        self.met, self.place = np.zeros(1 << size.row_bits, bool), np.zeros(1 << size.row_bits, np.int32)
 
     def learn(self, f: np.ndarray, code: np.ndarray) -> None:
         for a in range(0, len(f), STEP):
@@ -196,12 +189,14 @@ class Trainer:
         np.exp(g, g)
         g *= (-1 / (g @ ONES))[:, None]
         g.ravel()[np.arange(0, g.size, FAN) + gold] += 1
-        flat = rows.ravel()
-        order = in_order(flat, self.w.size.row_bits)
-        flat = flat[order]
-        cut = np.flatnonzero(np.diff(flat, prepend=-1))
-        used = flat[cut]
-        total = np.add.reduceat(g.take(order // rows.shape[1], 0), cut, 0)
+        self.met[rows] = True
+        used = np.flatnonzero(self.met)
+        self.met[used] = False
+        self.place[used] = np.arange(0, FAN * len(used), FAN, dtype=np.int32)
+        total, flat = np.zeros(FAN * len(used)), g.ravel()
+        for k in range(rows.shape[1]):
+            total += np.bincount((self.place.take(rows[:, k])[:, None] + WAYS).ravel(), flat, len(total))
+        total = total.astype(np.float32).reshape(-1, FAN)
         sums = self.sums[level]
         sums[used] += (total * total) @ ONES / FAN
         total *= (self.rate / rows.shape[1] / np.sqrt(sums[used]))[:, None]

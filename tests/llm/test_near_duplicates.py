@@ -103,3 +103,32 @@ def test_long_texts_that_only_share_a_passage_and_edited_copies_among_them(spark
     own = plain_groups(texts)
     assert 50 < len(set(own)) < len(texts)
     assert found_groups(spark, texts) == own
+
+
+def test_groups_come_through_simhashes_and_what_these_miss_through_shingles(spark, monkeypatch):
+    draw = random.Random(3)
+    texts = []
+    for share in (0.002, 0.02):  # one edited word among 500, or ten of them: hardly a bit apart, or more than the radius
+        for _ in range(20):
+            w = [f"w{draw.randrange(10**9)}" for _ in range(500)]
+            texts += [" ".join(w), edited(draw, w, share)]
+    links, told = simhash.tile_links, []
+
+    def counted(*given, **more):
+        out = simhash.written(links(*given, **more), "counted")
+        told.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "tile_links", counted)
+    own = plain_groups(texts)
+    assert len(set(own)) == 40 and found_groups(spark, texts) == own
+    assert 5 <= told[0] < 40 and sum(told) == 40
+    monkeypatch.setattr(simhash, "print_groups", lambda classes, radius: classes.select(classes.number.alias("hub"), "number", "n").limit(0))
+    told.clear()
+    assert found_groups(spark, texts) == own and told[0] == 0
+
+
+def test_the_simhash_of_a_set_is_that_of_its_hashes_in_one():
+    own = np.random.default_rng(4).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2)
+    for n in (0, 1, 2, 999, 1000):
+        assert np.int64(simhash.set_print(own[:n], 128)).view(np.uint64) == simhash.majority(own[:n], np.array([n]))[0]

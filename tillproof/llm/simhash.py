@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash with bit-sliced comparison inside buckets, Jaccard by prefixes; then connected components.
+"""Near-duplicates: SimHash with bit-sliced comparison inside buckets, Jaccard after it; then connected components.
 
 A bucket's fingerprints are stored as bit planes, 64 of them to a word. A query's distances to all
 of them grow in carry-save counters, a plane at a time; a comparison stops once every counter has
@@ -8,7 +8,8 @@ Buckets follow from the pigeonhole principle (of r + 1 parts one is equal, twice
 gives a spanning forest of its links, nearest first, so a group of m makes m - 1 links, not all
 pairs. A large bucket is split again by the same principle.
 
-Similar shingle sets are found exactly, too: shingles have one order, rare ones first, and two sets
+Similar shingle sets are found exactly, too: first within the components of their SimHashes, then by a way that
+misses none: shingles have one order, rare ones first, and two sets
 of a Jaccard similarity share one of their first shingles, so many that the rest can't make it up.
 What shares enough of them in small buckets, or a large bucket, meets in tiles of bounded size: first as parity
 bitmaps, whose distance is never more than the number of shingles in which two sets differ, so that members like
@@ -21,6 +22,7 @@ group leaves them out); an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -57,6 +59,14 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_print(own: np.ndarray, block: int = 1 << 16) -> int:
+    """The SimHash of a set of hashes, as a signed number."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(own), block):
+        total += np.unpackbits(own[a : a + block].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(own)).view(">i8")[0])
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = 3) -> DataFrame:
     """key and fp0 (a signed long), the SimHash of the shingles."""
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, fp0 long"
@@ -271,16 +281,19 @@ def stars(edges: DataFrame) -> bool:
     return not chained and not edges.groupBy("v").count().where("count > 1").limit(1).count()
 
 
+def rooted(rows: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """rows with root, the least fingerprint that fp0 reaches by links of at most radius bits; prints has every fp0 once."""
+    label = components(bucket_links(prints.select(F.col("fp0").alias("id"), "fp0"), exact_masks(radius), radius, "long"))
+    return rows.join(label.withColumnRenamed("v", "fp0"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, radius: int = 2) -> DataFrame:
     """key, fingerprint (hex) and component_id, the least key reachable by links of at most radius bits. Exact."""
     prints = written(fingerprints(docs, key, size), "prints")
     classes = prints.groupBy("fp0").agg(F.min(key).alias("least"))
-    found = bucket_links(classes.select(F.col("fp0").alias("id"), "fp0"), exact_masks(radius), radius, "long")
-    label = components(found)
-    rooted = classes.join(label.withColumnRenamed("v", "fp0"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
-    rooted = written(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp0", "root").join(smallest, "root").select("fp0", "component_id")
+    found = written(rooted(classes, classes, radius), "rooted")
+    smallest = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = found.select("fp0", "root").join(smallest, "root").select("fp0", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp0"), 16, "0"))
     return prints.join(named, "fp0").select(key, hexed.alias("fingerprint"), "component_id")
 
@@ -337,7 +350,7 @@ def rare_first(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def prefixes(docs: DataFrame, key: str, size: int, similarity: float) -> DataFrame:
-    """key, text_hash, set_hash, n, prefix and bits: the size of the shingle set, its first hashes and its parities.
+    """key, text_hash, set_hash, n, prefix, bits and fp0: the size of the shingle set, its first hashes, its parities and its SimHash.
 
     Sets at the similarity share one of these: n less what they must share, and one.
     """
@@ -348,7 +361,7 @@ def prefixes(docs: DataFrame, key: str, size: int, similarity: float) -> DataFra
         common = shared.value
 
         def step(batch: pa.RecordBatch):
-            named, sizes, first, bits = [], [], [], []
+            named, sizes, first, bits, prints = [], [], [], [], []
             for text in texts(batch):
                 own = list(set(shingles(text, size)))
                 named.append(xxhash.xxh3_128_hexdigest(b"".join(sorted(xxhash.xxh3_128_digest(x) for x in own))))
@@ -356,12 +369,13 @@ def prefixes(docs: DataFrame, key: str, size: int, similarity: float) -> DataFra
                 sizes.append(len(own))
                 first.append(rare_first(own, common)[: len(own) - least_part(len(own), similarity) + 1].tobytes())
                 bits.append(parities(own))
-            made = pa.array(named, pa.string()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(bits, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("text_hash"), *made], [key, "text_hash", "set_hash", "n", "prefix", "bits"])
+                prints.append(set_print(own))
+            made = pa.array(named, pa.string()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(bits, pa.binary()), pa.array(prints, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("text_hash"), *made], [key, "text_hash", "set_hash", "n", "prefix", "bits", "fp0"])
 
         return step
 
-    return in_batches(docs.select(key, "text", F.xxhash64("text").alias("text_hash")), make, f"`{key}` {kind}, text_hash long, set_hash string, n int, prefix binary, bits binary")
+    return in_batches(docs.select(key, "text", F.xxhash64("text").alias("text_hash")), make, f"`{key}` {kind}, text_hash long, set_hash string, n int, prefix binary, bits binary, fp0 long")
 
 
 def whole_runs(batches, name: str):
@@ -453,6 +467,12 @@ def hub_groups(large: DataFrame) -> DataFrame:
     return large.join(hub, "token").select("hub", "number", "n").distinct()
 
 
+def print_groups(classes: DataFrame, radius: int) -> DataFrame:
+    """(hub, number, n): the classes that links of at most radius bits between their SimHashes connect, under the root of their component."""
+    found = written(rooted(classes.select("number", "n", "fp0"), classes.select("fp0").distinct(), radius).select(F.col("root").alias("hub"), "number", "n"), "rooted")
+    return found.join(found.groupBy("hub").count().where("count > 1").select("hub"), "hub", "left_semi")
+
+
 def main_groups(groups: DataFrame) -> DataFrame:
     """(hub, number, n): every class in the largest of its groups only."""
     size = groups.groupBy("hub").agg(F.count("*").alias("m"))
@@ -584,19 +604,25 @@ def similar_stars(sets: list[np.ndarray], similarity: float, columns: int = 2048
     return a, b
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8, large: int = 16) -> DataFrame:
+def joined(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8, large: int = 16, radius: int = 3) -> DataFrame:
     """key, text_hash, class_id (texts with equal shingle sets) and group_id of every row. Exact.
 
     Classes whose shingle sets have a Jaccard similarity of at least `similarity` are linked, and linked classes form
-    groups. Similar classes share one of their first shingles. In buckets of at most `large` classes the pairs are
-    counted, and what shares enough with a class is its group; a larger bucket is its hub's group. From groups go, by
-    their parities, members that are like no other one: long texts that only have a passage in common. Groups are
-    compared in tiles of whole sets, in two rounds: first each class in its largest group alone, then members that may
-    be like one of their group which that hasn't connected with them. What is connected already can't change what is
-    connected, so most sets are sent once.
+    groups. The sets' SimHashes, compared by bit planes in their buckets, bring together most of them: what their links
+    of at most `radius` bits connect is compared first. Sets at the similarity may differ in more bits, so an exact way
+    follows for the rest: similar classes share one of their first shingles. In buckets of at most `large` classes the
+    pairs are counted, and what shares enough with a class is its group; a larger bucket is its hub's group. From groups
+    of both kinds go, by their parities, members that are like no other one: long texts that only have a passage in
+    common. Groups are compared in tiles of whole sets, in three rounds: the components of the SimHashes, then of the
+    other groups members that may be like one which isn't connected with them, each in its largest group alone, then
+    those of which that still holds. What is connected already can't change what is connected, so most sets are sent once.
     """
     prints = written(prefixes(docs, key, size, similarity), "prints")
-    classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min(F.struct(key, "text_hash")).alias("least"))
+    classes = prints.groupBy(F.col("set_hash").alias("id")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("fp0").alias("fp0"), F.min(F.struct(key, "text_hash")).alias("least"))
     classes = written(classes.withColumn("number", F.xxhash64("id")), "classes")
     shared = written(shared_shingles(classes), "shared")
     sized = shared.join(bucket_sizes(shared), "token")
@@ -610,19 +636,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 5, similar
     dropped(shared)
     groups = written(fitting(met.withColumn("part", F.col("number")), classes, similarity), "groups")
     dropped(met)
-    members = classes.join(groups.select("number").distinct(), "number", "left_semi")
+    alike = written(fitting(print_groups(classes, radius).withColumn("part", F.col("number")), classes, similarity), "groups")
+    members = classes.join(groups.select("number").union(alike.select("number")).distinct(), "number", "left_semi")
     sets = written(whole_sets(docs, members, key, size), "sets")
     ids = written(sets.select("number", "id"), "ids")
-    first = written(tile_links(main_groups(groups), sets, similarity), "links")
-    left = written(unjoined(groups, ids, components(first)), "left")
-    apart = written(fitting(left, classes, similarity), "apart")
-    later = written(tile_links(apart, sets, similarity), "links")
-    for done in (groups, classes, left, apart, sets, ids):
+    rounds = [written(tile_links(alike, sets, similarity), "links")]
+    for chosen in (main_groups, lambda rest: rest):
+        left = written(unjoined(groups, ids, components(joined(rounds))), "left")
+        apart = written(fitting(left, classes, similarity), "groups")
+        for done in (groups, left):
+            dropped(done)
+        groups = apart
+        rounds.append(written(tile_links(chosen(groups), sets, similarity), "links"))
+    for done in (groups, alike, classes, sets, ids):
+        dropped(done)
+    label = components(joined(rounds))
+    for done in rounds:
         dropped(done)
-    links = first.unionByName(later)
-    label = components(links)
-    dropped(first)
-    dropped(later)
     return prints.join(label.select(F.col("v").alias("set_hash"), "root"), "set_hash", "left").select(key, "text_hash", F.col("set_hash").alias("class_id"), F.coalesce("root", "set_hash").alias("group_id"))
 
 

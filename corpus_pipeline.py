@@ -18,6 +18,8 @@ from tillproof.llm.common import table, written
 
 #: A text of less certain language is rejected.
 LEAST_LANGUAGE_SCORE = 0.35
+#: Stretches of text that a worker's encoder remembers; workers stay from run to run, beside what other stages need.
+REMEMBERED = 200_000
 
 
 def carried(docs: DataFrame, *also: str) -> DataFrame:
@@ -68,7 +70,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row for each document, of equal or null ids too; null and empty texts have no ids; texts of any length are whole.
     """
-    return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, limit=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

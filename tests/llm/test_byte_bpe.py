@@ -56,3 +56,12 @@ def test_texts_of_any_length_equal_the_merge_of_their_pieces(text, bpe):
     encode = byte_bpe.encoder(PATH, public_tokenizers.PATTERN)
     want = [i for piece in encode.find(text) for i in bpe.run(piece.encode())]
     assert encode([text])[0].tolist() == want
+
+
+def test_an_encoder_that_remembers_little_gives_the_same_ids():
+    small, large = byte_bpe.encoder(PATH, public_tokenizers.PATTERN, 200), byte_bpe.encoder(PATH, public_tokenizers.PATTERN)
+    for turn in range(20):
+        given = [" ".join(f"again{k % 7}, once{turn * 1000 + k}." for k in range(60)), "", "x \0y"]
+        for a, b in zip(small(given), large(given), strict=True):
+            assert a.tolist() == b.tolist()
+        assert len(small) <= 200 + 80 and small.bpe.small.cache_info().maxsize == 100

@@ -95,3 +95,49 @@ def test_stretches_that_come_again_outlive_a_full_cache():
     for turn in range(20):
         encode(["and again " + " ".join(f"w{turn}x{k}" for k in range(20))])
     assert asked.count(" again") == 1
+
+
+def test_later_rounds_look_only_at_pairs_that_may_be_frequent(monkeypatch):
+    draw, looked = np.random.default_rng(3), []
+    words = [draw.integers(0, BASE, k) for k in draw.integers(2, 40, 400)]
+    ids = np.concatenate([words[min(i, 399)] for i in draw.zipf(1.3, 5000)])
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **more: looked.append(len(x)) or count(x, *a, **more))
+    rules, firsts, seq = repair.compress(ids, BASE)
+    assert len(firsts) >= 5 and max(looked[-3:]) * 10 < len(seq)  # the last round, which finds nothing
+    assert (repair.expand(seq, rules, firsts, BASE) == ids).all()
+
+
+@pytest.mark.parametrize("least", [2, 3, 8])
+@pytest.mark.parametrize("bins", [1, 3, 18])
+def test_no_frequent_pair_is_left_in_small_alphabets_and_runs(least, bins):
+    draw = np.random.default_rng(least)
+    for turn in range(25):
+        ids = np.repeat(draw.integers(0, 1 + turn % 7, 40 * turn), draw.integers(1, 5, 40 * turn))
+        rules, firsts, seq = repair.compress(ids, BASE, bins=bins, least=least)
+        left = Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+        assert not left or max(left.values()) < least or len(seq) < 2 * least
+        assert (repair.expand(seq, rules, firsts, BASE) == ids).all()
+
+
+def test_pieces_are_mapped_all_at_once():
+    import public_tokenizers
+
+    encode = repair.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = ["", "a", " é", "\0", "\ud7ff", "😀\U0010ffff", "\n\n", "", "í\xa0\x80"]
+    assert encode.mapped(pieces) == [x.encode().decode("latin-1").translate(encode.letters) for x in pieces]
+    ids, n = encode.merged(pieces)
+    assert [[encode.tokenizer.id_to_token(i) for i in part] for part in np.split(ids, np.cumsum(n)[:-1])] == [[t.value for t in encode.merge(x)] for x in encode.mapped(pieces)]
+
+
+def test_new_tokens_that_repeat_in_a_call_get_one_row():
+    from tillproof.llm.common import TokenCache
+
+    class Seen(TokenCache):
+        def fill(self, new):
+            self.filled = new
+
+    cache = Seen()
+    assert cache.rows(["a", "b", "a"]).tolist() == [0, 1, 0] and cache.filled == ["a", "b"]
+    assert cache.rows(["c", "a", "c", "d"]).tolist() == [2, 0, 2, 3] and cache.filled == ["c", "d"]
+    assert cache.rows(["d", "a"]).tolist() == [3, 0] and cache.rows([]).tolist() == []

@@ -96,12 +96,7 @@ class TokenCache(dict):
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
-        self.limit, self.pending = limit, []
-
-    def __missing__(self, token):
-        self[token] = n = len(self)
-        self.pending.append(token)
-        return n
+        self.limit = limit
 
     def rows(self, tokens: list) -> np.ndarray:
         """Row numbers of the tokens, after fill() has seen those that are new."""
@@ -111,9 +106,10 @@ class TokenCache(dict):
         out = np.fromiter(map(self.get, tokens, repeat(-1)), np.int64, len(tokens))
         late = np.flatnonzero(out < 0)
         if len(late):
-            out[late] = np.fromiter(map(self.__getitem__, [tokens[k] for k in late.tolist()]), np.int64, len(late))
-        if self.pending:
-            new, self.pending = self.pending, []
+            missed = list(map(tokens.__getitem__, late.tolist()))
+            new = list(dict.fromkeys(missed))
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            out[late] = np.arange(len(self) - len(new), len(self)) if len(new) == len(missed) else np.fromiter(map(self.__getitem__, missed), np.int64, len(late))
             self.fill(new)
         return out
 
@@ -147,4 +143,5 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return out + np.arange(total)
+    out += np.arange(total)
+    return out

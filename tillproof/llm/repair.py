@@ -36,6 +36,8 @@ from .common import bounded_batches, in_slices, spread, texts, work_dir
 #: Odd factors of the hash in turn, so that what a bin hides in one round it shows in another.
 MIX = (0x5851F42D4C957F2D, 0x1D8E4E27C47D124F, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD)
 ID = operator.attrgetter("id")
+#: Stands between pieces while they are mapped: no text holds half of a surrogate pair.
+APART = "\ud800"
 MAGIC, HEAD, STEP = b"RPAI", struct.Struct("<4s9I"), 256
 
 
@@ -45,23 +47,35 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, each: int =
     base: the first nonterminal, above all ids. Rounds go on until no pair has `least` occurrences (or as many rounds
     are done as asked for). A rule takes 12 bytes and symbols from 65,536 on take 4 instead of 2, so rules
     for rarer pairs make a shard larger: with 2 occurrences one of 262,144 ids took 704,644 bytes instead of 374,486.
+
+    A replaced pair's right symbol leaves a hole. A round looks only at the pairs of `live`, by their left symbols: those
+    that the rounds before found in a frequent bin, and those next to a symbol of the last round. Any other pair
+    is rare for good, as a pair of symbols that are there already never comes to stand anywhere anew.
     """
     seq, rules, firsts, top = ids.astype(np.int64), [], [], base
+    n = left = len(seq)
+    after, before, here = np.arange(1, n + 1), np.arange(-1, n), np.ones(n, bool)
+    live = np.arange(max(n - 1, 0))
     for turn in range(rounds) if rounds is not None else itertools.count():
-        if len(seq) < 2 * least:
+        if left < 2 * least:
             break
-        key = seq[:-1] << 32 | seq[1:]
-        h = ((key * np.int64(MIX[turn % len(MIX)])) >> (64 - bins)) & ((1 << bins) - 1)
-        whole = np.flatnonzero((np.bincount(h, minlength=1 << bins) >= least).take(h))  # a frequent pair's bin is frequent
-        key, h = key.take(whole), h.take(whole)
-        pair = np.zeros(1 << bins, np.int64)
+        some_bins = max(1, min(bins, len(live).bit_length()))
+        key = seq.take(live) if turn else seq[:-1].copy()
+        key <<= 32
+        key |= seq.take(after.take(live)) if turn else seq[1:]
+        h = key * np.int64(MIX[turn % len(MIX)])
+        h >>= 64 - some_bins
+        h &= (1 << some_bins) - 1
+        whole = np.flatnonzero((np.bincount(h, minlength=1 << some_bins) >= least).take(h))  # a frequent pair's bin is frequent
+        live, key, h = live.take(whole), key.take(whole), h.take(whole)
+        pair = np.zeros(1 << some_bins, np.int64)
         pair[h] = key  # of pairs that share a bin one counts now
         mine = np.flatnonzero(pair.take(h) == key)
-        some, h = whole.take(mine), h.take(mine)
-        number = np.bincount(h, minlength=1 << bins)
+        some, h = live.take(mine), h.take(mine)
+        number = np.bincount(h, minlength=1 << some_bins)
         often = np.flatnonzero(number >= least)
         if not len(often):  # none in the bins: every pair by itself
-            some = whole
+            some = live
             pair, h, number = np.unique(key, return_inverse=True, return_counts=True)
             often = np.flatnonzero(number >= least)
         best = often[np.argsort(-number[often], kind="stable")[:each]]
@@ -72,7 +86,7 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, each: int =
         rank = place.take(h)
         at = np.flatnonzero(rank < each)
         rank, at = rank[at], some[at]
-        beside = np.diff(at) == 1
+        beside = after[at[:-1]] == at[1:]
         start = np.concatenate([[True], ~beside | (rank[1:] != rank[:-1])])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         free, chosen = run % 2 == 0, np.zeros(len(at), bool)  # in a run of one symbol every other pair
@@ -95,11 +109,17 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, each: int =
         ruled = pair[best[used]]
         firsts.append(top)
         rules.append(np.stack([ruled >> 32, ruled & 0xFFFFFFFF], 1))
-        seq[spot] = top + new
-        keep = np.ones(len(seq), bool)
-        keep[spot + 1] = False
-        seq, top = seq[keep], top + len(used)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), firsts, seq
+        gone = after[spot]
+        seq[spot], here[gone] = top + new, False
+        after[spot] = after[gone]
+        before[after[gone]] = spot
+        flag = np.zeros(n + 1, bool)  # the last one for the place before the first symbol
+        flag[live] = flag[spot] = flag[before[spot]] = True
+        flag[gone] = flag[-1] = False
+        live = np.flatnonzero(flag)
+        live = live[after[live] < n]
+        left, top = left - len(spot), top + len(used)
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), firsts, seq[here]
 
 
 def lengths(rules: np.ndarray, firsts: list[int], base: int) -> np.ndarray:
@@ -195,18 +215,26 @@ class LibraryEncoder:
         self.merge = self.tokenizer.model.tokenize
         plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
         self.letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 512 - len(plain))]), strict=True))
+        self.apart = "".join(map(self.letters.get, APART.encode("utf-8", "surrogatepass")))
         self.cache = ChunkCache(PATTERN, self.merged, 800_000)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("" if self.tokenizer.normalizer is not None else "|".join(added) or r"(?!)")
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, length = [], []
-        for part in in_slices(pieces, 4096):  # a token of the library is an object
-            lists = [self.merge(x.encode().decode("latin-1").translate(self.letters)) for x in part]
-            length.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-            ids.append(np.fromiter(map(ID, itertools.chain.from_iterable(lists)), np.uint32, int(length[-1].sum())))
+        for part in in_slices(pieces, 512):
+            mine, n = [], []
+            for found in map(self.merge, self.mapped(part)):  # a token of the library is an object: none is kept
+                n.append(len(found))
+                mine += map(ID, found)
+            ids.append(np.array(mine, np.uint32))
+            length.append(np.array(n, np.int64))
         return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(length or [np.zeros(0, np.int64)])
 
+    def mapped(self, pieces: list[str]) -> list[str]:
+        """The pieces in the byte-level alphabet, all at once."""
+        return APART.join(pieces).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split(self.apart)
+
     def __call__(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
         odd = [k for k, x in enumerate(given) if self.whole.search(x)]

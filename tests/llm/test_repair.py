@@ -141,3 +141,19 @@ def test_new_tokens_that_repeat_in_a_call_get_one_row():
     assert cache.rows(["a", "b", "a"]).tolist() == [0, 1, 0] and cache.filled == ["a", "b"]
     assert cache.rows(["c", "a", "c", "d"]).tolist() == [2, 0, 2, 3] and cache.filled == ["c", "d"]
     assert cache.rows(["d", "a"]).tolist() == [3, 0] and cache.rows([]).tolist() == []
+
+
+def test_positions_of_ids_are_held_for_some_stretches_at_a_time(monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    from tillproof.llm import byte_bpe, common
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode, held, plain = tokenizers.Tokenizer.from_file(path), repair.LibraryEncoder(path), [], common.spread
+    for module in common, byte_bpe:
+        monkeypatch.setattr(module, "spread", lambda starts, lengths: held.append(len(starts)) or plain(starts, lengths), raising=False)
+    for given in (["", "one two " * 25_000, "", "x", "y " * 9], ["one two " * 25_000 + "　", "", "two\nthree " * 20_000, " "]):
+        ids, n = encode(given)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(x, add_special_tokens=False).ids for x in given]
+    assert max(held) <= 1 << 15

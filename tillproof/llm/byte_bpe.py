@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Grown, TokenCache, in_batches, spread, texts
+from .common import Grown, TokenCache, gathered, in_batches, texts
 
 #: White space as the tokenizer's own pattern language has it; Python's \s also holds U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -185,7 +185,7 @@ class ChunkCache(TokenCache):
         else:
             rows = self.pieces.rows(parts)
             length = self.pieces.length.a[rows]
-            ids = self.pieces.ids.a[spread(self.pieces.start.a[rows], length)]
+            ids = gathered(self.pieces.ids.a, self.pieces.start.a[rows], length)
         total = np.concatenate([[0], np.cumsum(length)])
         at = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
         return ids, total[at[1:]] - total[at[:-1]]
@@ -224,7 +224,7 @@ class ChunkCache(TokenCache):
         flag = np.zeros(len(self), bool)
         flag[kept] = True
         names = list(itertools.compress(self, flag))
-        ids, length = self.ids.a[spread(start[kept], length[kept])], length[kept]
+        ids, length = gathered(self.ids.a, start[kept], length[kept]), length[kept]
         self.clear()
         self.reset()
         self.update(zip(names, range(len(names)), strict=True))
@@ -249,13 +249,15 @@ class ChunkCache(TokenCache):
         met = parts.flatten().dictionary_encode()
         rows = self.rows(met.dictionary.to_numpy(zero_copy_only=False).tolist())[met.indices.to_numpy()]
         length = self.length.a[rows]
-        of = np.repeat(np.array(some), pc.list_value_length(parts).to_numpy())
-        whole = np.union1d(of[length < 0], np.array([k for k in some if "\0" in docs[k]], np.int64)).astype(np.int64)
+        first = parts.offsets.to_numpy()[:-1]  # every text has a stretch
+        odd = np.minimum.reduceat(length, first) < 0
+        whole = np.array([k for k, bad in zip(some, odd.tolist(), strict=True) if bad or "\0" in docs[k]], np.int64)
         if not len(whole):
-            n = np.bincount(of, length, len(docs)).astype(np.int64)
-            return self.ids.a[spread(self.start.a[rows], length)], n
+            n[some] = np.add.reduceat(length, first)
+            return gathered(self.ids.a, self.start.a[rows], length), n
+        of = np.repeat(np.array(some), pc.list_value_length(parts).to_numpy())
         keep = ~np.isin(of, whole)
-        flat = self.ids.a[spread(self.start.a[rows[keep]], length[keep])]
+        flat = gathered(self.ids.a, self.start.a[rows[keep]], length[keep])
         n = np.bincount(of[keep], length[keep], len(docs)).astype(np.int64)
         cuts, out = np.concatenate([[0], np.cumsum(n)]), []
         rest = set(whole.tolist())

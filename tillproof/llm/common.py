@@ -145,3 +145,13 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     out += np.arange(total)
     return out
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int = 1 << 15) -> np.ndarray:
+    """The values of every run, one run after the other; positions are held for `size` runs at a time."""
+    out, at = np.empty(int(lengths.sum()), values.dtype), 0
+    for a in range(0, len(starts), size):
+        part = values[spread(starts[a : a + size], lengths[a : a + size])]
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out

@@ -27,7 +27,8 @@ def parse_cents(raw: Column | str) -> Column:
     s = F.regexp_replace(col(raw), f"[${WS}]", "")
     grouped = s.rlike(r"^\d{1,3}(,\d{3})+\.\d{2}\z")
     plain = F.when(grouped, F.replace(s, F.lit(","), F.lit(""))).otherwise(F.regexp_replace(s, r"^([^,]*),", "$1."))
-    return F.when(plain.rlike(r"^\d+\.\d{2}\z"), F.replace(plain, F.lit("."), F.lit("")).try_cast("bigint"))
+    cents = F.when(plain.rlike(r"^\d+\.\d{2}\z"), F.replace(plain, F.lit("."), F.lit("")).try_cast("bigint"))
+    return F.when(col(raw).rlike(r"\d"), cents)  # most words hold no digit, and one look is enough for these
 
 
 def parse_typed(raw: Column | str) -> Column:

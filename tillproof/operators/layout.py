@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: In line heights: how far to the right a neighbour may be and how far up or down; the steepest slope; fixed values.
 REACH, DRIFT, STEEPEST = 3.0, 1.5, 0.3
+#: Words of whole receipts that are worked on together, at least.
+AT_ONCE = 1 << 15
 #: Below so many receipts still in step, each is finished on its own.
 IN_STEP = 8
 
@@ -149,8 +151,8 @@ class Pages:
         slope = medians(dy[far] / dx[far], self.receipt[me[far]], self.n, 0.0)
         self.slope = np.where(np.abs(slope) > STEEPEST, 0.0, slope)
 
-    def rows(self, tolerance: float, kind: pa.DataType) -> pa.ListArray:
-        """For each receipt its rows from top to bottom, each with its words from left to right."""
+    def placed(self, tolerance: float) -> Rows:
+        """The rows of all receipts, from top to bottom, each with its words from left to right."""
         flat = self.cy - self.slope[self.receipt] * self.cx
         down = np.lexsort((self.number, flat, self.receipt))
         starts = np.cumsum(self.counts) - self.counts
@@ -165,21 +167,43 @@ class Pages:
         flat_y, y = gather(np.add, flat) / size, gather(np.add, self.cy) / size
         edges = [gather(np.minimum, self.x0), gather(np.minimum, self.y0), gather(np.maximum, self.x1), gather(np.maximum, self.y1)]
         order = np.lexsort((g[first], flat_y, r[first]))
-        of = r[first][order]
-        per = np.bincount(of, minlength=self.n)
-        position = np.arange(len(order)) - np.repeat(np.cumsum(per) - per, per)
         # The words of the rows in their order: a row's words stay together.
         lengths = size[order]
         at = across[np.repeat(first[order] - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(across))]
+        return Rows(self, r[first][order], y[order], flat_y[order], [e[order] for e in edges], lengths, at)
+
+    def rows(self, tolerance: float, kind: pa.DataType) -> pa.ListArray:
+        """For each receipt its rows from top to bottom, each with its words from left to right."""
+        return self.placed(tolerance).listed(kind)
+
+
+class Rows:
+    """The rows of a batch's receipts: receipt after receipt, and in each from top to bottom."""
+
+    def __init__(self, pages: Pages, of: np.ndarray, y: np.ndarray, flat_y: np.ndarray, edges: list[np.ndarray], lengths: np.ndarray, at: np.ndarray):
+        self.pages, self.of, self.lengths, self.at = pages, of, lengths, at
+        self.n = len(of)
+        self.per = np.bincount(of, minlength=pages.n)
+        self.starts = np.cumsum(self.per) - self.per
+        self.position = np.arange(self.n) - np.repeat(self.starts, self.per)
+        self.ends = np.append(0, np.cumsum(lengths))
         index = pa.array(at)
-        word = kind.value_type.field("words").type
-        words = pa.StructArray.from_arrays([self.text.take(index), pa.array(self.x1[at]), self.cents.take(index)], fields=list(word.value_type))
-        ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
-        listed = pa.ListArray.from_arrays(ends, words, type=word)
-        text = pc.binary_join(pa.ListArray.from_arrays(ends, words.field("text")), " ")
-        made = [pa.array(position, pa.int32()), *(pa.array(x[order]) for x in (y, flat_y, *edges)), text, listed]
+        self.texts, self.x1, self.cents = pages.text.take(index), pages.x1[at], pages.cents.take(index)
+        self.columns = {"row_idx": pa.array(self.position, pa.int32()), "y": pa.array(y), "flat_y": pa.array(flat_y), **{k: pa.array(e) for k, e in zip(PLACE, edges, strict=True)}}
+        self.columns["text"] = pc.binary_join(pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), self.texts), " ")
+        self.right = edges[2]
+
+    def words(self, kind: pa.DataType) -> pa.ListArray:
+        """The words of each row."""
+        word = kind.value_type
+        words = pa.StructArray.from_arrays([self.texts, pa.array(self.x1), self.cents], fields=list(word))
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), words, type=kind)
+
+    def listed(self, kind: pa.DataType) -> pa.ListArray:
+        """A list of rows for each receipt, with the columns that kind names."""
+        made = [self.words(f.type) if f.name == "words" else self.columns[f.name] for f in kind.value_type]
         rows = pa.StructArray.from_arrays(made, fields=list(kind.value_type))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), rows, type=kind)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.per)), pa.int32()), rows, type=kind)
 
 
 WORD = pa.struct([("text", pa.string()), ("x1", pa.float64()), ("cents", pa.int64())])
@@ -188,9 +212,12 @@ ROWS_SQL = "array<struct<row_idx:int,y:double,flat_y:double,x0:double,y0:double,
 
 
 def of_whole_receipts(batches: Iterator[pa.RecordBatch]) -> Iterator[Pages]:
-    """Pages of batches whose receipts stand together; the last receipt of a batch waits for its other words."""
+    """Pages of batches whose receipts stand together, some batches at a time; the last receipt waits for its other words."""
     waiting: list[pa.RecordBatch] = []
+    held = 0  # words that wait
     for batch in batches:
+        if not batch.num_rows:
+            continue
         if waiting:
             last = waiting[-1].column(0)
             joint = changes(pa.concat_arrays([last.slice(len(last) - 1), batch.column(0)]))[1:]
@@ -198,10 +225,11 @@ def of_whole_receipts(batches: Iterator[pa.RecordBatch]) -> Iterator[Pages]:
             joint = changes(batch.column(0))
         starts = np.flatnonzero(joint)
         end = int(starts[-1]) if len(starts) else 0
-        if len(starts) and (waiting or end):
+        if len(starts) and held + end >= AT_ONCE:
             yield Pages(pa.Table.from_batches([*waiting, batch.slice(0, end)]))
-            waiting = []
-        waiting.append(batch.slice(end))
+            waiting, held, batch = [], 0, batch.slice(end)
+        waiting.append(batch)
+        held += batch.num_rows
     if waiting:
         yield Pages(pa.Table.from_batches(waiting))
 

@@ -2,8 +2,7 @@
 
 Words have receipt_id, word_idx, text, x0, y0, x1, y1. A receipt's words come together by the only shuffle, or by none
 where they stand together (`together`, as sources.words gives them);
-slope and rows are worked out for many receipts at a time (layout); column, prices, labels and fields are array functions
-on that one row. Words without text or box don't count; a receipt without words has no rows, a line height of 1 and no
+slope and rows (layout), column, prices, labels and fields (prices) are worked out for many receipts at a time. Words without text or box don't count; a receipt without words has no rows, a line height of 1 and no
 slope.
 """
 
@@ -14,24 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import fixed
-from ..functions.money import WS, parse_cents, strip
-from . import layout
+from ..functions.money import parse_cents, strip
+from . import layout, prices
 
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-SP = f"[{WS}]"
-#: Labels of the totals, in the order in which they are tried; fixed values.
-LABELS = (
-    ("subtotal", rf"{B}(SUB{SP}?-?{SP}?TOTAL|SUBTTL){E}"),
-    ("tax", rf"{B}(TAX|VAT|GST|HST|PST|SALES{SP}?TAX){E}"),
-    ("tip", rf"{B}(TIP|GRATUITY|SERVICE{SP}?(CHARGE|CHG)?){E}"),
-    ("total", rf"{B}(GRAND{SP}?TOTAL|TOTAL|BALANCE({SP}?DUE)?|AMOUNT{SP}?DUE){E}"),
-)
-#: What opens the block of totals, payment words and dividers; fixed values.
-BLOCK = rf"(^|[^A-Z])(SUB{SP}?-?{SP}?TOTAL|SUBTTL|GRAND{SP}?TOTAL|TOTAL|BALANCE({SP}?DUE)?|AMOUNT{SP}?DUE){E}"
-PAYMENT = rf"{B}(CASH|CHANGE|VISA|MASTERCARD|MC|AMEX|DEBIT|CREDIT|CARD|TENDER|AUTH|APPROVED|REF|ACCT){E}"
-DIVIDER = rf"^[-_=~*.{WS}]+\z"
-LEAD = 14
+#: Labels of the totals, in the order in which they are tried, and payment words.
+LABELS = tuple((name, f"{B}({words}){E}") for name, words in prices.LABELS)
+BLOCK = f"(^|[^A-Z])({prices.OPENING}){E}"
+PAYMENT = f"{B}({prices.PAYMENT}){E}"
+DIVIDER = rf"{prices.DIVIDER}\z"
+LEAD = prices.LEAD
 
 
 def label(upper: Column) -> Column:
@@ -82,74 +73,31 @@ def rows(words: DataFrame, tolerance: float = 0.6, together: bool = False) -> Da
     return page_rows(words, tolerance, together).select("receipt_id", F.inline("rows"))
 
 
-def page_priced(pages: DataFrame) -> DataFrame:
-    """pages (receipt_id, rows) with column_x, page_width and block_start; their rows with price, desc, label, divider and payment.
+def page_priced(words: DataFrame, columns: tuple[str, ...] = tuple(prices.ROW), tolerance: float = 0.6, together: bool = False) -> DataFrame:
+    """receipt_id, column_x, page_width, block_start and the rows, of which only these columns: those of page_rows(), price, desc, label, divider, payment and opens.
 
     column_x (null without prices) is the right edge on which most last prices agree; a row's price is the last amount in
-    the column, else the last at all, and desc the words before it.
+    the column, else the last at all, and desc the words before it. block_start is the first row that opens the totals.
     """
-    last = F.transform("rows", lambda r: F.try_element_at(F.filter(r["words"], lambda v: v["cents"].isNotNull()), F.lit(-1))["x1"])
-    page = fixed(pages, xs=F.array_sort(F.array_compact(last)), page_width=F.greatest(F.lit(1.0), F.array_max(F.transform("rows", lambda r: r["x1"]))))
-    span = F.try_element_at("xs", F.lit(-1)) - F.get("xs", F.lit(0))
-    page = fixed(page, tol=F.greatest(F.when(span == 0, 1.0).otherwise(span) * 0.05, F.lit(12.0)))
-    votes = F.transform("xs", lambda x: F.struct(F.size(F.filter("xs", lambda o: F.abs(o - x) <= F.col("tol"))).alias("n"), (-x).alias("x")))
-    page = fixed(page, column_x=F.when(F.size("xs") < 2, F.get("xs", F.lit(0))).otherwise(-F.array_max(votes)["x"]), wide=F.greatest(F.col("page_width") * 0.06, F.lit(15.0)))
-
-    def with_price(r: Column) -> Column:
-        money = F.filter(F.transform(r["words"], lambda v, i: F.struct(i.alias("at"), v["x1"].alias("x1"), v["cents"].alias("cents"))), lambda v: v["cents"].isNotNull())
-        inside = F.filter(money, lambda v: F.abs(v["x1"] - F.col("column_x")) <= F.col("wide"))
-        return F.struct(r.alias("r"), F.coalesce(F.try_element_at(inside, F.lit(-1)), F.try_element_at(money, F.lit(-1))).alias("p"))
-
-    page = fixed(page, found=F.transform("rows", with_price))
-
-    def described(x: Column) -> Column:
-        before = F.array_join(F.transform(F.slice(x["r"]["words"], F.lit(1), F.coalesce(x["p"]["at"], F.lit(0))), lambda v: v["text"]), " ")
-        return F.struct(x["r"].alias("r"), x["p"]["cents"].alias("price"), F.when(x["p"].isNotNull(), strip(before)).alias("desc"))
-
-    page = fixed(page, told=F.transform("found", described))
-
-    def labelled(x: Column) -> Column:
-        upper = F.upper(F.coalesce(x["desc"], strip(x["r"]["text"])))
-        return F.struct(*(x["r"][k].alias(k) for k in ("row_idx", "y", "flat_y", "x0", "y0", "x1", "y1", "text", "words")), x["price"].alias("price"), x["desc"].alias("desc"), label(upper).alias("label"), is_divider(x["r"]["text"]).alias("divider"), is_payment(upper).alias("payment"), (x["price"].isNotNull() & opens_block(x["r"]["text"])).alias("opens"))
-
-    page = fixed(page, priced_rows=F.transform("told", labelled))
-    first = F.array_min(F.transform(F.filter("priced_rows", lambda r: r["opens"]), lambda r: r["row_idx"]))
-    return fixed(page.select("receipt_id", "column_x", "page_width", "priced_rows"), block_start=first).withColumnRenamed("priced_rows", "rows")
+    return laid_out(words, prices.priced(tolerance, columns), prices.priced_sql(columns), together)
 
 
 def priced(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, column_x, page_width, block_start and the priced rows of the words, a row each."""
-    return page_priced(page_rows(words, together=together)).select("receipt_id", "column_x", "page_width", "block_start", F.inline("rows")).drop("opens")
-
-
-def dishes(rows: Column, block_start: Column) -> Column:
-    """item_idx, desc, price and row_idx of the lines that are dishes."""
-    ok = lambda r: ~r["divider"] & r["price"].isNotNull() & r["label"].isNull() & ~r["payment"] & (r["desc"] != "") & (block_start.isNull() | (r["row_idx"] < block_start))
-    return F.transform(F.filter(rows, ok), lambda r, i: F.struct(i.alias("item_idx"), r["desc"].alias("desc"), r["price"].alias("price"), r["row_idx"].alias("row_idx")))
+    own = tuple(c for c in prices.ROW if c != "opens")
+    return page_priced(words, own, together=together).select("receipt_id", "column_x", "page_width", "block_start", F.inline("rows"))
 
 
 def items(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, item_idx, desc, price, row_idx of the lines that are dishes."""
-    return page_priced(page_rows(words, together=together)).select("receipt_id", F.inline(dishes(F.col("rows"), F.col("block_start"))))
-
-
-def with_fields(page: DataFrame) -> DataFrame:
-    """page (receipt_id, rows, ...) with the four totals (first occurrence), the rows they stand in and unreadable labels, in order."""
-    said = lambda name, read: F.get(F.filter("rows", lambda r: ~r["divider"] & F.coalesce(r["label"] == name, F.lit(False)) & (r["price"].isNotNull() if read else r["price"].isNull())), F.lit(0))
-    page = fixed(page, **{f"hit_{n}": said(n, True) for n, _ in LABELS}, **{f"miss_{n}": said(n, False)["row_idx"] for n, _ in LABELS})
-    lost = [F.when(F.col(f"miss_{n}").isNotNull() & (F.col(f"hit_{n}").isNull() | (F.col(f"miss_{n}") < F.col(f"hit_{n}.row_idx"))), F.struct(F.col(f"miss_{n}").alias("row"), F.lit(n).alias("name"))) for n, _ in LABELS]
-    names = F.transform(F.array_sort(F.array_compact(F.array(*lost))), lambda u: u["name"])
-    out = page.withColumns({n: F.col(f"hit_{n}.price") for n, _ in LABELS} | {f"{n}_row": F.col(f"hit_{n}.row_idx") for n, _ in LABELS} | {"unreadable": F.array_join(names, ",")})
-    return out.drop(*(f"{k}_{n}" for n, _ in LABELS for k in ("hit", "miss")))
+    return parse(words, together).select("receipt_id", F.inline("items"))
 
 
 def fields(words: DataFrame, together: bool = False) -> DataFrame:
-    """receipt_id, the four totals, the rows they stand in and unreadable labels, in order."""
-    return with_fields(page_priced(page_rows(words, together=together))).drop("rows", "column_x", "page_width", "block_start")
+    """receipt_id, the four totals (first occurrence), the rows they stand in and unreadable labels, in order."""
+    return parse(words, together).drop("items", "n_items", "items_sum")
 
 
 def parse(words: DataFrame, together: bool = False) -> DataFrame:
     """receipt_id, totals, unreadable, n_items, items_sum and items (an array in order)."""
-    page = fixed(with_fields(page_priced(page_rows(words, together=together))), items=dishes(F.col("rows"), F.col("block_start")))
-    total = F.aggregate("items", F.lit(0).cast("bigint"), lambda s, i: s + i["price"])
-    return page.drop("rows", "column_x", "page_width", "block_start").withColumns({"n_items": F.size("items"), "items_sum": total})
+    return laid_out(words, prices.parsed(0.6), prices.PARSED_SQL, together)

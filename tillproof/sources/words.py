@@ -56,16 +56,16 @@ def lines(spark: SparkSession, sf_dir: str, frames: int = 0) -> DataFrame:
 def render(lines: DataFrame, skew: Column | None = None, tall: float = TALL) -> DataFrame:
     """Words of printed lines, described from the left and priced at the right edge, on paper that may be askew."""
     slope = (F.col("receipt_id") % 7 - 3) * F.lit(0.01) if skew is None else skew
-    amount = format_cents("price")
-    start = F.lit(float(LEFT))
-    parts = F.split("label", " ")
-    at = F.transform(parts, lambda w, i: F.struct(w.alias("text"), (start + ADVANCE * (F.length(F.array_join(F.slice(parts, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0))).alias("x0")))
-    described = F.transform(at, lambda p: F.struct(p["text"].alias("text"), p["x0"].alias("x0"), (p["x0"] + ADVANCE * F.length(p["text"])).alias("x1")))
-    price = F.when(F.col("price").isNotNull(), F.array(F.struct(amount.alias("text"), (F.lit(float(RIGHT)) - ADVANCE * F.length(amount)).alias("x0"), F.lit(float(RIGHT)).alias("x1")))).otherwise(F.array().cast("array<struct<text:string,x0:double,x1:double>>"))
     own = [c for c in ("receipt_id", "frame") if c in lines.columns]
-    each = lines.select(*own, "line", F.posexplode(F.concat(described, price)).alias("k", "w"))
-    y = TOP + LINE * F.col("line") + slope * (F.col("w.x0") + F.col("w.x1")) / 2
-    return each.select(*own, (F.col("line") * 100 + F.col("k")).alias("word_idx"), F.col("w.text").alias("text"), F.col("w.x0").alias("x0"), y.alias("y0"), F.col("w.x1").alias("x1"), (y + tall).alias("y1"), F.lit(90.0).alias("confidence"))
+    shown = F.when(F.col("price").isNotNull(), F.concat("parts", F.array(format_cents("price")))).otherwise(F.col("parts"))
+    each = lines.select(*own, "line", "label", "price", F.split("label", " ").alias("parts")).select(*own, "line", "label", F.size("parts").alias("n"), F.posexplode(shown).alias("k", "text"))
+    # What stands before the word in its line, with the space behind it.
+    before = F.length(F.call_function("substring_index", F.col("label"), F.lit(" "), F.col("k"))) + F.when(F.col("k") > 0, 1).otherwise(0)
+    wide, amount = ADVANCE * F.length("text"), F.col("k") == F.col("n")
+    x0 = F.when(amount, F.lit(float(RIGHT)) - wide).otherwise(F.lit(float(LEFT)) + ADVANCE * before)
+    x1 = F.when(amount, F.lit(float(RIGHT))).otherwise(F.lit(float(LEFT)) + ADVANCE * before + wide)
+    y = TOP + LINE * F.col("line") + slope * (x0 + x1) / 2
+    return each.select(*own, (F.col("line") * 100 + F.col("k")).alias("word_idx"), "text", x0.alias("x0"), y.alias("y0"), x1.alias("x1"), (y + tall).alias("y1"), F.lit(90.0).alias("confidence"))
 
 
 def words(spark: SparkSession, sf_dir: str, frames: int = 0) -> DataFrame:

@@ -4,7 +4,8 @@ A micro-batch may bring a session's frames in any order and in several chunks; t
 count. A frame that isn't newer than the last one counted is dropped and counted as late. Once a session has settled,
 further frames are ignored until it is reset: a row with `reset` begins the session anew from its frame_no on, as a new
 epoch, and the epoch before it is closed. A session that hears nothing for `idle` seconds is closed at the next
-micro-batch and its state goes. State is a few numbers a session.
+micro-batch and its state goes. State is a few numbers a session. Sessions are dealt to groups by their ids, and a group's
+sessions take their frames in step (book), as a group of its own for each session costs Spark far more than its frames.
 """
 
 from __future__ import annotations
@@ -15,103 +16,25 @@ import json
 import time
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FIELDS = ("subtotal", "tax", "tip", "total")
-OUT = "session_id long, settled_frame int, via string, status string, v_subtotal long, v_tax long, v_tip long, v_total long, frames int, late int, epoch int, closed string"
-#: Seconds without a frame after which a session is closed.
-IDLE = 3600.0
+from .book import EVENT, Book
+from .rules import COLUMNS, FIELDS, OUT, Session, judge
 
+__all__ = ["EMPTY_BATCHES", "FIELDS", "FRAME", "IDLE", "advance", "batches_with_frames_only", "judge", "replay", "sessions"]
 
-def plausible(v: dict) -> bool:
-    s, x, p, t = (v[f] for f in FIELDS)
-    return not (s is None or s <= 0 or t is None or t <= 0 or t < s or (x is not None and not 0 <= x <= s * 0.3) or (p is not None and not 0 <= p <= s))
-
-
-def solve(field: str, v: dict) -> int | None:
-    rest = [v[f] for f in FIELDS if f != field]
-    if None in rest:
-        return None
-    return sum(rest) if field == "total" else v["total"] - sum(v[f] for f in FIELDS[:3] if f != field)
-
-
-def judge(n_items: int, items_sum: int, fields: dict) -> tuple[str, dict]:
-    """Status and values of one reading."""
-    v, repaired = dict(fields), False
-    if v["subtotal"] is None and n_items:
-        v["subtotal"], repaired = items_sum, True
-    disputed = n_items > 0 and v["subtotal"] is not None and v["subtotal"] != items_sum
-    if v["tip"] is None and not disputed and None not in (v["subtotal"], v["tax"], v["total"]) and v["subtotal"] + v["tax"] == v["total"]:
-        v["tip"], repaired = 0, True
-    gaps = [f for f in FIELDS if v[f] is None]
-    if len(gaps) == 1 and not disputed:
-        trial = v | {gaps[0]: solve(gaps[0], v)}
-        if plausible(trial):
-            v, repaired = trial, True
-    whole = all(v[f] is not None for f in FIELDS)
-    if whole and not disputed:
-        if sum(v[f] for f in FIELDS[:3]) == v["total"]:
-            return ("repaired" if repaired else "reconciled"), v
-        backed = n_items > 0 and v["subtotal"] == items_sum
-        ways = [t for f in FIELDS if not (f == "subtotal" and backed) for t in [v | {f: solve(f, v)}] if t != v and plausible(t)]
-        if len(ways) == 1:
-            return "repaired", ways[0]
-    return "unresolved", v
-
-
-class Session:
-    """The state of one session; to_json and from_json carry it between micro-batches."""
-
-    def __init__(self, saved: dict | None = None):
-        self.s = saved or {"streaks": {f: [None, 0] for f in (*FIELDS, "items")}, "needed": 2, "last": 0, "frames": 0, "late": 0, "repair": ["", 0], "settled": None, "epoch": 0}
-
-    def observe(self, r: dict) -> None:
-        s = self.s
-        if r["frame_no"] <= s["last"]:
-            s["late"] += 1
-            return
-        s["last"], s["frames"] = r["frame_no"], s["frames"] + 1
-        if s["settled"]:
-            return
-        fields = {f: r[f] for f in FIELDS}
-        if r["n_items"] + sum(v is not None for v in fields.values()) >= 25:
-            s["needed"] = 3
-        for f, v in (fields | {"items": r["items_key"] if r["n_items"] else None}).items():
-            old = s["streaks"][f]
-            s["streaks"][f] = [v, 0 if v is None else old[1] + 1 if old[0] == v and old[1] else 1]
-        status, values = judge(r["n_items"], r["items_sum"], fields)
-        via = "frame" if status != "unresolved" else None
-        if via is None:
-            held = {f: s["streaks"][f][0] if s["streaks"][f][1] >= s["needed"] else None for f in FIELDS}
-            same = s["streaks"]["items"][1] >= s["needed"]
-            status, agreed = judge(r["n_items"] if same else 0, r["items_sum"] if same else 0, held)
-            if status != "unresolved":
-                via, values = "consensus", agreed
-        key = ""
-        if via == "frame" and status == "repaired":
-            key = "/".join("x" if values[f] is None else str(values[f]) for f in FIELDS) + "|" + r["items_key"]
-        s["repair"] = [key, s["repair"][1] + 1 if key and s["repair"][0] == key else int(bool(key))]
-        if via and (status == "reconciled" or via == "consensus" or s["repair"][1] >= 2):
-            s["settled"] = [r["frame_no"], via, status, *(values[f] for f in FIELDS)]
-
-    def reset(self, frame_no: int) -> None:
-        """A new epoch from this frame on; frames before it come too late."""
-        old = self.s
-        self.s = Session().s | {"epoch": old["epoch"] + 1, "last": max(old["last"], frame_no - 1)}
-
-    def row(self, session_id: int, closed: str | None = None) -> dict:
-        s = self.s
-        done = s["settled"] or [None] * 7
-        return dict(zip(["session_id", "settled_frame", "via", "status", "v_subtotal", "v_tax", "v_tip", "v_total", "frames", "late", "epoch", "closed"], [session_id, *done, s["frames"], s["late"], s["epoch"], closed], strict=True))
+#: Seconds without a frame after which a session is closed.
+IDLE = 3600.0
+#: Groups that sessions are dealt to; their number stays with a checkpoint.
+GROUPS = 64
 
 
 #: What a frame brings, besides the session.
 FRAME = ("frame_no", "n_items", "items_sum", "items_key", *FIELDS)
-COLUMNS = [c.split()[0] for c in OUT.split(", ")]
-
 
 def number(v) -> int | None:
     return None if v is None or v != v else int(v)
@@ -154,17 +77,41 @@ def advance(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState, idle:
     yield told(out)
 
 
-def sessions(frames: DataFrame, idle: float = IDLE) -> DataFrame:
-    """A row per session and micro-batch that touched it: how it stands after the frames so far; a row more for each epoch that was closed."""
-    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in frames.columns else F.lit(False)
-    # One column: each costs a conversion to pandas for every session and micro-batch.
-    wanted = frames.select("session_id", F.to_json(F.struct(*FRAME, reset.alias("reset"))).alias("frame"))
-    step = functools.partial(advance, idle=int(idle * 1000))
+def advance_group(chunks: Iterable[pd.DataFrame], state: GroupState, idle: int) -> Iterator[pd.DataFrame]:
+    """A micro-batch's events of a group of sessions."""
+    book, now = Book(state.get[0] if state.exists else None), state.getCurrentProcessingTimeMs()
+    if state.hasTimedOut:
+        out = [book.idle(now, idle)]
+    else:
+        chunks = list(chunks)
+        at, out = book.take({c: np.concatenate([chunk[c].to_numpy() for chunk in chunks]) for c in EVENT}, now)
+        out.append(book.idle(now, idle, at))
+    if len(book.ids):
+        state.update((book.saved(),))
+        state.setTimeoutDuration(max(1, int(book.c["heard"].min()) + idle - now))
+    else:
+        state.remove()
+    yield from (rows for rows in out if rows is not None and len(rows))
+
 
-    def run(key, chunks, state):
-        return step(key, chunks, state)
+def sessions(frames: DataFrame, idle: float = IDLE, groups: int = GROUPS) -> DataFrame:
+    """A row per session and micro-batch that touched it: how it stands after the frames so far; a row more for each epoch that was closed.
 
-    return wanted.groupBy("session_id").applyInPandasWithState(run, OUT, "saved string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    groups: how many groups the sessions are dealt to; 0 makes each session a group of its own.
+    """
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in frames.columns else F.lit(False)
+    step = functools.partial(advance if not groups else advance_group, idle=int(idle * 1000))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout
+    if not groups:
+        # One column: each costs a conversion to pandas for every session and micro-batch.
+        wanted = frames.select("session_id", F.to_json(F.struct(*FRAME, reset.alias("reset"))).alias("frame"))
+        return wanted.groupBy("session_id").applyInPandasWithState(lambda key, chunks, state: step(key, chunks, state), OUT, "saved string", "update", timeout)
+    # Whole numbers without nulls, which pandas would take for fractions.
+    number = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c)
+    known = sum((F.col(f).isNotNull().cast("bigint") * (1 << k) for k, f in enumerate(FIELDS)), F.lit(0).cast("bigint"))
+    wanted = frames.select(F.col("session_id").cast("bigint").alias("session_id"), F.col("frame_no").cast("bigint").alias("frame_no"), reset.alias("reset"), *map(number, ("n_items", "items_sum", *FIELDS)), known.alias("known"), "items_key")
+    dealt = wanted.withColumn("group", F.pmod(F.xxhash64("session_id"), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandasWithState(lambda key, chunks, state: step(chunks, state), OUT, "saved binary", "update", timeout)
 
 
 #: With timeouts every batch asks for another one, so a run over what is there would never end; they count at the next batch with frames.
@@ -181,10 +128,10 @@ def batches_with_frames_only(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(EMPTY_BATCHES, before)
 
 
-def replay(portions: list[DataFrame], name: str, folder: str, idle: float = IDLE, pause: float = 0) -> DataFrame:
+def replay(portions: list[DataFrame], name: str, folder: str, idle: float = IDLE, pause: float = 0, groups: int = GROUPS) -> DataFrame:
     """Writes portions of frames one after the other and runs the stream over each; gives the last row of each session and epoch.
 
-    pause: seconds between portions.
+    pause: seconds between portions; groups: as sessions() takes them.
 
     The stream stops after each portion and goes on from its checkpoint, so portions count in their order, whatever
     the order of the files within one.
@@ -199,7 +146,7 @@ def replay(portions: list[DataFrame], name: str, folder: str, idle: float = IDLE
         frames.write.mode("append").parquet(source)
         stream = spark.readStream.schema(frames.schema).parquet(source)
         with batches_with_frames_only(spark):
-            query = sessions(stream, idle).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start()
+            query = sessions(stream, idle, groups).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start()
             query.awaitTermination()
     rows = spark.read.parquet(table)
     columns = [c for c in rows.columns if c not in ("batch", "batch_no", "session_id", "epoch")]

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from test_layout import KIND
 
+from tillproof.functions import money
 from tillproof.operators import layout, prices, receipt
 from tillproof.plans import queries
 from tillproof.sources import words
@@ -101,3 +102,15 @@ def test_rows_of_receipts_are_priced_in_the_kernel(spark, sf, name):
 def test_words_are_rendered_without_functions_over_arrays(spark, sf):
     plan = words.words(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction(struct(text" not in plan and "slice(" not in plan
+
+
+def test_amounts_are_read_once_for_each_text(spark):
+    texts = ["12.34", "$12.34", "12,34", "1,234.56", "$12,345.00", "19.169", "2300", "12,34.56", "1,23.45", "1,234,56", "", "12.\n34", "1\x0b2.34", " 5.00", "٣.٠٠", "9" * 17 + ".99", "92233720368547758.07", "92233720368547758.08", "9" * 30 + ".00", "5.00\n", ".50", None, "12.34"]
+    want = {r.i: r.c for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", money.parse_cents("t").alias("c")).collect()}
+    assert layout.cents(pa.array(texts, pa.string())).to_pylist() == [want[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("name", ["q18_parse_roundtrip", "q53_degraded_sessions", "q54_degraded_policies"])
+def test_words_meet_no_pattern_in_the_jvm(spark, sf, name):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(,\\d{3})" not in plan and "array_sort(transform" not in plan

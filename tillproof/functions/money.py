@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 #: White space that a receipt's text may hold, the no-break kinds too; inside a character class.
 WS = r"\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+#: The same characters one by one.
+BLANK = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0xFEFF, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: A pattern as RE2 has it, whose own white space lacks the vertical tab.
+re2 = lambda pattern: pattern.replace(r"\s", r"\t\n\x0B\f\r ")
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -27,8 +32,7 @@ def parse_cents(raw: Column | str) -> Column:
     s = F.regexp_replace(col(raw), f"[${WS}]", "")
     grouped = s.rlike(r"^\d{1,3}(,\d{3})+\.\d{2}\z")
     plain = F.when(grouped, F.replace(s, F.lit(","), F.lit(""))).otherwise(F.regexp_replace(s, r"^([^,]*),", "$1."))
-    cents = F.when(plain.rlike(r"^\d+\.\d{2}\z"), F.replace(plain, F.lit("."), F.lit("")).try_cast("bigint"))
-    return F.when(col(raw).rlike(r"\d"), cents)  # most words hold no digit, and one look is enough for these
+    return F.when(plain.rlike(r"^\d+\.\d{2}\z"), F.replace(plain, F.lit("."), F.lit("")).try_cast("bigint"))
 
 
 def parse_typed(raw: Column | str) -> Column:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..functions.money import WS, re2
+
 #: In line heights: how far to the right a neighbour may be and how far up or down; the steepest slope; fixed values.
 REACH, DRIFT, STEEPEST = 3.0, 1.5, 0.3
 #: Words of whole receipts that are worked on together, at least.
@@ -21,6 +23,17 @@ AT_ONCE = 1 << 15
 IN_STEP = 8
 
 
+def cents(texts: pa.Array) -> pa.Array:
+    """What money.parse_cents gives for texts, each of which is read once."""
+    coded = pc.dictionary_encode(texts)
+    s = pc.replace_substring_regex(coded.dictionary, re2(f"[${WS}]"), "")
+    grouped = pc.match_substring_regex(s, r"^\d{1,3}(,\d{3})+\.\d{2}$")
+    plain = pc.if_else(grouped, pc.replace_substring(s, ",", ""), pc.replace_substring(s, ",", ".", max_replacements=1))
+    money = pc.match_substring_regex(plain, r"^\d+\.\d{2}$").to_pylist()
+    read = [int(t.replace(".", "")) if m else None for m, t in zip(money, plain.to_pylist(), strict=True)]
+    return pa.array([v if v is not None and v < 1 << 63 else None for v in read], pa.int64()).take(coded.indices)
+
+
 def medians(values: np.ndarray, group: np.ndarray, n: int, otherwise: float) -> np.ndarray:
     """Of each of n groups the median, the mean of the two middle values for an even number of them."""
     order = np.lexsort((values, group))
@@ -122,7 +135,7 @@ def changes(ids: pa.Array) -> np.ndarray:
 
 
 class Pages:
-    """Receipts whose words stand together in a table of receipt_id, word_idx, text, x0, y0, x1, y1 and cents.
+    """Receipts whose words stand together in a table of receipt_id, word_idx, text, x0, y0, x1 and y1, and perhaps cents; else these come from the text.
 
     Words without text or box don't count, but their receipts stay.
     """
@@ -140,7 +153,8 @@ class Pages:
         self.x0, self.y0, self.x1, self.y1 = (p[whole] for p in place)
         self.number = column("word_idx").to_numpy(zero_copy_only=False)[whole]
         kept = pa.array(whole)
-        self.text, self.cents = column("text").filter(kept), column("cents").filter(kept)
+        self.text = column("text").filter(kept)
+        self.cents = column("cents").filter(kept) if "cents" in words.schema.names else cents(self.text)
         self.cx, self.cy = (self.x0 + self.x1) / 2, (self.y0 + self.y1) / 2
         self.tall = medians(self.y1 - self.y0, self.receipt, self.n, 0.0)
         self.tall[self.tall == 0] = 1.0

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..functions.money import WS
+from ..functions.money import BLANK, WS, re2
 from .layout import ROWS, Rows, of_whole_receipts
 
 SP = f"[{WS}]"
@@ -31,16 +31,12 @@ PAYMENT = "CASH|CHANGE|VISA|MASTERCARD|MC|AMEX|DEBIT|CREDIT|CARD|TENDER|AUTH|APP
 DIVIDER = rf"^[-_=~*.{WS}]+"
 LEAD = 14
 
-#: RE2's own white space lacks the vertical tab.
-re2 = lambda pattern: pattern.replace(r"\s", r"\t\n\x0B\f\r ")
 PART = "[^A-Za-z0-9_]"
 BOUND = {name: re2(f"(?:^|{PART})(?:{words})(?:$|{PART})") for name, words in (*LABELS, ("payment", PAYMENT))}
 ANY = re2("|".join(words for _, words in (*LABELS, ("payment", PAYMENT))))
 OPENS = re2(f"(?s)^.{{0,{LEAD}}}(?:^|[^A-Z])(?:{OPENING})(?:$|{PART})")
 #: The same anywhere, for Python.
 OPENING_AT = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), f"(?:^|[^A-Z])(?:{OPENING})(?:$|{PART})"))
-#: Space for utf8_trim, the members of WS.
-BLANK = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0xFEFF, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def matches(texts: pa.Array, pattern: str) -> np.ndarray:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import parse_cents, strip
+from ..functions.money import strip
 from . import layout, prices
 
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -49,7 +49,7 @@ def laid_out(words: DataFrame, kernel: Callable, made: str, together: bool = Fal
     opens whole receipts; then neither is needed.
     """
     place = (F.col(c).cast("double").alias(c) for c in layout.PLACE)
-    flat = words.select("receipt_id", F.col("word_idx").cast("bigint").alias("word_idx"), F.col("text").cast("string").alias("text"), *place, parse_cents("text").alias("cents"))
+    flat = words.select("receipt_id", F.col("word_idx").cast("bigint").alias("word_idx"), F.col("text").cast("string").alias("text"), *place)
     dealt = flat if together else flat.repartition("receipt_id").sortWithinPartitions("receipt_id")
     return dealt.mapInArrow(kernel, f"receipt_id {flat.schema['receipt_id'].dataType.simpleString()}, {made}")
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import fixed
 from ..functions.money import format_cents, strip
 from . import adapters
+from . import trees as plain_trees
+from .trees import INSIDE
 
 #: Layout of a printed receipt in pixels; fixed values.
 LINE, LEFT, RIGHT, TOP, ADVANCE, TALL = 30, 45, 575, 60, 12.6, 15
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
-#: Under these names a recogniser's node keeps what is inside it, looked for in this order; fixed values.
-INSIDE = ("blocks", "paragraphs", "lines", "children")
 FOUND = f"array<struct<text:string,bbox:{BOX},confidence:double>>"
 
 
@@ -93,7 +93,8 @@ def word_lists(trees: DataFrame, column: str = "tree", key: str = "receipt_id")
     A walk from the root: of an array each element, of an object its list `words` and nothing else, or, where it has
     none, what it keeps under INSIDE; anything else holds nothing. Words without text or box go; a confidence that isn't
     a number is 0. A tree that isn't JSON (or has a name twice in one object, or exceeds a VARIANT) is not readable and
-    has no words. The walk is one array that is opened level by level in its place, for as long as it has open nodes.
+    has no words. Plain trees are read in batches (sources.trees); the others as a VARIANT, by a walk in one array that is
+    opened level by level in its place, for as long as it has open nodes.
     """
     node = lambda v, done: F.struct(v.alias("v"), F.lit(done).alias("word"))
     get = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
@@ -120,7 +121,7 @@ def word_lists(trees: DataFrame, column: str = "tree", key: str = "receipt_id")
         return F.when(seen["open"], more).otherwise(seen)
 
     root = F.struct(F.array(node(F.col("_root"), False)).alias("nodes"), F.lit(True).alias("open"))
-    deepest = F.length(F.regexp_replace(column, r"[^\[{]", "")) + 2
+    deepest = F.length(F.regexp_replace("left", r"[^\[{]", "")) + 2
     leaves = F.aggregate(F.sequence(F.lit(1), deepest), root, level)["nodes"]
 
     def parts(n: Column) -> Column:
@@ -136,9 +137,11 @@ def word_lists(trees: DataFrame, column: str = "tree", key: str = "receipt_id")
         )
 
     kept = F.filter(F.transform(F.transform(leaves, parts), word), lambda w: F.coalesce(w["text"] != "", F.lit(False)) & w["bbox"].isNotNull())
-    read = fixed(trees.select(key, F.col(column)), _root=F.try_parse_json(column))
-    found = F.when(F.col("_root").isNotNull(), kept).otherwise(F.array().cast(FOUND))
-    return fixed(read, ws=found).select(key, F.col("_root").isNotNull().alias("readable"), "ws")
+    kind = trees.schema[key].dataType.simpleString()
+    plain = trees.select(F.col(key).alias("key"), F.col(column).alias("tree")).mapInArrow(plain_trees.read, f"key {kind}, left string, whole boolean, found {FOUND}")
+    read = fixed(plain, _root=F.try_parse_json("left"))
+    found = F.when(F.col("whole"), F.col("found")).when(F.col("_root").isNotNull(), kept).otherwise(F.array().cast(FOUND))
+    return fixed(read, ws=found).select(F.col("key").alias(key), (F.col("whole") | F.col("_root").isNotNull()).alias("readable"), "ws")
 
 
 def flatten(trees: DataFrame, column: str = "tree", key: str = "receipt_id") -> DataFrame:
@@ -151,8 +154,8 @@ def to_tree(words: DataFrame, layout: Column | None = None) -> DataFrame:
     """receipt_id, tree: words as recognisers of several versions would give them; layout (0 to 7) says in which way."""
     by = F.col("receipt_id") % 8 if layout is None else layout
     word = F.struct(F.col("text"), F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.col("confidence"))
-    page = words.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.to_json(word).alias("w")))).alias("ws"))
-    page = page.select("receipt_id", F.transform("ws", lambda x: x["w"]).alias("ws"))
+    page = words.groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("word_idx", F.to_json(word).alias("w")))).alias("ws"))
+    page = page.select("receipt_id", F.col("ws.w").alias("ws"))
     half = F.floor(F.size("ws") / 2).cast("int")
     first, second = F.slice("ws", F.lit(1), half), F.slice("ws", half + 1, F.size("ws"))
     listed = lambda ws: F.concat(F.lit("["), F.array_join(ws, ","), F.lit("]"))
